@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, binary_rows, chunks, cut, hash_strings, mix
-from .grouping import linked, only_ids, shared_buckets
+from .grouping import joining, linked, only_ids, shared_buckets
 
 SHINGLE = 5
 SLOTS = 128
@@ -92,6 +92,52 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _blocks(percent: int, slack: float):
+    """Links between groups within dealt blocks: pairs by the first band they share, likely ones first, on full sets."""
+
+    def run(_, table):
+        table = table.combine_chunks()
+        probe = np.asarray(table.column("probe"))
+        x, y = np.flatnonzero(probe), np.flatnonzero(~probe)
+        ids, group, n = (np.asarray(table.column(c)) for c in ("id", "c", "n"))
+        major, key = table.column("major")[0].as_py(), table.column("key")[0].as_py()
+        keys = np.asarray(table.column("keys").combine_chunks().flatten()).reshape(len(ids), -1)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(ids), -1)
+        sets = table.column("elements")
+        kx, ky = keys[x], keys[y]
+        open_ = (group[x][:, None] != group[y][None, :]) & ((group[y] == major)[None, :] | (ids[x][:, None] < ids[y][None, :]))
+        small, large = np.minimum(n[x][:, None], n[y][None, :]), np.maximum(n[x][:, None], n[y][None, :])
+        open_ &= 100 * small >= percent * large
+        band = int(np.flatnonzero(keys[x[0]] == key)[0]) if len(x) else 0
+        for k in range(band):
+            open_ &= kx[:, k, None] != ky[None, :, k]
+        same = np.zeros(open_.shape, np.uint16)
+        for k in range(sketch.shape[1]):
+            same += sketch[x][:, k, None] == sketch[y][None, :, k]
+        open_ &= same >= (percent / 100 - slack) * sketch.shape[1]
+        pairs = np.argwhere(open_)
+        pairs = pairs[np.argsort(-same[open_].astype(int), kind="stable")]
+        held: dict[int, np.ndarray] = {}
+
+        def elements(k: int) -> np.ndarray:
+            if k not in held:
+                held[k] = np.frombuffer(sets[k].as_py(), np.uint64)
+            return held[k]
+
+        def links(pair) -> bool:
+            p, q = elements(int(x[pair[0]])), elements(int(y[pair[1]]))
+            both = np.concatenate([p, q])
+            both.sort()
+            shared = int((both[1:] == both[:-1]).sum())
+            return 100 * shared >= percent * (len(p) + len(q) - shared)
+
+        a, b = x[pairs[:, 0]], y[pairs[:, 1]]
+        good = joining(pairs, group[a].tolist(), group[b].tolist(), links)
+        return pa.table({"a": ids[a[good]], "b": ids[b[good]]})
+
+    return run
+
+
 _SIGNED = "doc_id long, n_shingles long, class string, sketch binary, keys array<long>"
 
 
@@ -161,7 +207,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, slack: float = 0.25
     able = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = cut(able.groupBy("class").agg(F.min("doc_id").alias("id")), "reps")
     sketches = cut(able.join(reps.selectExpr("id AS doc_id", "class"), ["doc_id", "class"], "left_semi").selectExpr("doc_id AS id", "n_shingles AS n", "sketch", "keys"), "sketches")
-    buckets = shared_buckets(sketches.select(F.explode("keys").alias("key"), "id"))
+    buckets = shared_buckets(sketches.select(F.explode("keys").alias("key"), "id", F.col("n").cast("int").alias("size")))
     plain = sketches.select("id", "n", "sketch")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -171,7 +217,13 @@ def near_duplicates(documents: DataFrame, percent: int = 75, slack: float = 0.25
         sets = cut(only_ids(docs, wanted, "doc_id").mapInArrow(_sets, "id long, elements binary"), "sets")
         return likely.join(sets.selectExpr("id AS b", "elements AS eb"), "b").join(sets.selectExpr("id AS a", "elements AS ea"), "a").mapInArrow(_confirmed(percent), "a long, b long").distinct()
 
-    grouped = linked(buckets, verify)
+    def in_blocks(blocks: DataFrame) -> DataFrame:
+        wanted = cut(blocks.select("id").distinct(), "wanted")
+        sets = only_ids(docs, wanted, "doc_id").mapInArrow(_sets, "id long, elements binary")
+        held = cut(sketches.join(sets, "id"), "held")
+        return blocks.join(held, "id").groupBy("key", "i", "j").applyInArrow(_blocks(percent, slack), "a long, b long")
+
+    grouped = linked(buckets, verify, in_blocks, f"100 * least(p, q) >= {percent} * greatest(p, q)")
     named = cut(reps.join(grouped, "id", "left").select("class", F.coalesce("component", "id").alias("component_id")), "named")
     out = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
     own = F.coalesce("component_id", "doc_id")
