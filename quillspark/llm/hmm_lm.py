@@ -152,7 +152,7 @@ def log10_likelihood(model: Model, classes: np.ndarray, offsets: np.ndarray) ->
     return back
 
 
-_CODED = "chunk long, doc_ids array<long>, held array<boolean>, offsets array<long>, codes binary, hashes array<long>, endings binary, counts array<long>"
+_CODED = "chunk long, doc_ids array<long>, held array<boolean>, offsets array<long>, codes binary, hashes array<long>, endings array<int>, counts array<long>"
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +169,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array([chunk]), one(b.column("doc_id").to_pylist(), pa.int64()), one(held, pa.bool_()), one(words.offsets, pa.int64()),
                 pa.array([words.codes.astype(np.int32).tobytes()], pa.binary()), one(hash_strings(words.words).view(np.int64), pa.int64()),
-                pa.array([_ending_class(words.words).tobytes()], pa.binary()), one(counts, pa.int64()),
+                one(_ending_class(words.words), pa.int32()), one(counts, pa.int64()),
             ],
             ["chunk", "doc_ids", "held", "offsets", "codes", "hashes", "endings", "counts"],
         )
@@ -180,7 +180,7 @@ def _sequences(b: pa.RecordBatch, k: int, model: Model, held: bool | None) -> tu
     """Classes and offsets of a chunk's documents, each with its end; only the fold ``held``, if given."""
     get = lambda name: np.asarray(b.column(name)[k].values)
     codes = np.frombuffer(b.column("codes")[k].as_buffer(), np.int32)
-    of_word = model.class_of(get("hashes").view(np.uint64), np.frombuffer(b.column("endings")[k].as_buffer(), np.int32))
+    of_word = model.class_of(get("hashes").view(np.uint64), get("endings"))
     offsets = get("offsets")
     n = np.diff(offsets)
     whole = np.insert(of_word[codes] if len(codes) else np.zeros(0, np.int64), offsets[1:], 0)
@@ -233,7 +233,7 @@ def _scorer(model: Model, tokens: int, types: int, ends_seen: int, class_tokens:
             for k in range(b.num_rows):
                 get = lambda name: np.asarray(b.column(name)[k].values)  # noqa: B023, E731
                 codes = np.frombuffer(b.column("codes")[k].as_buffer(), np.int32)
-                hashes, endings = get("hashes").view(np.uint64), np.frombuffer(b.column("endings")[k].as_buffer(), np.int32)
+                hashes, endings = get("hashes").view(np.uint64), get("endings")
                 seen = np.zeros(len(hashes))
                 if b.column("found")[k].is_valid:
                     pairs = b.column("found")[k].values.flatten()
@@ -277,31 +277,26 @@ def score_documents(documents: DataFrame, states: int = STATES, passes: int = PA
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = docs.withColumn("held", F.coalesce(remainder("doc_id", 10) == 0, F.lit(False)))
     coded = cut(docs.mapInArrow(_coded, _CODED), "coded")
-    words = coded.select("chunk", F.posexplode(F.arrays_zip("hashes", "counts")).alias("code", "x")).selectExpr("chunk", "code", "x.hashes AS h", "x.counts AS n")
-    vocabulary = cut(words.where("n > 0").groupBy("h").agg(F.sum("n").alias("c")), "vocabulary")
+    words = coded.select("chunk", F.posexplode(F.arrays_zip("hashes", "endings", "counts")).alias("code", "x")).selectExpr("chunk", "code", "x.hashes AS h", "x.endings AS e", "x.counts AS n")
+    vocabulary = cut(words.where("n > 0").groupBy("h").agg(F.sum("n").alias("c"), F.max("e").alias("e")), "vocabulary")
     total, types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends_seen = coded.select(F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()[0]
     tokens, types = total + ends_seen, types + (ends_seen > 0)
     top_rows = vocabulary.orderBy(F.desc("c"), "h").limit(TOP_WORDS).collect()
     order = np.argsort(np.array([r["h"] for r in top_rows], np.int64).view(np.uint64))
     top = np.array([r["h"] for r in top_rows], np.int64).view(np.uint64)[order]
-    # Tokens of each class, and of each class but the top words' the distinct words: sums over chunks and the vocabulary.
-    model = Model(np.zeros(states), np.zeros(states), np.zeros((states, states)), np.zeros((states, 1 + len(top) + ENDINGS)), top)
-    found = cut(words.join(vocabulary, "h").groupBy("chunk").agg(F.collect_list(F.struct(F.col("code"), F.col("c"))).alias("found")), "found")
+    # Tokens and distinct words of each class: the endings' sums over the vocabulary without the top words.
+    class_tokens, class_types = np.zeros(1 + len(top) + ENDINGS), np.zeros(1 + len(top) + ENDINGS)
+    class_tokens[0] = ends_seen
+    class_tokens[1 : 1 + len(top)] = np.array([r["c"] for r in top_rows])[order]
+    for r in vocabulary.groupBy("e").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        class_tokens[1 + len(top) + r["e"]], class_types[1 + len(top) + r["e"]] = r["c"], r["n"]
+    for r in top_rows:
+        class_tokens[1 + len(top) + r["e"]] -= r["c"]
+        class_types[1 + len(top) + r["e"]] -= 1
+    found = cut(words.select("chunk", "code", "h").join(vocabulary.select("h", "c"), "h").groupBy("chunk").agg(F.collect_list(F.struct(F.col("code"), F.col("c"))).alias("found")), "found")
     backed = cut(coded.join(found, "chunk", "left"), "backed")
 
-    def class_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(model.classes)
-        for b in batches:
-            for k in range(b.num_rows):
-                of_word = model.class_of(np.asarray(b.column("hashes")[k].values).view(np.uint64), np.frombuffer(b.column("endings")[k].as_buffer(), np.int32))
-                out += np.bincount(of_word, weights=np.asarray(b.column("counts")[k].values), minlength=model.classes)
-        at = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], ["at", "v"])
-
-    class_tokens = _summed(coded.select("hashes", "endings", "counts").mapInArrow(class_sums, "at int, v double"), model.classes)
-    class_tokens[0] = ends_seen
-    class_types = _class_types(coded, vocabulary, model)
     model = initial(class_tokens, top, states)
     size = 2 * states + states * states + states * model.classes
     sample = coded.orderBy(F.xxhash64("chunk")).limit(4)
