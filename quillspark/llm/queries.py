@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hmm_lm, langid, minhash, packing, secrets
+from . import hmm_lm, langid, minhash, packing, secrets, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_history(table(spark, sf_dir, "documents").selectExpr("CAST(doc_id AS long) AS doc_id", "text"), "doc_id"))
 
@@ -35,8 +39,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_hmm_lm": op1_hmm_lm,
     "op6_language_id": op6_language_id,
+    "op7_exact_topk": op7_exact_topk,
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_exact_topk": topk.SEARCH_SQL,
+}
