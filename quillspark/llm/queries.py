@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hmm_lm, langid, minhash, packing, secrets, topk
+from . import embdedup, hmm_lm, langid, minhash, packing, secrets, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,14 +36,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_hmm_lm": op1_hmm_lm,
     "op6_language_id": op6_language_id,
     "op7_exact_topk": op7_exact_topk,
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
 }
 ORACLE_SQL = {
     "op7_exact_topk": topk.SEARCH_SQL,
+    "op10_embedding_near_dedup": embdedup.NEAR_SQL,
 }
