@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embdedup, hmm_lm, langid, minhash, packing, secrets, topk
+from . import compaction, embdedup, hmm_lm, langid, minhash, mixing, packing, secrets, topk
+from .common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,14 @@ def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.sharded(table(spark, sf_dir, "documents"), new_path(spark, "shards"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weigh(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", "weight", "p", "sampled")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +51,8 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_hmm_lm": op1_hmm_lm,
+    "op2_compaction": op2_compaction,
+    "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
     "op7_exact_topk": op7_exact_topk,
     "op8_secret_scan": op8_secret_scan,
