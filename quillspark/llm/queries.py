@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compaction, embdedup, hmm_lm, langid, minhash, mixing, packing, secrets, topk
+from . import compaction, embdedup, hmm_lm, langid, minhash, mixing, packing, secrets, topk, weaklabel
 from .common import new_path
 
 
@@ -21,6 +21,10 @@ def op2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.sharded(table(spark, sf_dir, "documents"), new_path(spark, "shards"))
 
 
+def op3_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weaklabel.score_quality(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weigh(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", "weight", "p", "sampled")
 
@@ -52,6 +56,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_hmm_lm": op1_hmm_lm,
     "op2_compaction": op2_compaction,
+    "op3_weak_label_quality": op3_weak_label_quality,
     "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
     "op7_exact_topk": op7_exact_topk,
