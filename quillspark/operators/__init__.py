@@ -1 +1 @@
-
+"""Operators: lazy functions from DataFrames to DataFrames."""

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import reports
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _plan in (reports,):
+    QUERIES.update(_plan.QUERIES)
+    ORACLE_SQL.update(_plan.ORACLE_SQL)
