@@ -27,6 +27,10 @@ START_TOKENS = 400_000
 START_ROUNDS = 12
 PASSES = 2
 ALPHA = 0.1
+#: Text of a coded chunk: larger ones hold fewer distinct words for their size.
+CODED_BYTES = 24 << 20
+#: Rows of (word, chunk) that one task sums.
+WORD_ROWS = 2_000_000
 
 
 def _ending_class(words: pa.Array) -> np.ndarray:
@@ -152,14 +156,14 @@ def log10_likelihood(model: Model, classes: np.ndarray, offsets: np.ndarray) ->
     return back
 
 
-_CODED = "chunk long, doc_ids array<long>, held array<boolean>, offsets array<long>, codes binary, hashes array<long>, endings array<int>, counts array<long>"
+_CODED = "chunk long, doc_ids array<long>, held array<boolean>, offsets array<long>, codes binary, hashes array<long>, endings array<int>, counts array<int>"
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     chunk = TaskContext.get().partitionId() << 32
-    for b in chunks(batches):
+    for b in chunks(batches, limit=CODED_BYTES):
         words = Words(b.column("text"))
         held = np.asarray(b.column("held"))
         trained = np.repeat(~held, np.diff(words.offsets))
@@ -169,7 +173,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array([chunk]), one(b.column("doc_id").to_pylist(), pa.int64()), one(held, pa.bool_()), one(words.offsets, pa.int64()),
                 pa.array([words.codes.astype(np.int32).tobytes()], pa.binary()), one(hash_strings(words.words).view(np.int64), pa.int64()),
-                one(_ending_class(words.words), pa.int32()), one(counts, pa.int64()),
+                one(_ending_class(words.words), pa.int32()), one(counts.astype(np.int32), pa.int32()),
             ],
             ["chunk", "doc_ids", "held", "offsets", "codes", "hashes", "endings", "counts"],
         )
@@ -224,6 +228,36 @@ def _start_values(model: Model, tokens: int, rounds: int):
     return run
 
 
+_SUMMED = "kind int, a long, b long, c long, piece binary"
+_PIECE = np.dtype([("code", "<i4"), ("seen", "<i8")])
+
+
+def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of some words: kind 0, for each chunk the words' training counts; 1, the most frequent words (hash, count,
+    ending); 2, for each ending the tokens and distinct words."""
+    found = [b for b in batches if b.num_rows]
+    if not found:
+        return
+    h, chunk, code, n, e = (np.concatenate([np.asarray(b.column(c)) for b in found]) for c in ("h", "chunk", "code", "n", "e"))
+    words, first, which = np.unique(h, return_index=True, return_inverse=True)
+    total = np.bincount(which, weights=n, minlength=len(words)).astype(np.int64)
+    ending = e[first].astype(np.int64)
+    rows = []
+    order = np.argsort(chunk, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], chunk[order][1:] != chunk[order][:-1]]))
+    for s, t in zip(starts, [*starts[1:], len(order)], strict=True):
+        some = order[s:t][total[which[order[s:t]]] > 0]
+        piece = np.empty(len(some), _PIECE)
+        piece["code"], piece["seen"] = code[some], total[which[some]]
+        rows.append((0, int(chunk[order[s]]), 0, 0, np.sort(piece, order="code").tobytes()))
+    known = np.flatnonzero(total > 0)
+    for k in known[np.lexsort([words[known], -total[known]])][:TOP_WORDS]:
+        rows.append((1, int(words[k]), int(total[k]), int(ending[k]), None))
+    tokens, types = np.bincount(ending[known], weights=total[known], minlength=ENDINGS), np.bincount(ending[known], minlength=ENDINGS)
+    rows += [(2, int(k), int(tokens[k]), int(types[k]), None) for k in np.flatnonzero(types)]
+    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["kind", "a", "b", "c", "piece"])
+
+
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -235,9 +269,9 @@ def _scorer(model: Model, tokens: int, types: int, ends_seen: int, class_tokens:
                 codes = np.frombuffer(b.column("codes")[k].as_buffer(), np.int32)
                 hashes, endings = get("hashes").view(np.uint64), get("endings")
                 seen = np.zeros(len(hashes))
-                if b.column("found")[k].is_valid:
-                    pairs = b.column("found")[k].values.flatten()
-                    seen[np.asarray(pairs[0])] = np.asarray(pairs[1])
+                for piece in b.column("found")[k].as_py() or ():
+                    pairs = np.frombuffer(piece, _PIECE)
+                    seen[pairs["code"]] = pairs["seen"]
                 of_word = model.class_of(hashes, endings)
                 own = of_word <= len(model.top)
                 kind = np.where(own, 0, of_word)
@@ -278,25 +312,25 @@ def score_documents(documents: DataFrame, states: int = STATES, passes: int = PA
     docs = docs.withColumn("held", F.coalesce(remainder("doc_id", 10) == 0, F.lit(False)))
     coded = cut(docs.mapInArrow(_coded, _CODED), "coded")
     words = coded.select("chunk", F.posexplode(F.arrays_zip("hashes", "endings", "counts")).alias("code", "x")).selectExpr("chunk", "code", "x.hashes AS h", "x.endings AS e", "x.counts AS n")
-    vocabulary = cut(words.where("n > 0").groupBy("h").agg(F.sum("n").alias("c"), F.max("e").alias("e")), "vocabulary")
-    total, types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends_seen = coded.select(F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()[0]
-    tokens, types = total + ends_seen, types + (ends_seen > 0)
-    top_rows = vocabulary.orderBy(F.desc("c"), "h").limit(TOP_WORDS).collect()
-    order = np.argsort(np.array([r["h"] for r in top_rows], np.int64).view(np.uint64))
-    top = np.array([r["h"] for r in top_rows], np.int64).view(np.uint64)[order]
+    rows = coded.select(F.coalesce(F.sum(F.size("hashes")), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows[0] // WORD_ROWS))
+    summed = cut(words.repartition(parts, "h").mapInArrow(_word_sums, _SUMMED), "summed")
+    ends_seen = rows[1]
+    by_ending = summed.where("kind = 2").groupBy("a").agg(F.sum("b").alias("tokens"), F.sum("c").alias("types")).collect()
+    tokens, types = sum(r["tokens"] for r in by_ending) + ends_seen, sum(r["types"] for r in by_ending) + (ends_seen > 0)
+    top_rows = summed.where("kind = 1").orderBy(F.desc("b"), "a").limit(TOP_WORDS).selectExpr("a AS h", "b AS c", "c AS e").collect()
+    top = np.array([r["h"] for r in top_rows], np.int64).view(np.uint64)
+    order = np.argsort(top)
+    top = top[order]
     # Tokens and distinct words of each class: the endings' sums over the vocabulary without the top words.
     class_tokens, class_types = np.zeros(1 + len(top) + ENDINGS), np.zeros(1 + len(top) + ENDINGS)
     class_tokens[0] = ends_seen
-    class_tokens[1 : 1 + len(top)] = np.array([r["c"] for r in top_rows])[order]
-    for r in vocabulary.groupBy("e").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
-        class_tokens[1 + len(top) + r["e"]], class_types[1 + len(top) + r["e"]] = r["c"], r["n"]
+    class_tokens[1 : 1 + len(top)] = np.array([r["c"] for r in top_rows], float)[order]
+    for r in by_ending:
+        class_tokens[1 + len(top) + r["a"]], class_types[1 + len(top) + r["a"]] = r["tokens"], r["types"]
     for r in top_rows:
         class_tokens[1 + len(top) + r["e"]] -= r["c"]
         class_types[1 + len(top) + r["e"]] -= 1
-    found = cut(words.select("chunk", "code", "h").join(vocabulary.select("h", "c"), "h").groupBy("chunk").agg(F.collect_list(F.struct(F.col("code"), F.col("c"))).alias("found")), "found")
-    backed = cut(coded.join(found, "chunk", "left"), "backed")
-
     model = initial(class_tokens, top, states)
     size = 2 * states + states * states + states * model.classes
     sample = coded.orderBy(F.xxhash64("chunk")).limit(4)
@@ -305,4 +339,6 @@ def score_documents(documents: DataFrame, states: int = STATES, passes: int = PA
         model = model.updated(np.frombuffer(first["counts"]))
     for _ in range(passes):
         model = model.updated(_summed(coded.mapInArrow(_count_pass(model), "at int, v double"), size))
+    found = summed.where("kind = 0").groupBy(F.col("a").alias("chunk")).agg(F.collect_list("piece").alias("found"))
+    backed = coded.drop("counts").join(found, "chunk", "left")
     return backed.mapInArrow(_scorer(model, tokens, types, ends_seen, class_tokens, class_types), _SCORED)
