@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import reports
+from . import datasets, reports
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _plan in (reports,):
+for _plan in (reports, datasets):
     QUERIES.update(_plan.QUERIES)
     ORACLE_SQL.update(_plan.ORACLE_SQL)
