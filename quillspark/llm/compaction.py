@@ -101,9 +101,9 @@ class ShardStore:
     def compact(self) -> int | None:
         """Merge each tier that holds ``fanout`` shards or more; the new version's number, or None if no tier does.
 
-        A tier's shards are read by one job in which Spark's reader packs whole files into partitions of the target
-        size, and each partition is written as one file: no shuffle, no row looked at by the driver, as many tasks as
-        files to write. The number of jobs is that of the tiers, whatever the size. Old shards stay for readers of older
+        A tier's shards are read by one job in which Spark's reader packs whole files into partitions of about the target
+        size, and each partition (coalesced to the files due) is written as one file: no shuffle, no row looked at by
+        the driver, as many tasks as files to write. The number of jobs is that of the tiers, whatever the size. Old shards stay for readers of older
         versions until ``vacuum``.
         """
         known = self.versions()
@@ -111,18 +111,20 @@ class ShardStore:
             return None
         base, now = known[-1], self.manifest().withColumn("tier", self.tier_of(F.col("bytes")))
         top = max(1, math.ceil(math.log(max(2, self.target / (64 << 10)), self.fanout))) + 1
-        due = [r["tier"] for r in now.where(F.col("tier") < top).groupBy("tier").agg(F.count("*").alias("n")).where(F.col("n") >= self.fanout).orderBy("tier").collect()]
+        sizes = now.where(F.col("tier") < top).groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") >= self.fanout).orderBy("tier").collect()
+        # A merge has to leave half the shards at most, so that every call comes nearer to the end.
+        due = {r["tier"]: max(1, -(-r["bytes"] // self.target)) for r in sizes if 2 * max(1, -(-r["bytes"] // self.target)) <= r["n"]}
         if not due:
             return None
         session, made = self._session(), None
-        for tier in due:
+        for tier in sorted(due):
             # Paths of one tier only: a shard is at least some thousand rows or a partition, so this list is far smaller than the data.
             paths = [r["path"] for r in now.where(F.col("tier") == tier).select("path").toLocalIterator()]
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
-            session.read.parquet(*paths).write.option("compression", "zstd").parquet(folder)
+            session.read.parquet(*paths).coalesce(due[tier]).write.option("compression", "zstd").parquet(folder)
             new = self._listed(self.spark, folder)
             made = new if made is None else made.unionAll(new)
-        kept = now.where(~F.col("tier").isin(due)).select("path", "bytes", "rows")
+        kept = now.where(~F.col("tier").isin(*due)).select("path", "bytes", "rows")
         return self._commit(kept.unionByName(made).withColumn("tier", self.tier_of(F.col("bytes"))), base)
 
     def vacuum(self) -> int:
