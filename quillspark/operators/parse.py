@@ -19,28 +19,48 @@ def _places(c: Column) -> Column:
     return F.filter(F.split(c, "、"), lambda x: x != "")
 
 
-def sentence_struct(s: Column) -> Column:
-    """struct(finding, places, key, bucket, ratio) of one sentence; the first kind that matches counts.
+def sentence_structs(sentences: Column) -> Column:
+    """struct(finding, places, key, bucket, ratio) of each sentence; the first kind that matches counts.
 
-    Sentences that stand alone are one map look-up, not a pattern each.
+    Sentences that stand alone are one map look-up, not a pattern each, and others are matched once, by kind; only
+    those that carry values are matched again to take these out, all groups by one replacement.
     """
-    group = lambda pattern, k: F.regexp_extract(s, pattern, k)
-    direct = literal_map(dims.DIRECT_FINDINGS)[s]
-    ratio, counted, macula, occluded = (s.rlike(p) for p in (dims.RATIO_PATTERN, dims.COUNTED_PATTERN, dims.MACULA_PATTERN, dims.OCCLUSION_PATTERN))
-    finding = (
-        F.when(ratio, F.lit(None).cast("string"))
-        .when(counted, F.concat(F.lit("视网膜:"), group(dims.COUNTED_PATTERN, 3)))
-        .when(macula, F.concat(F.lit("黄斑处:"), group(dims.MACULA_PATTERN, 1)))
-        .when(occluded, F.lit(dims.OCCLUSION_FINDING))
-        .when(s.rlike(dims.CROSSING_PATTERN), F.lit(dims.CROSSING_FINDING))
-        .otherwise(direct)
-    )
-    places = F.when(counted, _places(group(dims.COUNTED_PATTERN, 1))).when(occluded, _places(group(dims.OCCLUSION_PATTERN, 1))).otherwise(_texts())
-    listed = F.array_join(_places(group(dims.COUNTED_PATTERN, 1)), "、")
-    key = F.when(counted, F.concat(F.lit("视网膜|"), group(dims.COUNTED_PATTERN, 3), F.lit("|"), F.when(listed == "", F.lit(dims.NO_PLACE)).otherwise(listed)))
-    bucket = F.when(counted, F.when(group(dims.COUNTED_PATTERN, 2) == "", F.lit(dims.PLAIN_BUCKET)).otherwise(group(dims.COUNTED_PATTERN, 2)))
-    value = F.when(ratio, group(dims.RATIO_PATTERN, 1).try_cast("double"))
-    return F.struct(finding.alias("finding"), places.alias("places"), key.alias("key"), bucket.alias("bucket"), value.alias("ratio"))
+    direct = literal_map(dims.DIRECT_FINDINGS)
+    kinds = {"ratio": dims.RATIO_PATTERN, "counted": dims.COUNTED_PATTERN, "macula": dims.MACULA_PATTERN, "occluded": dims.OCCLUSION_PATTERN, "crossing": dims.CROSSING_PATTERN}
+    groups = {"ratio": (dims.RATIO_PATTERN, "$1"), "counted": (dims.COUNTED_PATTERN, "$1\t$2\t$3"), "macula": (dims.MACULA_PATTERN, "$1"), "occluded": (dims.OCCLUSION_PATTERN, "$1")}
+
+    def sort(s: Column) -> Column:
+        kind = F.when(direct[s].isNotNull(), F.lit("direct"))
+        for name, pattern in kinds.items():
+            kind = kind.when(s.rlike(pattern), F.lit(name))
+        return F.struct(s.alias("s"), kind.alias("kind"))
+
+    def take(x: Column) -> Column:
+        value = None
+        for name, (pattern, out) in groups.items():
+            part = F.regexp_replace(x["s"], pattern, out)
+            value = F.when(x["kind"] == name, part) if value is None else value.when(x["kind"] == name, part)
+        return F.struct(x["s"].alias("s"), x["kind"].alias("kind"), F.split(value, "\t").alias("g"))
+
+    def read(x: Column) -> Column:
+        kind, first = x["kind"], F.get(x["g"], F.lit(0))
+        counted, occluded = kind == "counted", kind == "occluded"
+        name = F.get(x["g"], F.lit(2))
+        finding = (
+            F.when(kind == "direct", direct[x["s"]])
+            .when(counted, F.concat(F.lit("视网膜:"), name))
+            .when(kind == "macula", F.concat(F.lit("黄斑处:"), first))
+            .when(occluded, F.lit(dims.OCCLUSION_FINDING))
+            .when(kind == "crossing", F.lit(dims.CROSSING_FINDING))
+        )
+        places = F.when(counted | occluded, _places(first)).otherwise(_texts())
+        key = F.when(counted, F.concat(F.lit("视网膜|"), name, F.lit("|"), F.when(first == "", F.lit(dims.NO_PLACE)).otherwise(first)))
+        bucket = F.when(counted, F.when(F.get(x["g"], F.lit(1)) == "", F.lit(dims.PLAIN_BUCKET)).otherwise(F.get(x["g"], F.lit(1))))
+        value = F.when(kind == "ratio", first.try_cast("double"))
+        return F.struct(finding.alias("finding"), places.alias("places"), key.alias("key"), bucket.alias("bucket"), value.alias("ratio"))
+
+    known = F.filter(F.transform(sentences, sort), lambda x: x["kind"].isNotNull())
+    return F.transform(F.transform(known, take), read)
 
 
 def parsed(df: DataFrame, column: str, prefix: str) -> DataFrame:
@@ -52,7 +72,7 @@ def parsed(df: DataFrame, column: str, prefix: str) -> DataFrame:
     p = lambda name: f"{prefix}{name}"
     df = df.withColumn(p("norm"), normalized(F.col(column)))
     df = df.withColumn(p("description"), section(F.col(p("norm")), "描述"))
-    parts = F.transform(sentences_of(F.col(p("description"))), sentence_struct)
+    parts = sentence_structs(sentences_of(F.col(p("description"))))
     df = df.withColumn(p("parts"), parts)
     parts = F.col(p("parts"))
     keyed = F.transform(F.filter(parts, lambda x: x["key"].isNotNull()), lambda x: F.struct(x["key"].alias("key"), x["bucket"].alias("bucket")))

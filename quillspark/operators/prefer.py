@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from ..functions.text import has_report_format, normalized
 from .score import MEASURES, score_reports, weighted_scores
 
 
 def candidates(df: DataFrame) -> DataFrame:
     """``df`` (ord, img_id, reference, prediction) as candidates: the chosen text scored against itself, the rejected one's
-    measures and scores, and the margin. A chosen text of bad format doesn't reach 1."""
-    own = weighted_scores(score_reports(df.withColumn("__same", F.col("reference")), "__same", "reference")).select("ord", F.col("final_score").alias("score_chosen"))
+    measures and scores, and the margin. Against itself a text has every measure but the format's, so it isn't parsed again."""
+    w = dims.FINAL_WEIGHTS
+    own = F.lit(w["description"]) + F.lit(w["format"]) * has_report_format(normalized(F.col("reference"))).cast("double") + F.lit(w["diagnosis"])
     other = weighted_scores(score_reports(df))
-    rows = other.withColumnRenamed("final_score", "score_rejected").join(own, "ord")
+    rows = other.withColumnRenamed("final_score", "score_rejected").withColumn("score_chosen", own)
     return rows.select("ord", "img_id", F.col("reference").alias("chosen"), F.col("prediction").alias("rejected"), "score_chosen", "score_rejected", (F.col("score_chosen") - F.col("score_rejected")).alias("margin"), *MEASURES, "description_score")
 
 

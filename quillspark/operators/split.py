@@ -47,7 +47,7 @@ def load_counters(rows: DataFrame, text: str, found: Column, order: str, most: i
     if most is not None and most > 0:
         last = marked.where("NOT __e AND __f").orderBy("__o").limit(most).agg(F.max("__o").alias("last"), F.count("*").alias("got"))
         marked = marked.join(F.broadcast(last)).where(F.expr(f"got < {most} OR __o <= last"))  # one row
-    return marked.agg(F.count("*").alias("seen"), F.count_if("__e").alias("empty"), F.count_if("NOT __e AND NOT __f").alias("unresolved"), F.count_if("NOT __e AND __f").alias("kept"))
+    return marked.agg(F.count("*").alias("seen"), F.count_if("__e").alias("empty"), F.count_if(F.expr("NOT __e AND NOT __f")).alias("unresolved"), F.count_if(F.expr("NOT __e AND __f")).alias("kept"))
 
 
 def quota(n: Column, val: float, test: float) -> dict[str, Column]:

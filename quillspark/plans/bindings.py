@@ -40,9 +40,15 @@ def quoted(values) -> str:
     return ", ".join("'" + v + "'" for v in values)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it is read in fewer pieces; for narrow rows that costly expressions follow."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def parameter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1: one measurement row an order."""
-    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS k", "o_orderstatus AS status")
+    keys = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS k", "o_orderstatus AS status"))
     labels = f"array({quoted(LABELS)})"
     tags = f"CASE WHEN k % 3 = 0 THEN array(element_at({labels}, CAST({FIRST} AS int)), element_at({labels}, CAST({SECOND} AS int))) ELSE array(element_at({labels}, CAST({FIRST} AS int))) END"
     return keys.selectExpr("k AS ord", "CAST(k AS string) AS img_id", "(1 + k % 8) / 10.0D AS ratiocdv", *[f"CAST({e} AS double) AS {n}" for n, e in COUNTS.items()], f"{tags} AS tags", "status AS institution_name", "concat('root/', status, '/', k, '.jpg') AS img_path")

@@ -100,7 +100,7 @@ _augment_sql = """src AS (
 ), summed AS (SELECT *, sum(ok::INT) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM tries
 ), cuts AS (SELECT doc_id, coalesce(min(batch) FILTER (ok AND c = target), max(batch)) AS last FROM summed GROUP BY doc_id
 ), made AS (
-  SELECT s.*, CASE WHEN ok AND c <= target THEN 'accepted' WHEN ok THEN 'unused_accepted' ELSE 'rejected' END AS event, printf('%s__aug%03d', doc_id, i + 1) AS candidate, 42 + doc_id * 100000 + i AS seed
+  SELECT s.*, CASE WHEN ok AND c <= target THEN 'accepted' WHEN ok THEN 'unused_accepted' ELSE 'rejected' END AS event, printf('%d__aug%03d', doc_id, i + 1) AS candidate, 42 + doc_id * 100000 + i AS seed
   FROM summed s JOIN cuts USING (doc_id) WHERE batch <= last
 ), clones AS (
   SELECT doc_id, aug_level, printf('%s__os%02d_%03d', candidate, r, c) AS img_id, printf('oversample_copy_%02d', r) AS ops, candidate AS copy_of
