@@ -46,7 +46,7 @@ def _pieces(path: str, size: int, end: int):
 def plan_rows(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
     """(length, lo, hi, first sequence, how often in each, first offset): the ranks lo to hi - 1 of a length, in turn.
 
-    Bounded by ``size``, whatever the input: at most ``size`` patterns of at most sqrt(2 * size) lengths each.
+    Bounded by ``size``, whatever the input: at most twice ``size`` patterns of at most sqrt(2 * size) lengths each.
     """
     taken: dict[int, int] = {}
     rows, sequence = [], 0

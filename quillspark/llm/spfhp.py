@@ -9,9 +9,9 @@ def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, list[tu
     """Packs as (how many, [(length, how often in each)]), lengths in the order in which they were placed.
 
     Lengths are taken longest first. Each goes to the packs with the most room left (the shortest ones), as many at a
-    time as there are such packs or pieces; packs of a pattern are counted, never listed. A piece for which the emptiest
-    pack has no room opens a new pack. There are at most as many patterns as lengths, since each step uses up either a
-    length's pieces (one more pattern) or a pattern's packs (none more), and each holds at most sqrt(2 * size) lengths.
+    time as there are such packs or pieces; packs of a pattern are counted, never listed. Where the emptiest pack
+    has no room, new packs take the length's pieces, each as many as fit. There are at most twice as many patterns as lengths, since each step uses up either a
+    length's pieces (two more patterns) or a pattern's packs (none more), and each holds at most sqrt(2 * size) lengths.
     """
     room: dict[int, list[list]] = defaultdict(list)
     widest = 0
@@ -24,13 +24,17 @@ def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, list[tu
                 room.pop(widest, None)
                 widest = max(room, default=0)
             if widest < length:
-                space, many, pattern = size, left, []
-            else:
-                space = widest
-                many, pattern = room[widest].pop()
-                if many > left:
-                    room[widest].append([many - left, pattern])
-                    many = left
+                full, rest = divmod(left, size // length)
+                for many, times in ((full, size // length), (1, rest)):
+                    if many and times:
+                        room[size - times * length].append([many, [(length, times)]])
+                        widest = max(widest, size - times * length)
+                break
+            space = widest
+            many, pattern = room[widest].pop()
+            if many > left:
+                room[widest].append([many - left, pattern])
+                many = left
             grown = list(pattern)
             if grown and grown[-1][0] == length:
                 grown[-1] = (length, grown[-1][1] + 1)
