@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import datasets, reports
+from . import datasets, reports, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _plan in (reports, datasets):
+for _plan in (reports, datasets, tables):
     QUERIES.update(_plan.QUERIES)
     ORACLE_SQL.update(_plan.ORACLE_SQL)

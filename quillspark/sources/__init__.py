@@ -1 +1,82 @@
+"""Readers and writers with the options that report data need."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+ANNOTATION = "_id BIGINT, _name STRING, tag ARRAY<STRUCT<_label: STRING, attribute: ARRAY<STRUCT<_name: STRING, _VALUE: STRING>>>>"
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, **constants: str) -> DataFrame:
+    """Header CSV with quoted line breaks; all columns are text unless ``schema`` says otherwise; ``constants`` are added."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
+    rows = (reader.schema(schema) if schema else reader).csv(path)
+    return rows.withColumns({k: F.lit(v) for k, v in constants.items()}) if constants else rows
+
+
+def write_csv(rows: DataFrame, path: str, fields: list[str], mode: str = "errorifexists") -> None:
+    """CSV of the fields in their order; a field that is missing is blank, a column that isn't a field is an error."""
+    extra = set(rows.columns) - set(fields)
+    if extra:
+        raise ValueError(f"no such fields: {sorted(extra)}")
+    blank = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) if f in rows.columns else F.lit("").alias(f) for f in fields]
+    rows.select(*blank).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
+    """JSON lines; a bad line is an error, or is dropped unless ``strict``. Blank lines don't count."""
+    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+
+
+def append_jsonl(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").json(path)
+
+
+def write_document(row: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Each row as one JSON document."""
+    row.select(F.to_json(F.struct("*")).alias("value")).write.mode(mode).text(path)
+
+
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, name, free_text, label_text) of an annotation file's images, by their ids."""
+    rows = spark.read.format("xml").option("rowTag", "image").schema(ANNOTATION).load(path)
+    flat = F.flatten(F.transform(F.coalesce("tag", F.array().cast("array<struct<_label:string,attribute:array<struct<_name:string,_VALUE:string>>>>")), lambda t: F.transform(t["attribute"], lambda a: F.struct(t["_label"].alias("l"), a["_name"].alias("n"), a["_VALUE"].alias("v")))))
+    of = lambda label, name: F.coalesce(F.trim(F.element_at(F.transform(F.filter("__a", lambda x: (x["l"] == label) & (x["n"] == name)), lambda x: x["v"]), -1)), F.lit(""))
+    rows = rows.withColumn("__a", flat)
+    with_value = lambda label, name: F.when(F.exists("__a", lambda x: (x["l"] == label) & (x["n"] == name)), of(label, name)).otherwise(F.lit(""))
+    return rows.select(F.col("_id").alias("ord"), F.col("_name").alias("name"), with_value("自由文本", "自由文本").alias("free_text"), with_value("EVisionAI_disease_Tag", "EVisionAI疾病分类").alias("label_text"))
+
+
+def list_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")) -> DataFrame:
+    """(path, stem, bytes) of the image files under ``root``; their contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("bytes"))
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.where(F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*extensions)).select("path", F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), "bytes")
+
+
+def image_index(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stem, path) by the first path of each stem, and the stems that occur more than once."""
+    counted = files.groupBy("stem").agg(F.min("path").alias("path"), F.count("*").alias("n"))
+    return counted.select("stem", "path"), counted.where("n > 1").select("stem", "n")
+
+
+def resolved_paths(rows: DataFrame, files: DataFrame, path: str, key: str, base: str = "") -> DataFrame:
+    """``rows`` with ``resolved``: the path itself if it is listed, else below ``base``, else the index's file for the key."""
+    listed = files.select("path").distinct()
+    index = image_index(files)[0]
+    joined = rows.join(listed.select(F.col("path").alias("__a"), F.col("path").alias("__fa")), F.col(path) == F.col("__a"), "left")
+    joined = joined.join(listed.select(F.col("path").alias("__b"), F.col("path").alias("__fb")), F.concat(F.lit(base), F.col(path)) == F.col("__b"), "left")
+    joined = joined.join(index.select(F.col("stem").alias("__s"), F.col("path").alias("__fi")), F.col(key) == F.col("__s"), "left")
+    return joined.select(*rows.columns, F.coalesce("__fa", "__fb", "__fi").alias("resolved"))
+
+
+def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """(path, md): each file whole."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("md"))
+
+
+def last_by(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Each key's last row by a declared order."""
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))))
+    return ranked.where("__r = 1").drop("__r")
