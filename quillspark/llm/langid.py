@@ -20,6 +20,8 @@ WIDTH = 1 << BITS
 #: Documents of each language that the machines are fitted on, as expected number; all others are only predicted.
 SAMPLE = 800
 STEEPNESS = 4.0
+#: Text whose features are made at a time: a row of WIDTH numbers each is held for the texts in it.
+FEATURE_BYTES = 1 << 20
 # Language codes by family.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy",
@@ -143,7 +145,7 @@ class LanguageModel:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in chunks(batches):
+    for b in chunks(batches, limit=FEATURE_BYTES):
         x = features(b.column("text")).astype(np.float16)
         yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
@@ -177,7 +179,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in chunks([whole]):
+            for b in chunks([whole], limit=FEATURE_BYTES):
                 lettered = np.asarray(pc.match_substring_regex(b.column("text"), r"\pL"))
                 lang, score = model.predict(features(b.column("text")))
                 lang[~lettered] = UNKNOWN

@@ -95,7 +95,8 @@ def scan_history(versions: DataFrame, path: str, ledger: str | None = None, rule
     if min(many, few) <= BROADCAST_IDS:
         side = F.broadcast(side)
     todo = rows.alias("v").join(side.alias("s"), F.expr("v.blob = s.blob AND v.path <=> s.path"), how)
-    found = todo.select("blob", "text").mapInArrow(_scanner(rules), f"blob string, spans {SPANS}")
+    # A row that is repeated with its path is read as often; the ledger gets its blob once.
+    found = todo.select("blob", "text").mapInArrow(_scanner(rules), f"blob string, spans {SPANS}").dropDuplicates(["blob"])
     found.withColumn("rule_version", F.lit(rules.version)).write.mode("append").option("compression", "zstd").parquet(ledger)
     # Only blobs with findings travel; a version of a blob that was written twice is the same row.
     hits = spark.read.parquet(ledger).where((F.col("rule_version") == rules.version) & (F.size("spans") > 0)).select("blob", "spans")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, mix
+from .langid import FEATURE_BYTES
 from .grouping import BROADCAST_IDS
 from .mixing import words_in
 
@@ -121,7 +122,7 @@ def fit(x: np.ndarray, target: np.ndarray, steps: int = 300, rate: float = 20.0,
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in chunks(batches):
+    for b in chunks(batches, limit=FEATURE_BYTES):
         x = features(b.column("text")).astype(np.float16)
         yield pa.RecordBatch.from_arrays([b.column("posterior"), pa.array([r.tobytes() for r in x], pa.binary())], ["posterior", "x"])
 
@@ -160,7 +161,7 @@ def score_quality(documents: DataFrame, least: float = 0.5) -> DataFrame:
     w = fit(x[order], target[order]) if len(x) else np.zeros(WIDTH + 1)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
+        for b in chunks(batches, limit=FEATURE_BYTES):
             worded = np.asarray(pc.match_substring_regex(b.column("text"), r"[^\x20\x09-\x0D]"))
             p = 1 / (1 + np.exp(-np.clip(features(b.column("text")) @ w[:-1] + w[-1], -500, 500)))
             votes = np.array([np.asarray(b.column(n)) for n in names])
