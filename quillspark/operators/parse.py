@@ -64,7 +64,7 @@ def sentence_structs(sentences: Column) -> Column:
 
 
 def parsed(df: DataFrame, column: str, prefix: str) -> DataFrame:
-    """``df`` with ``<prefix>`` norm, description, labels, format, findings, places, buckets (array of key, bucket) and ratio of a report.
+    """``df`` with ``<prefix>`` norm, description, diagnosis, labels, format, findings, places, buckets (array of key, bucket) and ratio of a report.
 
     ``column`` holds raw reports over the restricted alphabet (see ``text.normalized``); null counts as empty.
     Findings and places are sorted sets, a key's last bucket and the last ratio count.
@@ -82,6 +82,7 @@ def parsed(df: DataFrame, column: str, prefix: str) -> DataFrame:
     ratios = F.filter(F.transform(parts, lambda x: x["ratio"]), lambda x: x.isNotNull())
     return df.withColumns(
         {
+            p("diagnosis"): section(F.col(p("norm")), "初步诊断"),
             p("labels"): label_set(section(F.col(p("norm")), "初步诊断")),
             p("format"): has_report_format(F.col(p("norm"))),
             p("findings"): F.array_sort(F.array_distinct(F.array_compact(F.transform(parts, lambda x: x["finding"])))),
