@@ -28,7 +28,7 @@ START_ROUNDS = 12
 PASSES = 2
 ALPHA = 0.1
 #: Text of a coded chunk: larger ones hold fewer distinct words for their size.
-CODED_BYTES = 24 << 20
+CODED_BYTES = 8 << 20
 #: Rows of (word, chunk) that one task sums.
 WORD_ROWS = 2_000_000
 
