@@ -29,7 +29,8 @@ def select_pairs(rows: DataFrame, threshold: float = dims.LEARNING_THRESHOLD) ->
     """Rows with margin_kept (at least the exact median of all margins) and selected (kept and learnable)."""
     middle = rows.agg(F.coalesce(F.median("margin"), F.lit(0.0)).alias("margin_threshold"))
     kept = rows.join(F.broadcast(middle)).withColumn("margin_kept", F.coalesce("margin", F.lit(0.0)) >= F.col("margin_threshold"))  # one row
-    return kept.withColumn("selected", F.col("margin_kept") & learnable(threshold))
+    # One predicate, not two: a filter on it then stays above the join instead of pulling all of the parsing into a condition.
+    return kept.withColumn("selected", F.col("margin_kept").cast("int") * learnable(threshold).cast("int") == 1)
 
 
 def preference_records(selected: DataFrame, *keys: str) -> DataFrame:
