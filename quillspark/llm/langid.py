@@ -75,17 +75,17 @@ def features(texts: pa.Array) -> np.ndarray:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 25, seed: int = 7) -> np.ndarray:
     """Weights (the last is the bias) of a linear SVM with hinge loss, by coordinate descent on its dual."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
     # Both classes weigh the same, however many rows they have.
     cost = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
-    square = (x * x).sum(axis=1)
-    alpha, w, rng = np.zeros(len(y)), np.zeros(x.shape[1]), np.random.default_rng(seed)
+    square = np.einsum("ij,ij->i", x, x, dtype=np.float64) + 1
+    alpha, w, rng = np.zeros(len(y)), np.zeros(x.shape[1] + 1), np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for k in rng.permutation(len(y)):
-            new = min(max(alpha[k] - (y[k] * (x[k] @ w) - 1) / square[k], 0.0), cost[k])
+            new = min(max(alpha[k] - (y[k] * (x[k] @ w[:-1] + w[-1]) - 1) / square[k], 0.0), cost[k])
             if new != alpha[k]:
-                w += (new - alpha[k]) * y[k] * x[k]
+                w[:-1] += (new - alpha[k]) * y[k] * x[k]
+                w[-1] += (new - alpha[k]) * y[k]
                 moved = max(moved, abs(new - alpha[k]))
                 alpha[k] = new
         if moved < 1e-3:
