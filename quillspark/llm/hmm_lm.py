@@ -21,11 +21,9 @@ STATES = 8
 TOP_WORDS = 4096
 ENDINGS = 2048
 SEGMENT = 128
-BATCH = 2048
-#: Words whose classes the start values are fitted on; every full pass then counts all training documents.
-START_TOKENS = 400_000
-START_ROUNDS = 12
-PASSES = 2
+BATCH = 1024
+#: Rounds end when the log likelihood of a training token rises by less.
+SETTLED = 1e-3
 ALPHA = 0.1
 #: Text of a coded chunk: larger ones hold fewer distinct words for their size.
 CODED_BYTES = 8 << 20
@@ -91,48 +89,61 @@ def initial(frequency: np.ndarray, top: np.ndarray, states: int = STATES, seed:
 
 
 def expected_counts(model: Model, classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Baum-Welch counts (starts, occupation, moves, emissions) of sequences of classes, by segments of bounded length.
+    """Baum-Welch counts (starts, occupation, moves, emissions) of sequences of classes; see ``counted``."""
+    return counted(model, classes, offsets)[0]
+
+
+def counted(model: Model, classes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, float]:
+    """Baum-Welch counts of sequences of classes, by segments of bounded length, and the segments' log likelihood.
 
     Segments after a document's first begin from the mean occupation of the states.
     """
     k, c = model.emit.shape
-    start, mean, move, emit = np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros((c, k))
+    start, mean, move, emit = np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros((k, c))
     n = np.diff(offsets)
     many = -(-n // SEGMENT)
     doc = np.repeat(np.arange(len(n)), many)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
     at, size = offsets[doc] + nth * SEGMENT, np.minimum(SEGMENT, n[doc] - nth * SEGMENT)
     order = np.argsort(-size, kind="stable")
-    by_class = np.ascontiguousarray(model.emit.T)
+    by_class, back, one, likelihood = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T), np.ones(k), 0.0
     for s in range(0, len(order), BATCH):
         some = order[s : s + BATCH]
         here, length, first = at[some], size[some], nth[some] == 0
         longest = int(length[0])
-        live = [int(np.searchsorted(-length, -t, side="left")) for t in range(longest)]
-        seen = [classes[here[:m] + t] for t, m in enumerate(live)]
-        alpha = np.zeros((longest, len(some), k))
-        scale = np.ones((longest, len(some)))
+        # Positions are laid out by their place in the segment: those of place t lie from row[t] to row[t + 1].
+        live = np.searchsorted(-length, -np.arange(longest), side="left").tolist()
+        row = np.concatenate([[0], np.cumsum(live)]).tolist()
+        seen = np.concatenate([classes[here[:m] + t] for t, m in enumerate(live)])
+        emitted = by_class[seen]
+        alpha, scale = np.empty_like(emitted), np.empty(len(seen))
         for t, m in enumerate(live):
-            a = np.where(first[:, None], model.start, model.mean) if not t else alpha[t - 1, :m] @ model.move
-            a = a * by_class[seen[t]]
-            scale[t, :m] = a.sum(axis=1)
-            alpha[t, :m] = a / scale[t, :m, None]
+            rows = slice(row[t], row[t + 1])
+            a = alpha[rows]
+            if t:
+                np.matmul(alpha[row[t - 1] : row[t - 1] + m], model.move, out=a)
+            else:
+                a[:] = np.where(first[:, None], model.start, model.mean)
+            a *= emitted[rows]
+            scale[rows] = a @ one
+            a /= scale[rows, None]
+        likelihood += float(np.log(scale).sum())
+        emitted /= scale[:, None]
         beta = np.ones((len(some), k))
-        gammas = []
         for t in range(longest - 1, -1, -1):
-            m = live[t]
-            gamma = alpha[t, :m] * beta[:m]
-            gammas.append(gamma)
+            m, rows = live[t], slice(row[t], row[t + 1])
+            alpha[rows] *= beta[:m]
             if t:
-                w = by_class[seen[t]] * beta[:m] / scale[t, :m, None]
-                move += alpha[t - 1, :m].T @ w
-                beta[:m] = w @ model.move.T
-        start += gammas[-1][first].sum(axis=0)
-        flat, which = np.concatenate(gammas[::-1]), np.concatenate(seen)
-        mean += flat.sum(axis=0)
+                w = emitted[rows]
+                w *= beta[:m]
+                move += alpha[row[t - 1] : row[t - 1] + m].T @ w
+                np.matmul(w, back, out=beta[:m])
+        start += alpha[: len(some)][first].sum(axis=0)
+        by_state = np.ascontiguousarray(alpha.T)
+        mean += by_state.sum(axis=1)
         for j in range(k):
-            emit[:, j] += np.bincount(which, weights=flat[:, j], minlength=c)
-    return np.concatenate([start, mean, (move * model.move).ravel(), emit.T.ravel()])
+            emit[j] += np.bincount(seen, weights=by_state[j], minlength=c)
+    return np.concatenate([start, mean, (move * model.move).ravel(), emit.ravel()]), likelihood
 
 
 def log10_likelihood(model: Model, classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -196,11 +207,13 @@ def _sequences(b: pa.RecordBatch, k: int, model: Model, held: bool | None) -> tu
 
 
 def _count_pass(model: Model):
+    """Counts of a task's training documents by their place; the last place is the log likelihood."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0)
         for b in batches:
             for k in range(b.num_rows):
-                got = expected_counts(model, *_sequences(b, k, model, held=False))
+                got = np.append(*counted(model, *_sequences(b, k, model, held=False)))
                 total = got if not len(total) else total + got
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "v"])
@@ -208,26 +221,6 @@ def _count_pass(model: Model):
     return run
 
 
-def _start_values(model: Model, tokens: int, rounds: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, left = [], tokens
-        for b in batches:
-            for k in range(b.num_rows):
-                classes, ends = _sequences(b, k, model, held=False)
-                some = int(np.searchsorted(ends, left, side="right")) - 1
-                parts.append((classes[: ends[max(0, some)]], ends[: max(0, some) + 1]))
-                left -= int(parts[-1][1][-1])
-        classes = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(e) for _, e in parts]))]).astype(np.int64) if parts else np.zeros(1, np.int64)
-        fitted, counts = model, np.zeros(0)
-        for _ in range(rounds):
-            counts = expected_counts(fitted, classes, ends)
-            fitted = fitted.updated(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["counts"])
-
-    return run
-
-
 _SUMMED = "kind int, a long, b long, c long, piece binary"
 _PIECE = np.dtype([("code", "<i4"), ("seen", "<i8")])
 
@@ -296,14 +289,25 @@ def _summed(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def score_documents(documents: DataFrame, states: int = STATES, passes: int = PASSES) -> DataFrame:
+def settled(coded: DataFrame, model: Model, tokens: int) -> Model:
+    """``model`` after Baum-Welch rounds over all training documents, until the likelihood of their ``tokens`` settles."""
+    k, before = len(model.start), -np.inf
+    size = 2 * k + k * k + model.emit.size
+    while True:
+        counts = _summed(coded.select("held", "offsets", "codes", "hashes", "endings").mapInArrow(_count_pass(model), "at int, v double"), size + 1)
+        model, now = model.updated(counts[:size]), counts[size] / max(1, tokens)
+        if not now - before >= SETTLED:
+            return model
+        before = now
+
+
+def score_documents(documents: DataFrame, states: int = STATES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``documents`` (doc_id, text).
 
     Words and one end a text are the tokens; those of rows whose crc32(doc_id) mod 10 is not 0 train. Texts are coded
     once, in chunks; chunk counts of words (by a 64-bit hash) are summed, and each chunk gets back the sums of its own
-    words only. Start values come from a bounded sample (START_TOKENS); ``passes`` Baum-Welch passes then count every
-    training document, and all documents are scored over their whole length. ``score`` is the model's log10 probability,
-    where words not seen in training share, in each class, the mass that the base gives them overall.
+    words only. From randomly tilted start values, each Baum-Welch round counts every training document, until the
+    likelihood settles; all documents are scored over their whole length. ``score`` is the model's log10 probability, where words not seen in training share, in each class, the mass that the base gives them overall.
 
     Null or empty texts: the end alone. Null ids train. Repeated rows each count and are returned each. Without training
     rows both scores are those of empty counts. An empty table gives an empty result; other columns are ignored.
@@ -331,14 +335,7 @@ def score_documents(documents: DataFrame, states: int = STATES, passes: int = PA
     for r in top_rows:
         class_tokens[1 + len(top) + r["e"]] -= r["c"]
         class_types[1 + len(top) + r["e"]] -= 1
-    model = initial(class_tokens, top, states)
-    size = 2 * states + states * states + states * model.classes
-    sample = coded.orderBy(F.xxhash64("chunk")).limit(4)
-    first = sample.coalesce(1).mapInArrow(_start_values(model, START_TOKENS, START_ROUNDS), "counts binary").first()
-    if first and first["counts"]:
-        model = model.updated(np.frombuffer(first["counts"]))
-    for _ in range(passes):
-        model = model.updated(_summed(coded.mapInArrow(_count_pass(model), "at int, v double"), size))
+    model = settled(coded, initial(class_tokens, top, states), tokens)
     found = summed.where("kind = 0").groupBy(F.col("a").alias("chunk")).agg(F.collect_list("piece").alias("found"))
     backed = coded.drop("counts").join(found, "chunk", "left")
     return backed.mapInArrow(_scorer(model, tokens, types, ends_seen, class_tokens, class_types), _SCORED)

@@ -125,6 +125,17 @@ def test_language_model_base_is_exact(spark, docs, none):
     assert hmm_lm.score_documents(none).count() == 0
 
 
+def test_language_model_learns_from_all_documents(spark):
+    rng = np.random.default_rng(5)
+    text = lambda kind, topic, n: " ".join(f"{kind}{topic}{x}" for x in rng.integers(0, 20, n))
+    # One chunk: 480,000 words of the first kind come before those of the second.
+    rows = [(k, text("a", k % 8, 1000)) for k in range(480)] + [(1000 + k, text("b", k % 4, 200)) for k in range(400)]
+    got = hmm_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    late = [r for r in got if r["doc_id"] >= 1000]
+    assert len(late) == 400
+    assert sum((r["score"] - r["base_score"]) / r["n_tokens"] for r in late) / len(late) > 0.8
+
+
 def test_languages(spark, docs, none):
     got = langid.languages(docs).collect()
     assert len(got) == len(_documents())
