@@ -1,8 +1,9 @@
 """Hidden Markov language model: Baum-Welch counts summed across partitions, exact likelihood by the scaled forward recursion.
 
-A state emits a word's class and the class emits the word: P(word | state) = B[state, class] * P(word | class). The most
-frequent words are classes of their own; other words fall into classes by their last bytes. The classes, and so all that
-is broadcast, have a fixed number, while counts of single words are joined and never leave the executors.
+A state emits a word's class, and state and class emit the word: P(word | state) = B[state, class] * P(word | state, class).
+The most frequent words are classes of their own; other words fall into classes by their last bytes, and each has its
+expected count in every state. The classes, and so all that is broadcast, have a fixed number, while the counts of single
+words are summed by word, joined back to the chunks and never leave the executors.
 """
 
 from __future__ import annotations
@@ -15,15 +16,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, cut, hash_strings, mix, remainder
+from .common import Words, chunks, cut, drop_path, hash_strings, mix, new_path, remainder
 
 STATES = 8
 TOP_WORDS = 4096
 ENDINGS = 2048
 SEGMENT = 128
 BATCH = 1024
-#: Rounds end when the log likelihood of a training token rises by less.
-SETTLED = 1e-3
+#: Rounds end when the log likelihood of a training token rises by less: those of classes, which only start the words', and those of words.
+STARTED, SETTLED = 1e-2, 1e-3
+#: Expected counts of words are exchanged in steps of 1 / STEPS of an occurrence.
+STEPS = 4096
+#: Pairs of word and chunk whose expected counts one task sums, and pieces of the other counts.
+WORD_PAIRS = 500_000
+SLICES = 16
 ALPHA = 0.1
 #: Text of a coded chunk: larger ones hold fewer distinct words for their size.
 CODED_BYTES = 8 << 20
@@ -191,11 +197,10 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk += 1
 
 
-def _sequences(b: pa.RecordBatch, k: int, model: Model, held: bool | None) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and offsets of a chunk's documents, each with its end; only the fold ``held``, if given."""
+def _sequences(b: pa.RecordBatch, k: int, of_word: np.ndarray, held: bool | None) -> tuple[np.ndarray, np.ndarray]:
+    """Classes (of each word in ``of_word``) and offsets of a chunk's documents, each with its end; only the fold ``held``, if given."""
     get = lambda name: np.asarray(b.column(name)[k].values)
     codes = np.frombuffer(b.column("codes")[k].as_buffer(), np.int32)
-    of_word = model.class_of(get("hashes").view(np.uint64), get("endings"))
     offsets = get("offsets")
     n = np.diff(offsets)
     whole = np.insert(of_word[codes] if len(codes) else np.zeros(0, np.int64), offsets[1:], 0)
@@ -213,7 +218,9 @@ def _count_pass(model: Model):
         total = np.zeros(0)
         for b in batches:
             for k in range(b.num_rows):
-                got = np.append(*counted(model, *_sequences(b, k, model, held=False)))
+                get = lambda name: np.asarray(b.column(name)[k].values)  # noqa: B023, E731
+                of_word = model.class_of(get("hashes").view(np.uint64), get("endings"))
+                got = np.append(*counted(model, *_sequences(b, k, of_word, held=False)))
                 total = got if not len(total) else total + got
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "v"])
@@ -221,6 +228,100 @@ def _count_pass(model: Model):
     return run
 
 
+_EXPECTED = "part int, chunk long, hashes binary, counts binary"
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Rows of expected counts as whole numbers of steps, compressed byte plane by byte plane."""
+    steps = np.rint(counts * STEPS).astype("<u8").reshape(-1, 1).view(np.uint8)
+    return pa.compress(pa.py_buffer(np.ascontiguousarray(steps.T)), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: pa.Buffer, states: int, rows: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, rows * states * 8, codec="zstd"), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(rows, states) / STEPS
+
+
+class WordModel:
+    """``model`` with emissions of single words in a chunk: its words that share classes lie, by part, in ``order``.
+
+    ``inside``: what each class's words, with one unseen, add up to in each state. Without it, words of a class count alike.
+    """
+
+    def __init__(self, model: Model, inside: np.ndarray | None, parts: int, b: pa.RecordBatch, k: int):
+        get = lambda name: np.asarray(b.column(name)[k].values)
+        self.hashes = get("hashes").view(np.uint64)
+        of_word = model.class_of(self.hashes, get("endings"))
+        self.classes = np.concatenate([[0], of_word])
+        shared = np.flatnonzero(of_word > len(model.top))
+        part = (self.hashes[shared] % np.uint64(parts)).astype(np.int64)
+        by_part = np.argsort(part, kind="stable")
+        self.order, self.bounds = shared[by_part], np.searchsorted(part[by_part], np.arange(parts + 1))
+        emit = model.emit[:, self.classes]
+        if inside is not None:
+            expected = np.zeros((len(self.hashes), len(model.start)))
+            for piece in b.column("expected")[k].values if b.column("expected")[k].is_valid else ():
+                rows = self.of_part(piece["part"].as_py())
+                expected[rows] = _unpacked(piece["counts"].as_buffer(), len(model.start), len(rows))
+            emit[:, 1 + self.order] *= (expected[self.order].T + ALPHA) / inside[:, of_word[self.order]]
+        self.model = Model(model.start, model.mean, model.move, emit, model.top)
+
+    def of_part(self, part: int) -> np.ndarray:
+        return self.order[self.bounds[part] : self.bounds[part + 1]]
+
+    def sequences(self, b: pa.RecordBatch, k: int, held: bool | None) -> tuple[np.ndarray, np.ndarray]:
+        return _sequences(b, k, np.arange(1, len(self.classes)), held)
+
+
+def _word_pass(model: Model, inside: np.ndarray | None, parts: int):
+    """Expected counts of each chunk's words by part, and, as parts below 0, slices of a task's other counts and log likelihood."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, c = model.emit.shape
+        small = 2 * k + k * k
+        total = np.zeros(small + k * c + 1)
+        made = lambda part, chunk, hashes, counts: pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(chunk, pa.int64()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["part", "chunk", "hashes", "counts"])
+        for b in batches:
+            for i in range(b.num_rows):
+                words = WordModel(model, inside, parts, b, i)
+                counts, likelihood = counted(words.model, *words.sequences(b, i, held=False))
+                by_word = counts[small:].reshape(k, -1)
+                total[:small] += counts[:small]
+                total[small:-1] += np.concatenate([np.bincount(words.classes, weights=x, minlength=c) for x in by_word])
+                total[-1] += likelihood
+                used = [p for p in range(parts) if words.bounds[p] < words.bounds[p + 1]]
+                of_part = [words.of_part(p) for p in used]
+                expected = np.ascontiguousarray(by_word[:, 1:].T)
+                yield made(used, [b.column("chunk")[i].as_py()] * len(used), [words.hashes[x].tobytes() for x in of_part], [_packed(expected[x]) for x in of_part])
+        slices = [x.tobytes() for x in np.array_split(total, SLICES)]
+        yield made([-1 - j for j in range(SLICES)], list(range(SLICES)), [None] * SLICES, slices)
+
+    return run
+
+
+def _expected_sums(states: int):
+    """Of a part: for each chunk its words' expected counts over all chunks, in the chunk's order; of a slice: the sum."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part, chunk, data = table.column("part")[0].as_py(), table.column("chunk"), table.column("counts")
+        if part < 0:
+            sums, chunk = [sum(np.frombuffer(x.as_buffer()) for x in data).tobytes()], chunk[:1]
+        else:
+            hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
+            words, which = np.unique(np.concatenate(hashes), return_inverse=True)
+            counts = np.concatenate([_unpacked(x.as_buffer(), states, len(h)) for x, h in zip(data, hashes, strict=True)])
+            total = np.stack([np.bincount(which, weights=counts[:, j], minlength=len(words)) for j in range(states)], axis=1)
+            sums = [_packed(total[x]) for x in np.split(which, np.cumsum([len(h) for h in hashes])[:-1])]
+        return pa.table({"part": pa.array([part] * len(sums), pa.int32()), "chunk": chunk, "counts": pa.array(sums, pa.binary())})
+
+    return run
+
+
+def _with_expected(coded: DataFrame, sums: DataFrame) -> DataFrame:
+    found = sums.where("part >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "counts")).alias("expected"))
+    return coded.join(found, "chunk", "left")
+
+
 _SUMMED = "kind int, a long, b long, c long, piece binary"
 _PIECE = np.dtype([("code", "<i4"), ("seen", "<i8")])
 
@@ -254,28 +355,24 @@ def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scorer(model: Model, tokens: int, types: int, ends_seen: int, class_tokens: np.ndarray, class_types: np.ndarray):
+def _scorer(model: Model, inside: np.ndarray, parts: int, tokens: int, types: int, ends_seen: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 get = lambda name: np.asarray(b.column(name)[k].values)  # noqa: B023, E731
                 codes = np.frombuffer(b.column("codes")[k].as_buffer(), np.int32)
-                hashes, endings = get("hashes").view(np.uint64), get("endings")
-                seen = np.zeros(len(hashes))
+                seen = np.zeros(len(get("hashes")))
                 for piece in b.column("found")[k].as_py() or ():
                     pairs = np.frombuffer(piece, _PIECE)
                     seen[pairs["code"]] = pairs["seen"]
-                of_word = model.class_of(hashes, endings)
-                own = of_word <= len(model.top)
-                kind = np.where(own, 0, of_word)
-                in_class = np.where(own, 0.0, np.log10((seen + ALPHA) / (class_tokens[kind] + ALPHA * (class_types[kind] + 1))))
                 plain = np.log10((seen + ALPHA) / (tokens + ALPHA * (types + 1)))
                 offsets, held = get("offsets"), get("held")
                 n = np.diff(offsets)
                 doc = np.repeat(np.arange(len(n)), n)
                 add = lambda x: np.bincount(doc, weights=x[codes], minlength=len(n)) if len(codes) else np.zeros(len(n))  # noqa: B023, E731
                 base = add(plain) + np.log10((ends_seen + ALPHA) / (tokens + ALPHA * (types + 1)))
-                score = log10_likelihood(model, *_sequences(b, k, model, None)) + add(in_class)
+                words = WordModel(model, inside, parts, b, k)
+                score = log10_likelihood(words.model, *words.sequences(b, k, None))
                 known = add((seen > 0).astype(float)).astype(np.int64) + (ends_seen > 0)
                 yield pa.RecordBatch.from_arrays([b.column("doc_ids")[k].values, pa.array(held), pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -289,25 +386,52 @@ def _summed(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def settled(coded: DataFrame, model: Model, tokens: int) -> Model:
-    """``model`` after Baum-Welch rounds over all training documents, until the likelihood of their ``tokens`` settles."""
+def started(coded: DataFrame, model: Model, tokens: int) -> Model:
+    """``model`` after rounds over all training documents that count classes, until the likelihood of their ``tokens`` settles."""
     k, before = len(model.start), -np.inf
     size = 2 * k + k * k + model.emit.size
     while True:
         counts = _summed(coded.select("held", "offsets", "codes", "hashes", "endings").mapInArrow(_count_pass(model), "at int, v double"), size + 1)
         model, now = model.updated(counts[:size]), counts[size] / max(1, tokens)
-        if not now - before >= SETTLED:
+        if not now - before >= STARTED:
             return model
         before = now
 
 
+def settled(coded: DataFrame, model: Model, class_types: np.ndarray, tokens: int, parts: int) -> tuple[Model, np.ndarray, DataFrame]:
+    """``model``, the sums inside classes and the expected counts of words, after Baum-Welch rounds over all training
+    documents that count each word in each state, until the likelihood settles."""
+    spark, k, before = coded.sparkSession, len(model.start), -np.inf
+    small, inside, sums, path = 2 * k + k * k, None, None, None
+    own = coded.select("chunk", "held", "offsets", "codes", "hashes", "endings")
+    while True:
+        rows = own if sums is None else _with_expected(own, sums)
+        expected = rows.mapInArrow(_word_pass(model, inside, parts), _EXPECTED).groupBy("part").applyInArrow(_expected_sums(k), "part int, chunk long, counts binary")
+        last, path = path, new_path(spark, "expected")
+        expected.write.parquet(path)
+        sums = spark.read.schema(expected.schema).parquet(path)
+        if last:
+            drop_path(spark, last)
+        # Files of shuffles that nothing refers to any longer are deleted with their handles.
+        spark.sparkContext._jvm.System.gc()
+        total = np.concatenate([np.frombuffer(r["counts"]) for r in sums.where("part < 0").orderBy("chunk").collect()] or [np.zeros(small + model.emit.size + 1)])
+        # The first round's likelihood is that of classes.
+        now = total[-1] / max(1, tokens) if inside is not None else -np.inf
+        model, inside = model.updated(total[:-1]), total[small:-1].reshape(k, -1) + ALPHA * (class_types + 1)
+        if now - before < SETTLED or not tokens:
+            return model, inside, sums
+        before = now
+
+
 def score_documents(documents: DataFrame, states: int = STATES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``documents`` (doc_id, text).
 
     Words and one end a text are the tokens; those of rows whose crc32(doc_id) mod 10 is not 0 train. Texts are coded
     once, in chunks; chunk counts of words (by a 64-bit hash) are summed, and each chunk gets back the sums of its own
-    words only. From randomly tilted start values, each Baum-Welch round counts every training document, until the
-    likelihood settles; all documents are scored over their whole length. ``score`` is the model's log10 probability, where words not seen in training share, in each class, the mass that the base gives them overall.
+    words only. From randomly tilted start values, each Baum-Welch round counts every training document, first by class,
+    then each word in each state, until the likelihood settles; all documents are scored over their whole length.
+    ``score`` is the model's log10 probability, where words not seen in training have, in each state and class, the mass of
+    one more word without a count.
 
     Null or empty texts: the end alone. Null ids train. Repeated rows each count and are returned each. Without training
     rows both scores are those of empty counts. An empty table gives an empty result; other columns are ignored.
@@ -335,7 +459,8 @@ def score_documents(documents: DataFrame, states: int = STATES) -> DataFrame:
     for r in top_rows:
         class_tokens[1 + len(top) + r["e"]] -= r["c"]
         class_types[1 + len(top) + r["e"]] -= 1
-    model = settled(coded, initial(class_tokens, top, states), tokens)
+    pairs = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows[0] // WORD_PAIRS))
+    model, inside, sums = settled(coded, started(coded, initial(class_tokens, top, states), tokens), class_types, tokens, pairs)
     found = summed.where("kind = 0").groupBy(F.col("a").alias("chunk")).agg(F.collect_list("piece").alias("found"))
-    backed = coded.drop("counts").join(found, "chunk", "left")
-    return backed.mapInArrow(_scorer(model, tokens, types, ends_seen, class_tokens, class_types), _SCORED)
+    backed = _with_expected(coded.drop("counts"), sums).join(found, "chunk", "left")
+    return backed.mapInArrow(_scorer(model, inside, pairs, tokens, types, ends_seen), _SCORED)

@@ -136,6 +136,21 @@ def test_language_model_learns_from_all_documents(spark):
     assert sum((r["score"] - r["base_score"]) / r["n_tokens"] for r in late) / len(late) > 0.8
 
 
+def test_language_model_tells_rare_words_of_an_ending_apart(spark):
+    fold = lambda k: zlib.crc32(str(k).encode()) % 10
+    trained, held = [k for k in range(500) if fold(k)][:400], [k for k in range(1000, 1200) if fold(k) == 0][:2]
+    rng = np.random.default_rng(6)
+    common = {t: [f"{t}{x}" for _ in range(20) for x in rng.permutation(2100)] for t in "ab"}
+    # 4200 words of two topics, 20 times each, fill the classes of their own. Pairs of rare words share an ending; each comes four times, within texts of one topic.
+    parts = lambda j: (common["ab"[j % 2]][j // 2 * 210 :][:210], [f"{'pq'[j % 2]}{j // 2 % 50:03d}"], 7 * (j // 2 % 25) + 20)
+    rows = [(k, " ".join(words[:at] + rare + words[at:])) for k, (words, rare, at) in zip(trained, map(parts, range(400)), strict=True)]
+    text = " ".join(common["a"][:100])
+    rows += [(held[0], f"{text} p007 {text}"), (held[1], f"{text} q007 {text}")]
+    got = {r["doc_id"]: r for r in hmm_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert math.isclose(got[held[0]]["base_score"], got[held[1]]["base_score"])
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 0.5
+
+
 def test_languages(spark, docs, none):
     got = langid.languages(docs).collect()
     assert len(got) == len(_documents())
