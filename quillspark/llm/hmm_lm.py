@@ -21,8 +21,8 @@ from .common import Words, chunks, cut, drop_path, hash_strings, mix, new_path,
 STATES = 8
 TOP_WORDS = 4096
 ENDINGS = 2048
-SEGMENT = 128
-BATCH = 1024
+#: Tokens of the documents whose counts are taken side by side (one document, if it is longer).
+BATCH = 1 << 19
 #: Rounds end when the log likelihood of a training token rises by less: those of classes, which only start the words', and those of words.
 STARTED, SETTLED = 1e-2, 1e-3
 #: Expected counts of words are exchanged in steps of 1 / STEPS of an occurrence.
@@ -100,24 +100,20 @@ def expected_counts(model: Model, classes: np.ndarray, offsets: np.ndarray) -> n
 
 
 def counted(model: Model, classes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, float]:
-    """Baum-Welch counts of sequences of classes, by segments of bounded length, and the segments' log likelihood.
-
-    Segments after a document's first begin from the mean occupation of the states.
-    """
+    """Baum-Welch counts of sequences of classes, each over its whole length, and their log likelihood."""
     k, c = model.emit.shape
     start, mean, move, emit = np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros((k, c))
     n = np.diff(offsets)
-    many = -(-n // SEGMENT)
-    doc = np.repeat(np.arange(len(n)), many)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-    at, size = offsets[doc] + nth * SEGMENT, np.minimum(SEGMENT, n[doc] - nth * SEGMENT)
-    order = np.argsort(-size, kind="stable")
+    order = np.argsort(-n, kind="stable")
+    order = order[n[order] > 0]
+    before = np.concatenate([[0], np.cumsum(n[order])])
     by_class, back, one, likelihood = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T), np.ones(k), 0.0
-    for s in range(0, len(order), BATCH):
-        some = order[s : s + BATCH]
-        here, length, first = at[some], size[some], nth[some] == 0
-        longest = int(length[0])
-        # Positions are laid out by their place in the segment: those of place t lie from row[t] to row[t + 1].
+    s = 0
+    while s < len(order):
+        e = max(s + 1, int(np.searchsorted(before, before[s] + BATCH, side="right")) - 1)
+        here, length = offsets[order[s:e]], n[order[s:e]]
+        s, longest = e, int(length[0])
+        # Positions are laid out by their place in the document: those of place t lie from row[t] to row[t + 1].
         live = np.searchsorted(-length, -np.arange(longest), side="left").tolist()
         row = np.concatenate([[0], np.cumsum(live)]).tolist()
         seen = np.concatenate([classes[here[:m] + t] for t, m in enumerate(live)])
@@ -129,13 +125,13 @@ def counted(model: Model, classes: np.ndarray, offsets: np.ndarray) -> tuple[np.
             if t:
                 np.matmul(alpha[row[t - 1] : row[t - 1] + m], model.move, out=a)
             else:
-                a[:] = np.where(first[:, None], model.start, model.mean)
+                a[:] = model.start
             a *= emitted[rows]
             scale[rows] = a @ one
             a /= scale[rows, None]
         likelihood += float(np.log(scale).sum())
         emitted /= scale[:, None]
-        beta = np.ones((len(some), k))
+        beta = np.ones((len(here), k))
         for t in range(longest - 1, -1, -1):
             m, rows = live[t], slice(row[t], row[t + 1])
             alpha[rows] *= beta[:m]
@@ -144,7 +140,7 @@ def counted(model: Model, classes: np.ndarray, offsets: np.ndarray) -> tuple[np.
                 w *= beta[:m]
                 move += alpha[row[t - 1] : row[t - 1] + m].T @ w
                 np.matmul(w, back, out=beta[:m])
-        start += alpha[: len(some)][first].sum(axis=0)
+        start += alpha[: len(here)].sum(axis=0)
         by_state = np.ascontiguousarray(alpha.T)
         mean += by_state.sum(axis=1)
         for j in range(k):

@@ -114,6 +114,29 @@ def test_baum_welch_raises_the_likelihood():
     assert hmm_lm.log10_likelihood(model, seq, ends).sum() > before + 10
 
 
+def test_baum_welch_counts_whole_documents():
+    rng = np.random.default_rng(8)
+    k, c = 3, 5
+    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    model = hmm_lm.Model(norm(rng.random(k)), norm(rng.random(k)), norm(rng.random((k, k))), norm(rng.random((k, c))), np.zeros(0, np.uint64))
+    ends = np.array([0, 700, 703, 1100])
+    seq = rng.integers(0, c, 1100)
+    counts = hmm_lm.expected_counts(model, seq, ends)
+    want = np.zeros((k, k))
+    for s, e in zip(ends, ends[1:], strict=False):
+        x = seq[s:e]
+        alpha, beta = np.zeros((len(x), k)), np.ones((len(x), k))
+        for t in range(len(x)):
+            alpha[t] = norm((alpha[t - 1] @ model.move if t else model.start) * model.emit[:, x[t]])
+        for t in range(len(x) - 2, -1, -1):
+            beta[t] = norm(model.move @ (model.emit[:, x[t + 1]] * beta[t + 1]))
+        for t in range(len(x) - 1):
+            pair = alpha[t][:, None] * model.move * model.emit[:, x[t + 1]] * beta[t + 1]
+            want += pair / pair.sum()
+    assert np.allclose(counts[2 * k : 2 * k + k * k].reshape(k, k), want, rtol=1e-9)
+    assert math.isclose(counts[:k].sum(), 3) and math.isclose(want.sum(), 1097)
+
+
 def test_machines_separate_and_families_come_first():
     texts = {"en": "the cat sat on the mat with that hat", "de": "der hund und die katze sind nicht hier", "fr": "le chat et la souris sont dans la maison", "es": "el gato y los perros están en la casa"}
     rng = random.Random(1)
