@@ -15,10 +15,11 @@ ORACLE_SQL = None
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; a missing language is filled with the prediction. Those without a letter go."""
+    """Documents with a letter; a missing language is filled with the prediction, if any language could be learned."""
     model = langid.train(docs)
-    told = langid.identify(docs.select("*"), model).where(F.col("lang_pred") != langid.UNKNOWN)
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    told = langid.identify(docs.where("text RLIKE '\\\\p{L}'").select("*"), model)
+    learned = F.when(F.col("lang_pred") != langid.UNKNOWN, F.col("lang_pred"))
+    return told.withColumn("lang", F.coalesce("lang", learned)).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

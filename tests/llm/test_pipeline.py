@@ -24,3 +24,9 @@ def test_stages_take_effect(spark, tmp_path):
     assert kept["language"] == {r[0] for r in rows} - {101, 102}
     assert 100 not in kept["near_dedup"] and kept["secrets"] == kept["near_dedup"]
     assert kept["packing"] == kept["mixing"] <= kept["secrets"]
+
+
+def test_lettered_documents_stay_without_any_language(spark, tmp_path):
+    rows = [(1, "a quiet house", None), (2, "ein leises Haus", ""), (3, "1234 ###", None), (4, None, None)]
+    out = corpus_pipeline.by_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), str(tmp_path)).collect()
+    assert {(r["doc_id"], r["lang"]) for r in out} == {(1, None), (2, "")}
