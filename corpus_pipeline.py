@@ -23,14 +23,22 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    dropped = cut(minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "dropped")
+    """One document of each group of near-duplicates: the one with the smallest id. Rows that share an id are documents of their own."""
     rows, ids = docs.where("doc_id IS NOT NULL").agg(F.count("*"), F.count_distinct("doc_id")).first()
-    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
-    left = docs.join(side, "doc_id", "left_anti").select(*docs.columns)
     if rows == ids:
-        return left
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
+        return _without_copies(docs, "doc_id").select(*docs.columns)
+    # Numbers in the order of ids, fixed by the table they are written to.
+    spread = docs.where("doc_id IS NOT NULL").repartitionByRange("doc_id", F.xxhash64("text"))
+    ordered = spread.sortWithinPartitions("doc_id", F.xxhash64("text"), *[c for c in docs.columns if c != "doc_id"])
+    numbered = cut(ordered.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    return _without_copies(numbered, "__row").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def _without_copies(docs: DataFrame, key: str) -> DataFrame:
+    found = minhash.near_duplicates(docs.select(F.col(key).alias("doc_id"), "text"))
+    dropped = cut(found.where("NOT kept").select(F.col("doc_id").alias(key)).distinct(), "dropped")
+    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
+    return docs.join(side, key, "left_anti")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

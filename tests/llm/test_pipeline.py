@@ -30,3 +30,10 @@ def test_lettered_documents_stay_without_any_language(spark, tmp_path):
     rows = [(1, "a quiet house", None), (2, "ein leises Haus", ""), (3, "1234 ###", None), (4, None, None)]
     out = corpus_pipeline.by_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), str(tmp_path)).collect()
     assert {(r["doc_id"], r["lang"]) for r in out} == {(1, None), (2, "")}
+
+
+def test_rows_that_share_an_id_are_told_apart(spark, tmp_path):
+    text = lambda word: " ".join(f"{word}{k}" for k in range(40))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b")), (3, text("c")), (3, text("a")), (3, text("c")), (None, text("a"))]
+    out = corpus_pipeline.without_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in out) == [(0, "a"), (1, "a"), (1, "b"), (3, "c")]
