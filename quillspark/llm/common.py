@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,48 +17,70 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 6 << 20
 MASK64 = (1 << 64) - 1
-_made: list[tuple[SparkSession, str]] = []
+_own: dict[str, str] = {}
+_made: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one is set only where none is, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a local session, as in tests, gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+    return _own[context.applicationId]
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a work table through Hadoop's file system, so any store works."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    at, store = hadoop_path(spark, path)
+    store.delete(at, True)
+    _made.pop(path, None)
 
 
 def _drop_all() -> None:
-    for spark, path in _made:
-        try:
-            drop_path(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            pass
+    spark = SparkSession.getActiveSession()
+    for path, app in list(_made.items()):
+        if spark is not None and spark.sparkContext.applicationId == app:
+            with contextlib.suppress(Exception):  # the context may be gone at exit
+                drop_path(spark, path)
 
 
 atexit.register(_drop_all)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver ends."""
+    """A fresh path in the shared folder, deleted by ``work`` around it or when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    _made[path] = spark.sparkContext.applicationId
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def work(spark: SparkSession):
+    """Work tables that are made inside are deleted at the end, but for those that the caller appends to the list given."""
+    before, kept = set(_made), []
+    try:
+        yield kept
+    finally:
+        for path in set(_made) - before - set(kept):
+            drop_path(spark, path)
+
+
+def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and reread it: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

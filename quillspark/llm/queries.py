@@ -26,7 +26,7 @@ def op3_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.weigh(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", "weight", "p", "sampled")
+    return mixing.weigh(table(spark, sf_dir, "documents"), returned=["doc_id", "source", "lang"])
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, new_path
-from .grouping import BROADCAST_IDS
+from .common import chunks, cut, hadoop_path, new_path
 
 # The base kinds in their order, then the kinds that this operator adds.
 BASE = ("assign", "access", "hex")
@@ -28,6 +27,9 @@ _MORE = {
 }
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 MASK = "[SECRET]"
+#: Spans (some 40 bytes each) up to which findings are broadcast; and digests of blobs (some 80 bytes each).
+BROADCAST_SPANS = 500_000
+BROADCAST_BLOBS = 200_000
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -72,8 +74,8 @@ def scan_history(versions: DataFrame, path: str, ledger: str | None = None, rule
     appended, and its findings are joined back to every path. To scan one copy of each blob without moving texts, the
     rows to leave out (or, if fewer, those to scan) are joined by id: broadcast after a count, else shuffled.
 
-    Null texts count as empty, and have no span. Null paths and repeated rows are returned each. An empty table gives
-    an empty result; other columns are ignored.
+    Null texts count as empty, and have no span; texts are scanned whole, however long. Null paths and repeated rows are
+    returned each. An empty table gives an empty result; other columns are ignored.
     """
     spark = versions.sparkSession
     rules = rules or Rules()
@@ -82,17 +84,15 @@ def scan_history(versions: DataFrame, path: str, ledger: str | None = None, rule
     rows = rows.withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
     addressed = cut(rows.select("path", "blob"), "addressed")
     first = addressed.groupBy("blob").agg(F.min("path").alias("path"))
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(ledger)
-    known = None
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    at, store = hadoop_path(spark, ledger)
+    if store.exists(at):
         known = spark.read.parquet(ledger).where(F.col("rule_version") == rules.version)
         first = first.join(known.select("blob"), "blob", "left_anti")
     unseen = cut(first, "unseen")
     copies = cut(addressed.alias("v").join(unseen.alias("u"), F.expr("v.blob = u.blob AND v.path <=> u.path"), "left_anti"), "copies")
     many, few = copies.count(), unseen.count()
     side, how = (copies, "left_anti") if many <= few else (unseen, "left_semi")
-    if min(many, few) <= BROADCAST_IDS:
+    if min(many, few) <= BROADCAST_BLOBS:
         side = F.broadcast(side)
     todo = rows.alias("v").join(side.alias("s"), F.expr("v.blob = s.blob AND v.path <=> s.path"), how)
     # A row that is repeated with its path is read as often; the ledger gets its blob once.
@@ -113,40 +113,29 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
-def masked(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` with each run of overlapping spans replaced by a mark."""
-    out, at = [], 0
-    for start, end in sorted(spans):
-        if start >= at:
-            out += [text[at:start], MASK]
-        at = max(at, end)
-    return "".join([*out, text[at:]])
+def masked(text: Column, spans: Column) -> Column:
+    """``text`` with each run of overlapping spans (sorted by start) replaced by a mark."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(done: Column, x: Column) -> Column:
+        grown = F.concat(done["out"], F.substring(text, done["at"] + 1, x["start"] - done["at"]), F.lit(MASK))
+        return F.struct(F.when(x["start"] >= done["at"], grown).otherwise(done["out"]).alias("out"), F.greatest(done["at"], x["end"]).alias("at"))
+
+    return F.aggregate(spans, start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
 
 
 def redact(documents: DataFrame, path: str = "doc_id", ledger: str | None = None, rules: Rules | None = None) -> DataFrame:
     """``documents`` with every span that the ledger holds for its text masked, and n_chars, if there, counted anew.
 
-    No row goes; null texts stay null. Texts with findings are few: their spans are joined to the rows, broadcast after
-    a count, else shuffled.
+    No row goes; null texts stay null, and texts without findings stay as they are. Repeated rows are masked each; columns of
+    any name go through. Texts with findings are few: their spans are joined to the rows, broadcast after a count of the
+    spans, else shuffled.
     """
-    names = documents.columns
     found = cut(scan_history(documents.select(path, "text"), path, ledger, rules).where(F.size("spans") > 0).select("blob", "spans").distinct(), "found")
-    if found.count() <= BROADCAST_IDS // 4:
+    if (found.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS:
         found = F.broadcast(found)
-    keyed = documents.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    joined = keyed.join(found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "__blob", "left").select(*documents.columns, "__spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, spans = b.column("text"), b.column("__spans")
-            out = b.select(names)
-            hit = {k: masked(texts[k].as_py(), [(x["start"], x["end"]) for x in spans[k].as_py()]) for k in range(b.num_rows) if spans[k].is_valid and texts[k].is_valid}
-            if hit:
-                out = out.set_column(names.index("text"), "text", pa.array([hit.get(k, t) for k, t in enumerate(texts.to_pylist())], texts.type))
-                if "n_chars" in names:
-                    k = names.index("n_chars")
-                    old = b.column("n_chars").to_pylist()
-                    out = out.set_column(k, "n_chars", pa.array([len(hit[j]) if j in hit else n for j, n in enumerate(old)], b.column("n_chars").type))
-            yield out
-
-    return joined.mapInArrow(run, documents.schema)
+    # The documents' own columns lie in a struct, where no name can clash.
+    keyed = documents.select(F.struct(*documents.columns).alias("own"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("blob"))
+    hit = keyed.join(found, "blob", "left").withColumn("new", F.when(F.col("spans").isNotNull(), masked(F.col("own.text"), F.col("spans"))))
+    new = {"text": F.coalesce("new", "own.text"), "n_chars": F.when(F.col("new").isNotNull(), F.length("new")).otherwise(F.col("own")["n_chars"]).cast(documents.schema["n_chars"].dataType) if "n_chars" in documents.columns else None}
+    return hit.select(*[new.get(c, F.col("own")[c]).alias(c) for c in documents.columns])
