@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Ids (some 16 bytes each in a hash table) up to which a side is broadcast.
 BROADCAST_IDS = 1_000_000
 #: Ids of a bucket up to which its open pairs are rows.
 SMALL = 24

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -17,8 +18,10 @@ from .common import chunks, mix, remainder
 UNKNOWN = "und"
 BITS = 12
 WIDTH = 1 << BITS
-#: Documents of each language that the machines are fitted on, as expected number; all others are only predicted.
+#: Documents of each language that the machines of its family are fitted on, as expected number, and documents of all languages
+#: that a machine of families is fitted on; all others are only predicted.
 SAMPLE = 800
+FAMILY_SAMPLE = 6400
 STEEPNESS = 4.0
 #: Text whose features are made at a time: a row of WIDTH numbers each is held for the texts in it.
 FEATURE_BYTES = 1 << 20
@@ -96,18 +99,12 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 25, see
 class LanguageModel:
     """Family machines (one against the rest) and, in each family, a machine for each pair of languages."""
 
-    def __init__(self, x: np.ndarray, lang: list[str]):
-        labels = np.array(lang, object)
-        self.langs = sorted(set(lang))
+    def __init__(self, langs: list[str], weights: dict[str, np.ndarray]):
+        self.langs = sorted(langs)
         self.families = sorted({family_of(v) for v in self.langs})
         self.members = {f: [v for v in self.langs if family_of(v) == f] for f in self.families}
-        of = np.array([family_of(v) for v in lang], object)
-        self.family_w = np.array([fit_svm(x, np.where(of == f, 1, -1)) for f in self.families]) if len(self.families) > 1 else None
-        self.pairs = {}
-        for f, members in self.members.items():
-            for a, b in combinations(members, 2):
-                rows = (labels == a) | (labels == b)
-                self.pairs[f, a, b] = fit_svm(x[rows], np.where(labels[rows] == a, 1, -1))
+        self.family_w = np.array([weights[_machine(f)] for f in self.families]) if len(self.families) > 1 else None
+        self.pairs = {(f, a, b): weights[_machine(f, a, b)] for f, members in self.members.items() for a, b in combinations(members, 2)}
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language and score (0 to 1: the family's share times the mean share of the pairs) of each row."""
@@ -144,36 +141,60 @@ class LanguageModel:
         return out, score
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in chunks(batches, limit=FEATURE_BYTES):
-        x = features(b.column("text")).astype(np.float16)
-        yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+def _machine(family: str, *pair: str) -> str:
+    return json.dumps([family, *pair])
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """A model of ``labelled`` (doc_id, text, lang): about ``sample`` documents of each language, chosen by a hash of id and text.
+_ROWS = "machine string, side int, x binary"
 
-    Only their features reach the driver: 8 KB a document. Rows without language or letter aren't used.
+
+def _sampled(langs: list[str]):
+    """Features of sampled texts, once for each machine that they are fitted in; ``side`` is 1 or -1."""
+    families = sorted({family_of(v) for v in langs})
+    within = {v: [(_machine(family_of(v), *pair), 1 if pair[0] == v else -1) for pair in combinations([u for u in langs if family_of(u) == family_of(v)], 2) if v in pair] for v in langs}
+    across = {v: [(_machine(f), 1 if family_of(v) == f else -1) for f in families] if len(families) > 1 else [] for v in langs}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, limit=FEATURE_BYTES):
+            x = features(b.column("text")).astype(np.float16)
+            rows = [(m, side, k) for k, (lang, own, all_) in enumerate(zip(*(b.column(c).to_pylist() for c in ("lang", "within", "across")), strict=True)) for m, side in within[lang] * own + across[lang] * all_]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([x[r[2]].tobytes() for r in rows], pa.binary())], ["machine", "side", "x"])
+
+    return run
+
+
+def _fitted(table: pa.Table) -> pa.Table:
+    x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
+    side = np.asarray(table.column("side"))
+    # Whatever order the rows come in, the fit is the same.
+    order = np.lexsort([x[:, 0], x.sum(axis=1), side])
+    return pa.table({"machine": table.column("machine")[:1], "w": pa.array([fit_svm(x[order], side[order]).tobytes()], pa.binary())})
+
+
+def train(labelled: DataFrame, sample: int = SAMPLE, family_sample: int = FAMILY_SAMPLE) -> LanguageModel:
+    """A model of ``labelled`` (doc_id, text, lang), fitted on documents chosen by a hash of id and text.
+
+    A machine within a family is fitted on about ``sample`` documents of each of its two languages, a family's machine on about
+    ``family_sample`` of all languages, each in one task (8 KB a document); only the weights reach the driver. Rows without language
+    or letter aren't used.
     """
-    rows = labelled.where("lang IS NOT NULL AND lang <> '' AND text RLIKE '\\\\p{L}'").select("doc_id", "text", "lang")
+    rows = labelled.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return LanguageModel(np.zeros((0, WIDTH), np.float32), [])
-    limit = 1 << 30
-    share = F.create_map(*[v for lang, n in sorted(counts.items()) for v in (F.lit(lang), F.lit(min(limit, limit * sample // n + 1)))])
+        return LanguageModel([], {})
+    limit, langs = 1 << 30, sorted(counts)
+    share = lambda most: F.create_map(*[v for lang in langs for v in (F.lit(lang), F.lit(min(limit, limit * most // counts[lang] + 1)))])
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(limit))
-    found = rows.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(_sampled, "lang string, x binary").toArrow()
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
-    # Whatever order the rows come in, the fit is the same.
-    order = np.lexsort([x[:, 0], x.sum(axis=1), np.array(found.column("lang").to_pylist(), str)])
-    return LanguageModel(x[order], [found.column("lang")[int(k)].as_py() for k in order])
+    marked = rows.select("lang", "text", (draw < share(sample)[F.col("lang")]).alias("within"), (draw < share(min(sample, max(1, family_sample // len(langs))))[F.col("lang")]).alias("across"))
+    found = marked.where("within OR across").mapInArrow(_sampled(langs), _ROWS).groupBy("machine").applyInArrow(_fitted, "machine string, w binary")
+    return LanguageModel(langs, {r["machine"]: np.frombuffer(r["w"]) for r in found.toLocalIterator()})
 
 
 def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """``documents`` (doc_id, text, further columns) with lang_pred and score; the text alone is looked at.
 
-    Null or empty texts and texts without a letter: ``und`` with score 0. With no language learned all are ``und``.
-    Repeated rows are returned each. Columns named lang_pred or score are replaced.
+    Null or empty texts and texts without a letter: ``und`` with score 0. With no language learned all are ``und``. Texts are
+    looked at whole, however long. Repeated rows are returned each; an empty table gives an empty result. Columns named lang_pred or score are replaced.
     """
     kept = documents.drop("lang_pred", "score")
 
