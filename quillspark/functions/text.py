@@ -144,3 +144,37 @@ def duration(seconds: Column) -> Column:
     """hh:mm:ss."""
     whole = F.greatest(F.floor(seconds), F.lit(0)).cast("long")
     return F.format_string("%02d:%02d:%02d", F.floor(whole / 3600).cast("long"), F.floor(whole % 3600 / 60).cast("long"), whole % 60)
+
+
+def cell_text(c: Column) -> Column:
+    """Text of a report cell, entities decoded: characters, area units, white space and brackets made alike."""
+    text = F.translate(or_empty(c), *dims.CELL_CHARACTERS)
+    for pattern, plain in dims.CELL_PATTERNS:
+        text = F.regexp_replace(text, pattern, plain)
+    text = F.replace(F.replace(F.trim(text), F.lit("( "), F.lit("(")), F.lit(" )"), F.lit(")"))
+    # The cut unit stands before a bracket or, if none does, anywhere.
+    bracketed = F.contains(text, F.lit("m²)"))
+    whole = F.when(bracketed, F.replace(text, F.lit("m²)"), F.lit("mm²)"))).otherwise(F.replace(text, F.lit("m²"), F.lit("mm²")))
+    text = F.when(F.contains(text, F.lit(dims.CELL_CUT_MEASURE)) & ~F.contains(text, F.lit("mm²")), whole).otherwise(text)
+    return F.replace(text, *map(F.lit, dims.CELL_MISREAD))
+
+
+def eye_side(c: Column) -> Column:
+    """right, left or both for the usual spellings of an eye's side; other text in lower case."""
+    plain = F.lower(strip(or_empty(c)))
+    return F.coalesce(literal_map(dims.EYE_SIDES)[plain], plain)
+
+
+def column_key(c: Column) -> Column:
+    """Letters and digits of a column's name, in lower case."""
+    return F.regexp_replace(F.lower(strip(or_empty(c))), "[^a-z0-9]+", "")
+
+
+def column_by_aliases(columns: list[str], aliases: list[str], required: bool = True) -> str | None:
+    """The column whose plain name is that of the first alias that any column has; of columns with one plain name, the last."""
+    plain = lambda name: "".join(x for x in name.strip().lower() if x in "abcdefghijklmnopqrstuvwxyz0123456789")
+    known = {plain(c): c for c in columns}
+    found = next((known[plain(a)] for a in aliases if plain(a) in known), None)
+    if found is None and required:
+        raise KeyError(f"none of {aliases} is among {columns}")
+    return found

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import datasets, reports, rewards, tables
+from . import datasets, markup, reports, rewards, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _plan in (reports, datasets, tables, rewards):
+for _plan in (reports, datasets, tables, rewards, markup):
     QUERIES.update(_plan.QUERIES)
     ORACLE_SQL.update(_plan.ORACLE_SQL)

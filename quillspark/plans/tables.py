@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import in_diagnosis_order, report_hash
-from ..operators import extract, sync
+from ..operators import sync
 from .bindings import LABELS, quoted
 
 _ARRAY = f"array({quoted(LABELS)})"
@@ -69,26 +69,6 @@ SYNC_SQL = DISEASE_SQL + f""", pat AS (
     CASE WHEN t = '视盘水肿' THEN ['视盘水肿'] WHEN t = '糖尿病视网膜病变增殖期' THEN ['糖尿病视网膜病变增生期', '视盘水肿'] ELSE [t, '视盘水肿'] END AS tags
   FROM (SELECT *, list_extract({_LIST}, o_custkey % {N} + 1) AS t FROM orders WHERE o_orderkey % 7 = 0)
 )"""
-GRID_HTML = (
-    "<p>head</p><table><tr><th rowspan=2>a</th><th colspan=2>b</th></tr><tr><td>c</td><td>d （ mm<sup>2</sup> ）</td></tr></table>",
-    "视盘面积分析\n<table><tr><td>x</td><td>1</td></tr><tr><td></td><td> </td></tr><tr><td>y</td></tr></table>\n<TABLE><tr><td>only</td></tr></TABLE>",
-)
-
-
-def _grids(s, d):
-    """B9: literal markup, since no driver page holds a table."""
-    rows = s.createDataFrame([(f"r{k}", h) for k, h in enumerate(GRID_HTML)], "path string, md string")
-    return extract.grids(extract.tables_of(rows))
-
-
-def _flat(df):
-    return df.select("path", "nth", F.array_join(F.transform("grid", lambda r: F.array_join(r, "|")), "\n").alias("grid"), F.array_join("before", "\n").alias("before"))
-
-
-def _typed(s, d):
-    rows = extract.table_types(_grids(s, d), {"spans": ["a", "a"]}, ["视盘面积分析"])
-    return extract.last_of_type(rows, "path").select("path", "type", "nth")
-
 
 QUERIES = {
     "image_sides": lambda s, d: sync.image_sides(diseases(s, d)),
@@ -99,8 +79,6 @@ QUERIES = {
     "composite_lookup": lambda s, d: sync.composite_lookup(diseases(s, d))[0],
     "lookup_conflicts": lambda s, d: sync.composite_lookup(diseases(s, d))[1],
     "report_hash": lambda s, d: s.read.parquet(f"{d}/benchmark.parquet").select("item_id", report_hash(F.concat(F.lit(" "), "text", F.lit("\r\n"))).alias("hash")),
-    "table_grid": lambda s, d: _flat(_grids(s, d)),
-    "table_type": _typed,
 }
 _rank = "CASE t " + " ".join(f"WHEN '{t}' THEN {k}" for k, t in enumerate(LABELS[:26])) + " ELSE 1000 + i END"
 ORACLE_SQL = {
