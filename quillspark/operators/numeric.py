@@ -47,16 +47,18 @@ def focal_loss(logits: Column, targets: Column, weights: Column, gamma: float) -
 
 def pooled(rows: DataFrame, group: str, order: str, vector: str, mask: str, how: str = "mean") -> DataFrame:
     """(group, pos, value): masked mean, first or last vector of each group, by element; 0 if all are masked out."""
-    cells = rows.select(group, order, mask, F.posexplode(vector).alias("pos", "v"))
     m = F.col(mask).cast("double")
-    value = {
-        "mean": F.sum(F.col("v").cast("double") * m) / F.greatest(F.sum(m), F.lit(1.0)),
-        "first": F.min_by(F.col("v").cast("double"), F.when(m > 0, F.col(order))),
-        "last": F.max_by(F.col("v").cast("double"), F.when(m > 0, F.col(order))),
-    }
-    if how not in value:
+    if how in ("first", "last"):
+        # One whole vector of each group is kept; only it is taken apart.
+        pick = F.min_by if how == "first" else F.max_by
+        whole = rows.groupBy(group).agg(pick(vector, F.when(m > 0, F.col(order))).alias("__v"), F.max(F.size(vector)).alias("__n"))
+        zeros = F.array_repeat(F.lit(0.0), F.col("__n"))
+        return whole.select(group, F.posexplode(F.coalesce(F.col("__v").cast("array<double>"), zeros)).alias("pos", "value"))
+    if how != "mean":
         raise ValueError(f"no such pooling: {how}")
-    return cells.groupBy(group, "pos").agg(F.coalesce(value[how], F.lit(0.0)).alias("value"))
+    cells = rows.select(group, mask, F.posexplode(vector).alias("pos", "v"))
+    mean = F.sum(F.col("v").cast("double") * m) / F.greatest(F.sum(m), F.lit(1.0))
+    return cells.groupBy(group, "pos").agg(F.coalesce(mean, F.lit(0.0)).alias("value"))
 
 
 def token_cross_entropy(rows: DataFrame, group: str, order: str, logits: str, label: str) -> DataFrame:
@@ -80,3 +82,22 @@ def longest_side(width: Column, height: Column, limit: int) -> tuple[Column, Col
     scale = F.lit(float(limit)) / longest
     side = lambda c: F.when(longest <= limit, c.cast("long")).otherwise(F.greatest(F.bround(c * scale).cast("long"), F.lit(1)))
     return side(width), side(height)
+
+
+def padded_box(width: Column, height: Column, out_width: int, out_height: int) -> dict[str, Column]:
+    """Size of an image scaled into a canvas, rounded half to even and at least 1, and where its corner lies in the canvas."""
+    scale = F.least(F.lit(float(out_width)) / width, F.lit(float(out_height)) / height)
+    side = lambda c: F.greatest(F.bround(c * scale).cast("long"), F.lit(1))
+    w, h = side(width), side(height)
+    return {"width": w, "height": h, "left": F.floor((F.lit(out_width) - w) / 2), "top": F.floor((F.lit(out_height) - h) / 2)}
+
+
+def crop_box(width: Column, height: Column, box: tuple[Column, Column, Column, Column], margin: float = 0.02) -> dict[str, Column]:
+    """The square around a mask's box (left, right, top, bottom, all inside it) with a margin, cut at the image's edges; without a
+    mask the whole image."""
+    x1, x2, y1, y2 = box
+    side = F.greatest(x2 - x1 + 1, y2 - y1 + 1)
+    half = F.floor((side + 2 * F.floor(side * F.lit(margin))) / 2)
+    cx, cy = F.floor((x1 + x2) / 2), F.floor((y1 + y2) / 2)
+    edge = lambda inside, whole: F.when(x1.isNull() | y1.isNull(), whole).otherwise(inside).cast("long")
+    return {"left": edge(F.greatest(F.lit(0), cx - half), F.lit(0)), "right": edge(F.least(width, cx + half), width), "top": edge(F.greatest(F.lit(0), cy - half), F.lit(0)), "bottom": edge(F.least(height, cy + half), height)}

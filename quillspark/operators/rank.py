@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dims
+
 NO_STEP = 10**18
 
 
@@ -63,8 +65,33 @@ def polyline(series: DataFrame, width: float = 800.0, height: float = 400.0) ->
     return both.select(*series.columns, scaled(col("step"), col("__lo_step"), col("__hi_step"), 0.0, width).alias("x"), scaled(col("value"), col("__lo_value"), col("__hi_value"), height, 0.0).alias("y"))
 
 
-def greater_is_better(metric: str) -> bool:
-    return not metric.endswith("loss")
+def greater_is_better(metric: str | Column) -> bool | Column:
+    return metric not in dims.LESS_IS_BETTER if isinstance(metric, str) else ~metric.isin(*dims.LESS_IS_BETTER)
+
+
+def structured_metric(metric: str | Column) -> bool | Column:
+    """Whether a metric comes from generated reports."""
+    return metric in dims.STRUCTURED_METRICS if isinstance(metric, str) else metric.isin(*dims.STRUCTURED_METRICS)
+
+
+def runs_structured(metric: str | Column, wanted: bool | Column | None) -> bool | Column:
+    """Whether reports are generated in training: as wanted, or else if the metric needs them."""
+    if isinstance(metric, str):
+        return structured_metric(metric) if wanted is None else wanted
+    return F.coalesce(wanted, structured_metric(metric))
+
+
+def scalar_metrics(rows: DataFrame, key: str, prefix: str) -> DataFrame:
+    """(key, metric, value) of the numeric and boolean columns, under ``prefix`` and their names; null values go."""
+    kinds = {"tinyint", "smallint", "int", "bigint", "float", "double", "boolean"}
+    names = [c for c, kind in rows.dtypes if c != key and (kind in kinds or kind.startswith("decimal"))]
+    each = F.array(*[F.struct(F.lit(f"{prefix}_{c}").alias("metric"), F.col(c).cast("double").alias("value")) for c in names])
+    return rows.select(key, F.inline(each)).where("value IS NOT NULL")
+
+
+def evaluated_rows(rows: DataFrame, order: str, most: int | None) -> DataFrame:
+    """The first ``most`` rows by a declared order; all, if it is null, not positive or not less than their number."""
+    return rows if most is None or most <= 0 else rows.orderBy(order).limit(most)
 
 
 def aligned_save_steps(save: Column, evaluate: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from .parse import parsed
-from .score import score_reports, weighted_scores
+from .score import bucket_accuracy, ratio_error, ratio_hit, score_reports, set_f1, weighted_scores
 
 REWARDS = {"format": "format_score", "description": "description_score", "diagnosis": "diagnosis_score"}
 
@@ -46,11 +46,12 @@ def decoded_buckets(c: Column) -> Column:
 
 
 def rewards(df: DataFrame, key: str, completion: str, truth: str, modes: str = "all") -> DataFrame:
-    """(key, <name>_reward for each mode). Equal pairs of completion and truth are scored once and joined back."""
-    once = df.select(F.col(completion).alias("prediction"), F.col(truth).alias("reference")).distinct()
-    scores = weighted_scores(score_reports(once)).select("prediction", "reference", *[F.col(REWARDS[m]).alias(f"{m}_reward") for m in reward_modes(modes)])
-    keyed = df.select(key, F.col(completion).alias("__c"), F.col(truth).alias("__t"))
-    return keyed.join(scores, F.expr("__c <=> prediction AND __t <=> reference"), "left").select(key, *[f"{m}_reward" for m in reward_modes(modes)])
+    """(key, <name>_reward for each mode). Equal pairs of completion and truth are scored once and joined back by a 256-bit digest."""
+    digest = F.sha2(F.concat_ws("\u0000", F.coalesce(F.concat(F.lit("="), F.col(completion)), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col(truth)), F.lit(""))), 256)
+    keyed = df.select(key, digest.alias("__d"), F.col(completion).alias("prediction"), F.col(truth).alias("reference"))
+    once = keyed.groupBy("__d").agg(F.first(F.struct("prediction", "reference")).alias("x")).select("__d", "x.*")
+    scores = weighted_scores(score_reports(once)).select("__d", *[F.col(REWARDS[m]).alias(f"{m}_reward") for m in reward_modes(modes)])
+    return keyed.select(key, "__d").join(scores, "__d", "left").drop("__d")
 
 
 def contributions(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -77,6 +78,26 @@ def evaluation_rows(df: DataFrame) -> DataFrame:
 
 
 def rerooted(path: Column, marker: str, root: str) -> Column:
-    """A path moved below ``root`` from a marker folder on; other paths stay."""
-    rest = F.regexp_extract(path, rf"(?:^|/){marker}(?:/(.*))?$", 1)
-    return F.when(path.rlike(rf"(?:^|/){marker}(?:/|$)"), F.concat_ws("/", F.lit(root.rstrip("/")), F.lit(marker), F.nullif(rest, F.lit("")))).otherwise(path)
+    """A path moved into the marker folder below ``root``: what follows the folder's first occurrence, or the whole of a relative path;
+    other absolute paths stay."""
+    base, folder = F.lit(f"{root.rstrip('/')}/{marker}"), f"/{marker}/"
+    rest = F.substring(path, F.instr(path, folder) + len(folder), F.length(path))
+    return F.when(~F.startswith(path, F.lit("/")), F.concat_ws("/", base, path)).when(F.instr(path, folder) > 0, F.concat_ws("/", base, F.nullif(rest, F.lit("")))).otherwise(path)
+
+
+def scored_against_gold(rows: DataFrame, completion: str) -> DataFrame:
+    """``rows`` (with the columns of ``gold_fields``) with the eight measures of a completion; the truth isn't parsed again."""
+    parsed_rows = parsed(rows, completion, "__p_")
+    p, gold = (lambda name: F.col(f"__p_{name}")), (lambda name: F.array_sort(F.array_distinct(F.coalesce(name, F.array().cast("array<string>")))))
+    entries = F.transform(F.map_entries(decoded_buckets(F.col("gold_bucket_map_json"))), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("bucket")))
+    return parsed_rows.select(
+        *rows.columns,
+        p("format").cast("double").alias("format_correct"),
+        (p("labels") == gold("gold_diagnosis_labels")).cast("double").alias("diagnosis_exact_set_acc"),
+        (p("description") == F.coalesce("gold_description", F.lit(""))).cast("double").alias("description_exact_match"),
+        set_f1(p("findings"), gold("gold_findings")).alias("description_finding_set_f1"),
+        set_f1(p("places"), gold("gold_locations")).alias("description_location_f1"),
+        bucket_accuracy(p("buckets"), F.array_sort(entries)).alias("description_count_bucket_acc"),
+        ratio_error(p("ratio"), F.col("gold_cdr_value")).alias("description_cdr_abs_error"),
+        ratio_hit(p("ratio"), F.col("gold_cdr_value")).alias("description_cdr_tol_hit"),
+    )

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dims
 from ..functions.text import or_empty, strip
+from .resume import with_ordinal
 
 SALTS = 64
 
@@ -37,6 +39,26 @@ def valid_and_invalid(rows: DataFrame, error: Column) -> tuple[DataFrame, DataFr
     return marked.where("error IS NULL").drop("error"), marked.where("error IS NOT NULL")
 
 
+def numbered_errors(rows: DataFrame, error: Column, order: str) -> DataFrame:
+    """(row_number, order, error) of the invalid rows; numbers are those of a file's lines whose first row follows its header."""
+    placed = with_ordinal(rows.withColumn("__error", error), order, "__n")
+    return placed.where("__error IS NOT NULL").select((F.col("__n") + 2).alias("row_number"), order, F.col("__error").alias("error"))
+
+
+def contrast_eligible(labels: Column) -> Column:
+    """Whether any label is one whose images may get local contrast enhancement."""
+    return F.arrays_overlap(labels, F.array(*map(F.lit, dims.CONTRAST_TAGS)))
+
+
+def zipped(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of both sides by a key that each holds once; a key that one side lacks or repeats is an error when the rows are read."""
+    one = lambda df, name: df.groupBy(key).agg(F.first(F.struct(*[c for c in df.columns if c != key])).alias(name), F.count("*").alias(f"{name}_n"))
+    both = one(left, "__l").join(one(right, "__r"), key, "full")
+    fits = F.coalesce(F.col("__l_n") == 1, F.lit(False)) & F.coalesce(F.col("__r_n") == 1, F.lit(False))
+    checked = F.when(fits, F.col(key)).otherwise(F.raise_error(F.concat(F.lit("no one-to-one match for "), F.col(key).cast("string"))))
+    return both.select(checked.alias(key), "__l.*", "__r.*")
+
+
 def load_counters(rows: DataFrame, text: str, found: Column, order: str, most: int | None = None) -> DataFrame:
     """One row of loading counters: rows seen, empty, unresolved and kept, up to the row that makes ``most`` kept ones.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import excluded, image_id, normalized_tag, or_empty, record_of, sided_tags, strip, tag_list
+from ..functions import dims
+from ..functions.text import column_by_aliases, excluded, eye_side, identifier, image_id, normalized_tag, or_empty, record_of, sided_tags, strip, tag_list
 
 
 def image_sides(diseases: DataFrame) -> DataFrame:
@@ -57,8 +58,11 @@ def existing_only(rows: DataFrame, files: DataFrame, column: str = "img_path") -
 
 
 def composite_lookup(diseases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(patient_record_id, eye_side, img_id) by the first row of each key, and the keys with several images."""
-    rows = diseases.where("patient_record_id <> '' AND eye_side <> '' AND img_id <> ''")
+    """(patient_record_id, eye_side, img_id) by the first row of each key, and the keys with several images. Columns are found by
+    their aliases; ids and sides are put in their plain form, and rows that lack one go."""
+    column = {n: F.col(f"`{column_by_aliases(diseases.columns, a)}`") for n, a in dims.COLUMN_ALIASES.items()}
+    plain = {"patient_record_id": identifier, "eye_side": eye_side, "img_id": identifier}
+    rows = diseases.select(*[f(column[n].cast("string")).alias(n) for n, f in plain.items()], "ord").where("patient_record_id <> '' AND eye_side <> '' AND img_id <> ''")
     keyed = rows.groupBy("patient_record_id", "eye_side").agg(F.min_by("img_id", "ord").alias("img_id"), F.count_distinct("img_id").alias("images"))
     return keyed.drop("images"), keyed.where("images > 1").select("patient_record_id", "eye_side", "images")
 

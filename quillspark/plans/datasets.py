@@ -50,7 +50,7 @@ _split_sql = f"""rec AS ({RECORD_SQL}), ranked AS (
   SELECT r.*, CASE WHEN p <= r.n - val - test THEN 'train' WHEN p <= r.n - test THEN 'val' ELSE 'test' END AS split FROM ranked r JOIN q1 USING (diagnosis)
 )"""
 _label_sql = f"""rec AS ({RECORD_SQL}), lab AS (SELECT DISTINCT ord, label FROM (SELECT ord, unnest(string_split(diagnosis, '、')) AS label FROM rec))"""
-_support_sql = _label_sql + ", support AS (SELECT label, count(*) FILTER (ord % 2 = 0) AS support FROM lab GROUP BY label)"
+_support_sql = _split_sql + ", lab AS (SELECT DISTINCT ord, split, label FROM (SELECT ord, split, unnest(string_split(diagnosis, '、')) AS label FROM done)), support AS (SELECT label, count(*) FILTER (split = 'train') AS support FROM lab GROUP BY label)"
 _tail_sql = _label_sql + f""", rare AS (SELECT label, (1 - 0.9999::DOUBLE) / (1 - pow(0.9999::DOUBLE, count(*))) AS r FROM lab GROUP BY label
 ), single AS (SELECT ord, avg(r) AS single FROM lab JOIN rare USING (label) GROUP BY ord
 ), combos AS (SELECT ord, string_agg(label, '、' ORDER BY label) AS c FROM lab GROUP BY ord
@@ -233,13 +233,13 @@ QUERIES = {
     "split_sizes": lambda s, d: split.split_sizes(divided(s, d), "diagnosis"),
     "top_strata": lambda s, d: split.most_common(records(s, d), "diagnosis", "ord"),
     "label_vocab": vocabulary,
-    "label_support": lambda s, d: split.label_support(records(s, d).where("ord % 2 = 0"), labels(), vocabulary(s, d)),
-    "class_balanced_weights": lambda s, d: split.class_balanced_weights(split.label_support(records(s, d).where("ord % 2 = 0"), labels(), vocabulary(s, d))).withColumn("weight", r9("weight")),
+    "label_support": lambda s, d: split.label_support(divided(s, d).where("split = 'train'"), labels(), vocabulary(s, d)),
+    "class_balanced_weights": lambda s, d: split.class_balanced_weights(split.label_support(divided(s, d).where("split = 'train'"), labels(), vocabulary(s, d))).withColumn("weight", r9("weight")),
     "kept_rows": lambda s, d: split.kept_and_removed(*_cleaning(s, d), "key")[0].select("doc_id"),
     "removed_rows": lambda s, d: split.kept_and_removed(*_cleaning(s, d), "key")[1].select("doc_id"),
     "filter_summary": lambda s, d: split.filter_summary(*_cleaning(s, d), "key"),
     "matching_ids": _nan_ids,
-    "load_counters": lambda s, d: split.load_counters(table(s, d, "documents").withColumn("body", F.when(F.col("doc_id") % 7 == 0, F.lit(" \n")).otherwise(F.col("text"))), "body", F.col("doc_id") % 5 != 0, "doc_id", 100),
+    "load_counters": lambda s, d: split.load_counters(table(s, d, "documents").withColumn("body", F.when(F.col("doc_id") % 7 == 0, F.lit(" \n")).otherwise(F.col("text"))), "body", F.col("doc_id") % 5 != 0, "doc_id"),
     "tail_score": lambda s, d: scores(s, d).select("ord", *[r9(c).alias(c) for c in ("single", "combo", "tail", "score")]),
     "tail_bins": lambda s, d: tail.tail_bins(scores(s, d)).withColumn("share", r9("share")),
     "tail_levels": lambda s, d: scores(s, d).groupBy(tail.tail_level(F.col("score")).alias("level")).agg(F.count("*").alias("n")),
@@ -282,7 +282,7 @@ ORACLE_SQL = {
     "removed_rows": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "filter_summary": "SELECT count(*) AS rows, (SELECT count(DISTINCT doc_id) FROM labels) AS clean_keys, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS kept, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS removed FROM documents",
     "matching_ids": "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) OR (doc_id % 97 = 0 AND EXISTS (SELECT 1 FROM labels WHERE doc_id % 97 = 0))",
-    "load_counters": "WITH r AS (SELECT doc_id AS o, doc_id % 7 = 0 OR coalesce(trim(text), '') = '' AS e, doc_id % 5 <> 0 AS f FROM documents), k AS (SELECT *, sum((NOT e AND f)::INT) OVER (ORDER BY o) AS c FROM r), u AS (SELECT * FROM k WHERE c < 100 OR (c = 100 AND NOT e AND f)) SELECT count(*) AS seen, count(*) FILTER (e) AS empty, count(*) FILTER (NOT e AND NOT f) AS unresolved, count(*) FILTER (NOT e AND f) AS kept FROM u",
+    "load_counters": "WITH r AS (SELECT doc_id % 7 = 0 OR coalesce(trim(text), '') = '' AS e, doc_id % 5 <> 0 AS f FROM documents) SELECT count(*) AS seen, count(*) FILTER (e) AS empty, count(*) FILTER (NOT e AND NOT f) AS unresolved, count(*) FILTER (NOT e AND f) AS kept FROM r",
     "tail_score": f"WITH {_tail_sql} SELECT ord, round(single, 9) AS single, round(combo, 9) AS combo, round(tail, 9) AS tail, round(score, 9) AS score FROM scored_tail",
     "tail_bins": f"WITH {_tail_sql} SELECT CAST(least(floor(score * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM scored_tail), 9) AS share FROM scored_tail GROUP BY bin",
     "tail_levels": f"WITH {_tail_sql} SELECT CASE WHEN score < 0.1::DOUBLE THEN 'weak' WHEN score < 0.35::DOUBLE THEN 'medium' WHEN score < 0.52::DOUBLE THEN 'strong' ELSE 'extreme' END AS level, count(*) AS n FROM scored_tail GROUP BY level",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import datasets, markup, reports, rewards, tables
+from . import datasets, files, markup, reports, rewards, rows, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _plan in (reports, datasets, tables, rewards, markup):
+for _plan in (reports, datasets, tables, rewards, markup, files, rows):
     QUERIES.update(_plan.QUERIES)
     ORACLE_SQL.update(_plan.ORACLE_SQL)

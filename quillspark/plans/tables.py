@@ -22,6 +22,15 @@ def diseases(s, d):
     )
 
 
+def _sheet(s, d):
+    """B5 as a spreadsheet has it: other headers, ids as numbers, sides in several spellings and blank."""
+    return diseases(s, d).selectExpr(
+        "ord", "CASE WHEN ord % 2 = 0 THEN concat(img_id, '.0') ELSE concat(' ', img_id) END AS `Image ID`", "concat(patient_record_id, '.00') AS `Patient-Record.ID`",
+        "CASE trim(eye_side) WHEN 'left' THEN 'OS ' WHEN 'Right' THEN CASE WHEN ord % 3 = 0 THEN '右眼' ELSE 'Right ' END ELSE eye_side END AS Eye_Side",
+    )
+
+
+_SHEET_SQL = "r AS (SELECT CAST(l_suppkey AS VARCHAR) AS patient_record_id, CASE l_returnflag WHEN 'A' THEN 'left' ELSE 'right' END AS eye_side, CAST(l_orderkey AS VARCHAR) AS img_id, (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS ord FROM lineitem WHERE l_returnflag IN ('A', 'R'))"
 DISEASE_SQL = f"""dis AS (
   SELECT ord, img_id, side, patient_record_id, CASE WHEN tag = '糖尿病视网膜病变增殖期' THEN '糖尿病视网膜病变增生期' ELSE tag END AS tag FROM (
     SELECT (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS ord, CAST(l_orderkey AS VARCHAR) AS img_id, CASE l_returnflag WHEN 'A' THEN 'left' WHEN 'R' THEN 'right' ELSE '' END AS side,
@@ -38,9 +47,10 @@ def patients(s, d):
 
 
 def images(s, d):
-    rows = s.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 7 = 0")
+    """An annotated image an order, with twice its key, so that images with odd keys have none."""
+    rows = s.read.parquet(f"{d}/orders.parquet")
     return rows.selectExpr(
-        "o_orderkey AS ord", "concat('r', o_custkey, '_x_', CASE WHEN o_orderkey % 2 = 0 THEN 'OD' ELSE 'OS' END, '_', o_orderkey, '.jpg') AS name",
+        "o_orderkey AS ord", "concat('r', o_custkey, '_x_', CASE WHEN o_orderkey % 2 = 0 THEN 'OD' ELSE 'OS' END, '_', o_orderkey * 2, '.jpg') AS name",
         "CASE WHEN o_orderstatus = 'P' THEN '模糊图' WHEN o_orderkey % 5 = 0 THEN '4' ELSE '' END AS free_text",
         f"""concat('None"', element_at({_ARRAY}, CAST(o_custkey % {N} + 1 AS int)), '", , "视盘水肿", "视盘水肿",') AS label_text""",
     )
@@ -65,9 +75,9 @@ SYNC_SQL = DISEASE_SQL + f""", pat AS (
   FROM last LEFT JOIN sides s ON s.img_id = CAST(img AS VARCHAR) LEFT JOIN own o ON o.img_id = CAST(img AS VARCHAR) WHERE r = 1
 ), plab AS (SELECT img_id, institution_name, list_concat(side_tags, list_filter(own, lambda x: NOT list_contains(side_tags, x))) AS tags FROM sided
 ), ann AS (
-  SELECT CAST(o_orderkey AS VARCHAR) AS img_id, o_orderstatus = 'P' OR o_orderkey % 5 = 0 AS bad,
+  SELECT CAST(o_orderkey * 2 AS VARCHAR) AS img_id, o_orderstatus = 'P' OR o_orderkey % 5 = 0 AS bad,
     CASE WHEN t = '视盘水肿' THEN ['视盘水肿'] WHEN t = '糖尿病视网膜病变增殖期' THEN ['糖尿病视网膜病变增生期', '视盘水肿'] ELSE [t, '视盘水肿'] END AS tags
-  FROM (SELECT *, list_extract({_LIST}, o_custkey % {N} + 1) AS t FROM orders WHERE o_orderkey % 7 = 0)
+  FROM (SELECT *, list_extract({_LIST}, o_custkey % {N} + 1) AS t FROM orders)
 )"""
 
 QUERIES = {
@@ -76,8 +86,8 @@ QUERIES = {
     "patient_labels": lambda s, d: _labels(s, d).select("img_id", F.array_join("tags", "、").alias("tags"), "institution_name"),
     "annotation_labels": lambda s, d: sync.annotations(images(s, d)).select("img_id", F.array_join("tags", "、").alias("tags"), "excluded"),
     "tag_sync": lambda s, d: _synced(s, d).select("img_id", F.array_join("tags", "、").alias("tags"), F.array_join(in_diagnosis_order(F.col("tags")), "、").alias("ordered"), "institution_name", "img_path"),
-    "composite_lookup": lambda s, d: sync.composite_lookup(diseases(s, d))[0],
-    "lookup_conflicts": lambda s, d: sync.composite_lookup(diseases(s, d))[1],
+    "composite_lookup": lambda s, d: sync.composite_lookup(_sheet(s, d))[0],
+    "lookup_conflicts": lambda s, d: sync.composite_lookup(_sheet(s, d))[1],
     "report_hash": lambda s, d: s.read.parquet(f"{d}/benchmark.parquet").select("item_id", report_hash(F.concat(F.lit(" "), "text", F.lit("\r\n"))).alias("hash")),
 }
 _rank = "CASE t " + " ".join(f"WHEN '{t}' THEN {k}" for k, t in enumerate(LABELS[:26])) + " ELSE 1000 + i END"
@@ -91,7 +101,7 @@ ORACLE_SQL = {
   FROM orders o LEFT JOIN plab p ON p.img_id = CAST(o_orderkey AS VARCHAR) LEFT JOIN ann a ON a.img_id = CAST(o_orderkey AS VARCHAR) WHERE a.img_id IS NULL OR NOT a.bad
 ), ord AS (SELECT img_id, string_agg(t, '、' ORDER BY {_rank}) AS ordered FROM (SELECT img_id, unnest(tags) AS t, generate_subscripts(tags, 1) AS i FROM j) GROUP BY img_id)
 SELECT j.img_id, array_to_string(tags, '、') AS tags, coalesce(ordered, '') AS ordered, institution_name, CASE WHEN trim(coalesce(institution_name, '')) <> '' THEN concat('root/', trim(institution_name), '/', j.img_id, '.jpg') END AS img_path FROM j LEFT JOIN ord USING (img_id)""",
-    "composite_lookup": "WITH r AS (SELECT CAST(l_suppkey AS VARCHAR) AS patient_record_id, CASE l_returnflag WHEN 'A' THEN 'left' WHEN 'R' THEN 'Right ' ELSE ' ' END AS eye_side, CAST(l_orderkey AS VARCHAR) AS img_id, (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS ord FROM lineitem) SELECT patient_record_id, eye_side, arg_min(img_id, ord) AS img_id FROM r GROUP BY ALL",
-    "lookup_conflicts": "WITH r AS (SELECT CAST(l_suppkey AS VARCHAR) AS patient_record_id, CASE l_returnflag WHEN 'A' THEN 'left' WHEN 'R' THEN 'Right ' ELSE ' ' END AS eye_side, l_orderkey FROM lineitem) SELECT patient_record_id, eye_side, count(DISTINCT l_orderkey) AS images FROM r GROUP BY ALL HAVING count(DISTINCT l_orderkey) > 1",
+    "composite_lookup": f"WITH {_SHEET_SQL} SELECT patient_record_id, eye_side, arg_min(img_id, ord) AS img_id FROM r GROUP BY patient_record_id, eye_side",
+    "lookup_conflicts": f"WITH {_SHEET_SQL} SELECT patient_record_id, eye_side, count(DISTINCT img_id) AS images FROM r GROUP BY patient_record_id, eye_side HAVING count(DISTINCT img_id) > 1",
     "report_hash": "SELECT item_id, substr(sha1(trim(text)), 1, 16) AS hash FROM benchmark",
 }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +26,13 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder of spark.checkpoint.dir, which the driver and all executors share; only a local session may lack it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
