@@ -16,25 +16,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, cut, drop_path, hash_strings, mix, new_path, remainder
+from .common import Words, chunks, cut, hash_strings, mix, remainder
 
 STATES = 8
 TOP_WORDS = 4096
 ENDINGS = 2048
-#: Tokens of the documents whose counts are taken side by side (one document, if it is longer).
-BATCH = 1 << 19
-#: Rounds end when the log likelihood of a training token rises by less: those of classes, which only start the words', and those of words.
-STARTED, SETTLED = 1e-2, 1e-3
+#: Expected tokens of the documents, drawn by a hash from all, that the start values are fitted to, and the rounds on them.
+START_TOKENS = 400_000
+START_ROUNDS = 12
+#: Rounds over all documents end when the log likelihood of a training token rises by less.
+SETTLED = 1e-2
+#: Tokens of the documents whose counts are taken side by side (one document, if it is longer), and of a long document.
+BATCH = 1 << 18
+LONG = 1024
 #: Expected counts of words are exchanged in steps of 1 / STEPS of an occurrence.
-STEPS = 4096
-#: Pairs of word and chunk whose expected counts one task sums, and pieces of the other counts.
+STEPS = 256
+#: Pairs of word and chunk whose counts one task sums; pieces of a task's sums over classes, and groups of tasks that they are summed in.
 WORD_PAIRS = 500_000
-SLICES = 16
+SLICES, SALTS = 16, 8
 ALPHA = 0.1
 #: Text of a coded chunk: larger ones hold fewer distinct words for their size.
 CODED_BYTES = 8 << 20
-#: Rows of (word, chunk) that one task sums.
-WORD_ROWS = 2_000_000
 
 
 def _ending_class(words: pa.Array) -> np.ndarray:
@@ -94,20 +96,17 @@ def initial(frequency: np.ndarray, top: np.ndarray, states: int = STATES, seed:
     return Model(even, even, move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True), top)
 
 
-def expected_counts(model: Model, classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Baum-Welch counts (starts, occupation, moves, emissions) of sequences of classes; see ``counted``."""
-    return counted(model, classes, offsets)[0]
-
-
-def counted(model: Model, classes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, float]:
-    """Baum-Welch counts of sequences of classes, each over its whole length, and their log likelihood."""
+def counted(model: Model, classes: np.ndarray, offsets: np.ndarray, posteriors: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Baum-Welch counts (starts, occupation, moves, emissions) of sequences of classes, each over its whole length, and
+    their log likelihood. ``posteriors``, if given, gets each token's state probabilities instead of the emissions' sums."""
     k, c = model.emit.shape
     start, mean, move, emit = np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros((k, c))
     n = np.diff(offsets)
     order = np.argsort(-n, kind="stable")
     order = order[n[order] > 0]
     before = np.concatenate([[0], np.cumsum(n[order])])
-    by_class, back, one, likelihood = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T), np.ones(k), 0.0
+    by_class, forth, one, likelihood = np.ascontiguousarray(model.emit.T, np.float32), model.move.astype(np.float32), np.ones(k, np.float32), 0.0
+    back, first = np.ascontiguousarray(forth.T), model.start.astype(np.float32)
     s = 0
     while s < len(order):
         e = max(s + 1, int(np.searchsorted(before, before[s] + BATCH, side="right")) - 1)
@@ -116,38 +115,56 @@ def counted(model: Model, classes: np.ndarray, offsets: np.ndarray) -> tuple[np.
         # Positions are laid out by their place in the document: those of place t lie from row[t] to row[t + 1].
         live = np.searchsorted(-length, -np.arange(longest), side="left").tolist()
         row = np.concatenate([[0], np.cumsum(live)]).tolist()
-        seen = np.concatenate([classes[here[:m] + t] for t, m in enumerate(live)])
+        place = np.concatenate([here[:m] + t for t, m in enumerate(live)])
+        seen = classes[place]
         emitted = by_class[seen]
-        alpha, scale = np.empty_like(emitted), np.empty(len(seen))
+        alpha, scale = np.empty_like(emitted), np.empty(len(seen), np.float32)
         for t, m in enumerate(live):
-            rows = slice(row[t], row[t + 1])
-            a = alpha[rows]
+            lo, hi = row[t], row[t + 1]
+            a = alpha[lo:hi]
             if t:
-                np.matmul(alpha[row[t - 1] : row[t - 1] + m], model.move, out=a)
+                np.matmul(alpha[row[t - 1] : row[t - 1] + m], forth, out=a)
             else:
-                a[:] = model.start
-            a *= emitted[rows]
-            scale[rows] = a @ one
-            a /= scale[rows, None]
-        likelihood += float(np.log(scale).sum())
+                a[:] = first
+            a *= emitted[lo:hi]
+            total = scale[lo:hi]
+            np.matmul(a, one, out=total)
+            a /= total[:, None]
+        likelihood += float(np.log(scale).sum(dtype=np.float64))
         emitted /= scale[:, None]
-        beta = np.ones((len(here), k))
+        beta = np.ones((len(here), k), np.float32)
         for t in range(longest - 1, -1, -1):
-            m, rows = live[t], slice(row[t], row[t + 1])
-            alpha[rows] *= beta[:m]
+            m, lo, hi = live[t], row[t], row[t + 1]
+            now = beta[:m]
+            alpha[lo:hi] *= now
             if t:
-                w = emitted[rows]
-                w *= beta[:m]
+                w = emitted[lo:hi]
+                w *= now
                 move += alpha[row[t - 1] : row[t - 1] + m].T @ w
-                np.matmul(w, back, out=beta[:m])
+                np.matmul(w, back, out=now)
         start += alpha[: len(here)].sum(axis=0)
+        mean += alpha.sum(axis=0, dtype=np.float64)
+        if posteriors is not None:
+            posteriors[place] = alpha
+            continue
         by_state = np.ascontiguousarray(alpha.T)
-        mean += by_state.sum(axis=1)
         for j in range(k):
             emit[j] += np.bincount(seen, weights=by_state[j], minlength=c)
     return np.concatenate([start, mean, (move * model.move).ravel(), emit.ravel()]), likelihood
 
 
+def expected_counts(model: Model, classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Baum-Welch counts of sequences of classes; see ``counted``."""
+    return counted(model, classes, offsets)[0]
+
+
+def fitted(model: Model, classes: np.ndarray, offsets: np.ndarray, rounds: int = START_ROUNDS) -> Model:
+    """``model`` after Baum-Welch rounds on sequences that lie in one place."""
+    for _ in range(rounds if len(classes) else 0):
+        model = model.updated(counted(model, classes, offsets)[0])
+    return model
+
+
 def log10_likelihood(model: Model, classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """log10 probability of each sequence of classes: the scaled forward recursion over its whole length, all at once."""
     n = np.diff(offsets)
@@ -169,294 +186,339 @@ def log10_likelihood(model: Model, classes: np.ndarray, offsets: np.ndarray) ->
     return back
 
 
-_CODED = "chunk long, doc_ids array<long>, held array<boolean>, offsets array<long>, codes binary, hashes array<long>, endings array<int>, counts array<int>"
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers compressed byte plane by byte plane."""
+    flat = np.ascontiguousarray(values).reshape(-1, 1).view(np.uint8)
+    return pa.compress(pa.py_buffer(np.ascontiguousarray(flat.T)), codec="zstd", asbytes=True) if len(flat) else b""
+
+
+def _numbers(data: pa.Buffer | bytes, kind: str, count: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    if not count:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(data, count * size, codec="zstd"), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+_CODED = "chunk long, tokens long, doc_ids array<long>, held array<boolean>, offsets array<long>, words int, codes binary, hashes binary, endings binary, counts binary, heavy array<struct<h:long,n:long,e:int>>, by_ending binary"
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of texts: its distinct words by hash, their training counts, and each text as codes of them."""
     from pyspark import TaskContext
 
     chunk = TaskContext.get().partitionId() << 32
+    one = lambda x, kind: pa.array([x], kind)
     for b in chunks(batches, limit=CODED_BYTES):
         words = Words(b.column("text"))
         held = np.asarray(b.column("held"))
-        trained = np.repeat(~held, np.diff(words.offsets))
-        counts = np.bincount(words.codes[trained], minlength=len(words.words))
-        one = lambda x, kind: pa.array([x], pa.list_(kind))
+        hashes, endings = hash_strings(words.words), _ending_class(words.words)
+        by_hash = np.argsort(hashes, kind="stable")
+        hashes, endings = hashes[by_hash], endings[by_hash]
+        place = np.empty(len(by_hash), np.int32)
+        place[by_hash] = np.arange(len(by_hash), dtype=np.int32)
+        codes = place[words.codes] if len(words.codes) else np.zeros(0, np.int32)
+        n = np.diff(words.offsets)
+        trained = codes[np.repeat(~held, n)]
+        counts = np.bincount(trained, minlength=len(hashes))
+        most = np.argsort(-counts, kind="stable")[:TOP_WORDS]
+        heavy = [{"h": int(hashes[k].view(np.int64)), "n": int(counts[k]), "e": int(endings[k])} for k in most[counts[most] > 0]]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([chunk]), one(b.column("doc_id").to_pylist(), pa.int64()), one(held, pa.bool_()), one(words.offsets, pa.int64()),
-                pa.array([words.codes.astype(np.int32).tobytes()], pa.binary()), one(hash_strings(words.words).view(np.int64), pa.int64()),
-                one(_ending_class(words.words), pa.int32()), one(counts.astype(np.int32), pa.int32()),
+                one(chunk, pa.int64()), one(int(len(trained) + (~held).sum()), pa.int64()), one(b.column("doc_id").to_pylist(), pa.list_(pa.int64())), one(held, pa.list_(pa.bool_())),
+                one(words.offsets, pa.list_(pa.int64())), one(len(hashes), pa.int32()), one(_planes(codes), pa.binary()), one(_planes(np.diff(hashes, prepend=np.uint64(0))), pa.binary()),
+                one(_planes(endings.astype(np.int16)), pa.binary()), one(_planes(counts.astype(np.int32)), pa.binary()), one(heavy, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64()), ("e", pa.int32())]))),
+                one(np.bincount(endings, weights=counts, minlength=ENDINGS).tobytes(), pa.binary()),
             ],
-            ["chunk", "doc_ids", "held", "offsets", "codes", "hashes", "endings", "counts"],
+            ["chunk", "tokens", "doc_ids", "held", "offsets", "words", "codes", "hashes", "endings", "counts", "heavy", "by_ending"],
         )
         chunk += 1
 
 
-def _sequences(b: pa.RecordBatch, k: int, of_word: np.ndarray, held: bool | None) -> tuple[np.ndarray, np.ndarray]:
-    """Classes (of each word in ``of_word``) and offsets of a chunk's documents, each with its end; only the fold ``held``, if given."""
-    get = lambda name: np.asarray(b.column(name)[k].values)
-    codes = np.frombuffer(b.column("codes")[k].as_buffer(), np.int32)
-    offsets = get("offsets")
-    n = np.diff(offsets)
-    whole = np.insert(of_word[codes] if len(codes) else np.zeros(0, np.int64), offsets[1:], 0)
-    ends = np.concatenate([[0], np.cumsum(n + 1)])
-    if held is None:
-        return whole, ends
-    keep = get("held") == held
-    return whole[np.repeat(keep, n + 1)], np.concatenate([[0], np.cumsum((n + 1)[keep])])
+class Chunk:
+    """A coded chunk: ``hashes``, ``endings`` and ``of_word`` (the classes) of its words, ``codes`` and ``offsets`` of its texts."""
+
+    def __init__(self, model: Model, b: pa.RecordBatch, k: int):
+        self.get = lambda name: b.column(name)[k]
+        n = self.get("words").as_py()
+        self.hashes = np.cumsum(_numbers(self.get("hashes").as_buffer(), "<u8", n), dtype=np.uint64)
+        self.endings = _numbers(self.get("endings").as_buffer(), "<i2", n)
+        self.offsets, self.held = np.asarray(self.get("offsets").values), np.asarray(self.get("held").values)
+        self.codes = _numbers(self.get("codes").as_buffer(), "<i4", int(self.offsets[-1]))
+        self.of_word = model.class_of(self.hashes, self.endings)
+        #: Words that share a class with others: those whose counts are exchanged.
+        self.shared = np.flatnonzero(self.of_word > len(model.top))
+
+    def sequences(self, classes: np.ndarray, end: int, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Texts as ``classes`` of their words, each with its ``end``, and their offsets; only those to ``keep``, if given."""
+        n = np.diff(self.offsets)
+        whole = np.insert(classes[self.codes], self.offsets[1:], end)
+        if keep is None:
+            return whole, np.concatenate([[0], np.cumsum(n + 1)])
+        return whole[np.repeat(keep, n + 1)], np.concatenate([[0], np.cumsum((n + 1)[keep])])
+
+    def parts(self, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The shared words by part: ranges of hashes, so that each part's words lie together."""
+        part = ((self.hashes[self.shared] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        used, first = np.unique(part, return_index=True)
+        yield from zip(used.tolist(), np.split(self.shared, first[1:]), strict=True) if len(used) else ()
+
+
+def _drawn(model: Model, share: float):
+    """Classes and lengths of the start documents: training documents drawn by a hash of their place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                c = Chunk(model, b, k)
+                draw = mix(np.uint64(b.column("chunk")[k].as_py()) * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(c.held), dtype=np.uint64))
+                keep = ~c.held & (draw.astype(float) < share * 2.0**64)
+                classes, ends = c.sequences(c.of_word, 0, keep)
+                yield pa.RecordBatch.from_arrays([pa.array([b.column("chunk")[k].as_py()]), pa.array([classes.astype(np.int32).tobytes()], pa.binary()), pa.array([np.diff(ends).tobytes()], pa.binary())], ["chunk", "classes", "lengths"])
+
+    return run
+
+
+def _start_fit(model: Model):
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(np.asarray(table.column("chunk")))
+        join = lambda name, kind: np.concatenate([np.frombuffer(table.column(name)[int(k)].as_buffer(), kind) for k in order])
+        got = fitted(model, join("classes", np.int32), np.concatenate([[0], np.cumsum(join("lengths", np.int64))]).astype(np.int64))
+        return pa.table({"w": pa.array([np.concatenate([got.start, got.mean, got.move.ravel(), got.emit.ravel()]).tobytes()], pa.binary())})
+
+    return run
 
 
 def _count_pass(model: Model):
-    """Counts of a task's training documents by their place; the last place is the log likelihood."""
+    """Slices of a task's sums over its training documents; the last number is the log likelihood."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0)
+        total, long, size = 0.0, [], 0
+        add = lambda parts: np.append(*counted(model, np.concatenate([x for x, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in parts]))])))
         for b in batches:
             for k in range(b.num_rows):
-                get = lambda name: np.asarray(b.column(name)[k].values)  # noqa: B023, E731
-                of_word = model.class_of(get("hashes").view(np.uint64), get("endings"))
-                got = np.append(*counted(model, *_sequences(b, k, of_word, held=False)))
-                total = got if not len(total) else total + got
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "v"])
+                c = Chunk(model, b, k)
+                classes, ends = c.sequences(c.of_word, 0, ~c.held)
+                n = np.diff(ends)
+                far = np.repeat(n > LONG, n)
+                total = total + add([(classes[~far], n[n <= LONG])])
+                # Long documents wait for others, as the recursion takes a step for each of their words.
+                long.append((classes[far], n[n > LONG]))
+                size += int(far.sum())
+                if size >= BATCH:
+                    total, long, size = total + add(long), [], 0
+        if size:
+            total = total + add(long)
+        if not np.isscalar(total):
+            yield _sliced(total)
 
     return run
 
 
-_EXPECTED = "part int, chunk long, hashes binary, counts binary"
+_SUMS = "part int, chunk long, words int, hashes binary, endings binary, counts binary, expected binary"
+_NAMES = [x.split()[0] for x in _SUMS.split(", ")]
+_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Rows of expected counts as whole numbers of steps, compressed byte plane by byte plane."""
-    steps = np.rint(counts * STEPS).astype("<u8").reshape(-1, 1).view(np.uint8)
-    return pa.compress(pa.py_buffer(np.ascontiguousarray(steps.T)), codec="zstd", asbytes=True)
+def _sum_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in _KINDS]
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, _KINDS, strict=True)], _NAMES)
 
 
-def _unpacked(data: pa.Buffer, states: int, rows: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, rows * states * 8, codec="zstd"), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(rows, states) / STEPS
+def _sliced(total: np.ndarray) -> pa.RecordBatch:
+    """A task's sums in slices, as parts below 0: -1 - (slice * SALTS + salt)."""
+    from pyspark import TaskContext
 
+    salt = TaskContext.get().partitionId() % SALTS
+    return _sum_rows([(-1 - (j * SALTS + salt), j, 0, None, None, None, x.tobytes()) for j, x in enumerate(np.array_split(total, SLICES))])
 
-class WordModel:
-    """``model`` with emissions of single words in a chunk: its words that share classes lie, by part, in ``order``.
 
-    ``inside``: what each class's words, with one unseen, add up to in each state. Without it, words of a class count alike.
-    """
+def _slice_sum(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_buffer()) for x in table.column("expected"))
+    return pa.Table.from_batches([_sum_rows([(table.column("part")[0].as_py(), table.column("chunk")[0].as_py(), 0, None, None, None, total.tobytes())])])
+
 
-    def __init__(self, model: Model, inside: np.ndarray | None, parts: int, b: pa.RecordBatch, k: int):
-        get = lambda name: np.asarray(b.column(name)[k].values)
-        self.hashes = get("hashes").view(np.uint64)
-        of_word = model.class_of(self.hashes, get("endings"))
-        self.classes = np.concatenate([[0], of_word])
-        shared = np.flatnonzero(of_word > len(model.top))
-        part = (self.hashes[shared] % np.uint64(parts)).astype(np.int64)
-        by_part = np.argsort(part, kind="stable")
-        self.order, self.bounds = shared[by_part], np.searchsorted(part[by_part], np.arange(parts + 1))
-        emit = model.emit[:, self.classes]
-        if inside is not None:
-            expected = np.zeros((len(self.hashes), len(model.start)))
-            for piece in b.column("expected")[k].values if b.column("expected")[k].is_valid else ():
-                rows = self.of_part(piece["part"].as_py())
-                expected[rows] = _unpacked(piece["counts"].as_buffer(), len(model.start), len(rows))
-            emit[:, 1 + self.order] *= (expected[self.order].T + ALPHA) / inside[:, of_word[self.order]]
-        self.model = Model(model.start, model.mean, model.move, emit, model.top)
-
-    def of_part(self, part: int) -> np.ndarray:
-        return self.order[self.bounds[part] : self.bounds[part + 1]]
-
-    def sequences(self, b: pa.RecordBatch, k: int, held: bool | None) -> tuple[np.ndarray, np.ndarray]:
-        return _sequences(b, k, np.arange(1, len(self.classes)), held)
-
-
-def _word_pass(model: Model, inside: np.ndarray | None, parts: int):
-    """Expected counts of each chunk's words by part, and, as parts below 0, slices of a task's other counts and log likelihood."""
+def _whole(rows: DataFrame, size: int) -> np.ndarray:
+    """The sums of all slices: SLICES * SALTS rows reach the driver."""
+    total = [0.0] * SLICES
+    for r in rows.where("part < 0").select("chunk", "expected").collect():
+        total[r["chunk"]] = total[r["chunk"]] + np.frombuffer(r["expected"])
+    return np.concatenate(total) if not np.isscalar(total[0]) else np.zeros(size)
+
+
+def _word_pass(model: Model, parts: int):
+    """Training and expected counts of each chunk's shared words by part, and slices of a task's other sums; the last numbers are
+    the log likelihood and the training counts of the classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, c = model.emit.shape
-        small = 2 * k + k * k
-        total = np.zeros(small + k * c + 1)
-        made = lambda part, chunk, hashes, counts: pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(chunk, pa.int64()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["part", "chunk", "hashes", "counts"])
+        small, total = 2 * k + k * k, np.zeros(2 * k + k * k + k * c + 1 + c)
         for b in batches:
             for i in range(b.num_rows):
-                words = WordModel(model, inside, parts, b, i)
-                counts, likelihood = counted(words.model, *words.sequences(b, i, held=False))
-                by_word = counts[small:].reshape(k, -1)
+                chunk = Chunk(model, b, i)
+                trained, ends = chunk.sequences(np.arange(1, len(chunk.hashes) + 1), 0, ~chunk.held)
+                classes = np.concatenate([[0], chunk.of_word])
+                posterior = np.empty((len(trained), k), np.float32)
+                counts, likelihood = counted(model, classes[trained], ends, posterior)
+                by_word = np.stack([np.bincount(trained, weights=posterior[:, j], minlength=len(classes)) for j in range(k)], axis=1)
+                seen = np.bincount(trained, minlength=len(classes))
                 total[:small] += counts[:small]
-                total[small:-1] += np.concatenate([np.bincount(words.classes, weights=x, minlength=c) for x in by_word])
-                total[-1] += likelihood
-                used = [p for p in range(parts) if words.bounds[p] < words.bounds[p + 1]]
-                of_part = [words.of_part(p) for p in used]
-                expected = np.ascontiguousarray(by_word[:, 1:].T)
-                yield made(used, [b.column("chunk")[i].as_py()] * len(used), [words.hashes[x].tobytes() for x in of_part], [_packed(expected[x]) for x in of_part])
-        slices = [x.tobytes() for x in np.array_split(total, SLICES)]
-        yield made([-1 - j for j in range(SLICES)], list(range(SLICES)), [None] * SLICES, slices)
+                total[small : small + k * c] += np.concatenate([np.bincount(classes, weights=by_word[:, j], minlength=c) for j in range(k)])
+                total[small + k * c] += likelihood
+                total[small + k * c + 1 :] += np.bincount(classes, weights=seen, minlength=c)
+                steps = np.rint(by_word[1:] * STEPS).astype(np.int32)
+                rows = [(p, chunk.get("chunk").as_py(), len(at), _planes(np.diff(chunk.hashes[at], prepend=np.uint64(0))), _planes(chunk.endings[at]), _planes(seen[1:][at].astype(np.int32)), _planes(steps[at])) for p, at in chunk.parts(parts)]
+                yield _sum_rows(rows)
+        yield _sliced(total)
 
     return run
 
 
-def _expected_sums(states: int):
-    """Of a part: for each chunk its words' expected counts over all chunks, in the chunk's order; of a slice: the sum."""
+def _word_sums(states: int):
+    """Of a part: for each chunk its words' training and expected counts over all chunks, in the chunk's order, and (as chunk -1) the
+    distinct training words of each ending; of slices: their sum."""
 
     def run(table: pa.Table) -> pa.Table:
-        part, chunk, data = table.column("part")[0].as_py(), table.column("chunk"), table.column("counts")
+        part = table.column("part")[0].as_py()
         if part < 0:
-            sums, chunk = [sum(np.frombuffer(x.as_buffer()) for x in data).tobytes()], chunk[:1]
-        else:
-            hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
-            words, which = np.unique(np.concatenate(hashes), return_inverse=True)
-            counts = np.concatenate([_unpacked(x.as_buffer(), states, len(h)) for x, h in zip(data, hashes, strict=True)])
-            total = np.stack([np.bincount(which, weights=counts[:, j], minlength=len(words)) for j in range(states)], axis=1)
-            sums = [_packed(total[x]) for x in np.split(which, np.cumsum([len(h) for h in hashes])[:-1])]
-        return pa.table({"part": pa.array([part] * len(sums), pa.int32()), "chunk": chunk, "counts": pa.array(sums, pa.binary())})
+            return _slice_sum(table)
+        n = table.column("words").to_pylist()
+        read = lambda name, kind, times=1: [_numbers(x.as_buffer(), kind, m * times) for x, m in zip(table.column(name), n, strict=True)]
+        words, first, which = np.unique(np.concatenate([np.cumsum(x, dtype=np.uint64) for x in read("hashes", "<u8")]), return_index=True, return_inverse=True)
+        counts = np.bincount(which, weights=np.concatenate(read("counts", "<i4")), minlength=len(words)).astype(np.int64)
+        steps = np.concatenate(read("expected", "<i4", states)).reshape(-1, states)
+        total = np.stack([np.bincount(which, weights=steps[:, j], minlength=len(words)) for j in range(states)], axis=1).astype(np.int64)
+        rows = [(part, chunk, len(x), None, None, _planes(counts[x]), _planes(total[x])) for chunk, x in zip(table.column("chunk").to_pylist(), np.split(which, np.cumsum(n)[:-1]), strict=True)]
+        endings = np.concatenate(read("endings", "<i2"))[first]
+        rows.append((part, -1, 0, None, None, None, np.bincount(endings, weights=counts > 0, minlength=ENDINGS).tobytes()))
+        return pa.Table.from_batches([_sum_rows(rows)])
 
     return run
 
 
-def _with_expected(coded: DataFrame, sums: DataFrame) -> DataFrame:
-    found = sums.where("part >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "counts")).alias("expected"))
-    return coded.join(found, "chunk", "left")
-
-
-_SUMMED = "kind int, a long, b long, c long, piece binary"
-_PIECE = np.dtype([("code", "<i4"), ("seen", "<i8")])
-
-
-def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of some words: kind 0, for each chunk the words' training counts; 1, the most frequent words (hash, count,
-    ending); 2, for each ending the tokens and distinct words."""
-    found = [b for b in batches if b.num_rows]
-    if not found:
-        return
-    h, chunk, code, n, e = (np.concatenate([np.asarray(b.column(c)) for b in found]) for c in ("h", "chunk", "code", "n", "e"))
-    words, first, which = np.unique(h, return_index=True, return_inverse=True)
-    total = np.bincount(which, weights=n, minlength=len(words)).astype(np.int64)
-    ending = e[first].astype(np.int64)
-    rows = []
-    order = np.argsort(chunk, kind="stable")
-    starts = np.flatnonzero(np.concatenate([[True], chunk[order][1:] != chunk[order][:-1]]))
-    for s, t in zip(starts, [*starts[1:], len(order)], strict=True):
-        some = order[s:t][total[which[order[s:t]]] > 0]
-        piece = np.empty(len(some), _PIECE)
-        piece["code"], piece["seen"] = code[some], total[which[some]]
-        rows.append((0, int(chunk[order[s]]), 0, 0, np.sort(piece, order="code").tobytes()))
-    known = np.flatnonzero(total > 0)
-    for k in known[np.lexsort([words[known], -total[known]])][:TOP_WORDS]:
-        rows.append((1, int(words[k]), int(total[k]), int(ending[k]), None))
-    tokens, types = np.bincount(ending[known], weights=total[known], minlength=ENDINGS), np.bincount(ending[known], minlength=ENDINGS)
-    rows += [(2, int(k), int(tokens[k]), int(types[k]), None) for k in np.flatnonzero(types)]
-    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["kind", "a", "b", "c", "piece"])
-
-
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scorer(model: Model, inside: np.ndarray, parts: int, tokens: int, types: int, ends_seen: int):
+@dataclass
+class Trained:
+    """``model``; what each class's words, with one unseen, add up to in each state (``inside``); the training counts of classes,
+    tokens and distinct tokens; and the number of parts that words' sums lie in."""
+
+    model: Model
+    inside: np.ndarray
+    class_counts: np.ndarray
+    tokens: int
+    types: int
+    parts: int
+
+    def emitted(self, b: pa.RecordBatch, k: int) -> tuple[Chunk, np.ndarray, Model]:
+        """A chunk, its words' training counts, and the model whose classes are the end (0) and the chunk's words."""
+        model, states = self.model, len(self.model.start)
+        c = Chunk(model, b, k)
+        seen, expected, places = self.class_counts[c.of_word], np.zeros((len(c.hashes), states)), dict(c.parts(self.parts))
+        for piece in b.column("found")[k].values if b.column("found")[k].is_valid else ():
+            at = places[piece["part"].as_py()]
+            seen[at] = _numbers(piece["counts"].as_buffer(), "<i8", len(at))
+            expected[at] = _numbers(piece["expected"].as_buffer(), "<i8", len(at) * states).reshape(-1, states) / STEPS
+        emit = model.emit[:, np.concatenate([[0], c.of_word])]
+        emit[:, 1 + c.shared] *= (expected[c.shared].T + ALPHA) / self.inside[:, c.of_word[c.shared]]
+        return c, seen, Model(model.start, model.mean, model.move, emit, model.top)
+
+
+def _scorer(t: Trained):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, ends_seen = t.tokens + ALPHA * (t.types + 1), t.class_counts[0]
         for b in batches:
             for k in range(b.num_rows):
-                get = lambda name: np.asarray(b.column(name)[k].values)  # noqa: B023, E731
-                codes = np.frombuffer(b.column("codes")[k].as_buffer(), np.int32)
-                seen = np.zeros(len(get("hashes")))
-                for piece in b.column("found")[k].as_py() or ():
-                    pairs = np.frombuffer(piece, _PIECE)
-                    seen[pairs["code"]] = pairs["seen"]
-                plain = np.log10((seen + ALPHA) / (tokens + ALPHA * (types + 1)))
-                offsets, held = get("offsets"), get("held")
-                n = np.diff(offsets)
+                c, seen, words = t.emitted(b, k)
+                plain, end = np.log10((seen + ALPHA) / total), np.log10((ends_seen + ALPHA) / total)
+                n = np.diff(c.offsets)
                 doc = np.repeat(np.arange(len(n)), n)
-                add = lambda x: np.bincount(doc, weights=x[codes], minlength=len(n)) if len(codes) else np.zeros(len(n))  # noqa: B023, E731
-                base = add(plain) + np.log10((ends_seen + ALPHA) / (tokens + ALPHA * (types + 1)))
-                words = WordModel(model, inside, parts, b, k)
-                score = log10_likelihood(words.model, *words.sequences(b, k, None))
-                known = add((seen > 0).astype(float)).astype(np.int64) + (ends_seen > 0)
-                yield pa.RecordBatch.from_arrays([b.column("doc_ids")[k].values, pa.array(held), pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                add = lambda x: np.bincount(doc, weights=x[c.codes], minlength=len(n))  # noqa: B023, E731
+                score = log10_likelihood(words, *c.sequences(np.arange(1, len(c.hashes) + 1), 0))
+                known = add((seen > 0).astype(float)).astype(np.int64) + int(ends_seen > 0)
+                yield pa.RecordBatch.from_arrays([b.column("doc_ids")[k].values, pa.array(c.held), pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), t.tokens)), pa.array(add(plain) + end), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def _summed(rows: DataFrame, size: int) -> np.ndarray:
-    out = np.zeros(size)
-    found = rows.groupBy("at").agg(F.sum("v").alias("v")).toArrow()
-    out[np.asarray(found.column("at"))] = np.asarray(found.column("v"))
-    return out
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = sum(np.frombuffer(x.as_buffer()) for b in batches for x in b.column("v"))
+    if not np.isscalar(total):
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
 
-def started(coded: DataFrame, model: Model, tokens: int) -> Model:
-    """``model`` after rounds over all training documents that count classes, until the likelihood of their ``tokens`` settles."""
-    k, before = len(model.start), -np.inf
-    size = 2 * k + k * k + model.emit.size
-    while True:
-        counts = _summed(coded.select("held", "offsets", "codes", "hashes", "endings").mapInArrow(_count_pass(model), "at int, v double"), size + 1)
-        model, now = model.updated(counts[:size]), counts[size] / max(1, tokens)
-        if not now - before >= STARTED:
-            return model
-        before = now
+def _vector_sum(vectors: DataFrame) -> np.ndarray:
+    """Sum of vectors (v binary) of ENDINGS numbers: one from each task reaches the next, and one the driver."""
+    found = vectors.mapInArrow(_added, "v binary").repartition(SALTS).mapInArrow(_added, "v binary").collect()
+    return sum((np.frombuffer(r["v"]) for r in found), np.zeros(ENDINGS))
 
 
-def settled(coded: DataFrame, model: Model, class_types: np.ndarray, tokens: int, parts: int) -> tuple[Model, np.ndarray, DataFrame]:
-    """``model``, the sums inside classes and the expected counts of words, after Baum-Welch rounds over all training
-    documents that count each word in each state, until the likelihood settles."""
-    spark, k, before = coded.sparkSession, len(model.start), -np.inf
-    small, inside, sums, path = 2 * k + k * k, None, None, None
-    own = coded.select("chunk", "held", "offsets", "codes", "hashes", "endings")
-    while True:
-        rows = own if sums is None else _with_expected(own, sums)
-        expected = rows.mapInArrow(_word_pass(model, inside, parts), _EXPECTED).groupBy("part").applyInArrow(_expected_sums(k), "part int, chunk long, counts binary")
-        last, path = path, new_path(spark, "expected")
-        expected.write.parquet(path)
-        sums = spark.read.schema(expected.schema).parquet(path)
-        if last:
-            drop_path(spark, last)
-        # Files of shuffles that nothing refers to any longer are deleted with their handles.
-        spark.sparkContext._jvm.System.gc()
-        total = np.concatenate([np.frombuffer(r["counts"]) for r in sums.where("part < 0").orderBy("chunk").collect()] or [np.zeros(small + model.emit.size + 1)])
-        # The first round's likelihood is that of classes.
-        now = total[-1] / max(1, tokens) if inside is not None else -np.inf
-        model, inside = model.updated(total[:-1]), total[small:-1].reshape(k, -1) + ALPHA * (class_types + 1)
-        if now - before < SETTLED or not tokens:
-            return model, inside, sums
+def train(coded: DataFrame, states: int = STATES) -> tuple[Trained, DataFrame]:
+    """Baum-Welch over all training documents: start values from documents drawn by a hash from all chunks, rounds of classes
+    until the likelihood settles, and a round that counts every word in every state. Also ``coded`` with what its chunks' words
+    have in all (found)."""
+    spark = coded.sparkSession
+    tokens, pairs = coded.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    heavy = coded.select(F.explode("heavy").alias("x")).groupBy("x.h").agg(F.sum("x.n").alias("n"), F.max("x.e").alias("e"))
+    heavy = heavy.orderBy(F.desc("n"), "h").limit(TOP_WORDS).collect()
+    top = np.array([r["h"] for r in heavy], np.int64).view(np.uint64)
+    order = np.argsort(top)
+    top = top[order]
+    # Frequencies of classes for the start: what the chunks' frequent words don't hold falls to the endings.
+    frequency = np.concatenate([np.zeros(1 + len(top)), _vector_sum(coded.selectExpr("by_ending AS v"))])
+    frequency[1 : 1 + len(top)] = np.array([r["n"] for r in heavy], float)[order]
+    for r in heavy:
+        frequency[1 + len(top) + r["e"]] -= r["n"]
+    frequency[0] = max(1.0, tokens - frequency[1:].sum())
+    model = initial(np.maximum(frequency, 0), top, states)
+    k, c = model.emit.shape
+    size = 2 * k + k * k + k * c
+    own = coded.select("chunk", "held", "offsets", "words", "codes", "hashes", "endings")
+    if tokens:
+        drawn = own.mapInArrow(_drawn(model, min(1.0, START_TOKENS / tokens)), "chunk long, classes binary, lengths binary")
+        w = np.frombuffer(drawn.groupBy().applyInArrow(_start_fit(model), "w binary").collect()[0]["w"])
+        start, mean, move, emit = np.split(w, [k, 2 * k, 2 * k + k * k])
+        model = Model(start, mean, move.reshape(k, k), emit.reshape(k, c), top)
+    before = -np.inf
+    while tokens:
+        got = _whole(own.mapInArrow(_count_pass(model), _SUMS).groupBy("part").applyInArrow(_slice_sum, _SUMS), size + 1)
+        model, now = model.updated(got[:size]), got[size] / tokens
+        if not now - before >= SETTLED:
+            break
         before = now
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs // WORD_PAIRS))
+    sums = cut(own.mapInArrow(_word_pass(model, parts), _SUMS).groupBy("part").applyInArrow(_word_sums(k), _SUMS), "sums", "uncompressed")
+    got = _whole(sums, size + 1 + c)
+    of_classes, class_types = got[size + 1 :], np.zeros(c)
+    class_types[1 + len(top) :] = _vector_sum(sums.where("part >= 0 AND chunk = -1").selectExpr("expected AS v"))
+    types = int(class_types.sum()) + int((of_classes[: 1 + len(top)] > 0).sum())
+    inside = got[size - k * c : size].reshape(k, c) + ALPHA * (class_types + 1)
+    found = sums.where("part >= 0 AND chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "expected")).alias("found"))
+    backed = coded.drop("counts", "heavy", "by_ending").join(found, "chunk", "left")
+    return Trained(model.updated(got[:size]), inside, of_classes, int(of_classes.sum()), types, parts), backed
+
+
+def coded_documents(documents: DataFrame) -> DataFrame:
+    """Texts of ``documents`` (doc_id, text) as codes of words, a row for each chunk of them, in a work table."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.withColumn("held", F.coalesce(remainder("doc_id", 10) == 0, F.lit(False)))
+    return cut(docs.mapInArrow(_coded, _CODED), "coded", "uncompressed")
 
 
 def score_documents(documents: DataFrame, states: int = STATES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``documents`` (doc_id, text).
 
     Words and one end a text are the tokens; those of rows whose crc32(doc_id) mod 10 is not 0 train. Texts are coded
-    once, in chunks; chunk counts of words (by a 64-bit hash) are summed, and each chunk gets back the sums of its own
-    words only. From randomly tilted start values, each Baum-Welch round counts every training document, first by class,
-    then each word in each state, until the likelihood settles; all documents are scored over their whole length.
-    ``score`` is the model's log10 probability, where words not seen in training have, in each state and class, the mass of
-    one more word without a count.
-
-    Null or empty texts: the end alone. Null ids train. Repeated rows each count and are returned each. Without training
-    rows both scores are those of empty counts. An empty table gives an empty result; other columns are ignored.
+    once, in chunks. Start values come from Baum-Welch on documents drawn by a hash from all chunks (about START_TOKENS). Then each
+    round counts every training document over its whole length, first by class, until the likelihood settles, and last each word in
+    each state. Counts of words (by a 64-bit hash) are summed by word, and each chunk gets back the sums of its own words only;
+    those of the most frequent words are sums over classes, so no word's rows meet in one task for every chunk. All documents are
+    scored over their whole length. ``score`` is the model's log10 probability, where words not seen in training have, in each
+    state and class, the mass of one more word without a count.
+
+    Null or empty texts: the end alone. Null ids train. Repeated rows each count and are returned each. A very long text is a chunk of its
+    own. Without training rows both scores are those of empty counts. An empty table gives an empty result; other columns are ignored.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = docs.withColumn("held", F.coalesce(remainder("doc_id", 10) == 0, F.lit(False)))
-    coded = cut(docs.mapInArrow(_coded, _CODED), "coded")
-    words = coded.select("chunk", F.posexplode(F.arrays_zip("hashes", "endings", "counts")).alias("code", "x")).selectExpr("chunk", "code", "x.hashes AS h", "x.endings AS e", "x.counts AS n")
-    rows = coded.select(F.coalesce(F.sum(F.size("hashes")), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows[0] // WORD_ROWS))
-    summed = cut(words.repartition(parts, "h").mapInArrow(_word_sums, _SUMMED), "summed")
-    ends_seen = rows[1]
-    by_ending = summed.where("kind = 2").groupBy("a").agg(F.sum("b").alias("tokens"), F.sum("c").alias("types")).collect()
-    tokens, types = sum(r["tokens"] for r in by_ending) + ends_seen, sum(r["types"] for r in by_ending) + (ends_seen > 0)
-    top_rows = summed.where("kind = 1").orderBy(F.desc("b"), "a").limit(TOP_WORDS).selectExpr("a AS h", "b AS c", "c AS e").collect()
-    top = np.array([r["h"] for r in top_rows], np.int64).view(np.uint64)
-    order = np.argsort(top)
-    top = top[order]
-    # Tokens and distinct words of each class: the endings' sums over the vocabulary without the top words.
-    class_tokens, class_types = np.zeros(1 + len(top) + ENDINGS), np.zeros(1 + len(top) + ENDINGS)
-    class_tokens[0] = ends_seen
-    class_tokens[1 : 1 + len(top)] = np.array([r["c"] for r in top_rows], float)[order]
-    for r in by_ending:
-        class_tokens[1 + len(top) + r["a"]], class_types[1 + len(top) + r["a"]] = r["tokens"], r["types"]
-    for r in top_rows:
-        class_tokens[1 + len(top) + r["e"]] -= r["c"]
-        class_types[1 + len(top) + r["e"]] -= 1
-    pairs = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows[0] // WORD_PAIRS))
-    model, inside, sums = settled(coded, started(coded, initial(class_tokens, top, states), tokens), class_types, tokens, pairs)
-    found = summed.where("kind = 0").groupBy(F.col("a").alias("chunk")).agg(F.collect_list("piece").alias("found"))
-    backed = _with_expected(coded.drop("counts"), sums).join(found, "chunk", "left")
-    return backed.mapInArrow(_scorer(model, inside, pairs, tokens, types, ends_seen), _SCORED)
+    trained, backed = train(coded_documents(documents), states)
+    return backed.mapInArrow(_scorer(trained), _SCORED)
