@@ -2,16 +2,18 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import compaction, embdedup, hmm_lm, langid, minhash, mixing, packing, secrets, topk, weaklabel
-from quillspark.llm.common import new_path
+from quillspark.llm.common import hash_strings, new_path
 from quillspark.llm.grouping import components
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -172,6 +174,8 @@ def test_secrets_ledger_scans_once(spark, docs, none):
     assert (r["n_assign"], r["n_access"], r["n_hex"]) == (1, 1, 1)
     assert r["base_sha256"] == hashlib.sha256(r["spans"].encode()).hexdigest()
     assert secrets.digest(secrets.scan_history(none, "doc_id")).count() == 0
+    cut = secrets.masked(F.lit("abécdef"), F.from_json(F.lit('[{"start":1,"end":4},{"start":2,"end":5}]'), "array<struct<start:int,end:int>>"))
+    assert spark.range(1).select(cut).first()[0] == f"a{secrets.MASK}ef"
     masked = secrets.redact(docs)
     assert masked.columns == docs.columns and masked.count() == docs.count()
     assert "hunter2" not in masked.where("doc_id = 307").first()["text"] and masked.where("text IS NULL").count() == 1
@@ -248,6 +252,100 @@ def test_raking_meets_the_margins(spark, docs, none):
     assert mixing.weigh(none).count() == 0
 
 
+def test_mixing_equals_a_plain_fit(spark):
+    """Weights against sequential scaling in numpy, for targets given and taken from the data, and p against its definition."""
+    rng = np.random.default_rng(9)
+    rows = [(k, " ".join(["word"] * int(rng.integers(1, 40))), "abc"[int(rng.random() * 3)], f"s{int(rng.random() ** 2 * 4)}") for k in range(300)]
+    wanted = {"lang": {"a": 0.5, "b": 0.3, "c": 0.2, "absent": 7.0}}
+    given = {m: spark.createDataFrame(list(t.items()), "value string, share double") for m, t in wanted.items()}
+    got = mixing.weigh(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), wanted=given).toPandas()
+    cells = got.groupby(list(mixing.MARGINS)).agg(tokens=("tokens", "sum"), weight=("weight", "first"), p=("p", "first")).reset_index()
+    mass = cells.tokens.to_numpy(float)
+    shares = {}
+    for m in mixing.MARGINS:
+        raw = cells.groupby(m).tokens.sum() ** mixing.TEMPERATURE if m not in wanted else cells.groupby(m).tokens.sum() * 0 + [wanted[m][v] for v in sorted(set(cells[m]))]
+        shares[m] = cells[m].map(raw / raw.sum()).to_numpy(float)
+    for _ in range(200):
+        for m in mixing.MARGINS:
+            mass *= shares[m] / cells.assign(mass=mass).groupby(m).mass.transform("sum").to_numpy()
+    assert np.abs(mass / cells.tokens - cells.weight).max() < 1e-5 * cells.weight.max()
+    factor = (cells.p / cells.weight)[cells.p < 1]
+    assert factor.max() - factor.min() < 1e-9 * factor.max() and (cells.weight[cells.p == 1] * factor.min() >= 1 - 1e-9).all()
+    assert abs((cells.p * cells.tokens).sum() / cells.tokens.sum() - mixing.BUDGET) < 1e-6
+    assert (got.residual == got.residual[0]).all() and got.residual[0] <= 1e-4
+
+
+CLASHES = ["source_", "__source", "__lang", "__spans", "__blob", "blob", "own", "spans", "new", "row", "rank", "shard_rows", "shard_tier", "shard_bytes", "tier", "path", "_metadata"]
+
+
+def test_operators_that_return_documents_keep_clashing_names(spark, docs):
+    wide = docs.where("doc_id < 110").select("doc_id", "text", "lang", "source", *[F.lit(k).alias(n) for k, n in enumerate(CLASHES)])
+    want = Counter(map(tuple, wide.drop("text").collect()))
+    assert Counter(map(tuple, secrets.redact(wide).drop("text").collect())) == want
+    assert Counter(map(tuple, mixing.weigh(wide).drop("text", *mixing.ADDED).collect())) == want
+    assert langid.identify(wide, langid.train(wide)).drop("lang_pred", "score", "text").columns == wide.drop("text").columns
+
+
+def test_languages_of_held_out_documents(spark):
+    """Whole documents of the driver's table: those not learned from are nearly all right."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang_pred <> 'und' AND lang IS NOT NULL")
+    right, n = got.selectExpr("sum(int(lang_pred = lang))", "count(*)").first()
+    assert n > 200 and right >= 0.98 * n
+
+
+def test_quality_of_labelled_documents(spark):
+    """Scores rank documents labelled good above those labelled bad, though no label is looked at in training."""
+    folder = "/root/testdata/sf0.01"
+    got = weaklabel.score_quality(spark.read.parquet(f"{folder}/documents.parquet")).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").toPandas()
+    ranks = got.score.rank()
+    good, bad = (got.quality == 1).sum(), (got.quality == 0).sum()
+    assert min(good, bad) > 50
+    assert (ranks[got.quality == 1].sum() - good * (good + 1) / 2) / (good * bad) > 0.95
+
+
+def test_secrets_of_whole_documents_equal_plain_expressions(spark):
+    """Every document of the driver's table, scanned here by the expressions of the contract alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.scan_history(docs, "doc_id")).collect()}
+    assign = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    some = 0
+    for r in docs.select("doc_id", "text").collect():
+        t = r["text"] or ""
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        said = ",".join(f"{secrets.BASE[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert [got[r["doc_id"]][f"n_{k}"] for k in secrets.BASE] == [sum(x[1] == j for x in spans) for j in range(3)]
+        some += bool(spans)
+    assert some > 5
+
+
+def test_language_model_score_is_the_forward_sum(spark):
+    """Scores of a small table against a plain forward recursion over the trained model's own probabilities, which sum to 1."""
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(60)] + ["rare1", "rare2", "rare3"]
+    rows = [(k, " ".join(rng.choice(words, int(rng.integers(0, 25))))) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    t, backed = hmm_lm.train(hmm_lm.coded_documents(docs), 3)
+    chances, total = {}, 0.0
+    for b in backed.toArrow().to_batches():
+        for k in range(b.num_rows):
+            c, seen, model = t.emitted(b, k)
+            for j, h in enumerate(c.hashes.tolist()):
+                if h not in chances:
+                    total = total + model.emit[:, 1 + j] * (seen[j] > 0)
+                chances[h] = model.emit[:, 1 + j]
+    assert (total + t.model.emit[:, 0] < 1).all() and (total + t.model.emit[:, 0] > 0.5).all()
+    known = lambda w: chances[int(hash_strings(pa.array([w]))[0])]
+    for r in hmm_lm.score_documents(docs, 3).collect():
+        a = None
+        for w in [*rows[r["doc_id"]][1].split(), None]:
+            a = (t.model.start if a is None else a @ t.model.move) * (t.model.emit[:, 0] if w is None else known(w))
+        assert math.isclose(r["score"], math.log10(a.sum()), rel_tol=1e-9)
+
+
 def test_compaction_round_trip_and_versions(spark, docs, none):
     root = new_path(spark, "shards")
     store = compaction.ShardStore(spark, root, target_bytes=1 << 20, shard_rows=2, fanout=2)
