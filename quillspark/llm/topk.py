@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -51,6 +51,10 @@ def _keyed(pivots: np.ndarray):
     return run
 
 
+#: Products of norms up to which double precision gives integer products exactly.
+EXACT = 2.0**52
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, id and score of each row's ``k`` highest scores, ties to smaller ids, without the row's own id."""
     scores = np.where(ids[None, :] == own[:, None], -np.inf, scores)
@@ -66,7 +70,36 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple
     return row[keep], ids[col[keep]], scores[row[keep], col[keep]]
 
 
-def _visit(k: int, width: int):
+def _best_large(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
+    """As ``_best`` for products that doubles round: those that may be among the highest are worked out in whole numbers."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        scores = q @ x.T
+        off = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :] * (2.0**-50 * q.shape[1])
+        most, least = scores + off, scores - off
+    most[np.isnan(most)], least[np.isnan(least)] = np.inf, -np.inf
+    other = ids[None, :] != own[:, None]
+    most[~other], least[~other] = -np.inf, -np.inf
+    row, found, score = [], [], []
+    whole = lambda v: [int(c) for c in v]
+    for r in range(len(q)):
+        bar = -np.partition(-least[r], min(k, len(ids)) - 1)[min(k, len(ids)) - 1]
+        near, mine = np.flatnonzero((most[r] >= bar) & other[r]), whole(q[r])
+        exact = sorted((-sum(a * b for a, b in zip(mine, whole(x[c]), strict=True)), int(ids[c])) for c in near)[:k]
+        row += [r] * len(exact)
+        found += [i for _, i in exact]
+        score += [-s for s, _ in exact]
+    return row, found, score
+
+
+def _sortable(score: int) -> str:
+    """Text that sorts as whole numbers do."""
+    digits = str(abs(score))
+    if score >= 0:
+        return f"1{len(digits):05d}{digits}"
+    return f"0{99_999 - len(digits):05d}{digits.translate(str.maketrans('0123456789', '9876543210'))}"
+
+
+def _visit(k: int, width: int, large: bool):
     """Scores of the queries of one query block against one index block: at most ``k`` rows a query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +109,14 @@ def _visit(k: int, width: int):
                 ids, x = get("ids"), get("block").reshape(-1, width)
                 qids, q = get("query_ids"), get("queries").reshape(-1, width)
                 some = np.asarray(b.column("active")[r].values)
-                row, found, score = _best(q[some] @ x.T, ids, qids[some], k)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[some][row]), pa.array(found), pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"])
+                if large:
+                    row, found, exact = _best_large(q[some], x, ids, qids[some], k)
+                    clip = lambda s, most: max(-most, min(most, s))
+                    more = [pa.array([max(-(2**63), min(2**63 - 1, s)) for s in exact], pa.int64()), pa.array([float(clip(s, 10**307)) for s in exact], pa.float64()), pa.array([_sortable(s) for s in exact], pa.string())]
+                else:
+                    row, found, score = _best(q[some] @ x.T, ids, qids[some], k)
+                    more = [pa.array(score.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(qids[some][row], pa.int64()), pa.array(found, pa.int64()), *more], ["query_id", "vec_id", "score", "near", "by"][: 2 + len(more)])
 
     return run
 
@@ -103,101 +142,108 @@ def _packed(names: list[str], width: int):
 _INDEX = "block_id long, pivot int, lo double, hi double, norm double, rows long, ids binary, block binary"
 
 
-def _admitted(bounds: dict[str, np.ndarray], pivots: np.ndarray, width: int, nearest: bool):
-    """(block_id, query block, active): for each query block, the index blocks that some of its queries must visit.
+def _admitted(bounds: dict[str, np.ndarray], pivots: np.ndarray, width: int, start: int, end: int):
+    """(block_id, query_block, active): for each query block, the index blocks that some of its queries visit next.
 
     With |q - p| and the block's distances from its pivot p, the triangle inequality bounds |q - x| from below, and so
-    q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 from above. ``nearest``: only each query's first annulus, to get a k-th score;
-    else all others whose bound reaches that score (a null one admits all).
+    q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 from above. A query's annuli are sorted by that bound; it visits those in
+    places ``start`` to ``end`` whose bound reaches its k-th score so far (a null one admits all), and as bounds fall, none after one
+    that doesn't.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, lo, hi, norm, block_ids = (bounds[n] for n in ("pivot", "lo", "hi", "norm", "block_id"))
         for b in batches:
             for r in range(b.num_rows):
-                q = np.frombuffer(b.column("queries")[r].as_buffer(), np.float64).reshape(-1, width)
-                d = np.sqrt(_squares(q, pivots))[:, pivot]
-                apart = np.maximum(0, np.maximum(d - hi, lo - d))
-                own = (q * q).sum(axis=1)[:, None]
-                most = np.minimum((own + norm * norm - apart * apart) / 2, np.sqrt(own) * norm)
-                first = apart.argmin(axis=1) if not nearest else (apart - 1e-9 * norm).argmin(axis=1)
-                if nearest:
-                    admit = np.zeros(most.shape, bool)
-                    admit[np.arange(len(q)), first] = True
-                else:
-                    least = np.array([-np.inf if v is None else v for v in b.column("least")[r].as_py()])
-                    admit = most + 1e-6 * (1 + np.abs(most)) >= least[:, None]
-                at = np.flatnonzero(admit.any(axis=0))
-                lists = [np.flatnonzero(admit[:, k]).astype(np.int32) for k in at]
-                yield pa.RecordBatch.from_arrays([pa.array(block_ids[at]), pa.array(np.full(len(at), b.column("query_block")[r].as_py())), pa.array(lists, pa.list_(pa.int32()))], ["block_id", "query_block", "active"])
+                every = np.frombuffer(b.column("queries")[r].as_buffer(), np.float64).reshape(-1, width)
+                least = np.array([-np.inf if v is None else float(v) for v in b.column("least")[r].as_py()])
+                active: dict[int, list[int]] = {}
+                for s in range(0, len(every), 64):
+                    q = every[s : s + 64]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        d = np.sqrt(_squares(q, pivots))[:, pivot]
+                        apart = np.maximum(0, np.maximum(d - hi, lo - d))
+                        own = (q * q).sum(axis=1)[:, None]
+                        most = np.fmin((own + norm * norm - apart * apart) / 2, np.sqrt(own) * norm)
+                        most += 1e-6 * (1 + np.abs(most))
+                    most[np.isnan(most)] = np.inf
+                    order = np.argsort(-most, axis=1, kind="stable")[:, start:end]
+                    row, place = np.nonzero(np.take_along_axis(most, order, axis=1) >= least[s : s + 64, None])
+                    for j, k in zip((row + s).tolist(), order[row, place].tolist(), strict=True):
+                        active.setdefault(k, []).append(j)
+                at = sorted(active)
+                yield pa.RecordBatch.from_arrays([pa.array(block_ids[at]), pa.array(np.full(len(at), b.column("query_block")[r].as_py())), pa.array([active[k] for k in at], pa.list_(pa.int32()))], ["block_id", "query_block", "active"])
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query: str, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: str, k: int = 5, pivots: int = PIVOTS, visits: list[DataFrame] | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): exact highest inner products of ``vectors`` (vec_id, x array<double>, integers).
 
     Queries are the rows that the SQL ``is_query`` picks; candidates are all rows but the query's own id; ties go to the
     smaller id. Every vector is keyed by its nearest pivot and its distance from it; a pivot's vectors, sorted by
-    distance, form annuli (blocks). A query first visits the annulus nearest to it, which gives a k-th score, and then
-    only those whose triangle-inequality bound reaches that score; so nothing is lost. Pivots come from a bounded
-    sample; the annuli's bounds are the only table sent to all (at most MOST_BLOCKS and one a pivot).
-
-    Shorter vectors count as ended by zeros. Fewer candidates than ``k``: all of them. An empty table or no query gives
-    an empty result. Repeated ids are candidates each (not for their own id's query).
+    distance, form annuli (blocks). A query's annuli are sorted by the bound that the triangle inequality gives for their
+    products. It visits the best one, then four times as many in each round; each round raises its k-th score, and it stops where the next
+    bound doesn't reach that; so nothing is lost. Pivots come from a bounded sample; the annuli's bounds are the only table sent
+    to all (at most MOST_BLOCKS and one a pivot). ``visits`` gets a table (query_block, block_id, active) for each round.
+
+    Products that doubles would round are worked out and compared in whole numbers; a score beyond a long is given as the nearest long.
+    Shorter vectors count as ended by zeros. Fewer candidates than ``k``: all of them. An empty table
+    or no query gives an empty result. Repeated ids are candidates each (not for their own id's query); of repeated query ids the
+    smallest vector is asked.
     """
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score long"
-    count, width = vectors.agg(F.count("*"), F.max(F.size("x"))).first()
+    square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
+    count, width, longest = vectors.agg(F.count("*"), F.max(F.size("x")), F.max(square)).first()
     if not count:
         return spark.createDataFrame([], result)
+    large = not longest <= EXACT
     draw = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < min(1 << 30, (1 << 30) * PIVOT_SAMPLE // count + 1)
     sample = vectors.where(draw).select("x").toArrow()
     if not sample.num_rows:
         sample = vectors.limit(1).select("x").toArrow()
-    centres = choose_pivots(dense(sample.column("x"), width), min(pivots, max(1, count // BLOCK * 2)))
+    with np.errstate(over="ignore", invalid="ignore"):
+        centres = choose_pivots(dense(sample.column("x"), width), min(pivots, max(1, count // BLOCK * 2)))
+    centres = centres[np.isfinite(centres).all(axis=1)] if np.isfinite(centres).all(axis=1).any() else np.zeros((1, width))
     keyed = cut(vectors.mapInArrow(_keyed(centres), "vec_id long, x array<double>, pivot int, distance double, norm double"), "keyed")
     rows = max(BLOCK, -(-count // MOST_BLOCKS))
     # Annuli of a pivot: quantiles of its distances; ranges, so that a pivot with most of the rows is split like any other.
-    cuts = keyed.groupBy("pivot").agg(F.count("*").alias("n"), F.percentile_approx("distance", [v / 1000 for v in range(1, 1000)], 10_000).alias("q")).collect()
-    edges = {r["pivot"]: sorted({r["q"][min(998, int(j * 1000 / max(1, -(-r["n"] // rows))) - 1)] for j in range(1, -(-r["n"] // rows)) if int(j * 1000 / max(1, -(-r["n"] // rows))) >= 1}) for r in cuts}
-    counts = {r["pivot"]: r["n"] for r in cuts}
-    placed = keyed.withColumn("annulus", F.lit(0))
-    if any(edges.values()):
-        arrays = F.create_map(*[v for p, e in edges.items() for v in (F.lit(p), F.array(*[F.lit(float(x)) for x in e]).cast("array<double>"))])
-        placed = keyed.withColumn("e", arrays[F.col("pivot")]).withColumn("annulus", F.expr("size(filter(e, v -> v < distance))")).drop("e")
+    marks = keyed.groupBy("pivot").agg(F.count("*").alias("n"), F.percentile_approx("distance", [v / 1000 for v in range(1, 1000)], 10_000).alias("q"))
+    many = F.ceil(F.col("n") / rows)
+    edges = F.expr("array_distinct(transform(filter(sequence(1L, many), j -> j < many AND j * 1000 DIV many >= 1), j -> element_at(q, CAST(j * 1000 DIV many AS int))))")
+    marks = cut(marks.withColumn("many", many.cast("long")).select("pivot", edges.alias("e")), "edges")
+    placed = keyed.join(F.broadcast(marks), "pivot").withColumn("annulus", F.expr("size(filter(e, v -> v < distance))")).drop("e")  # PIVOTS rows
     # Equal distances fall into one annulus, however many; salts keep its blocks bounded.
-    sizes = placed.groupBy("pivot", "annulus").agg(F.count("*").alias("m"))
-    salts = {(r["pivot"], r["annulus"]): -(-r["m"] // (2 * rows)) for r in sizes.where(F.col("m") > 2 * rows).collect()}
-    salted = F.lit(0)
-    for (p, a), n in salts.items():
-        salted = F.when((F.col("pivot") == p) & (F.col("annulus") == a), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).otherwise(salted)
-    placed = placed.withColumn("block_id", (F.col("pivot").cast("long") * (1 << 40)) + F.col("annulus").cast("long") * (1 << 20) + salted)
+    sizes = cut(placed.groupBy("pivot", "annulus").agg(F.ceil(F.count("*") / (2 * rows)).alias("salts")), "sizes")
+    salted = placed.join(F.broadcast(sizes), ["pivot", "annulus"])  # at most MOST_BLOCKS rows and one a pivot
+    placed = salted.withColumn("block_id", F.col("pivot").cast("long") * (1 << 40) + F.col("annulus").cast("long") * (1 << 20) + F.expr("pmod(xxhash64(vec_id), salts)"))
     index = cut(placed.groupBy("block_id").applyInArrow(_packed([c.split()[0] for c in _INDEX.split(", ")], width), _INDEX), "index")
     bounds = index.select("block_id", "pivot", "lo", "hi", "norm").toArrow()
     bounds = {n: np.asarray(bounds.column(n)) for n in bounds.column_names}
 
-    asked = keyed.where(is_query)
+    asked = cut(vectors.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x")).mapInArrow(_keyed(centres), "vec_id long, x array<double>, pivot int, distance double, norm double"), "asked")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("block_id", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     queries = cut(asked.groupBy("block_id").applyInArrow(_packed(["block_id", "ids", "block"], width), "block_id long, ids binary, block binary").selectExpr("block_id AS query_block", "ids AS query_ids", "block AS queries"), "queries")
-    found_row, pair_row = "query_id long, vec_id long, score long", "block_id long, query_block long, active array<int>"
-
-    def visited(pairs: DataFrame) -> DataFrame:
-        return pairs.join(queries, "query_block").join(index.select("block_id", "ids", "block"), "block_id").mapInArrow(_visit(k, width), found_row)
-
-    first_pairs = cut(queries.mapInArrow(_admitted(bounds, centres, width, True), pair_row), "pairs")
-    first = cut(visited(first_pairs), "first")
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = first.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") == k).selectExpr("query_id", "score AS least")
-    order = queries.mapInArrow(_listed, "query_block long, query_id long, place int")
-    least = order.join(kth, "query_id", "left").groupBy("query_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "least"))), lambda v: v["least"].cast("double")).alias("least"))
-    wanted = queries.join(least, "query_block").mapInArrow(_admitted(bounds, centres, width, False), pair_row)
-    done = first_pairs.select("query_block", "block_id", F.col("active").alias("seen"))
-    wanted = wanted.join(done, ["query_block", "block_id"], "left").withColumn("active", F.expr("CASE WHEN seen IS NULL THEN active ELSE array_except(active, seen) END")).where("size(active) > 0").drop("seen")
-    both = first.unionAll(visited(cut(wanted, "pairs")))
-    ranked = both.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    order = cut(queries.mapInArrow(_listed, "query_block long, query_id long, place int"), "order")
+    found_row, pair_row = "query_id long, vec_id long, score long" + ", near double, by string" * large, "block_id long, query_block long, active array<int>"
+    by_query = Window.partitionBy("query_id").orderBy(F.desc("by" if large else "score"), "vec_id")
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+    found = spark.createDataFrame([], found_row + ", rank int")
+    start, end = 0, 1
+    while start < len(bounds["block_id"]):
+        kth = found.where(F.col("rank") == k).selectExpr("query_id", f"{'near' if large else 'score'} AS least")
+        least = order.join(kth, "query_id", "left").groupBy("query_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "least"))), lambda v: v["least"].cast("double")).alias("least"))
+        pairs = cut(queries.select("query_block", "queries").join(least, "query_block").mapInArrow(_admitted(bounds, centres, width, start, end), pair_row), "pairs")
+        if pairs.isEmpty():
+            break
+        if visits is not None:
+            visits.append(pairs)
+        seen = pairs.join(queries, "query_block").join(index.select("block_id", "ids", "block"), "block_id").mapInArrow(_visit(k, width, large), found_row)
+        found = cut(ranked(found.drop("rank").unionAll(seen)), "found")
+        start, end = end, end + 4 * (end - start)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +253,19 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), b.column("query_block")[r].as_py())), pa.array(ids), pa.array(np.arange(len(ids), dtype=np.int32))], ["query_block", "query_id", "place"])
 
 
+def _whole(x: Column) -> Column:
+    """floor(256 * x) as a double; from 2^52 on a double is whole."""
+    wide = x * 256.0
+    return F.when(F.abs(wide) < EXACT, F.floor(wide).cast("double")).otherwise(wide)
+
+
 def search_embeddings(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
-    """Top ``k`` of each row whose vec_id is divisible by ``every``, over components floor(256 * x)."""
-    whole = usable(embeddings).select("vec_id", F.transform("v", lambda x: F.floor(x * 256.0).cast("double")).alias("x"))
+    """Top ``k`` of each row whose vec_id is divisible by ``every``, over components floor(256 * x); see ``top_k``.
+
+    Vectors that are null or empty or hold null or non-finite components take no part, nor do those with a component whose 256-fold isn't
+    finite. Columns but vec_id and embedding are ignored.
+    """
+    whole = usable(embeddings).select("vec_id", F.transform("v", _whole).alias("x")).where(F.forall("x", lambda x: F.abs(x) < float("inf")))
     return top_k(cut(whole, "whole"), f"vec_id % {every} = 0", k)
 
 

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -238,6 +239,42 @@ def test_top_k_equals_brute_force(spark):
     assert topk.search_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_top_k_of_large_components_is_exact(spark):
+    """Products beyond 2^53, beyond a long and beyond 38 digits, against whole numbers; ties go to the smaller id."""
+    rng = np.random.default_rng(4)
+    for scale, ids in ((1e6, 30), (3e8, 30), (1e30, 12)):
+        rows = [(int(k), [float(v) for v in rng.integers(-1000, 1000, 8) * scale / 1000 + (scale < 1e9)]) for k in range(ids)]
+        rows += [(100, rows[3][1]), (101, rows[3][1]), (102, [0.5] * 8), (103, [0.0] * 8), (104, [1e308] * 8)]
+        able = {i: [math.floor(256 * Fraction(x)) for x in v] for i, v in rows if i != 104}
+        got = topk.search_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+        clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+        want = set()
+        for q in able:
+            if q % 50 == 0:
+                best = sorted((-sum(a * b for a, b in zip(able[q], able[c], strict=True)), c) for c in able if c != q)[:5]
+                want |= {(q, k, c, clip(-s)) for k, (s, c) in enumerate(best, 1)}
+        assert {tuple(r) for r in got} == want
+
+
+def test_top_k_stops_at_the_bound(spark, monkeypatch):
+    """Well-parted groups of vectors: queries visit few of the annuli, each at most once."""
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    rng = np.random.default_rng(6)
+    centres = rng.integers(-4000, 4000, (16, 4))
+    x = (centres[np.arange(1600) % 16] + rng.integers(-20, 20, (1600, 4))).astype(float)
+    visits = []
+    vectors = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, x array<double>")
+    got = topk.top_k(vectors, "vec_id % 100 = 0", 3, visits=visits).collect()
+    products = x[::100] @ x.T
+    for j in range(16):
+        best = sorted((-products[j, c], c) for c in range(1600) if c != 100 * j)[:3]
+        assert [(r["vec_id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == 100 * j), key=lambda r: r["rank"])] == [(c, int(-s)) for s, c in best]
+    seen = [(r["query_block"], r["block_id"], a) for v in visits for r in v.collect() for a in r["active"]]
+    assert len(seen) == len(set(seen)) and len(visits) > 1
+    blocks = len({s[1] for s in seen}) and 1600 // 32
+    assert len(seen) < 0.5 * 16 * blocks
+
+
 def test_raking_meets_the_margins(spark, docs, none):
     rng = np.random.default_rng(5)
     rows = [(k, " ".join(["word"] * int(rng.integers(1, 40))) + (" {};" * 9 if k % 7 == 0 else ""), "ab"[int(rng.random() < 0.3)], f"s{int(rng.random() ** 2 * 4)}") for k in range(400)]
@@ -358,12 +395,30 @@ def test_compaction_round_trip_and_versions(spark, docs, none):
     assert key(store.read()) == key(store.read(3)) == key(docs)
     with pytest.raises(compaction.Conflict):
         store._commit(store.manifest(), 3)
-    assert store.vacuum() > 0 and key(store.read()) == key(docs) and store.versions() == [4]
+    assert store.vacuum() == 0 and store.vacuum(0) > 0 and key(store.read()) == key(docs) and store.versions() == [4]
     out = compaction.sharded(docs, new_path(spark, "shards"))
     assert Counter((r["doc_id"], r["text_crc32"]) for r in out.collect()) == Counter((i, None if t is None else zlib.crc32(t.encode())) for i, t, *_ in _documents())
     assert compaction.sharded(none, new_path(spark, "shards")).count() == 0
 
 
+def test_vacuum_spares_an_append_under_way(spark, docs, monkeypatch):
+    """Another writer's vacuum between the writing of shards and their commit; names that the store adds; many shards in turns."""
+    monkeypatch.setattr(compaction, "MOST_PATHS", 3)
+    wide = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(CLASHES)])
+    key = lambda df: Counter(map(tuple, df.select(wide.columns).collect()))
+    root = new_path(spark, "shards")
+    one, two = compaction.ShardStore(spark, root, 1 << 20, 2, 2), compaction.ShardStore(spark, root, 1 << 20, 2, 2)
+    one.append(wide.where("doc_id < 110"))
+    commit = two._commit
+    monkeypatch.setattr(two, "_commit", lambda *a: (one.vacuum(), commit(*a))[1])
+    two.append(wide.where("doc_id >= 110"))
+    assert key(one.read()) == key(wide.where("doc_id IS NOT NULL"))
+    while one.compact():
+        pass
+    assert key(one.read()) == key(wide.where("doc_id IS NOT NULL"))
+    assert compaction.sharded(wide, new_path(spark, "shards")).count() == wide.count()
+
+
 def test_quality_scores(spark, docs, none):
     rows = [(k, "the quiet house by the river was sold to a young family " * 3 + f"in year {k}") for k in range(60)]
     rows += [(100 + k, "BUY NOW!!! CHEAP!!! $$$ ### " * (5 + k % 5)) for k in range(20)] + [(200, None), (201, " ")]

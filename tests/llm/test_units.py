@@ -170,12 +170,29 @@ def test_codes_estimate_inner_products():
     x = rng.standard_normal((400, 64))
     y = x + rng.standard_normal((400, 64)) * rng.random((400, 1)) * 2
     x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
-    codes, factors, _ = embdedup.encode(x, turns, 10, 5)
+    codes, factors = embdedup.encode(x, turns)
     guess, sure = embdedup.estimate(codes, factors, y, turns)
+    many, bound = embdedup.estimates(codes, factors, y, turns)
+    assert np.allclose(np.diag(many), guess) and np.allclose(bound, sure)
     true = (x * y).sum(axis=1)
     assert abs((guess - true).mean()) < 0.01 and (np.abs(guess - true) <= sure).all() and sure.mean() < 0.35
 
 
+@pytest.mark.parametrize("width", [2, 8, 64])
+def test_tables_find_close_pairs(width):
+    """Pairs exactly at the threshold share a key; unlike ones rarely do."""
+    rng = np.random.default_rng(7)
+    x, z = rng.standard_normal((2, 3000, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    tables = embdedup.Tables(3000, width, 0.9)
+    a, b = tables.keys(x), tables.keys(0.9 * x + math.sqrt(0.19) * z)
+    assert ((a == b).any(axis=1)).mean() > 0.998
+    if width == 64:
+        assert (a == tables.keys(z)).mean() < 0.001
+
+
 def test_best_breaks_ties_by_id():
     row, ids, score = topk._best(np.array([[3.0, 5, 5, 1, 5]]), np.array([9, 8, 2, 7, 4]), np.array([4]), 2)
     assert ids.tolist() == [2, 8] and score.tolist() == [5, 5]
