@@ -66,6 +66,8 @@ QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
 }
 ORACLE_SQL = {
+    "op4_minhash_near_dedup": minhash.NEAR_SQL,
+    "op8_secret_scan": secrets.SCAN_SQL,
     "op7_exact_topk": topk.SEARCH_SQL,
     "op10_embedding_near_dedup": embdedup.NEAR_SQL,
 }

@@ -19,7 +19,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _MORE = {
-    "key": ("-----BEGIN ", re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z]+ )?PRIVATE KEY-----)?")),
+    "key": ("-----BEGIN ", re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*(?:-----END (?:[A-Z]+ )?PRIVATE KEY-----)?")),
     "jwt": ("eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")),
     "github": ("gh", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
     "slack": ("xox", re.compile(r"xox[abprs]-[A-Za-z0-9-]{20,}")),
@@ -51,7 +51,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
 class Rules:
     """A version of the rules; a new version makes all blobs unseen again."""
 
-    version: str = "2"
+    version: str = "3"
     scan: object = field(default=find)
 
 
@@ -139,3 +139,27 @@ def redact(documents: DataFrame, path: str = "doc_id", ledger: str | None = None
     hit = keyed.join(found, "blob", "left").withColumn("new", F.when(F.col("spans").isNotNull(), masked(F.col("own.text"), F.col("spans"))))
     new = {"text": F.coalesce("new", "own.text"), "n_chars": F.when(F.col("new").isNotNull(), F.length("new")).otherwise(F.col("own")["n_chars"]).cast(documents.schema["n_chars"].dataType) if "n_chars" in documents.columns else None}
     return hit.select(*[new.get(c, F.col("own")[c]).alias(c) for c in documents.columns])
+
+
+# The same expressions for SQL, with the group and the length that a match must have.
+_SQL_RULES = [
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    *[(kind, rule.pattern, 0, 1) for kind, (_, rule) in _MORE.items()],
+]
+_found = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS k, '{kind}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS m, unnest(regexp_extract_all(text, '{p}', {group})) AS g, unnest(regexp_split_to_array(text, '{p}')[:len(regexp_extract_all(text, '{p}'))]) AS gap, {least} AS least FROM t"
+    for k, (kind, p, group, least) in enumerate(_SQL_RULES)
+)
+SCAN_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), f AS (SELECT *, row_number() OVER () AS r FROM ({_found})
+), p AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, k ORDER BY r) AS e FROM f
+), s AS (SELECT doc_id, k, kind, CAST(e - length(m) AS BIGINT) AS b, CAST(e AS BIGINT) AS e FROM p WHERE length(g) >= least
+), j AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(concat(kind, ':', b, ':', e), ',' ORDER BY b, k) AS spans, coalesce(string_agg(concat(kind, ':', b, ':', e), ',' ORDER BY b, k) FILTER (k < 3), '') AS base FROM s GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN j USING (doc_id)
+"""
