@@ -78,7 +78,11 @@ def parsed(df: DataFrame, column: str, prefix: str) -> DataFrame:
     keyed = F.transform(F.filter(parts, lambda x: x["key"].isNotNull()), lambda x: F.struct(x["key"].alias("key"), x["bucket"].alias("bucket")))
     df = df.withColumn(p("keyed"), keyed)
     keyed = F.col(p("keyed"))
-    last = F.filter(keyed, lambda x, i: ~F.exists(F.slice(keyed, i + 2, F.greatest(F.size(keyed) - i - 1, F.lit(0))), lambda y: y["key"] == x["key"]))
+    # Of equal keys the last counts: the largest place, after a sort by key and place.
+    placed = F.array_sort(F.transform(keyed, lambda x, i: F.struct(x["key"].alias("key"), i.alias("i"), x["bucket"].alias("bucket"))))
+    df = df.withColumn(p("placed"), placed)
+    placed = F.col(p("placed"))
+    last = F.transform(F.filter(placed, lambda x, i: F.coalesce(F.get(placed, i + 1)["key"] != x["key"], F.lit(True))), lambda x: F.struct(x["key"].alias("key"), x["bucket"].alias("bucket")))
     ratios = F.filter(F.transform(parts, lambda x: x["ratio"]), lambda x: x.isNotNull())
     return df.withColumns(
         {
@@ -87,7 +91,7 @@ def parsed(df: DataFrame, column: str, prefix: str) -> DataFrame:
             p("format"): has_report_format(F.col(p("norm"))),
             p("findings"): F.array_sort(F.array_distinct(F.array_compact(F.transform(parts, lambda x: x["finding"])))),
             p("places"): F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda x: x["places"])))),
-            p("buckets"): F.array_sort(last),
+            p("buckets"): last,
             p("ratio"): F.get(F.reverse(ratios), F.lit(0)),
         }
-    ).drop(p("parts"), p("keyed"))
+    ).drop(p("parts"), p("keyed"), p("placed"))

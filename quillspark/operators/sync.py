@@ -22,14 +22,23 @@ def image_labels(diseases: DataFrame, items: Column) -> DataFrame:
     return rows.groupBy("img_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"])).alias("tags"))
 
 
-def patient_labels(patients: DataFrame, ids: Column, abnormal: Column, sides: DataFrame, labels: DataFrame) -> DataFrame:
-    """(img_id, tags, institution_name): a patient's labels that hold for the image's side, then its own; the last patient row wins."""
+def image_sides_and_labels(diseases: DataFrame, items: Column) -> DataFrame:
+    """(img_id, eye_side, tags): ``image_sides`` and ``image_labels`` by one aggregate of the rows."""
+    rows = diseases.select(strip(or_empty(F.col("img_id"))).alias("img_id"), "ord", F.lower(strip(or_empty(F.col("eye_side")))).alias("s"), F.posexplode_outer(items).alias("pos", "t")).where("img_id <> ''")
+    rows = rows.withColumn("t", normalized_tag(F.col("t")))
+    side = F.coalesce(F.min_by("s", F.when(F.col("s") != "", F.col("ord"))), F.lit("")).alias("eye_side")
+    listed = F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("ord", "pos", "t"))))  # nulls aren't collected
+    return rows.groupBy("img_id").agg(side, F.array_distinct(F.transform(listed, lambda x: x["t"])).alias("tags"))
+
+
+def patient_labels(patients: DataFrame, ids: Column, abnormal: Column, images: DataFrame) -> DataFrame:
+    """(img_id, tags, institution_name): a patient's labels that hold for the image's side, then its own (``images``: img_id, eye_side,
+    tags); the last patient row wins."""
     rows = patients.select("ord", "institution_name", abnormal.alias("abnormal"), F.posexplode(ids).alias("pos", "i")).withColumn("img_id", strip(or_empty(F.col("i")))).where("img_id <> ''")
     last = rows.groupBy("img_id").agg(F.max_by(F.struct("institution_name", "abnormal"), F.struct("ord", "pos")).alias("x")).select("img_id", "x.*")
-    joined = last.join(sides, "img_id", "left").join(labels, "img_id", "left")
     none = F.array().cast("array<string>")
     own = sided_tags(F.coalesce("abnormal", none), F.coalesce("eye_side", F.lit("")))
-    return joined.select("img_id", F.array_distinct(F.concat(own, F.coalesce("tags", none))).alias("tags"), "institution_name")
+    return last.join(images, "img_id", "left").select("img_id", F.array_distinct(F.concat(own, F.coalesce("tags", none))).alias("tags"), "institution_name")
 
 
 def annotations(images: DataFrame) -> DataFrame:

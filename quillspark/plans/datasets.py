@@ -210,7 +210,7 @@ def _focal(s, d):
 
 def _entropy(s, d):
     e = table(s, d, "embeddings").where("embedding IS NOT NULL").withColumn("next", F.when(F.col("vec_id") % 4 == 0, F.lit(-100)).otherwise(F.col("vec_id") % 64))
-    return numeric.token_cross_entropy(e, "label", "vec_id", "embedding", "next").select(r9("loss").alias("loss"))
+    return numeric.token_cross_entropy(e.withColumn("sequence", F.expr("vec_id DIV 32")), "sequence", "vec_id", "embedding", "next").select(r9("loss").alias("loss"))
 
 
 def _sizes(s, d):
@@ -313,7 +313,7 @@ ORACLE_SQL = {
     "masked_pool": _pool_sql("sum(v * m) / greatest(sum(m), 1)"),
     "first_pool": _pool_sql("arg_min(v, vec_id) FILTER (m > 0)"),
     "last_pool": _pool_sql("arg_max(v, vec_id) FILTER (m > 0)"),
-    "token_cross_entropy": "WITH e AS (SELECT *, lead(CASE WHEN vec_id % 4 = 0 THEN -100 ELSE vec_id % 64 END) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings WHERE embedding IS NOT NULL) SELECT round(avg(ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE)))) - embedding[nxt + 1]::DOUBLE), 9) AS loss FROM e WHERE nxt <> -100",
+    "token_cross_entropy": "WITH e AS (SELECT *, lead(CASE WHEN vec_id % 4 = 0 THEN -100 ELSE vec_id % 64 END) OVER (PARTITION BY vec_id // 32 ORDER BY vec_id) AS nxt FROM embeddings WHERE embedding IS NOT NULL) SELECT round(avg(ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE)))) - embedding[nxt + 1]::DOUBLE), 9) AS loss FROM e WHERE nxt <> -100",
     "longest_side": "WITH p AS (SELECT p_partkey, p_partkey % 3000 + 1 AS w, p_partkey * 7 % 2000 + 1 AS h FROM part) SELECT p_partkey, CASE WHEN greatest(w, h) <= 1024 THEN w ELSE greatest(CAST(round_even(w * (1024::DOUBLE / greatest(w, h)), 0) AS BIGINT), 1) END AS width, CASE WHEN greatest(w, h) <= 1024 THEN h ELSE greatest(CAST(round_even(h * (1024::DOUBLE / greatest(w, h)), 0) AS BIGINT), 1) END AS height FROM p",
     "chat_messages": "SELECT conv_id, count(*) AS turns, string_agg(concat(role, ': ', coalesce(text, '')), chr(10) ORDER BY turn, role, text) AS messages FROM conversations GROUP BY conv_id",
 }

@@ -57,8 +57,7 @@ def images(s, d):
 
 
 def _labels(s, d):
-    dis = diseases(s, d)
-    return sync.patient_labels(patients(s, d), F.col("ids"), F.col("abnormal"), sync.image_sides(dis), sync.image_labels(dis, F.array("tag")))
+    return sync.patient_labels(patients(s, d), F.col("ids"), F.col("abnormal"), sync.image_sides_and_labels(diseases(s, d), F.array("tag")))
 
 
 def _synced(s, d):

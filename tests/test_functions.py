@@ -134,13 +134,14 @@ def test_merged_places():
 
 
 def test_grids(spark):
-    grid = udf.table_grid("<table><tr><td rowspan=2>a</td><td colspan=2>b</td></tr><tr><td>c</td></tr><tr><td>d（1）</td></tr></table>")
-    assert grid == [["a", "b", "b"], ["a", "c", ""], ["d(1)", "", ""]]
-    assert udf.table_grid("") == [] and udf.table_grid(None) == []
-    rows = spark.createDataFrame([("r", "性别：女 \n![](x)\nlast\n<table><tr><td>面积</td><td>1</td></tr><tr><td>面积比</td><td>2</td></tr></table>")], "path string, md string")
+    html = "<table><tr><td rowspan=2>a</td><td colspan=2>b</td></tr><tr><td>c</td></tr><tr><td>d（1）</td></tr></table>"
+    grid = lambda h: extract.grids(spark.createDataFrame([(h,)], "html string")).first()["grid"]
+    assert grid(html) == [["a", "b", "b"], ["a", "c", ""], ["d(1)", "", ""]]
+    assert grid("") == [] and grid(None) == []
+    rows = spark.createDataFrame([("r", "性别：女 \n![](x)\n视盘面积分析\n<table><tr><td>视盘面积（mm<sup>2</sup>）</td><td>1</td></tr><tr><td>视杯/视盘面积比</td><td>2</td></tr></table>")], "path string, md string")
     assert rows.select(extract.basic_info(F.col("md"))["性别"].alias("y")).first()["y"] == "女"
-    cells = extract.cells_by_schema(extract.grids(extract.tables_of(rows)), "path", ["v"], ["面积", "缺"]).collect()
-    assert {(c["row"], c["value"]) for c in cells} == {("面积", "1"), ("缺", None)}
+    cells = extract.cells_by_schema(extract.by_schema(extract.report_tables(rows), "path"), "path").where("column = '右眼'").collect()
+    assert {(c["row"], c["value"]) for c in cells} == {("视盘面积(mm²)", "1"), ("视杯/视盘面积比", "2"), ("视杯面积(mm²)", None), ("盘沿面积(mm²)", None)}
 
 
 def test_ranking_puts_missing_metrics_last(spark):
@@ -154,3 +155,49 @@ def test_report_defaults(spark):
     names += ["discbloodnumber", "ratioatrophymaxwidth", "arteriovenouscrossingnumber", "atrophicfocinumber", "lacquercracknumber", "rnfldarea"]
     rows = spark.range(1).select(F.lit("i").alias("img_id"), F.lit(0.4).alias("ratiocdv"), F.lit(None).cast("array<string>").alias("tags"), F.lit("").alias("institution_name"), F.lit("").alias("img_path"), *[F.lit(None).cast("double").alias(n) for n in names])
     assert report.report_text(rows).first()["description"] == "描述：杯盘比为0.4。\n初步诊断：未见明显异常表征"
+
+
+def test_grid_cells_and_spans():
+    rows = udf.table_grid("<table><tr><td rowspan=2>a<b>b</b></td><td colspan=300>c</td></tr><tr><td>10<sup>3</sup> &amp;lt;</td></tr><tr></tr><tr><td> </td></tr></table>")
+    assert rows[0] == ["a b", *["c"] * 300] and rows[1] == ["a b", "10 3 <"] and len(rows) == 2
+    # A span that isn't next to the row's end waits for a row that reaches it.
+    assert udf.table_grid("<tr><td>x</td><td>y</td><td rowspan=2>z</td></tr><tr><td>1</td></tr><tr><td>1</td><td>2</td></tr>") == [["x", "y", "z"], ["1"], ["1", "2", "z"]]
+    assert udf.table_grid(None) == [] and udf.table_grid("<table>") == []
+
+
+def test_cell_text(spark):
+    said = {"最大面积(m²) 3 m²": "最大面积(mm²) 3 m²", "最大面积( 3 m²": "最大面积(3 mm²", "（ MM<sup> 2 </sup> ）": "(mm²)", "3 mm 2 x": "3 mm²x", "m 2a m 2": "m 2a m²", "\u3000 虎纹斑\u00a0\n x ": "豹纹斑 x", "µ": "μ"}
+    got = spark.createDataFrame([(k, v) for k, v in said.items()], "raw string, want string").withColumn("got", text.cell_text(F.col("raw"))).collect()
+    assert {r["raw"]: r["got"] for r in got} == said
+
+
+def test_columns_by_aliases():
+    assert text.column_by_aliases(["x", "Image ID", "imgid"], ["img_id", "image_id"]) == "imgid"
+    assert text.column_by_aliases(["x"], ["y"], required=False) is None
+    with pytest.raises(KeyError):
+        text.column_by_aliases(["x"], ["y"])
+
+
+def test_exudate_forms_and_header_rows(spark):
+    rows = [("none", 0, "出血渗出", [["x", "1"]]), ("short", 0, "出血渗出", [["出血", "1"]]), ("wide", 0, "出血渗出", [["出血", *map(str, range(14))]]), ("head", 0, "盘沿分析", [["I区内容", "右眼", "左眼"], ["S区", "3"]])]
+    found = extract.by_schema(spark.createDataFrame(rows, "k string, nth int, type string, grid array<array<string>>"), "k").collect()
+    schema = {r["k"]: r["schema"] for r in found}
+    assert schema == {"none": None, "short": "EXUDATION_SUMMARY", "wide": "EXUDATION_QUADRANT", "head": "盘沿分析"}
+    warned = {(r["k"], r["row"]): r["warning"] for r in found}
+    assert warned["none", None] == dims.NO_EXUDATION_ROW and warned["short", "渗出"] == dims.NO_ROW + "渗出" and warned["short", "出血"] is None
+    assert warned["head", "I区"] is None and warned["head", "S区"] is None and warned["head", "T区"] == dims.NO_ROW + "T区"
+
+
+def test_strict_zip_and_early_stop(spark):
+    left, right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string"), spark.createDataFrame([(1, 5), (3, 6)], "k int, y int")
+    with pytest.raises(Exception, match="one-to-one"):
+        split.zipped(left, right, "k").collect()
+    assert split.zipped(left, left.withColumnRenamed("x", "y"), "k").count() == 2
+    rows = spark.createDataFrame([(k, None if k % 3 == 0 else "t") for k in range(30)], "k int, text string")
+    got = split.load_counters(rows, "text", F.col("k") % 2 == 1, "k", 4).first()
+    assert tuple(got) == (12, 4, 4, 4)
+
+
+def test_metric_predicates():
+    assert not rank.greater_is_better("eval_description_cdr_mae") and rank.greater_is_better("train_loss")
+    assert rank.runs_structured("eval_loss", None) is False and rank.runs_structured("eval_loss", True) and rank.structured_metric("eval_diagnosis_micro_f1")
