@@ -127,8 +127,8 @@ def identifier(c: Column) -> Column:
 
 
 def safe_int(c: Column) -> Column:
-    """Whole part of a number; 0 for whatever is none."""
-    return F.coalesce(F.expr("0") if c is None else c.try_cast("double").try_cast("int"), F.lit(0))
+    """Whole part of a number, as a long; 0 for whatever is none."""
+    return F.coalesce(c.try_cast("double").try_cast("long"), F.lit(0).cast("long"))
 
 
 def excluded(c: Column) -> Column:

@@ -17,17 +17,19 @@ def tail_scores(rows: DataFrame, key: str, labels: Column, beta: float = dims.TA
     to 1 by its smallest and largest value, which is an assumption: the normalisation isn't stated anywhere.
     """
     base = rows.select(F.col(key), F.array_sort(F.array_distinct(labels)).alias("__l")).withColumn("__c", F.array_join("__l", "、"))
-    each = base.select(key, F.explode("__l").alias("__x"))
-    rare = each.groupBy("__x").agg(F.count("*").alias("n")).select("__x", ((1 - F.lit(beta)) / (1 - F.pow(F.lit(beta), F.col("n").cast("double")))).alias("__r"))
-    single = each.join(rare, "__x").groupBy(key).agg(F.avg("__r").alias("single"))
-    combos = base.groupBy("__c").agg(F.count("*").alias("n"))
+    # All scores depend on the combination alone: they are worked out once for each, and rows only look theirs up.
+    combos = base.groupBy("__c", "__l").agg(F.count("*").alias("n"))
+    each = combos.select("__c", "n", F.explode("__l").alias("__x"))
+    rare = each.groupBy("__x").agg(F.sum("n").alias("m")).select("__x", ((1 - F.lit(beta)) / (1 - F.pow(F.lit(beta), F.col("m").cast("double")))).alias("__r"))
+    single = each.join(rare, "__x").groupBy("__c").agg(F.avg("__r").alias("single"))
     span = combos.agg(F.max("n").alias("hi"), F.min("n").alias("lo"))
-    combos = combos.join(F.broadcast(span)).select("__c", F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise((F.log1p("hi") - F.log1p("n")) / F.nullif(F.log1p("hi") - F.log1p("lo"), F.lit(0.0))).alias("combo"))
-    both = base.join(combos, "__c").join(single, key, "left").withColumn("single", F.coalesce("single", F.lit(0.0)))
-    both = both.withColumn("tail", (1 - F.lit(mix)) * F.col("single") + F.lit(mix) * F.col("combo")).select(key, "single", "combo", "tail")
+    combo = F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise((F.log1p("hi") - F.log1p("n")) / F.nullif(F.log1p("hi") - F.log1p("lo"), F.lit(0.0)))
+    both = combos.join(F.broadcast(span)).select("__c", combo.alias("combo")).join(single, "__c", "left").withColumn("single", F.coalesce("single", F.lit(0.0)))  # one row
+    both = both.withColumn("tail", (1 - F.lit(mix)) * F.col("single") + F.lit(mix) * F.col("combo"))
     ends = both.agg(F.min("tail").alias("lo"), F.max("tail").alias("hi"))
     score = F.when(F.col("hi") == F.col("lo"), F.lit(0.0)).otherwise((F.col("tail") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)))
-    return both.join(F.broadcast(ends)).select(key, "single", "combo", "tail", score.alias("score"))  # one row
+    scored = both.join(F.broadcast(ends)).select("__c", "single", "combo", "tail", score.alias("score"))  # one row
+    return base.select(key, "__c").join(scored, "__c").select(key, "single", "combo", "tail", "score")
 
 
 def tail_level(score: Column) -> Column:
