@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -33,29 +34,69 @@ def rotations(width: int, count: int, seed: int = 17) -> np.ndarray:
     return np.array(out)
 
 
-def table_shape(rows: int, least: float, miss: float = MISS) -> tuple[int, int]:
-    """Bits of a key and number of tables: buckets of unlike vectors hold a fraction of a row; a pair at the threshold is missed with chance ``miss``."""
-    bits = max(10, math.ceil(math.log2(max(2, rows))) + 2)
-    same = (1 - math.acos(least) / math.pi) ** bits
-    return bits, math.ceil(math.log(miss) / math.log1p(-same))
+def same_chance(width: int, least: float, draws: int = 20_000, seed: int = 23) -> float:
+    """Chance that a random rotation gives two unit vectors of cosine ``least`` the same signed largest coordinate: measured on random
+    pairs, less two standard errors."""
+    rng = np.random.default_rng(seed)
+    x, z = rng.standard_normal((2, draws, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+    share = (largest(x) == largest(least * x + math.sqrt(1 - least * least) * z)).mean()
+    return max(1e-3, share - 2 * math.sqrt(share * (1 - share) / draws))
+
+
+def largest(y: np.ndarray) -> np.ndarray:
+    """Place and sign of each row's largest coordinate: 2 * width values."""
+    at = np.abs(y).argmax(axis=-1)
+    return 2 * at + (np.take_along_axis(y, at[..., None], axis=-1)[..., 0] >= 0)
+
+
+def table_shape(rows: int, width: int, least: float, miss: float = MISS) -> tuple[int, int, int]:
+    """Largest coordinates and signs in a key, and the number of tables: buckets of unlike vectors hold a fraction of a row; a pair at the
+    threshold is missed with chance ``miss``. A largest coordinate parts rows like log2(2 * width) signs, but close pairs less."""
+    bits, each = max(10, math.ceil(math.log2(max(2, rows))) + 2), math.log2(2 * width)
+    whole = int(bits // each) if width >= 4 else 0
+    signs = max(0, math.ceil(bits - whole * each))
+    same = (same_chance(width, least) ** whole if whole else 1.0) * (1 - math.acos(least) / math.pi) ** signs
+    return whole, signs, math.ceil(math.log(miss) / math.log1p(-same))
+
+
+class Tables:
+    """The rotations of the codes and of the tables, made from seeds wherever they are needed."""
+
+    def __init__(self, rows: int, width: int, least: float):
+        self.width = width
+        self.whole, self.signs, self.tables = table_shape(rows, width, least)
+
+    def turns(self) -> np.ndarray:
+        return rotations(self.width, ESTIMATES)
+
+    def keys(self, unit: np.ndarray) -> np.ndarray:
+        """The keys of the tables: signed largest coordinates of ``whole`` rotations each, and signs of further rotated coordinates."""
+        x, key = unit.astype(np.float32), np.zeros((len(unit), self.tables), np.uint64)
+        if self.whole:
+            turns = _turns(self.width, self.whole * self.tables, 18)
+            for t in range(self.tables):
+                for turn in turns[t * self.whole : (t + 1) * self.whole]:
+                    key[:, t] = key[:, t] * np.uint64(2 * self.width) + largest(x @ turn).astype(np.uint64)
+        if self.signs:
+            some = np.concatenate(_turns(self.width, -(-self.signs * self.tables // self.width), 19), axis=1)[:, : self.signs * self.tables]
+            flat = ((x @ some) >= 0).reshape(len(unit), self.tables, self.signs)
+            for k in range(self.signs):
+                key = key * np.uint64(2) + flat[:, :, k]
+        return mix(key ^ mix(np.arange(1, self.tables + 1, dtype=np.uint64))[None, :]).view(np.int64)
+
 
+@functools.lru_cache(maxsize=4)
+def _turns(width: int, count: int, seed: int) -> np.ndarray:
+    return rotations(width, count, seed).astype(np.float32)
 
-def encode(unit: np.ndarray, turns: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes (packed signs of the first rotations), their correction factors <code, vector>, and the keys of the tables."""
-    n, width = unit.shape
-    signs, codes, factors = [], [], []
-    for k, turn in enumerate(turns):
-        y = unit @ turn
-        signs.append(y >= 0)
-        if k < ESTIMATES:
-            codes.append(np.packbits(signs[-1], axis=1))
-            factors.append(np.abs(y).sum(axis=1) / math.sqrt(width))
-    flat = np.concatenate(signs, axis=1)[:, : bits * tables].reshape(n, tables, bits)
-    key = np.zeros((n, tables), np.uint64)
-    for k in range(bits):
-        key = key * np.uint64(2) + flat[:, :, k]
-    key = mix(key ^ mix(np.arange(1, tables + 1, dtype=np.uint64))[None, :])
-    return np.concatenate(codes, axis=1), np.array(factors).T, key.view(np.int64)
+
+def encode(unit: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (packed signs of the rotations) and their correction factors <code, vector>."""
+    rotated = [unit @ turn for turn in turns]
+    return np.concatenate([np.packbits(y >= 0, axis=1) for y in rotated], axis=1), np.array([np.abs(y).sum(axis=1) / math.sqrt(unit.shape[1]) for y in rotated]).T
 
 
 def estimate(codes: np.ndarray, factors: np.ndarray, other: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +116,19 @@ def estimate(codes: np.ndarray, factors: np.ndarray, other: np.ndarray, turns: n
     return total / ESTIMATES, SURE * np.sqrt(variance) / ESTIMATES + 1e-9
 
 
+def estimates(codes: np.ndarray, factors: np.ndarray, others: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``estimate``, of every vector (column) with each of ``others`` (row), which are rotated once; bounds by column."""
+    width = others.shape[1]
+    each = codes.shape[1] // ESTIMATES
+    total, variance = np.zeros((len(others), len(codes))), np.zeros(len(codes))
+    for k in range(ESTIMATES):
+        c = np.unpackbits(codes[:, k * each : (k + 1) * each], axis=1, count=width) * 2.0 - 1
+        f = factors[:, k]
+        total += ((others @ turns[k]) @ c.T) / (math.sqrt(width) * f)
+        variance += np.maximum(0, 1 - f * f) / (f * f) / max(1, width - 1)
+    return total / ESTIMATES, SURE * np.sqrt(variance) / ESTIMATES + 1e-9
+
+
 def _units(lists: pa.Array, width: int) -> np.ndarray:
     x = dense(lists, width)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square is lost
@@ -84,14 +138,16 @@ def _units(lists: pa.Array, width: int) -> np.ndarray:
 _CODED = "vec_id long, v array<double>, class string, code binary, factors array<double>, keys array<long>"
 
 
-def _coded(width: int, turns: np.ndarray, bits: int, tables: int):
+def _coded(width: int, tables: Tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns = tables.turns()
         for whole in batches:
             for s in range(0, whole.num_rows, 2048):
                 b = whole.slice(s, 2048)
                 x = dense(b.column("v"), width) + 0.0
                 unit = _units(b.column("v"), width)
-                code, factor, key = encode(unit, turns, bits, tables)
+                code, factor = encode(unit, turns)
+                key = tables.keys(unit)
                 rows = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(m).ravel()))
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), rows(unit), pa.array([xxhash.xxh3_128_hexdigest(r.tobytes()) for r in x]), binary_rows([r.tobytes() for r in code]), rows(factor), rows(key)], ["vec_id", "v", "class", "code", "factors", "keys"])
 
@@ -131,15 +187,14 @@ def _blocks(width: int, turns: np.ndarray, least: float):
         v = dense(table.column("v"), width)
         code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
         factors = dense(table.column("factors"), ESTIMATES)
-        found = []
-        for k in x:
-            rows = y[(group[y] != group[k]) & ((group[y] == major) | (ids[k] < ids[y]))]
-            if not len(rows):
-                continue
-            guess, sure = estimate(code[rows], factors[rows], np.broadcast_to(v[k], (len(rows), width)), turns)
-            rows = rows[guess + sure >= least]
-            rows = rows[v[rows] @ v[k] >= least]
-            found += [(int(k), int(r)) for r in rows[np.unique(group[rows], return_index=True)[1]]]
+        open_ = (group[x][:, None] != group[y][None, :]) & ((group[y] == major)[None, :] | (ids[x][:, None] < ids[y][None, :]))
+        guess, sure = estimates(code[y], factors[y], v[x], turns)
+        p, r = np.nonzero(open_ & (guess + sure[None, :] >= least))
+        p, r = x[p], y[r]
+        near = np.concatenate([np.einsum("ij,ij->i", v[p[s : s + 65536]], v[r[s : s + 65536]]) for s in range(0, len(p), 65536)] or [np.zeros(0)]) >= least
+        p, r = p[near], r[near]
+        one = np.unique(np.stack([p, group[r]]), axis=1, return_index=True)[1] if len(p) else []
+        found = [(int(p[k]), int(r[k])) for k in sorted(one)]
         good = joining(found, [int(group[p]) for p, _ in found], [int(group[r]) for _, r in found], lambda _: True)
         return pa.table({"a": pa.array([int(ids[found[k][0]]) for k in good], pa.int64()), "b": pa.array([int(ids[found[k][1]]) for k in good], pa.int64())})
 
@@ -173,8 +228,8 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``embeddings`` (vec_id, embedding; others are ignored).
 
     Rows with equal vectors are one class, and only its smallest id goes on. Signs of randomly rotated vectors are the
-    codes: runs of them key hash tables (as many as ``table_shape`` says for the threshold), and the first rotations'
-    codes with their stored factors give unbiased estimates of the inner product. A candidate pair is recomputed in
+    codes; with their stored factors they give unbiased estimates of the inner product. Candidates share a key of hash tables (as many as
+    ``table_shape`` says for the threshold) of signed largest coordinates and signs of further rotations. A candidate pair is recomputed in
     double precision only where the estimate's confidence bound reaches the threshold, and links only if the
     cosine itself does. Ids then form components, and within each, in blocks, every id's links are counted exactly.
 
@@ -188,13 +243,12 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
     alone = F.col("vec_id").alias("component_id")
     if not count:
         return whole.select("vec_id", F.lit(0).cast("long").alias("n_links"), alone, F.lit(True).alias("kept"))
-    bits, tables = table_shape(count, least)
-    turns = rotations(width, max(ESTIMATES, -(-bits * tables // width)))
-    coded = cut(able.mapInArrow(_coded(width, turns, bits, tables), _CODED), "coded")
+    tables = Tables(count, width, least)
+    first = tables.turns()
+    coded = cut(able.mapInArrow(_coded(width, tables), _CODED), "coded")
     classes = cut(coded.groupBy("class").agg(F.min("vec_id").alias("id"), F.count("*").alias("many")), "classes")
     reps = cut(coded.join(classes.selectExpr("class", "id AS vec_id", "many"), ["class", "vec_id"]).dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "id"), "reps")
     buckets = shared_buckets(reps.select(F.explode("keys").alias("key"), "id", F.lit(1).alias("size")))
-    first = turns[:ESTIMATES]
 
     def verify(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(reps.selectExpr("id AS a", "code", "factors"), "a").join(reps.selectExpr("id AS b", "v"), "b")
