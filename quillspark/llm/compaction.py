@@ -3,17 +3,20 @@ versioned manifest is committed atomically."""
 
 from __future__ import annotations
 
-import contextlib
 import math
+import time
 import uuid
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TARGET_BYTES = 64 << 20
 SHARD_ROWS = 4000
 FANOUT = 4
+#: Shards whose paths one merge takes to the driver; a tier with more is merged in turns.
+MOST_PATHS = 10_000
+#: Seconds that a data folder is kept after its last change though no manifest names it: longer than any append or merge takes.
+GRACE = 86_400.0
 _MANIFEST = "path string, bytes long, rows long, tier int"
 
 
@@ -65,20 +68,28 @@ class ShardStore:
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         none = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            if self.fs.exists(self._path(final)):
-                raise Conflict(f"version {base + 1} is there")
-            context.rename(self._path(private), self._path(final), none)
-        except Conflict:
-            self.fs.delete(self._path(private), True)
-            raise
+            context.rename(self._path(private), self._path(final), none)  # fails if the name is taken
         except Exception as e:
             self.fs.delete(self._path(private), True)
-            raise Conflict(f"version {base + 1} can't be committed: {e}") from e
+            if self.fs.exists(self._path(final)):
+                raise Conflict(f"version {base + 1} is there") from e
+            raise
         return base + 1
 
+    def _has_files(self, folder: str) -> bool:
+        names = self.fs.listStatusIterator(self._path(folder))
+        while names.hasNext():
+            if names.next().getPath().getName().startswith("part-"):
+                return True
+        return False
+
     def _listed(self, session: SparkSession, folder: str) -> DataFrame:
-        """Shards of a folder with their sizes and row counts, found by Spark's own reader."""
-        rows = session.read.parquet(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+        """Shards of a folder with their sizes and row counts, found by Spark's own reader; none, if nothing was written."""
+        if not self._has_files(folder):
+            return self.spark.createDataFrame([], _MANIFEST).select("path", "bytes", "rows")
+        read = session.read.parquet(folder)
+        at = read.metadataColumn("_metadata")
+        rows = read.select(at["file_path"].alias("path"), at["file_size"].alias("bytes"))
         return rows.groupBy("path").agg(F.max("bytes").alias("bytes"), F.count("*").alias("rows"))
 
     def append(self, df: DataFrame) -> int:
@@ -86,10 +97,7 @@ class ShardStore:
         base = (self.versions() or [0])[-1]
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.option("maxRecordsPerFile", self.shard_rows).option("compression", "zstd").parquet(folder)
-        try:
-            new = self._listed(self.spark, folder).withColumn("tier", F.lit(0))
-        except PySparkException:  # no row, no file
-            new = self.spark.createDataFrame([], _MANIFEST)
+        new = self._listed(self.spark, folder).withColumn("tier", F.lit(0))
         return self._commit(self.manifest().unionByName(new) if base else new, base)
 
     def tier_of(self, size) -> F.Column:
@@ -101,10 +109,9 @@ class ShardStore:
     def compact(self) -> int | None:
         """Merge each tier that holds ``fanout`` shards or more; the new version's number, or None if no tier does.
 
-        A tier's shards are read by one job in which Spark's reader packs whole files into partitions of about the target
-        size, and each partition (coalesced to the files due) is written as one file: no shuffle, no row looked at by
-        the driver, as many tasks as files to write. The number of jobs is that of the tiers, whatever the size. Old shards stay for readers of older
-        versions until ``vacuum``.
+        A tier's shards are read by jobs of at most MOST_PATHS shards, in which Spark's reader packs whole files into partitions of about
+        the target size, and each partition (coalesced to the files due) is written as one file: no shuffle, no row looked at
+        by the driver, as many tasks as files to write. Old shards stay for readers of older versions until ``vacuum``.
         """
         known = self.versions()
         if not known:
@@ -113,42 +120,59 @@ class ShardStore:
         top = max(1, math.ceil(math.log(max(2, self.target / (64 << 10)), self.fanout))) + 1
         sizes = now.where(F.col("tier") < top).groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") >= self.fanout).orderBy("tier").collect()
         # A merge has to leave half the shards at most, so that every call comes nearer to the end.
-        due = {r["tier"]: max(1, -(-r["bytes"] // self.target)) for r in sizes if 2 * max(1, -(-r["bytes"] // self.target)) <= r["n"]}
+        due = [r["tier"] for r in sizes if 2 * max(1, -(-r["bytes"] // self.target)) <= r["n"]]
         if not due:
             return None
         session, made = self._session(), None
-        for tier in sorted(due):
-            # Paths of one tier only: a shard is at least some thousand rows or a partition, so this list is far smaller than the data.
-            paths = [r["path"] for r in now.where(F.col("tier") == tier).select("path").toLocalIterator()]
-            folder = f"{self.root}/data/{uuid.uuid4().hex}"
-            session.read.parquet(*paths).coalesce(due[tier]).write.option("compression", "zstd").parquet(folder)
-            new = self._listed(self.spark, folder)
-            made = new if made is None else made.unionAll(new)
+        for tier in due:
+            batch, size = [], 0
+            shards = now.where(F.col("tier") == tier).select("path", "bytes").orderBy("path")
+            for r in [*shards.toLocalIterator(), None]:
+                if r is not None:
+                    batch.append(r["path"])
+                    size += r["bytes"]
+                if batch and (r is None or len(batch) >= MOST_PATHS):
+                    folder = f"{self.root}/data/{uuid.uuid4().hex}"
+                    session.read.parquet(*batch).coalesce(max(1, -(-size // self.target))).write.option("compression", "zstd").parquet(folder)
+                    new = self._listed(self.spark, folder)
+                    made = new if made is None else made.unionAll(new)
+                    batch, size = [], 0
         kept = now.where(~F.col("tier").isin(*due)).select("path", "bytes", "rows")
         return self._commit(kept.unionByName(made).withColumn("tier", self.tier_of(F.col("bytes"))), base)
 
-    def vacuum(self) -> int:
-        """Delete data folders that the latest version doesn't name, and older manifests; how many folders went."""
-        folder_of = lambda p: p.rsplit("/", 2)[-2]
-        live = {folder_of(r["p"]) for r in self.manifest().select(F.regexp_replace("path", r"[^/]+$", "x").alias("p")).distinct().collect()}
-        gone = 0
+    def _folders(self, shards: DataFrame) -> list[str]:
+        """Data folders that shards lie in: one for each append or merge."""
+        found = shards.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder")).distinct()
+        return sorted(r["folder"] for r in found.toLocalIterator())
+
+    def vacuum(self, grace: float = GRACE) -> int:
+        """Delete data folders that the latest version doesn't name and that were last changed more than ``grace`` seconds ago, and older
+        manifests; how many folders went. An append or merge of another writer that isn't committed yet keeps its folder for that time;
+        0 is for a store without other writers or readers."""
+        live, gone = set(self._folders(self.manifest())), 0
+        before = time.time() - grace
         for status in self.fs.listStatus(self._path(f"{self.root}/data")):
-            if status.getPath().getName() not in live:
+            if status.getPath().getName() not in live and status.getModificationTime() / 1000 <= before:
                 self.fs.delete(status.getPath(), True)
                 gone += 1
         for version in self.versions()[:-1]:
             self.fs.delete(self._path(f"{self.root}/manifest/v{version}"), True)
         return gone
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """Rows of a version with their shard's path, size, rows and tier."""
+    def located(self, version: int | None = None) -> DataFrame:
+        """(row, shard) of a version's rows: all own columns in ``row``, and its shard's path, bytes, rows and tier in ``shard``. The folders that the
+        version names are read, and rows of shards that are superseded drop out where the shards are joined."""
         shards = self.manifest(version)
-        paths = [r["path"] for r in shards.select("path").toLocalIterator()]
-        if not paths:
+        folders = self._folders(shards)
+        if not folders:
             raise ValueError("the version has no shard")
-        rows = self.spark.read.parquet(*paths).withColumn("shard_path", F.col("_metadata.file_path"))
-        named = shards.select(F.col("path").alias("shard_path"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"), F.col("tier").alias("shard_tier"))
-        return rows.join(named, "shard_path")
+        read = self.spark.read.parquet(*[f"{self.root}/data/{f}" for f in folders])
+        rows = read.select(F.struct(*[F.col(f"`{c}`") for c in read.columns]).alias("row"), read.metadataColumn("_metadata")["file_path"].alias("path"))
+        return rows.join(shards, "path").select("row", F.struct("path", "bytes", "rows", "tier").alias("shard"))
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """Rows of a version."""
+        return self.located(version).select("row.*")
 
 
 def sharded(documents: DataFrame, root: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
@@ -164,10 +188,11 @@ def sharded(documents: DataFrame, root: str, target_bytes: int = TARGET_BYTES) -
     for part in (documents.where(even), documents.where(~even)):
         store.append(part)
     while store.compact():
-        store.vacuum()
-    version = store.versions()[-1]
-    text = F.col("text")
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.element_at(F.split("shard_path", "/"), -1).alias("shard"), "shard_rows", F.col("shard_tier").alias("tier"), F.lit(version).alias("version"), F.length(text).cast("long").alias("n_chars"), F.crc32(text.cast("binary")).alias("text_crc32")]
-    with contextlib.suppress(ValueError):
-        return store.read().select(*columns)
-    return spark.createDataFrame([], "doc_id long, shard string, shard_rows long, tier int, version int, n_chars long, text_crc32 long")
+        store.vacuum(0)  # no one else knows the store
+    if store.manifest().isEmpty():
+        return spark.createDataFrame([], "doc_id long, shard string, shard_rows long, tier int, version int, n_chars long, text_crc32 long")
+    text, shard = F.col("row.text"), F.col("shard")
+    return store.located().select(
+        F.col("row.doc_id").cast("long").alias("doc_id"), F.element_at(F.split(shard["path"], "/"), -1).alias("shard"), shard["rows"].alias("shard_rows"), shard["tier"].alias("tier"),
+        F.lit(store.versions()[-1]).alias("version"), F.length(text).cast("long").alias("n_chars"), F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
