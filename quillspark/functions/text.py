@@ -146,17 +146,24 @@ def duration(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(whole / 3600).cast("long"), F.floor(whole % 3600 / 60).cast("long"), whole % 60)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cell_text(c: Column) -> Column:
     """Text of a report cell, entities decoded: characters, area units, white space and brackets made alike."""
     text = F.translate(or_empty(c), *dims.CELL_CHARACTERS)
     for pattern, plain in dims.CELL_PATTERNS:
         text = F.regexp_replace(text, pattern, plain)
     text = F.replace(F.replace(F.trim(text), F.lit("( "), F.lit("(")), F.lit(" )"), F.lit(")"))
-    # The cut unit stands before a bracket or, if none does, anywhere.
-    bracketed = F.contains(text, F.lit("m²)"))
-    whole = F.when(bracketed, F.replace(text, F.lit("m²)"), F.lit("mm²)"))).otherwise(F.replace(text, F.lit("m²"), F.lit("mm²")))
-    text = F.when(F.contains(text, F.lit(dims.CELL_CUT_MEASURE)) & ~F.contains(text, F.lit("mm²")), whole).otherwise(text)
-    return F.replace(text, *map(F.lit, dims.CELL_MISREAD))
+
+    def repaired(t: Column) -> Column:
+        # The cut unit stands before a bracket or, if none does, anywhere.
+        whole = F.when(F.contains(t, F.lit("m²)")), F.replace(t, F.lit("m²)"), F.lit("mm²)"))).otherwise(F.replace(t, F.lit("m²"), F.lit("mm²")))
+        return F.when(F.contains(t, F.lit(dims.CELL_CUT_MEASURE)) & ~F.contains(t, F.lit("mm²")), whole).otherwise(t)
+
+    return F.replace(let(text, repaired), *map(F.lit, dims.CELL_MISREAD))
 
 
 def eye_side(c: Column) -> Column:
