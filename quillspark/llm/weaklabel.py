@@ -6,13 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, mix
 from .langid import FEATURE_BYTES
-from .grouping import BROADCAST_IDS
 from .mixing import words_in
 
 BITS = 12
@@ -132,44 +130,40 @@ def score_quality(documents: DataFrame, least: float = 0.5) -> DataFrame:
 
     All documents vote into a table of patterns, from which the labellers' accuracies come; posteriors go back by
     pattern. The scorer is fitted to posteriors of a bounded sample (SAMPLE), drawn by a hash of id and text, and
-    scores every whole text: ``kept`` if its score is ``least`` or more. Null texts count as empty; texts without a word have score 0
-    and aren't kept. Repeated rows are returned each. An empty table gives an empty result; other columns are ignored.
+    scores every whole text, however long: ``kept`` if its score is ``least`` or more. Texts are looked at once for votes, and written with
+    them for the scorer. Null texts count as empty; texts without a word have score 0 and aren't kept. Repeated rows are returned each. An
+    empty table gives an empty result; other columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("__words", words_in(F.col("text")))
     rules = labellers()
     names = [f"v_{n}" for n in rules]
-    voted = cut(docs.select("doc_id", F.xxhash64("text").alias("t"), "__words", *[v.cast("tinyint").alias(f"v_{n}") for n, v in rules.items()]), "votes")
-    table = voted.where("__words > 0").groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()
+    voted = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("t"), F.col("__words").alias("words"), *[v.cast("tinyint").alias(f"v_{n}") for n, v in rules.items()]), "votes")
+    table = voted.where("words > 0").groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()
     patterns = np.array([[r[n] for n in names] for r in table], int).reshape(-1, len(names))
     counts = np.array([r["n"] for r in table], float)
     _, _, posterior = estimate(patterns, counts)
     spark = documents.sparkSession
     known = spark.createDataFrame([(*map(int, p), float(q)) for p, q in zip(patterns, posterior, strict=True)], ", ".join([f"{n} tinyint" for n in names] + ["posterior double"]))
-    named = voted.join(F.broadcast(known), names, "left").withColumn("posterior", F.coalesce("posterior", F.lit(0.0)))
-    named = cut(named.select("doc_id", "t", "__words", *names, "posterior"), "posteriors")
-    total = named.where("__words > 0").agg(F.sum("posterior"), F.sum(1 - F.col("posterior"))).first()
+    # At most three to the power of the labellers; wordless texts have no pattern of their own.
+    named = voted.join(F.broadcast(known), names, "left").withColumn("posterior", F.when(F.col("words") > 0, F.col("posterior")).otherwise(F.lit(0.0)))
+    total = (float(counts @ posterior), float(counts @ (1 - posterior))) if len(counts) else (0.0, 0.0)
     limit = 1 << 30
-    share = [min(limit, int(limit * SAMPLE / max(1.0, v or 0.0)) + 1) for v in (total[1], total[0])]
+    share = [min(limit, int(limit * SAMPLE / max(1.0, v)) + 1) for v in (total[1], total[0])]
     draw = F.pmod(F.xxhash64("doc_id", "t"), F.lit(limit)) < F.when(F.col("posterior") >= 0.5, share[1]).otherwise(share[0])
-    chosen = cut(named.where("__words > 0").where(draw).select("doc_id", "t", "posterior").distinct(), "chosen")
-    side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
-    picked = docs.withColumn("t", F.xxhash64("text")).alias("d").join(side.alias("c"), F.expr("d.doc_id <=> c.doc_id AND d.t = c.t")).select("d.text", "c.posterior")
-    found = picked.mapInArrow(_featured, "posterior double, x binary").toArrow()
+    found = named.where("words > 0").where(draw).select("text", "posterior").mapInArrow(_featured, "posterior double, x binary").toArrow()
     x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float64)
     target = np.asarray(found.column("posterior"))
     order = np.lexsort([x[:, 0], x.sum(axis=1), target]) if len(x) else []
     w = fit(x[order], target[order]) if len(x) else np.zeros(WIDTH + 1)
+    del x, found
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, limit=FEATURE_BYTES):
-            worded = np.asarray(pc.match_substring_regex(b.column("text"), r"[^\x20\x09-\x0D]"))
+            worded = np.asarray(b.column("words")) > 0
             p = 1 / (1 + np.exp(-np.clip(features(b.column("text")) @ w[:-1] + w[-1], -500, 500)))
             votes = np.array([np.asarray(b.column(n)) for n in names])
-            out = [b.column("doc_id"), pa.array((votes == 1).sum(axis=0).astype(np.int32)), pa.array((votes == -1).sum(axis=0).astype(np.int32)), b.column("code"), pa.array(np.where(worded, p, 0.0))]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "votes_good", "votes_bad", "code", "score"])
-
-    again = docs.select("doc_id", "text", *[v.cast("tinyint").alias(f"v_{n}") for n, v in rules.items()], F.concat_ws(",", *[v.cast("string") for v in rules.values()]).alias("code"))
-    out = again.mapInArrow(scored, "doc_id long, votes_good int, votes_bad int, code string, score double")
-    codes = known.select(F.concat_ws(",", *[F.col(n).cast("string") for n in names]).alias("code"), "posterior")
-    out = out.join(F.broadcast(codes), "code", "left")
-    return out.select("doc_id", "votes_good", "votes_bad", F.when(F.col("score") > 0, F.coalesce("posterior", F.lit(0.0))).otherwise(F.lit(0.0)).alias("posterior"), "score", (F.col("score") >= least).alias("kept"))
+            out = [b.column("doc_id"), pa.array((votes == 1).sum(axis=0).astype(np.int32)), pa.array((votes == -1).sum(axis=0).astype(np.int32)), b.column("posterior"), pa.array(np.where(worded, p, 0.0))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "votes_good", "votes_bad", "posterior", "score"])
+
+    out = named.select("doc_id", "text", "words", *names, "posterior").mapInArrow(scored, "doc_id long, votes_good int, votes_bad int, posterior double, score double")
+    return out.select("*", (F.col("score") >= least).alias("kept"))
