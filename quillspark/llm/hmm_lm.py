@@ -271,7 +271,7 @@ def _drawn(model: Model, share: float):
         for b in batches:
             for k in range(b.num_rows):
                 c = Chunk(model, b, k)
-                draw = mix(np.uint64(b.column("chunk")[k].as_py()) * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(c.held), dtype=np.uint64))
+                draw = mix(np.full(len(c.held), b.column("chunk")[k].as_py(), np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(c.held), dtype=np.uint64))
                 keep = ~c.held & (draw.astype(float) < share * 2.0**64)
                 classes, ends = c.sequences(c.of_word, 0, keep)
                 yield pa.RecordBatch.from_arrays([pa.array([b.column("chunk")[k].as_py()]), pa.array([classes.astype(np.int32).tobytes()], pa.binary()), pa.array([np.diff(ends).tobytes()], pa.binary())], ["chunk", "classes", "lengths"])
