@@ -105,8 +105,8 @@ def counted(model: Model, classes: np.ndarray, offsets: np.ndarray, posteriors:
     order = np.argsort(-n, kind="stable")
     order = order[n[order] > 0]
     before = np.concatenate([[0], np.cumsum(n[order])])
-    by_class, forth, one, likelihood = np.ascontiguousarray(model.emit.T, np.float32), model.move.astype(np.float32), np.ones(k, np.float32), 0.0
-    back, first = np.ascontiguousarray(forth.T), model.start.astype(np.float32)
+    by_class, forth, one, likelihood = np.ascontiguousarray(model.emit.T), model.move, np.ones(k), 0.0
+    back, first = np.ascontiguousarray(forth.T), model.start
     s = 0
     while s < len(order):
         e = max(s + 1, int(np.searchsorted(before, before[s] + BATCH, side="right")) - 1)
@@ -118,7 +118,7 @@ def counted(model: Model, classes: np.ndarray, offsets: np.ndarray, posteriors:
         place = np.concatenate([here[:m] + t for t, m in enumerate(live)])
         seen = classes[place]
         emitted = by_class[seen]
-        alpha, scale = np.empty_like(emitted), np.empty(len(seen), np.float32)
+        alpha, scale = np.empty_like(emitted), np.empty(len(seen))
         for t, m in enumerate(live):
             lo, hi = row[t], row[t + 1]
             a = alpha[lo:hi]
@@ -130,9 +130,9 @@ def counted(model: Model, classes: np.ndarray, offsets: np.ndarray, posteriors:
             total = scale[lo:hi]
             np.matmul(a, one, out=total)
             a /= total[:, None]
-        likelihood += float(np.log(scale).sum(dtype=np.float64))
+        likelihood += float(np.log(scale).sum())
         emitted /= scale[:, None]
-        beta = np.ones((len(here), k), np.float32)
+        beta = np.ones((len(here), k))
         for t in range(longest - 1, -1, -1):
             m, lo, hi = live[t], row[t], row[t + 1]
             now = beta[:m]
@@ -143,7 +143,7 @@ def counted(model: Model, classes: np.ndarray, offsets: np.ndarray, posteriors:
                 move += alpha[row[t - 1] : row[t - 1] + m].T @ w
                 np.matmul(w, back, out=now)
         start += alpha[: len(here)].sum(axis=0)
-        mean += alpha.sum(axis=0, dtype=np.float64)
+        mean += alpha.sum(axis=0)
         if posteriors is not None:
             posteriors[place] = alpha
             continue
