@@ -56,7 +56,12 @@ class Open:
         mixed = cut(mixed.where("groups > 1"), "mixed")
         #: Pairs of one bucket and two groups, over all buckets.
         self.pairs = int(mixed.agg(F.sum(F.expr("CAST((all * all - same) DIV 2 AS decimal(38,0))"))).first()[0] or 0)
-        self.named = cut(named.join(mixed.select("key", "major", "all"), "key"), "named") if self.pairs else None
+        columns = ["key", "id", "size", "pivot", "c"]
+        self.named = cut(named.select(*columns).join(mixed.select("key", "major", "all"), "key"), "named") if self.pairs else None
+
+    def again(self, grouped: DataFrame) -> Open:
+        """What later groups leave open: only the buckets that are still open, since groups only grow."""
+        return Open(self.named.select("key", "id", "size", "pivot"), grouped)
 
     def drawn(self, turn: int) -> DataFrame:
         """Distinct (a, b): each id outside its bucket's largest group against one member of that group, drawn anew each turn."""
@@ -131,7 +136,7 @@ def linked(buckets: DataFrame, verify, in_blocks, fits: str = "true", turns: int
             break
         before = left.pairs
         grouped = joined(verify(left.drawn(turn)))
-        left = Open(buckets, grouped)
+        left = left.again(grouped)
         if left.pairs > 0.8 * before:
             break
     if not left.pairs:
