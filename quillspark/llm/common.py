@@ -47,6 +47,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     _made.pop(path, None)
 
 
+def publish(spark: SparkSession, private: str, final: str) -> bool:
+    """Give a folder its final name by one rename; false, and the folder is deleted, if the name is taken."""
+    (at, store), (to, _) = hadoop_path(spark, private), hadoop_path(spark, final)
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), context._jsc.hadoopConfiguration())
+    none = context._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        files.rename(at, to, none)  # fails if the name is taken
+    except Exception:
+        store.delete(at, True)
+        if store.exists(to):
+            return False
+        raise
+    return True
+
+
 def _drop_all() -> None:
     spark = SparkSession.getActiveSession()
     for path, app in list(_made.items()):
@@ -84,6 +100,21 @@ def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, how: str = "inner", most: int = 400_000, shares: int = 1000) -> DataFrame:
+    """``left`` joined with ``right``, whose keys are unique and which says in ``rows`` how many rows of ``left`` have each.
+
+    Up to ``most`` rows of ``right`` are broadcast. Beyond that the keys that have more than one in ``shares`` of all joined rows are
+    broadcast (fewer than ``shares`` keys) and the others meet in a shuffle, none of them in a task of more than that share. ``right`` is read three times, so pass a written table.
+    """
+    size, total = right.agg(F.count("*"), F.coalesce(F.sum(rows), F.lit(0))).first()
+    if size <= most:
+        return left.join(F.broadcast(right.drop(rows)), on, how)
+    hot = right.where(F.col(rows) > total // shares)
+    few = F.broadcast(hot.drop(rows))
+    rest = right.where(F.col(rows) <= total // shares).drop(rows)
+    return left.join(few, on, how).unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest.hint("merge"), on, how))
+
+
 def remainder(column: str, modulus: int):
     """crc32 of an id's decimal text, modulo: the fold a row falls in."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
@@ -107,13 +138,13 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
 
 
 class Words:
-    """Words of a batch of texts: runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased.
+    """Words of a batch of texts: runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased unless ``fold`` is false.
 
     ``codes``: a code into ``words`` for each word in order; ``offsets``: where each text's words begin.
     """
 
-    def __init__(self, texts: pa.Array):
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    def __init__(self, texts: pa.Array, fold: bool = True):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if fold else texts)
         flat = split.flatten()
         owner = np.repeat(np.arange(len(split)), np.asarray(pc.list_value_length(split)))
         coded = flat.dictionary_encode()

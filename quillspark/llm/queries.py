@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compaction, embdedup, hmm_lm, langid, minhash, mixing, packing, secrets, topk, weaklabel
+from . import compaction, crosstoken, embdedup, hmm_lm, langid, linededup, minhash, mixing, packing, periodic, secrets, topk, weaklabel
 from .common import new_path
 
 
@@ -53,6 +53,18 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(periodic.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(linededup.without_common_lines(table(spark, sf_dir, "documents")))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstoken.digest(crosstoken.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 QUERIES = {
     "op1_hmm_lm": op1_hmm_lm,
     "op2_compaction": op2_compaction,
@@ -64,10 +76,14 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE_SQL = {
     "op4_minhash_near_dedup": minhash.NEAR_SQL,
     "op8_secret_scan": secrets.SCAN_SQL,
     "op7_exact_topk": topk.SEARCH_SQL,
     "op10_embedding_near_dedup": embdedup.NEAR_SQL,
+    "op12_line_dedup": linededup.LINES_SQL,
 }
