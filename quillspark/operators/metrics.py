@@ -59,3 +59,39 @@ def family_accuracy(scored: DataFrame, families: dict[str, tuple[str, ...]] | No
 def family_mean(families: DataFrame) -> DataFrame:
     """One row: the plain mean over families that occur (0 if none does)."""
     return families.where("support > 0").agg(F.coalesce(F.avg("accuracy"), F.lit(0.0)).alias("family_level_accuracy"))
+
+
+def exact_median(rows: DataFrame, value: str, few: int = 10_000) -> float | None:
+    """The exact median of a column's values that aren't null or NaN; of an even number of them, the mean of the middle two. None without any.
+
+    The middle places are closed in on by passes over the column: a mergeable sketch gives two values near a place, counts say on which side of them it lies,
+    until at most ``few`` values or equal ones are left between, which one task sorts. Each pass brings down the number of values between by some
+    thousand times; only counts, ends and sketches' values reach the driver. ``rows`` is read in every pass, so pass a written table.
+    """
+    v = F.col(value).cast("double")
+    rows = rows.select(v.alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    many, lo, hi = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not many:
+        return None
+    middle = {(many - 1) // 2, many // 2}
+    found = {k: _at_place(rows, k, many, lo, hi, few) for k in sorted(middle)}
+    return sum(found.values()) / len(found)
+
+
+def _at_place(rows: DataFrame, place: int, many: int, lo: float, hi: float, few: int) -> float:
+    """The value that ``place`` values come before in order, given all ``many`` and their ends."""
+    while lo < hi and many > few:
+        share = place / many
+        near = rows.agg(F.percentile_approx("v", [max(0.0, share - 5e-4), min(1.0, share + 5e-4)], 10_000)).first()[0]
+        a, b = near
+        below, at_a, at_b = rows.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v") == a), F.count_if((F.col("v") > a) & (F.col("v") < b))).first()
+        if place < below:
+            rows, many = rows.where(F.col("v") < a), below
+        elif place < below + at_a:
+            return a
+        elif place < below + at_a + at_b:
+            rows, place, many = rows.where((F.col("v") > a) & (F.col("v") < b)), place - below - at_a, at_b
+        else:
+            rows, place, many = rows.where(F.col("v") >= b) if b > a else rows.where(F.col("v") > a), place - below - at_a - at_b, many - below - at_a - at_b
+        lo, hi = rows.agg(F.min("v"), F.max("v")).first()
+    return lo if lo == hi else rows.agg(F.get(F.array_sort(F.collect_list("v")), F.lit(place))).first()[0]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.text import has_report_format, normalized
+from ..session import written
+from .metrics import exact_median
 from .score import MEASURES, score_reports, weighted_scores
 
 
@@ -26,11 +28,14 @@ def learnable(threshold: float = dims.LEARNING_THRESHOLD):
 
 
 def select_pairs(rows: DataFrame, threshold: float = dims.LEARNING_THRESHOLD) -> DataFrame:
-    """Rows with margin_kept (at least the exact median of all margins) and selected (kept and learnable)."""
-    middle = rows.agg(F.coalesce(F.median("margin"), F.lit(0.0)).alias("margin_threshold"))
-    kept = rows.join(F.broadcast(middle)).withColumn("margin_kept", F.coalesce("margin", F.lit(0.0)) >= F.col("margin_threshold"))  # one row
-    # One predicate, not two: a filter on it then stays above the join instead of pulling all of the parsing into a condition.
-    return kept.withColumn("selected", F.col("margin_kept").cast("int") * learnable(threshold).cast("int") == 1)
+    """Rows with margin_kept (at least the exact median of all margins) and selected (kept and learnable).
+
+    ``rows`` are written to a work table: the median's passes read the margins of that, and nothing is scored twice.
+    """
+    scored = written(rows, "candidates")
+    middle = exact_median(scored, "margin")
+    kept = scored.withColumn("margin_threshold", F.lit(middle or 0.0)).withColumn("margin_kept", F.coalesce("margin", F.lit(0.0)) >= F.col("margin_threshold"))
+    return kept.withColumn("selected", F.col("margin_kept") & learnable(threshold))
 
 
 def preference_records(selected: DataFrame, *keys: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -39,11 +39,19 @@ def training_hint(rows: DataFrame, metric: str, step: str = "step") -> DataFrame
     return top.select(F.col("b.s").alias("best_step"), F.col("l.s").alias("latest_step"), kind.alias("hint"))
 
 
-def loss_series(history: DataFrame, order: str, step: str = "step", loss: str = "loss", eval_loss: str = "eval_loss") -> DataFrame:
-    """(ord, step, kind, value): training and evaluation losses of log records, each record's present values."""
-    train = history.where(F.col(loss).isNotNull() & F.col(step).isNotNull()).select(F.col(order).alias("ord"), F.col(step).alias("step"), F.lit("train").alias("kind"), F.col(loss).cast("double").alias("value"))
-    held = history.where(F.col(eval_loss).isNotNull() & F.col(step).isNotNull()).select(F.col(order).alias("ord"), F.col(step).alias("step"), F.lit("eval").alias("kind"), F.col(eval_loss).cast("double").alias("value"))
-    return train.unionByName(held)
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ord, step, epoch, loss, eval_loss) of the log in each trainer state, a JSON document, under ``path``; ``ord`` is the record's place from 0."""
+    rows = spark.read.option("multiLine", True).schema("log_history array<struct<step: double, epoch: double, loss: double, eval_loss: double>>").json(path)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.posexplode("log_history").alias("ord", "x")).select("path", "ord", "x.*")
+
+
+def loss_series(history: DataFrame, order: str, step: str = "step", loss: str = "loss", eval_loss: str = "eval_loss", epoch: str | None = None) -> DataFrame:
+    """(ord, step, kind, value) of log records that have a step, and their epoch (0 if missing) if that is named: a record with an
+    evaluation loss is an evaluation, whatever other loss it holds; one with a training loss alone is training."""
+    kind = F.when(F.col(eval_loss).isNotNull(), F.lit("eval")).when(F.col(loss).isNotNull(), F.lit("train"))
+    epochs = [F.coalesce(F.col(epoch).cast("double"), F.lit(0.0)).alias("epoch")] if epoch else []
+    value = F.coalesce(F.col(eval_loss), F.col(loss)).cast("double").alias("value")
+    return history.where(F.col(step).isNotNull()).select(F.col(order).alias("ord"), F.col(step).alias("step"), *epochs, kind.alias("kind"), value).where("kind IS NOT NULL")
 
 
 def best_eval(series: DataFrame) -> DataFrame:

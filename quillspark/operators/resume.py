@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,18 @@ def skip_counts(tasks: DataFrame, outputs: DataFrame, log: DataFrame, key: str,
     return marked.agg(F.count("*").alias("tasks"), F.count_if(there).alias("skipped_output"), F.count_if(~there & logged).alias("skipped_log"), F.count_if(~there & ~logged).alias("pending"))
 
 
+def write_pending(tasks: DataFrame, outputs: DataFrame, log: DataFrame, key: str, output: str, path: str) -> dict[str, int]:
+    """Write the tasks that are left to ``path``; the counts of ``skip_counts``, taken by the pass that writes."""
+    there = outputs.select(output).distinct().withColumn("__o", F.lit(True))
+    logged = log.where(F.col(key).isNotNull()).select(key).distinct().withColumn("__l", F.lit(True))
+    marked = tasks.join(there, output, "left").join(logged, key, "left")
+    has, seen = F.col("__o").isNotNull(), F.col("__l").isNotNull()
+    counts = Observation()
+    marked = marked.observe(counts, F.count("*").alias("tasks"), F.count_if(has).alias("skipped_output"), F.count_if(~has & seen).alias("skipped_log"), F.count_if(~has & ~seen).alias("pending"))
+    marked.where(~has & ~seen).select(*tasks.columns).write.parquet(path)
+    return counts.get
+
+
 def existing_records(parts: list[DataFrame], key: str, order: str) -> DataFrame:
     """One record a key over several files: later files, and within one later records, win."""
     every = None

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from ..functions.text import let, strip
 from .parse import parsed
 from .score import bucket_accuracy, ratio_error, ratio_hit, score_reports, set_f1, weighted_scores
 
@@ -68,9 +69,43 @@ def messages(prompt: Column, answer: Column | None = None) -> Column:
     return user if answer is None else F.when(answer.isNull(), user).otherwise(F.concat(user, F.array(one("assistant", answer))))
 
 
-def message_text(content: Column) -> Column:
-    """Texts of a message's parts, line by line."""
-    return F.array_join(F.transform(F.filter(content, lambda x: x["type"] == "text"), lambda x: x["text"]), "\n")
+def _kind(v: Column) -> Column:
+    """Type of a variant: STRING, OBJECT, ARRAY, VOID, BOOLEAN or a number's."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def _said(v: Column) -> Column:
+    """A plain value as Python prints it, stripped; lists and objects as JSON."""
+    kind, text = _kind(v), F.try_variant_get(v, "$", "string")
+    return strip(F.when(kind == "VOID", F.lit("None")).when(kind == "BOOLEAN", F.initcap(text)).when(kind.isin("OBJECT", "ARRAY"), F.to_json(v)).otherwise(text))
+
+
+def _joined(parts: Column) -> Column:
+    return F.array_join(F.filter(parts, lambda x: x != ""), "\n")
+
+
+def _items(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def content_text(content: Column) -> Column:
+    """Text of a message's content, a variant: a text itself, an object's ``text``, or, of a list, its texts and its objects of type ``text`` line
+    by line. Parts are stripped and blank ones go; an object without a text and other items of a list give nothing, other values are printed."""
+    text = lambda x: F.coalesce(_said(F.try_variant_get(x, "$.text", "variant")), F.lit(""))
+    one = lambda x: let(_kind(x), lambda k: F.when(k == "STRING", _said(x)).when((k == "OBJECT") & (F.try_variant_get(x, "$.type", "string") == "text"), text(x)).otherwise(F.lit("")))
+    return let(_kind(content), lambda k: F.when(k == "OBJECT", text(content)).when(k == "ARRAY", _joined(F.transform(_items(content), one))).otherwise(_said(content)))
+
+
+def message_text(completion: Column, depth: int = 8) -> Column:
+    """Text of a completion, a variant: a text itself, an object's ``content``, or the texts of a list's items line by line, whatever lists
+    these lie in, up to ``depth`` lists in one another; more are an error. Null for a null column."""
+    leaves = F.array(completion)
+    for _ in range(depth):
+        leaves = F.flatten(F.transform(leaves, lambda x: F.when(_kind(x) == "ARRAY", _items(x)).otherwise(F.array(x))))
+    content = lambda x: F.try_variant_get(x, "$.content", "variant")
+    of_object = lambda x: F.when(content(x).isNull(), F.lit("")).otherwise(content_text(content(x)))
+    one = lambda x: let(_kind(x), lambda k: F.when(k == "ARRAY", F.raise_error(F.lit(f"more than {depth} lists in one another")).cast("string")).when(k == "OBJECT", of_object(x)).otherwise(_said(x)))
+    return F.when(completion.isNotNull(), _joined(F.transform(leaves, one)))
 
 
 def evaluation_rows(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -27,6 +27,17 @@ def filter_summary(rows: DataFrame, clean: DataFrame, key: str, clean_key: str |
     return counts.join(F.broadcast(keys.agg(F.count("*").alias("clean_keys"))))  # one row each
 
 
+def write_kept_and_removed(rows: DataFrame, clean: DataFrame, key: str, path: str, clean_key: str | None = None) -> dict[str, int]:
+    """Write ``rows`` to ``path`` in the parts ``kept=true`` and ``kept=false``; the counts of ``filter_summary``, taken by the pass that writes."""
+    keys = clean.select(strip(or_empty(F.col(clean_key or key).cast("string"))).alias("__k")).where("__k <> ''").distinct()
+    of_keys, of_rows = Observation(), Observation()
+    seen = keys.observe(of_keys, F.count("*").alias("clean_keys")).withColumn("__hit", F.lit(True))
+    marked = rows.withColumn("__k", strip(or_empty(F.col(key).cast("string")))).join(seen, "__k", "left").withColumn("kept", F.col("__hit").isNotNull()).drop("__k", "__hit")
+    counts = F.count("*").alias("rows"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("removed")
+    marked.observe(of_rows, *counts).write.partitionBy("kept").parquet(path)
+    return {**of_rows.get, **of_keys.get}
+
+
 def matching_ids(rows: DataFrame, clean: DataFrame, key: str) -> DataFrame:
     """Rows whose id, as text, is among the clean ids; missing ids are the text nan on both sides."""
     text = F.coalesce(F.col(key).cast("string"), F.lit("nan"))
@@ -51,12 +62,16 @@ def contrast_eligible(labels: Column) -> Column:
 
 
 def zipped(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Rows of both sides by a key that each holds once; a key that one side lacks or repeats is an error when the rows are read."""
-    one = lambda df, name: df.groupBy(key).agg(F.first(F.struct(*[c for c in df.columns if c != key])).alias(name), F.count("*").alias(f"{name}_n"))
-    both = one(left, "__l").join(one(right, "__r"), key, "full")
-    fits = F.coalesce(F.col("__l_n") == 1, F.lit(False)) & F.coalesce(F.col("__r_n") == 1, F.lit(False))
-    checked = F.when(fits, F.col(key)).otherwise(F.raise_error(F.concat(F.lit("no one-to-one match for "), F.col(key).cast("string"))))
-    return both.select(checked.alias(key), "__l.*", "__r.*")
+    """Rows of both sides by a key that each holds once; a key that one side lacks or repeats is an error when the rows are read or counted.
+
+    Both sides meet in one aggregate by the key. The check is a filter on its counts, so no projection drops it.
+    """
+    sides = {"__l": [c for c in left.columns if c != key], "__r": [c for c in right.columns if c != key]}
+    none = {n: F.lit(None).cast(df.select(F.struct(*sides[n])).schema[0].dataType).alias(n) for n, df in (("__l", left), ("__r", right))}
+    both = left.select(key, F.struct(*sides["__l"]).alias("__l"), none["__r"]).unionByName(right.select(key, none["__l"], F.struct(*sides["__r"]).alias("__r")))
+    met = both.groupBy(key).agg(*[f(n).alias(n + tail) for n in sides for f, tail in ((lambda c: F.first(c, ignorenulls=True), ""), (F.count, "_n"))])
+    wrong = F.raise_error(F.concat(F.lit("no one-to-one match for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+    return met.where(F.when((F.col("__l_n") == 1) & (F.col("__r_n") == 1), F.lit(True)).otherwise(wrong)).select(key, "__l.*", "__r.*")
 
 
 def load_counters(rows: DataFrame, text: str, found: Column, order: str, most: int | None = None) -> DataFrame:
@@ -147,7 +162,6 @@ def class_balanced_weights(support: DataFrame, beta: float = 0.9999) -> DataFram
     if not 0 < beta < 1:
         raise ValueError("beta must lie between 0 and 1")
     raw = (1 - F.lit(beta)) / F.greatest(1 - F.pow(F.lit(beta), F.greatest(F.col("support"), F.lit(1)).cast("double")), F.lit(1e-12))
-    raw_rows = support.withColumn("__w", raw)
-    mean = raw_rows.agg(F.avg("__w").alias("__mean"))
+    rows = support.withColumn("__w", raw).withColumn("__mean", F.avg("__w").over(Window.partitionBy()))  # a row a label
     weight = F.when(F.col("support") <= 0, F.lit(1.0)).otherwise(F.col("__w") / F.greatest("__mean", F.lit(1e-12)))
-    return raw_rows.join(F.broadcast(mean)).select("label", "support", weight.alias("weight"))  # one row
+    return rows.select("label", "support", weight.alias("weight"))

@@ -72,13 +72,29 @@ def composite_lookup(diseases: DataFrame) -> tuple[DataFrame, DataFrame]:
     column = {n: F.col(f"`{column_by_aliases(diseases.columns, a)}`") for n, a in dims.COLUMN_ALIASES.items()}
     plain = {"patient_record_id": identifier, "eye_side": eye_side, "img_id": identifier}
     rows = diseases.select(*[f(column[n].cast("string")).alias(n) for n, f in plain.items()], "ord").where("patient_record_id <> '' AND eye_side <> '' AND img_id <> ''")
-    keyed = rows.groupBy("patient_record_id", "eye_side").agg(F.min_by("img_id", "ord").alias("img_id"), F.count_distinct("img_id").alias("images"))
+    # One row an image of a key first: then its images are counted without a distinct aggregate, by the same exchange's keys.
+    rows = rows.groupBy("patient_record_id", "eye_side", "img_id").agg(F.min("ord").alias("ord"))
+    keyed = rows.groupBy("patient_record_id", "eye_side").agg(F.min_by("img_id", "ord").alias("img_id"), F.count("*").alias("images"))
     return keyed.drop("images"), keyed.where("images > 1").select("patient_record_id", "eye_side", "images")
 
 
 def subset_entries(images: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Record and side of the first ``limit`` images in document order, and the names of those that have none; these count
-    toward the limit."""
+    """Record and side of the first ``limit`` images in document order (``ord``, from 1, as ``read_annotations`` gives it), and the names of those that have
+    none; these count toward the limit."""
     rows = images.where(F.col("ord") <= limit).withColumn("__r", record_of(F.col("name")))
-    good = rows.where("__r IS NOT NULL").select("ord", F.col("__r.record").alias("patient_record_id"), F.col("__r.side").alias("eye_side"), "free_text", "label_text")
+    good = rows.where("__r IS NOT NULL").select("ord", "name", F.col("__r.record").alias("patient_record_id"), F.col("__r.side").alias("eye_side"), "free_text", "label_text")
     return good, rows.where("__r IS NULL").select("ord", "name")
+
+
+def subset_parameter(entries: DataFrame, lookup: DataFrame, parameter: DataFrame, key: str = "img_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The parameter rows of a subset's images with the entries' tags, the entries (ord, name) without an image, and the images (img_id) that are excluded.
+
+    An entry's image is the look-up's for its record and side. An image's last entry gives its tags, and any entry's free text excludes it. Parameter rows
+    match by the plain form of their ids, which replaces them; rows that share an id are all kept.
+    """
+    on = ["patient_record_id", "eye_side"]
+    met = entries.join(lookup.select(*on, F.col("img_id").alias("__i")), on, "left").select("ord", "name", "__i", tag_list(F.col("label_text")).alias("t"), excluded(F.col("free_text")).alias("bad"))
+    images = met.where("__i IS NOT NULL").groupBy("__i").agg(F.max_by("t", "ord").alias("__t"), F.bool_or("bad").alias("__bad"))
+    rows = parameter.withColumn(key, identifier(F.col(key).cast("string"))).join(images.where("NOT __bad"), F.col(key) == F.col("__i"))
+    kept = rows.select(*[c for c in parameter.columns if c != "tags"], F.col("__t").alias("tags"))
+    return kept, met.where("__i IS NULL").select("ord", "name"), images.where("__bad").select(F.col("__i").alias("img_id"))

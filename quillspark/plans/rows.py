@@ -95,7 +95,7 @@ QUERIES = {
     "text_forms": _forms,
     "diagnosis_part": lambda s, d: pairs(s, d).select("ord", text.diagnosis_part(F.col("prediction")).alias("diagnosis")),
     "durations": lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", text.duration(F.col("value") * 100).alias("t")),
-    "rerooted_paths": lambda s, d: part(s, d, "concat(CASE p_partkey % 4 WHEN 0 THEN '/old/eye_project/a/' WHEN 1 THEN '/else/' WHEN 2 THEN 'rel/' ELSE '/x/eye_project/eye_project/' END, CAST(p_partkey AS STRING)) AS p").select("p_partkey", reward.rerooted(F.col("p"), "eye_project", "/new/").alias("path")),
+    "rerooted_paths": lambda s, d: part(s, d, "concat(CASE p_partkey % 4 WHEN 0 THEN '/old/data_root/a/' WHEN 1 THEN '/else/' WHEN 2 THEN 'rel/' ELSE '/x/data_root/data_root/' END, CAST(p_partkey AS STRING)) AS p").select("p_partkey", reward.rerooted(F.col("p"), "data_root", "/new/").alias("path")),
     "valid_rows": lambda s, d: split.valid_and_invalid(*_invalid(s, d))[0].select("doc_id"),
     "invalid_rows": lambda s, d: split.numbered_errors(*_invalid(s, d), "doc_id"),
     "contrast_eligible": lambda s, d: part(s, d, f"array({_LABEL}, 'x') AS l").select("p_partkey", split.contrast_eligible(F.col("l")).alias("eligible")),
@@ -130,7 +130,7 @@ SELECT p_partkey, CASE WHEN none THEN 0 ELSE greatest(0, cx - half) END AS "left
   CASE p_partkey % 4 WHEN 0 THEN '1|2' WHEN 1 THEN 'plain text' ELSE '' END AS others FROM part""",
     "diagnosis_part": f"WITH {SCORE_CTES} SELECT ord, CASE WHEN t = '' THEN 'UNKNOWN' ELSE t END AS diagnosis FROM (SELECT ord, trim(regexp_extract(prediction, '初步诊断[：:]\\s*([^\\n]+)', 1)) AS t FROM b2)",
     "durations": "SELECT event_id, CASE WHEN s < 0 THEN '00:00:00' ELSE printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) END AS t FROM (SELECT event_id, CAST(floor(value * 100) AS BIGINT) AS s FROM events)",
-    "rerooted_paths": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat('/new/eye_project/a/', p_partkey) WHEN 1 THEN concat('/else/', p_partkey) WHEN 2 THEN concat('/new/eye_project/rel/', p_partkey) ELSE concat('/new/eye_project/eye_project/', p_partkey) END AS path FROM part",
+    "rerooted_paths": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat('/new/data_root/a/', p_partkey) WHEN 1 THEN concat('/else/', p_partkey) WHEN 2 THEN concat('/new/data_root/rel/', p_partkey) ELSE concat('/new/data_root/data_root/', p_partkey) END AS path FROM part",
     "valid_rows": "SELECT doc_id FROM documents WHERE doc_id % 11 <> 0 AND trim(coalesce(text, '')) <> ''",
     "invalid_rows": "SELECT row_number() OVER (ORDER BY doc_id) + 1 AS row_number, * FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'FileNotFoundError: no image' WHEN trim(coalesce(text, '')) = '' THEN 'ValueError: empty' END AS error FROM documents) QUALIFY error IS NOT NULL",
     "contrast_eligible": f"SELECT p_partkey, list_contains({_contrast}, {_LABEL_SQL}) AS eligible FROM part",

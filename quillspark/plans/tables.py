@@ -79,7 +79,19 @@ SYNC_SQL = DISEASE_SQL + f""", pat AS (
   FROM (SELECT *, list_extract({_LIST}, o_custkey % {N} + 1) AS t FROM orders)
 )"""
 
+def _subset(s, d):
+    """Entries of the first 4000 annotated images, whose records are suppliers' or nobody's, against the sheet's look-up and an order a parameter row."""
+    rows = images(s, d).withColumn("name", F.expr("concat(CASE WHEN ord % 9 = 0 THEN 'none' ELSE CAST(ord % 130 AS STRING) END, '_x_', CASE ord % 5 WHEN 0 THEN 'OD' WHEN 4 THEN 'XX' ELSE 'os' END, '.jpg')"))
+    rows = rows.withColumn("free_text", F.expr("CASE WHEN ord % 97 = 0 THEN '4' WHEN ord % 89 = 0 THEN '有模糊' ELSE '' END"))
+    entries = sync.subset_entries(rows, 4000)[0]
+    parameter = s.read.parquet(f"{d}/orders.parquet").selectExpr("concat(' ', CAST(o_orderkey AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN '.0' ELSE '' END) AS img_id", "o_orderstatus AS status", "array('old') AS tags")
+    return sync.subset_parameter(entries, sync.composite_lookup(_sheet(s, d))[0], parameter)
+
+
 QUERIES = {
+    "subset_parameter": lambda s, d: _subset(s, d)[0].select("img_id", "status", F.array_join("tags", "、").alias("tags")),
+    "subset_unmatched": lambda s, d: _subset(s, d)[1],
+    "subset_excluded": lambda s, d: _subset(s, d)[2],
     "image_sides": lambda s, d: sync.image_sides(diseases(s, d)),
     "image_labels": lambda s, d: sync.image_labels(diseases(s, d), F.array("tag")).select("img_id", F.array_join("tags", "、").alias("tags")),
     "patient_labels": lambda s, d: _labels(s, d).select("img_id", F.array_join("tags", "、").alias("tags"), "institution_name"),
@@ -90,7 +102,17 @@ QUERIES = {
     "report_hash": lambda s, d: s.read.parquet(f"{d}/benchmark.parquet").select("item_id", report_hash(F.concat(F.lit(" "), "text", F.lit("\r\n"))).alias("hash")),
 }
 _rank = "CASE t " + " ".join(f"WHEN '{t}' THEN {k}" for k, t in enumerate(LABELS[:26])) + " ELSE 1000 + i END"
+_SUBSET_SQL = f"""WITH {_SHEET_SQL}, look AS (SELECT patient_record_id, eye_side, arg_min(img_id, ord) AS img_id FROM r GROUP BY patient_record_id, eye_side),
+ent AS (SELECT o_orderkey AS ord, concat(CASE WHEN o_orderkey % 9 = 0 THEN 'none' ELSE CAST(o_orderkey % 130 AS VARCHAR) END, '_x_', CASE o_orderkey % 5 WHEN 0 THEN 'OD' ELSE 'os' END, '.jpg') AS name,
+    CASE WHEN o_orderkey % 9 = 0 THEN 'none' ELSE CAST(o_orderkey % 130 AS VARCHAR) END AS rec, CASE WHEN o_orderkey % 5 = 0 THEN 'right' ELSE 'left' END AS side, o_orderkey % 97 = 0 OR o_orderkey % 89 = 0 AS bad,
+    list_extract({_LIST}, o_custkey % {N} + 1) AS t FROM orders WHERE o_orderkey <= 4000 AND o_orderkey % 5 <> 4),
+met AS (SELECT e.*, l.img_id FROM ent e LEFT JOIN look l ON l.patient_record_id = rec AND l.eye_side = side),
+img AS (SELECT img_id, arg_max(t, ord) AS t, bool_or(bad) AS bad FROM met WHERE img_id IS NOT NULL GROUP BY img_id)"""
 ORACLE_SQL = {
+    "subset_parameter": f"""{_SUBSET_SQL} SELECT img_id, o_orderstatus AS status, CASE WHEN t = '视盘水肿' THEN t WHEN t = '糖尿病视网膜病变增殖期' THEN '糖尿病视网膜病变增生期、视盘水肿' ELSE concat(t, '、视盘水肿') END AS tags
+FROM img JOIN orders ON CAST(o_orderkey AS VARCHAR) = img_id WHERE NOT bad""",
+    "subset_unmatched": f"{_SUBSET_SQL} SELECT ord, name FROM met WHERE img_id IS NULL",
+    "subset_excluded": f"{_SUBSET_SQL} SELECT img_id FROM img WHERE bad",
     "image_sides": f"WITH {DISEASE_SQL} SELECT * FROM sides",
     "image_labels": f"WITH {DISEASE_SQL} SELECT img_id, array_to_string(tags, '、') AS tags FROM own",
     "patient_labels": f"WITH {SYNC_SQL} SELECT img_id, array_to_string(tags, '、') AS tags, institution_name FROM plab",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "quillspark", **conf: str) -> SparkSession:
@@ -28,11 +30,44 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+_made: dict[str, str] = {}
+_own: dict[str, str] = {}
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder of spark.checkpoint.dir, which the driver and all executors share; only a local session may lack it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh path in the folder of spark.checkpoint.dir, which the driver and all executors share; only a local session may lack it. What is written there is
+    deleted when the driver ends, or by ``drop_work``."""
+    folder, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not folder:
         if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        folder = _own[app]
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made[path] = app
+    return path
+
+
+def drop_work(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _made.pop(path, None)
+
+
+def _drop_all() -> None:
+    spark = SparkSession.getActiveSession()
+    for path, app in list(_made.items()):
+        if spark is not None and spark.sparkContext.applicationId == app:
+            with contextlib.suppress(Exception):  # the context may be gone at exit
+                drop_work(spark, path)
+
+
+atexit.register(_drop_all)
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to a work table and read again: worked out once, and safe from lost executors."""
+    path = work_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

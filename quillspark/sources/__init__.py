@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ANNOTATION = "_id BIGINT, _name STRING, tag ARRAY<STRUCT<_label: STRING, attribute: ARRAY<STRUCT<_name: STRING, _VALUE: STRING>>>>"
@@ -24,8 +24,40 @@ def write_csv(rows: DataFrame, path: str, fields: list[str], mode: str = "errori
     rows.select(*blank).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
+def placed(rows: DataFrame, name: str = "place") -> DataFrame:
+    """``rows``, as a file source reads them, with their file's ``path`` and their place in it (from 1), over all splits of the file.
+
+    A split's rows have consecutive ids, so the place in the split is the distance to its first id; the rows of the splits before are added. What is
+    summed and joined is one row a split. Call it before any filter: every row that was read counts.
+    """
+    at = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__start")
+    read = rows.select(*rows.columns, *at).withColumn("__id", F.monotonically_increasing_id())
+    splits = read.groupBy("path", "__start").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("path").orderBy("__start")) - F.col("__n")
+    splits = splits.select(F.col("path").alias("__path"), F.col("__start").alias("__of"), "__first", before.alias("__before"))
+    joined = read.join(splits, (F.col("path") == F.col("__path")) & (F.col("__start") == F.col("__of")))
+    return joined.select(*rows.columns, "path", (F.col("__id") - F.col("__first") + F.col("__before") + 1).alias(name))
+
+
+def in_order(rows: DataFrame, name: str = "ord", place: str = "place") -> DataFrame:
+    """``placed`` rows with one number over all files, from 1: by path and then by place. One row a file is ranked."""
+    files = rows.groupBy("path").agg(F.max(place).alias("__n"))
+    before = files.select(F.col("path").alias("__path"), (F.sum("__n").over(Window.orderBy("path")) - F.col("__n")).alias("__before"))
+    return rows.join(before, F.col("path") == F.col("__path")).withColumn(name, F.col("__before") + F.col(place)).drop("__path", "__before")
+
+
+def bad_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, text) of the lines that aren't JSON; blank lines are none of them, but count."""
+    lines = placed(spark.read.text(path), "line")
+    return lines.where((F.trim("value") != "") & F.try_parse_json("value").isNull()).select("path", "line", F.col("value").alias("text"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """JSON lines; a bad line is an error, or is dropped unless ``strict``. Blank lines don't count."""
+    """JSON lines; a bad line is dropped or, if ``strict``, an error at once that names its file and number. Blank lines don't count."""
+    if strict:
+        bad = bad_json_lines(spark, path).agg(F.min(F.struct("path", "line")).alias("x")).first()["x"]
+        if bad:
+            raise ValueError(f"not JSON: {bad['path']}:{bad['line']}")
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
@@ -39,13 +71,14 @@ def write_document(row: DataFrame, path: str, mode: str = "errorifexists") -> No
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, name, free_text, label_text) of an annotation file's images, by their ids."""
-    rows = spark.read.format("xml").option("rowTag", "image").schema(ANNOTATION).load(path)
+    """(ord, id, name, free_text, label_text) of the images of annotation files; ``ord`` is an image's place in the document, from 1, files in order of
+    their paths. Ids may have gaps and need not be in order."""
+    rows = in_order(placed(spark.read.format("xml").option("rowTag", "image").schema(ANNOTATION).load(path)))
     flat = F.flatten(F.transform(F.coalesce("tag", F.array().cast("array<struct<_label:string,attribute:array<struct<_name:string,_VALUE:string>>>>")), lambda t: F.transform(t["attribute"], lambda a: F.struct(t["_label"].alias("l"), a["_name"].alias("n"), a["_VALUE"].alias("v")))))
     of = lambda label, name: F.coalesce(F.trim(F.element_at(F.transform(F.filter("__a", lambda x: (x["l"] == label) & (x["n"] == name)), lambda x: x["v"]), -1)), F.lit(""))
     rows = rows.withColumn("__a", flat)
     with_value = lambda label, name: F.when(F.exists("__a", lambda x: (x["l"] == label) & (x["n"] == name)), of(label, name)).otherwise(F.lit(""))
-    return rows.select(F.col("_id").alias("ord"), F.col("_name").alias("name"), with_value("自由文本", "自由文本").alias("free_text"), with_value("EVisionAI_disease_Tag", "EVisionAI疾病分类").alias("label_text"))
+    return rows.select("ord", F.col("_id").alias("id"), F.col("_name").alias("name"), with_value("自由文本", "自由文本").alias("free_text"), with_value("EVisionAI_disease_Tag", "EVisionAI疾病分类").alias("label_text"))
 
 
 def list_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")) -> DataFrame:
@@ -74,9 +107,3 @@ def resolved_paths(rows: DataFrame, files: DataFrame, path: str, key: str, base:
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, md): each file whole."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("md"))
-
-
-def last_by(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Each key's last row by a declared order."""
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))))
-    return ranked.where("__r = 1").drop("__r")

@@ -1,12 +1,15 @@
 """Scalar functions and scores against plain Python statements of them."""
 
+import json
+import random
 import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import dims, text, udf
-from quillspark.operators import extract, parse, rank, report, score, split, tail
+from quillspark.operators import extract, metrics, parse, rank, report, reward, score, split, tail
 
 REPORT = "描述：杯盘比为0.3。下方视网膜可见散在出血；黄斑处可见硬性渗出。静脉迂曲扩张，鼻上方、颞下方视网膜沿血管放射状出血。可见12处动静脉交叉压迫点。视盘可见出血。\r\n\n初步诊断： 疑似青光眼、黄斑裂孔 、"
 
@@ -162,6 +165,8 @@ def test_grid_cells_and_spans():
     assert rows[0] == ["a b", *["c"] * 300] and rows[1] == ["a b", "10 3 <"] and len(rows) == 2
     # A span that isn't next to the row's end waits for a row that reaches it.
     assert udf.table_grid("<tr><td>x</td><td>y</td><td rowspan=2>z</td></tr><tr><td>1</td></tr><tr><td>1</td><td>2</td></tr>") == [["x", "y", "z"], ["1"], ["1", "2", "z"]]
+    assert udf.table_grid('<tr><td colspan="²">x</td><td rowspan="٣">y</td><td colspan="-2">z</td></tr>') == [["x", "y", "z"]]
+    assert [len(r) for r in udf.table_grid('<tr><td colspan="1000000000">x</td><td colspan=99999999999999999999>y</td></tr>')] == [2000]
     assert udf.table_grid(None) == [] and udf.table_grid("<table>") == []
 
 
@@ -192,6 +197,10 @@ def test_strict_zip_and_early_stop(spark):
     left, right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string"), spark.createDataFrame([(1, 5), (3, 6)], "k int, y int")
     with pytest.raises(Exception, match="one-to-one"):
         split.zipped(left, right, "k").collect()
+    with pytest.raises(Exception, match="one-to-one"):
+        split.zipped(left, right, "k").count()
+    with pytest.raises(Exception, match="one-to-one"):
+        split.zipped(left, right, "k").select("y").collect()
     assert split.zipped(left, left.withColumnRenamed("x", "y"), "k").count() == 2
     rows = spark.createDataFrame([(k, None if k % 3 == 0 else "t") for k in range(30)], "k int, text string")
     got = split.load_counters(rows, "text", F.col("k") % 2 == 1, "k", 4).first()
@@ -201,3 +210,45 @@ def test_strict_zip_and_early_stop(spark):
 def test_metric_predicates():
     assert not rank.greater_is_better("eval_description_cdr_mae") and rank.greater_is_better("train_loss")
     assert rank.runs_structured("eval_loss", None) is False and rank.runs_structured("eval_loss", True) and rank.structured_metric("eval_diagnosis_micro_f1")
+
+
+def _content(c):
+    if isinstance(c, dict):
+        return str(c["text"]).strip() if "text" in c else ""
+    if isinstance(c, list):
+        parts = [str(x.get("text", "")).strip() if isinstance(x, dict) and x.get("type") == "text" else x.strip() if isinstance(x, str) else "" for x in c]
+        return "\n".join(p for p in parts if p)
+    return str(c).strip()
+
+
+def _completion(c):
+    if isinstance(c, dict):
+        return _content(c.get("content", ""))
+    if isinstance(c, list):
+        return "\n".join(p for p in map(_completion, c) if p)
+    return str(c).strip()
+
+
+def test_message_texts_of_mixed_shapes(spark):
+    parts = [{"type": "text", "text": " f "}, " g ", {"type": "image"}, 5, "  ", {"type": "text", "text": 7}, [" no "]]
+    shapes = [" a ", {"content": " b "}, [{"content": " c "}, " d ", [["e ", {"content": parts}]]], None, True, False, 1.5, 10, {"x": 1}, {"content": None}, {"content": {"text": " h\n"}}, {"content": {"t": 1}}, {"content": []}, [], ["", [" "]], [[[[[["deep"]]]]]], {"content": " \u3000x\u3000"}, {"content": parts}]
+    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(shapes)] + [(99, None)], "k int, j string").withColumn("v", F.parse_json("j"))
+    got = {r["k"]: r["t"] for r in rows.select("k", reward.message_text(F.col("v")).alias("t")).collect()}
+    assert got.pop(99) is None and got == {k: _completion(v) for k, v in enumerate(shapes)}
+    with pytest.raises(Exception, match="lists in one another"):
+        rows.where("k = 15").select(reward.message_text(F.col("v"), depth=3)).collect()
+
+
+@pytest.mark.parametrize("few", [3, 50, 10_000])
+def test_exact_median(spark, few):
+    rng = random.Random(few)
+    tables = [[], [None], [float("nan"), None], [2.0], [1.0, 2.0], [5.0] * 400, [1.0] * 300 + [2.0] * 300, [1.0] * 301 + [2.0] * 300, [float(k) for k in range(999)], [rng.choice([1e300, -1e300, 0.0, 1e-300, 3.0]) for _ in range(500)], [rng.gauss(0, 1) for _ in range(1000)] + [None] * 10, [10.0**k for k in range(-100, 100)]]
+    for values in tables:
+        kept = [v for v in values if v is not None and v == v]
+        found = metrics.exact_median(spark.createDataFrame([(v,) for v in values], "v double"), "v", few)
+        assert found == (statistics.median(kept) if kept else None)
+
+
+def test_a_record_with_both_losses_is_an_evaluation(spark):
+    rows = spark.createDataFrame([(0, 1, None, 0.5, None), (1, 2, 0.25, 0.4, 0.9), (2, None, 1.0, 0.1, None), (3, 3, 2.0, None, None)], "i int, step int, epoch double, loss double, eval_loss double")
+    assert sorted(tuple(r) for r in rank.loss_series(rows, "i", epoch="epoch").collect()) == [(0, 1, 0.0, "train", 0.5), (1, 2, 0.25, "eval", 0.9)]

@@ -1,9 +1,15 @@
 """Readers and writers on files."""
 
+import json
+import zipfile
+
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark import sources
-from quillspark.operators import resume, sync
+from quillspark.operators import resume, split, sync
+from quillspark.sources import runs, workbook
+from quillspark.streaming import reports
 
 
 def test_csv_round_trip_with_line_breaks(spark, tmp_path):
@@ -29,17 +35,46 @@ def test_json_lines(spark, tmp_path):
         sources.read_jsonl(spark, str(tmp_path / "x.jsonl"), "input string").collect()
 
 
-def test_annotations(spark, tmp_path):
+def test_strict_lines_name_file_and_number_over_splits(spark, tmp_path):
+    lines = [f'{{"input": "{k}"}}' if k % 50 else ("" if k % 100 else f"bad {k}") for k in range(1, 2001)]
+    (tmp_path / "x.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "y.jsonl").write_text('{"input": 1}\n[1, 2\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        bad = {(r["path"].rsplit("/", 1)[1], r["line"], r["text"]) for r in sources.bad_json_lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert bad == {("x.jsonl", k, f"bad {k}") for k in range(100, 2001, 100)} | {("y.jsonl", 2, "[1, 2")}
+    with pytest.raises(ValueError, match=r"x\.jsonl:100$"):
+        sources.read_jsonl(spark, str(tmp_path), "input string")
+    assert sources.read_jsonl(spark, str(tmp_path), "input string", strict=False).count() == 2000 - 40 + 1
+
+
+def test_annotations_are_in_document_order_whatever_their_ids(spark, tmp_path):
     entry = '<image id="{}" name="{}">{}</image>'
     tag = '<tag label="{0}"><attribute name="{1}">{2}</attribute></tag>'
     good = tag.format("EVisionAI_disease_Tag", "EVisionAI疾病分类", 'None"视盘水肿", "视盘水肿",')
     bad = tag.format("自由文本", "自由文本", "4")
-    (tmp_path / "a.xml").write_text("<annotations>" + entry.format(1, "r_x_OD_i1.jpg", good) + entry.format(2, "r_x_OS_i2.jpg", bad) + entry.format(3, "r_x_OS_i1.jpg", "") + "</annotations>", encoding="utf-8")
-    rows = sources.read_annotations(spark, str(tmp_path / "a.xml"))
-    got = {r["img_id"]: (r["tags"], r["excluded"]) for r in sync.annotations(rows).collect()}
+    (tmp_path / "a.xml").write_text("<annotations>" + entry.format(9, "r_x_OD_i1.jpg", good) + entry.format(2, "r_x_OS_i2.jpg", bad) + entry.format(2, "r_x_OS_i1.jpg", "") + "</annotations>", encoding="utf-8")
+    (tmp_path / "b.xml").write_text("<annotations>" + entry.format(0, "s_x_OD.jpg", "") + "</annotations>", encoding="utf-8")
+    rows = sources.read_annotations(spark, str(tmp_path))
+    assert [(r["ord"], r["id"]) for r in rows.orderBy("ord").collect()] == [(1, 9), (2, 2), (3, 2), (4, 0)]
+    got = {r["img_id"]: (r["tags"], r["excluded"]) for r in sync.annotations(rows.where("id > 0")).collect()}
     assert got == {"i1": ([], False), "i2": ([], True)}
-    entries, invalid = sync.subset_entries(rows, 2)
-    assert entries.count() == 0 and invalid.count() == 2  # the side isn't the last part of these names
+    entries, invalid = sync.subset_entries(rows, 3)
+    assert entries.count() == 0 and invalid.count() == 3  # the side isn't the last part of these names
+    assert [r["patient_record_id"] for r in sync.subset_entries(rows, 4)[0].collect()] == ["s"]
+
+
+def test_subset_join_matches_replaces_and_excludes(spark):
+    entries = spark.createDataFrame([(1, "n1", "p", "left", "", 'None"a"'), (2, "n2", "p", "left", "", 'None"b"'), (3, "n3", "q", "right", "4", ""), (4, "n4", "z", "left", "", ""), (5, "n5", "q", "right", "", 'None"c"')], "ord long, name string, patient_record_id string, eye_side string, free_text string, label_text string")
+    lookup = spark.createDataFrame([("p", "left", "10"), ("q", "right", "11"), ("r", "left", "12")], "patient_record_id string, eye_side string, img_id string")
+    parameter = spark.createDataFrame([("10.0", 1, ["x"]), (" 10", 2, None), ("11", 3, ["x"]), ("12", 4, ["x"])], "img_id string, v int, tags array<string>")
+    kept, unmatched, gone = sync.subset_parameter(entries, lookup, parameter)
+    assert sorted((r["img_id"], r["v"], tuple(r["tags"])) for r in kept.collect()) == [("10", 1, ("b",)), ("10", 2, ("b",))]
+    assert [r["name"] for r in unmatched.collect()] == ["n4"] and [r["img_id"] for r in gone.collect()] == ["11"]
 
 
 def test_image_listing(spark, tmp_path):
@@ -58,3 +93,112 @@ def test_run_states():
         resume.output_mode(True, None, {}, False, False)
     with pytest.raises(ValueError):
         resume.output_mode(True, {"a": 2}, {"a": 1}, True, False)
+
+
+def _book(path, sheets, shared=None):
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{k}" r:id="r{k}"/>' for k, n in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{k}" Target="{"/xl/" if k else ""}worksheets/s{k}.xml"/>' for k in range(len(sheets))) + "</Relationships>")
+        for k, rows in enumerate(sheets.values()):
+            z.writestr(f"xl/worksheets/s{k}.xml", f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>')
+        if shared:
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">{shared}</sst>')
+
+
+def test_sheets_of_a_workbook(spark, tmp_path):
+    head = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="D1" t="inlineStr"><is><t>d</t></is></c></row>'
+    body = '<row r="3"><c r="A3"><v>12.0</v></c><c r="B3"><v>0.5</v></c><c r="D3" t="b"><v>1</v></c><c r="E3"><v>9</v></c></row><row r="5"><c r="B5" t="s"><v>2</v></c></row><row r="6"><c r="A6"/></row>'
+    _book(tmp_path / "x.xlsx", {"other": "", "disease_list": head + body}, "<si><t>img_id</t></si><si><r><t>na</t></r><r><t>me</t></r><rPh><t>no</t></rPh></si><si><t> t\n </t></si>")
+    rows = workbook.read_sheet(spark, str(tmp_path), "disease_list")
+    assert rows.columns == ["path", "place", "img_id", "name", "d"]
+    assert [tuple(r)[1:] for r in rows.orderBy("place").collect()] == [(2, "12", "0.5", "True"), (4, None, " t\n ", None)]
+    assert workbook.read_sheet(spark, str(tmp_path), "other").count() == 0
+    with pytest.raises(Exception, match="no such sheet"):
+        workbook.read_sheet(spark, str(tmp_path), "absent").count()
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        workbook.read_sheet(spark, str(tmp_path / "none"), "other")
+
+
+def test_a_written_workbook_is_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([(k, "a<&>\x01 é" if k % 2 else None, k / 4) for k in range(10_000)], "k long, t string, x double")
+    assert workbook.write_workbooks({"one": (rows, "k"), "two": (rows.limit(3), "k")}, str(tmp_path)) == 1
+    back = workbook.read_sheet(spark, str(tmp_path), "one")
+    got = {tuple(r) for r in back.select("place", "k", "t", "x").collect()}
+    assert got == {(k + 1, str(k), "a<&> é" if k % 2 else None, str(k / 4)) for k in range(10_000)}
+    assert workbook.read_sheet(spark, str(tmp_path), "two").count() == 3
+
+
+def test_runs_are_published_whole_refused_resumed_and_replaced(spark, tmp_path):
+    tasks = spark.range(10)
+    output = runs.RunOutput(spark, f"file://{tmp_path}/run")
+    by = lambda n: lambda rows: rows.select("id", F.lit(n).alias("by"))
+    count = lambda: {n: sum(r["by"] == n for r in output.read().collect()) for n in (1, 2, 3)}
+    assert output.read() is None and output.state() is None
+    assert output.run(tasks.where("id < 4"), "id", by(1), {"beams": 1}) == 1
+    with pytest.raises(FileExistsError):
+        output.run(tasks, "id", by(2), {"beams": 1})
+    with pytest.raises(ValueError):
+        output.run(tasks, "id", by(2), {"beams": 2}, resume=True)
+    with pytest.raises(ValueError):
+        output.run(tasks, "id", by(2), {"beams": 1}, resume=True, overwrite=True)
+
+    def fails(rows):
+        return rows.select("id", F.when(F.col("id") < 8, 2).otherwise(F.raise_error(F.lit("lost"))).cast("int").alias("by"))
+
+    with pytest.raises(Exception, match="lost"):
+        output.run(tasks, "id", fails, {"beams": 1}, resume=True)
+    assert count() == {1: 4, 2: 0, 3: 0}
+    assert output.run(tasks, "id", by(2), {"beams": 1}, resume=True) == 2 and count() == {1: 4, 2: 6, 3: 0}
+    old = output.read()
+    assert output.run(tasks, "id", by(3), {"beams": 5}, overwrite=True) == 3 and count() == {1: 0, 2: 0, 3: 10}
+    assert old.count() == 10 and output.state()["settings"] == {"beams": 5}
+    assert output.run(tasks, "id", by(3), {"beams": 5}, overwrite=True) == 4 and output.read().count() == 10
+
+
+def test_a_run_that_comes_second_does_not_count(spark, tmp_path):
+    output = runs.RunOutput(spark, f"file://{tmp_path}/run")
+
+    def meanwhile(rows):
+        runs.RunOutput(spark, f"file://{tmp_path}/run").run(rows, "id", lambda r: r, {"a": 1})
+        return rows.where("id < 0")
+
+    with pytest.raises(runs.Taken):
+        output.run(spark.range(5), "id", meanwhile, {"a": 1})
+    assert output.read().count() == 5
+
+
+REPORT = "性别: 男\n<table><tr><td>血管参数</td><td>右眼</td></tr></table>\n"
+
+
+def test_streamed_reports_survive_replay_and_restart(spark, tmp_path):
+    arrivals, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "stream")
+    write = lambda name, rows: (arrivals / name).mkdir(parents=True) or (arrivals / name / "x.json").write_text("\n".join(json.dumps(dict(zip(("path", "md"), r, strict=True))) for r in rows))
+    stream = lambda: spark.readStream.schema("path string, md string").json(f"{arrivals}/*")
+    write("one", [("a", REPORT), ("b", " "), ("c", REPORT)])
+
+    def breaks(rows, key, md):
+        reports.extract_reports(rows, key, md).write.mode("overwrite").parquet(f"{out}/rows/batch=0")
+        raise RuntimeError("lost after the rows were written")
+
+    with pytest.raises(Exception, match="lost"):
+        reports.extract_arrivals(stream(), out, checkpoint, extract=breaks)
+    reports.extract_arrivals(stream(), out, checkpoint)
+    reports.extract_arrivals(stream(), out, checkpoint)  # nothing new
+    write("two", [("c", "性别: 女"), ("d", REPORT), ("b", REPORT)])
+    reports.extract_arrivals(stream(), out, checkpoint)
+    got = {r["path"]: (r["sex"], r["batch"]) for r in reports.extracted(spark, out).collect()}
+    assert got == {"a": ("男", 0), "c": ("男", 0), "d": ("男", 1)} and reports.extracted(spark, out).count() == 3
+    batch = spark.createDataFrame([("c", "x"), ("d", REPORT), ("b", REPORT)], "path string, md string")
+    reports.handle_batch(batch, 1, out, "path", "md")  # played again
+    assert reports.extracted(spark, out).count() == 3
+    assert {(r["key"], r["status"], r["batch"]) for r in reports.log_of(spark, out).collect()} == {("a", "ok", 0), ("b", "empty", 0), ("c", "ok", 0), ("d", "ok", 1)}
+
+
+def test_counts_of_the_pass_that_writes(spark, tmp_path):
+    rows = spark.createDataFrame([(" 1",), ("2",), ("",), (None,), ("2",)], "key string")
+    clean = spark.createDataFrame([("2",), ("2",), (" ",), ("9",)], "k string")
+    counts = split.write_kept_and_removed(rows, clean, "key", str(tmp_path / "x"), "k")
+    assert counts == {"rows": 5, "kept": 2, "removed": 3, "clean_keys": 2}
+    assert {r["key"] for r in spark.read.schema("key string, kept boolean").parquet(str(tmp_path / "x")).where("kept").collect()} == {"2"}
