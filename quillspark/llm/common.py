@@ -100,19 +100,25 @@ def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, how: str = "inner", most: int = 400_000, shares: int = 1000) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, how: str = "inner", most: int = 400_000) -> DataFrame:
     """``left`` joined with ``right``, whose keys are unique and which says in ``rows`` how many rows of ``left`` have each.
 
-    Up to ``most`` rows of ``right`` are broadcast. Beyond that the keys that have more than one in ``shares`` of all joined rows are
-    broadcast (fewer than ``shares`` keys) and the others meet in a shuffle, none of them in a task of more than that share. ``right`` is read three times, so pass a written table.
+    Up to ``most`` keys are broadcast, those with the most rows; the others, if there are more, meet in a shuffle. A key of that
+    shuffle has at most 2 / ``most`` of all rows. ``right`` is read several times, so pass a written table.
     """
-    size, total = right.agg(F.count("*"), F.coalesce(F.sum(rows), F.lit(0))).first()
-    if size <= most:
+    level = F.floor(F.log2(F.greatest(F.col(rows), F.lit(1)))).cast("int")
+    sizes = right.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()  # 64 rows at most
+    if sum(r["n"] for r in sizes) <= most:
         return left.join(F.broadcast(right.drop(rows)), on, how)
-    hot = right.where(F.col(rows) > total // shares)
-    few = F.broadcast(hot.drop(rows))
-    rest = right.where(F.col(rows) <= total // shares).drop(rows)
-    return left.join(few, on, how).unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest.hint("merge"), on, how))
+    taken, least = 0, 1 << 62
+    for r in sizes:
+        taken += r["n"]
+        if taken > most:
+            break
+        least = 1 << r["level"]
+    hot = right.where(F.col(rows) >= least)
+    rest = right.where(F.col(rows) < least).drop(rows)
+    return left.join(F.broadcast(hot.drop(rows)), on, how).unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest.hint("merge"), on, how))
 
 
 def remainder(column: str, modulus: int):

@@ -18,15 +18,14 @@ from .common import chunks, cut, spread_join
 from .tokens import _byte_letters
 
 #: Text whose segments are counted and coded together.
-CHUNK = 6 << 20
+CHUNK = 12 << 20
 #: White space that a cut may come before, if the vocabularies allow it.
 CUTS = " \n\t"
 _WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 _SPACE = "\u2581"
-#: Aligned segments that are broadcast to the chunks instead of shuffled.
-FEW_SEGMENTS = 50_000
-_CODED = "chunk long, doc_ids array<long>, ends array<long>, codes binary, segments array<string>, counts array<long>"
-_ALIGNED = "segment string, chunks long, n long, ok boolean, n_a long, n_b long, n_groups long, groups string, links array<long>"
+#: Pairs of ids that are broadcast to the segments, the most frequent ones.
+FEW_PAIRS = 500_000
+_CODED = "chunk long, doc_ids array<long>, ends array<int>, codes binary, segments array<string>, counts array<int>"
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 _loaded: dict[tuple[str, str], Pair] = {}
 
@@ -128,8 +127,8 @@ def _coded(a: str, b: str, limit: int):
             place = np.empty_like(order)
             place[order] = np.arange(len(order))
             blob = pa.compress(place[code].astype(np.uint32).tobytes(), codec="zstd", asbytes=True)
-            row = [[made], [batch.column("doc_id").to_pylist()], [offsets[1:].tolist()], [blob], [coded.dictionary.take(pa.array(order)).cast(pa.string())], [counts[order]]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
+            row = [[made], [batch.column("doc_id").to_pylist()], [offsets[1:].tolist()], [blob], [coded.dictionary.take(pa.array(order)).cast(pa.string())], [counts[order].tolist()]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
             listed = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(t.value_type) if isinstance(x, pa.Array) else pa.array(x, t.value_type))
             columns = [listed(x[0], t) if pa.types.is_list(t) else pa.array(x, t) for x, t in zip(row, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["chunk", "doc_ids", "ends", "codes", "segments", "counts"])
@@ -157,35 +156,84 @@ def _aligned(a: str, b: str):
             raw = [s.encode() for s in segments]
             of_a = [e.ids for e in both.a.encode_batch_fast(segments, add_special_tokens=False)]
             of_b = both.encode_b(segments)
-            ok = np.array([b"".join([both.bytes_a[k] for k in x]) == r == b"".join([both.bytes_b[k] for k in y]) for x, y, r in zip(of_a, of_b, raw, strict=True)], bool)
-            of_a = [x if good else [] for x, good in zip(of_a, ok.tolist(), strict=True)]
-            of_b = [y if good else [] for y, good in zip(of_b, ok.tolist(), strict=True)]
+            good = np.array([b"".join([both.bytes_a[k] for k in x]) == r == b"".join([both.bytes_b[k] for k in y]) for x, y, r in zip(of_a, of_b, raw, strict=True)], bool)
+            of_a = [x if fine else [] for x, fine in zip(of_a, good.tolist(), strict=True)]
+            of_b = [y if fine else [] for y, fine in zip(of_b, good.tolist(), strict=True)]
             base = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
             a_ids, a_of, a_end = _ends(of_a, both.size_a, base)
             b_ids, b_of, b_end = _ends(of_b, both.size_b, base)
-            common, at_a, at_b = np.intersect1d(a_end, b_end, return_indices=True)
-            links = (a_ids[at_a] << 32) | b_ids[at_b]
-            owner = a_of[at_a]
-            left, right = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
-            said = _joined(a_ids, left, len(common))
-            said = [f"{x}|{y}" for x, y in zip(said, _joined(b_ids, right, len(common)), strict=True)]
-            groups = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(raw)))]).astype(np.int32)
-            text = [";".join(said[s:e]) for s, e in zip(groups[:-1].tolist(), groups[1:].tolist(), strict=True)]
-            columns = [
-                batch.column("segment"), batch.column("chunks"), batch.column("n"), pa.array(ok),
-                pa.array(np.bincount(a_of, minlength=len(raw)).astype(np.int64)), pa.array(np.bincount(b_of, minlength=len(raw)).astype(np.int64)),
-                pa.array(np.diff(groups).astype(np.int64)), pa.array(text, pa.string()), pa.ListArray.from_arrays(pa.array(groups), pa.array(links)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["segment", "chunks", "n", "ok", "n_a", "n_b", "n_groups", "groups", "links"])
+            common = np.intersect1d(a_end, b_end, assume_unique=True)
+            columns = [batch.column("segment"), batch.column("n"), _packed(a_ids, np.searchsorted(common, a_end), b_ids, np.searchsorted(common, b_end), a_of, b_of, len(raw))]
+            yield pa.RecordBatch.from_arrays(columns, ["segment", "n", "tokens"])
 
     return run
 
 
-def _joined(ids: np.ndarray, group: np.ndarray, many: int) -> list[str]:
-    """The decimal ids of each group, joined by commas."""
-    words = pa.array(ids).cast(pa.string())
-    ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=many))]).astype(np.int32)
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), words), ",").to_pylist()
+def _packed(a_ids: np.ndarray, a_group: np.ndarray, b_ids: np.ndarray, b_group: np.ndarray, a_of: np.ndarray, b_of: np.ndarray, many: int) -> pa.Array:
+    """Each segment's tokens, group by group A's and then B's, three bytes each: twice the id, and one more for B's."""
+    groups = int(max(a_group.max(initial=-1), b_group.max(initial=-1))) + 1
+    of_a, of_b = np.bincount(a_group, minlength=groups), np.bincount(b_group, minlength=groups)
+    flat = np.empty(len(a_ids) + len(b_ids), "<u4")
+    flat[np.arange(len(a_ids)) + (np.cumsum(of_b) - of_b)[a_group]] = a_ids << 1
+    flat[np.arange(len(b_ids)) + np.cumsum(of_a)[b_group]] = (b_ids << 1) | 1
+    n = np.bincount(a_of, minlength=many) + np.bincount(b_of, minlength=many)
+    ends = np.concatenate([[0], np.cumsum(n)]) * 3
+    return pa.Array.from_buffers(pa.binary(), many, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat.view(np.uint8).reshape(-1, 4)[:, :3].tobytes())])
+
+
+class Tokens:
+    """Packed tokens of several segments, end to end: ids, whether each is B's, the segment of each, and where groups begin and end."""
+
+    def __init__(self, packed: pa.Array):
+        packed = packed.cast(pa.large_binary())
+        n = np.asarray(pc.binary_length(packed)).astype(np.int64) // 3
+        _, ends, data = packed.buffers()
+        first = int(np.frombuffer(ends, np.int64)[packed.offset]) if len(packed) else 0
+        raw = np.frombuffer(data, np.uint8)[first : first + 3 * int(n.sum())].reshape(-1, 3).astype(np.int64) if data is not None else np.zeros((0, 3), np.int64)
+        value = raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16
+        self.many, self.ids, self.of_b = len(packed), value >> 1, (value & 1).astype(bool)
+        self.owner = np.repeat(np.arange(len(n)), n)
+        self.ends = np.concatenate([[0], np.cumsum(n)])
+        self.starts = ~self.of_b & np.append(True, self.of_b[:-1])[: len(self.ids)]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """The last ids of each group, A's and B's in one number, and the segment of each."""
+        last_a = ~self.of_b & np.append(self.of_b[1:], False)[: len(self.ids)]
+        last_b = self.of_b & np.append(self.starts[1:], True)[: len(self.ids)]
+        return (self.ids[last_a] << 32) | self.ids[last_b], self.owner[last_b]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A's tokens, B's tokens and groups of each segment."""
+        return tuple(np.bincount(self.owner[x], minlength=self.many) for x in (~self.of_b, self.of_b, self.starts))
+
+    def written(self) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each segment."""
+        before = np.where(self.starts, ";", np.where(self.of_b & ~np.append(False, self.of_b[:-1])[: len(self.ids)], "|", ",")).astype(object)
+        before[self.ends[:-1][np.diff(self.ends) > 0]] = ""
+        each = pc.binary_join_element_wise(pa.array(before, pa.string()), pa.array(self.ids).cast(pa.string()), "")
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(self.ends.astype(np.int32)), each), "").to_pylist()
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(link, count, rows): how often the links of a batch of segments occur in the texts, and how many segments hold them."""
+    for batch in batches:
+        link, owner = Tokens(batch.column("tokens")).links()
+        distinct, of = np.unique(link, return_inverse=True)
+        count = np.zeros(len(distinct), np.int64)
+        np.add.at(count, of, np.asarray(batch.column("n"))[owner])
+        rows = np.bincount(np.unique(np.column_stack([of, owner]), axis=0)[:, 0], minlength=len(distinct)) if len(of) else count
+        yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(count), pa.array(rows.astype(np.int64))], ["link", "count", "rows"])
+
+
+def _link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(segment, tokens, link, times): each link of a segment once; the segment's tokens stand beside the first of them."""
+    for batch in batches:
+        link, owner = Tokens(batch.column("tokens")).links()
+        each, times = np.unique(np.column_stack([owner, link]), axis=0, return_counts=True)
+        first = np.append(True, each[1:, 0] != each[:-1, 0])[: len(each)]
+        at = pa.array(each[:, 0])
+        tokens = pc.if_else(pa.array(first), batch.column("tokens").take(at), pa.scalar(None, pa.binary()))
+        yield pa.RecordBatch.from_arrays([batch.column("segment").take(at), tokens, pa.array(each[:, 1]), pa.array(times.astype(np.int64))], ["segment", "tokens", "link", "times"])
 
 
 def _codes(row: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -209,22 +257,71 @@ def _of_refused(bad: pa.Table, row: pa.Table) -> pa.Table:
     return pa.table({"segment": segments.take(pa.array(at)), "n": pa.array(-n[at].astype(np.int64))})
 
 
-_SUMS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
-
-
-def _composed(parts: pa.Table, row: pa.Table) -> pa.Table:
-    """The documents of a chunk from its segments' alignments."""
+#: Rows whose alignments are gathered by chunk before they are shuffled, and bytes from which a piece of them is compressed.
+GATHERED, SMALL = 400_000, 256
+_FIELDS = (("code", "<u4"), ("width", "<u4"), ("n_best", "<i8"), ("count_sum", "<i8"))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, many, size, piece): the rows of a chunk among the next GATHERED ones in one value, column by column, which takes half the room
+    of the rows; ``size`` is that of a compressed piece, else 0."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= GATHERED:
+            yield _pieces(pa.Table.from_batches(held).combine_chunks())
+            held, rows = [], 0
+    if rows:
+        yield _pieces(pa.Table.from_batches(held).combine_chunks())
+
+
+def _pieces(rows: pa.Table) -> pa.RecordBatch:
+    rows = rows.take(pa.array(np.lexsort((np.asarray(rows["code"]), np.asarray(rows["chunk"])))))
+    chunk, tokens = np.asarray(rows["chunk"]), rows["tokens"].combine_chunks().cast(pa.large_binary())
+    values = {n: np.asarray(pc.binary_length(tokens) if n == "width" else rows[n]).astype(t) for n, t in _FIELDS}
+    _, ends, data = tokens.buffers()
+    ends, first = np.frombuffer(ends, np.int64)[tokens.offset :], np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+    sizes, blobs = [], []
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(chunk)], strict=True):
+        raw = b"".join([*(v[lo:hi].tobytes() for v in values.values()), memoryview(data)[ends[lo] : ends[hi]]])
+        sizes.append(len(raw) if len(raw) >= SMALL else 0)
+        blobs.append(pa.compress(raw, codec="zstd", asbytes=True) if len(raw) >= SMALL else raw)
+    many = np.diff(np.append(first, len(chunk))).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(chunk[first]), pa.array(many), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "many", "size", "piece"])
+
+
+def _opened(pieces: pa.Table) -> tuple[dict[str, np.ndarray], pa.Array]:
+    """The columns of all pieces, end to end, and their packed tokens."""
+    found, tokens = {n: [np.zeros(0, t)] for n, t in _FIELDS}, []
+    for many, size, piece in zip(*(pieces[c].to_pylist() for c in ("many", "size", "piece")), strict=True):
+        raw, at = pa.decompress(piece, decompressed_size=size, codec="zstd", asbytes=True) if size else piece, 0
+        for n, t in _FIELDS:
+            found[n].append(np.frombuffer(raw, t, many, at))
+            at += found[n][-1].nbytes
+        tokens.append(raw[at:])
+    columns = {n: np.concatenate(x).astype(np.int64) for n, x in found.items()}
+    ends = np.concatenate([[0], np.cumsum(columns["width"])]).astype(np.int64)
+    return columns, pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(tokens))])
+
+
+def _composed(row: pa.Table, pieces: pa.Table) -> pa.Table:
+    """The documents of a chunk from its segments' alignments; a segment that isn't among these has none."""
     code, ends = _codes(row)
-    of = np.asarray(parts.column("code"))
-    order = np.argsort(of)
-    column = lambda c: np.asarray(parts.column(c))[order]
-    total = lambda v: np.diff(np.concatenate([[0], np.cumsum(v[code])])[ends])
-    good = total((~column("ok")).astype(np.int64)) == 0
-    sums = {c: np.where(good, total(column(c)), 0) for c in _SUMS}
-    said = parts.column("groups").combine_chunks().cast(pa.large_string()).take(pa.array(order)).to_pylist()
+    columns, packed = _opened(pieces)
+    of = columns["code"]
+    place = np.full(int(code.max(initial=-1)) + 1, len(of))
+    place[of] = np.arange(len(of))
+    code = place[code]
+    tokens = Tokens(packed)
+    total = lambda v: np.diff(np.concatenate([[0], np.cumsum(np.append(v, 0)[code])])[ends])
+    good = np.diff(np.concatenate([[0], np.cumsum(code == len(of))])[ends]) == 0
+    n_a, n_b, n_groups = tokens.counts()
+    sums = {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_groups, "n_best": columns["n_best"], "count_sum": columns["count_sum"]}
+    sums = {c: np.where(good, total(v), 0).astype(np.int64) for c, v in sums.items()}
+    said = tokens.written()
     groups = [";".join([said[k] for k in code[s:e].tolist()]) if fine else "" for s, e, fine in zip(ends[:-1].tolist(), ends[1:].tolist(), good.tolist(), strict=True)]
-    ids = row.column("doc_ids")[0].values
-    return pa.table({"doc_id": ids, "n_a": sums["n_a"], "n_b": sums["n_b"], "n_groups": sums["n_groups"], "n_links": sums["n_groups"], "n_best": sums["n_best"], "count_sum": sums["count_sum"], "groups": pa.array(groups, pa.string())})
+    return pa.table({"doc_id": row.column("doc_ids")[0].values, **sums, "groups": pa.array(groups, pa.string())})
 
 
 def align(documents: DataFrame, a: str, b: str, chunk_bytes: int = CHUNK) -> DataFrame:
@@ -235,7 +332,7 @@ def align(documents: DataFrame, a: str, b: str, chunk_bytes: int = CHUNK) -> Dat
     id, linked most often in all rows (ties included), ``count_sum`` sums how often the links' pairs are linked in all rows.
 
     Chunks of texts are coded over their own segments; different segments are counted over all chunks, aligned once, scored, and joined back to the chunks that hold
-    them. Pairs and segments that nearly every segment or chunk holds are joined by ``spread_join``. Whole texts are aligned as one segment where the vocabularies
+    them. Nearly every segment may hold the same pair: see ``spread_join``. A segment joins a row for each chunk, so none has more than a small share of them. Whole texts are aligned as one segment where the vocabularies
     allow no cut (see ``Pair``).
 
     Null and empty texts have no tokens: zeros and an empty ``groups``; so do texts that B doesn't give back byte by byte (those that hold U+2581), and their links count nowhere. Repeated
@@ -243,32 +340,30 @@ def align(documents: DataFrame, a: str, b: str, chunk_bytes: int = CHUNK) -> Dat
     ignored.
     """
     rows = documents.selectExpr("CAST(doc_id AS long) AS doc_id", "text")
-    coded = cut(rows.mapInArrow(_coded(a, b, chunk_bytes), _CODED), "coded", "uncompressed")
-    each = coded.select("chunk", F.posexplode(F.arrays_zip("segments", "counts")).alias("code", "x")).select("chunk", F.col("code").cast("long").alias("code"), "x.segments", "x.counts")
-    each = each.withColumnRenamed("segments", "segment")
-    distinct = each.groupBy("segment").agg(F.count("*").alias("chunks"), F.sum("counts").alias("n"))
-    aligned = cut(distinct.mapInArrow(_aligned(a, b), _ALIGNED).withColumn("id", F.monotonically_increasing_id()), "aligned")
-    counted = aligned.where("ok").select("id", "n", "links")
-    if not aligned.where("NOT ok").isEmpty():
-        bad = aligned.where("NOT ok").select("segment")
-        wrong = each.select("chunk", "code", F.col("segment").alias("s")).join(bad, F.col("s") == F.col("segment"), "left_semi").select("chunk", "code")
+    coded = cut(rows.mapInArrow(_coded(a, b, chunk_bytes), _CODED), "coded")
+    each = coded.select("chunk", F.posexplode(F.arrays_zip("segments", "counts")).alias("code", "x")).select("chunk", "code", F.col("x.segments").alias("segment"), F.col("x.counts").alias("n"))
+    distinct = each.groupBy("segment").agg(F.sum("n").alias("n"))
+    aligned = cut(distinct.mapInArrow(_aligned(a, b), "segment string, n long, tokens binary"), "aligned")
+    counted = aligned.where("length(tokens) > 0")
+    refused = aligned.where("length(tokens) = 0")
+    if not refused.isEmpty():
+        wrong = each.select("chunk", "code", F.col("segment").alias("s")).join(refused, F.col("s") == F.col("segment"), "left_semi").select("chunk", "code")
         held = coded.select(F.col("chunk").alias("of"), "ends", "codes", "segments").join(wrong, F.col("of") == F.col("chunk"), "left_semi")
         less = wrong.groupBy("chunk").cogroup(held.groupBy("of")).applyInArrow(_of_refused, "segment string, n long")
         less = less.groupBy(F.col("segment").alias("s")).agg(F.sum("n").alias("less"))
-        counted = aligned.where("ok").join(less, F.col("segment") == F.col("s"), "left").select("id", (F.col("n") + F.coalesce("less", F.lit(0))).alias("n"), "links")
-    links = counted.select("id", "n", F.explode("links").alias("link")).groupBy("id", "link").agg(F.first("n").alias("n"), F.count("*").alias("times"))
-    links = cut(links, "links")
-    pairs = links.groupBy("link").agg(F.sum(F.col("n") * F.col("times")).alias("count"), F.count("*").alias("rows"))
+        counted = counted.join(less, F.col("segment") == F.col("s"), "left").select("segment", (F.col("n") + F.coalesce("less", F.lit(0))).alias("n"), "tokens")
+    pairs = counted.select("n", "tokens").mapInArrow(_linked, "link long, count long, rows long").groupBy("link").agg(F.sum("count").alias("count"), F.sum("rows").alias("rows"))
     of_b = Window.partitionBy(F.col("link").bitwiseAND((1 << 32) - 1))  # at most A's vocabulary in one
     pairs = cut(pairs.withColumn("best", F.col("count") == F.max("count").over(of_b)), "pairs")
-    scores = spread_join(links.select("id", "link", "times"), pairs, ["link"], "rows").groupBy("id")
-    scores = scores.agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(F.lit(0))).alias("n_best"), F.sum(F.col("count") * F.col("times")).alias("count_sum"))
-    kept = ("segment", "chunks", "ok", "n_a", "n_b", "n_groups", "groups")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    scored = cut(aligned.select("id", *kept).join(scores, "id", "left").select(*kept, zero("n_best"), zero("count_sum")), "scored")
-    parts = spread_join(each.select("chunk", "code", "segment"), scored, ["segment"], "chunks", most=FEW_SEGMENTS).drop("segment")
+    links = aligned.where("length(tokens) > 0").select("segment", "tokens").mapInArrow(_link_rows, "segment string, tokens binary, link long, times long")
+    best, count_sum = F.sum(F.when(F.col("best"), F.col("times")).otherwise(F.lit(0))), F.sum(F.col("count") * F.col("times"))
+    # Grouped and joined by segment: one exchange of the aligned segments.
+    scored = spread_join(links, pairs, ["link"], "rows", most=FEW_PAIRS).groupBy("segment").agg(F.first("tokens", ignorenulls=True).alias("tokens"), best.alias("n_best"), count_sum.alias("count_sum"))
+    scored = scored.withColumnRenamed("segment", "s").hint("merge")
+    parts = each.select("chunk", "code", "segment").join(scored, F.col("segment") == F.col("s")).select("chunk", "code", "tokens", "n_best", "count_sum")
+    pieces = parts.mapInArrow(_gathered, "chunk long, many long, size long, piece binary")
     documents_of = coded.select(F.col("chunk").alias("of"), "doc_ids", "ends", "codes")
-    return parts.groupBy("chunk").cogroup(documents_of.groupBy("of")).applyInArrow(_composed, _RESULT)
+    return documents_of.groupBy("of").cogroup(pieces.groupBy("chunk")).applyInArrow(_composed, _RESULT)
 
 
 def digest(found: DataFrame) -> DataFrame:

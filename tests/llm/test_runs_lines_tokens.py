@@ -203,7 +203,7 @@ def test_settled_lines_are_not_written_again(spark):
 def test_hot_keys_join_by_broadcast_and_the_others_by_shuffle(spark):
     left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), "id")
     right = left.groupBy("k").agg(F.count("*").alias("rows"), F.max("id").alias("v")).where("k < 2000").cache()
-    found = spread_join(left, right, ["k"], "rows", most=10, shares=100)
+    found = spread_join(left, right, ["k"], "rows", most=10)
     assert _multiset(found.select("k", "id", "v")) == _multiset(left.join(right, "k").select("k", "id", "v"))
 
 
@@ -253,7 +253,7 @@ def test_alignment_by_shuffled_joins(docs, monkeypatch):
     some = docs.where("doc_id < 30 OR doc_id IN (107, 108)")
     expected = _multiset(crosstoken.align(some, A, B))
     whole = crosstoken.spread_join
-    monkeypatch.setattr(crosstoken, "spread_join", lambda *args, **more: whole(*args, **(more | {"most": 3, "shares": 20})))
+    monkeypatch.setattr(crosstoken, "spread_join", lambda *args, **more: whole(*args, **(more | {"most": 3})))
     assert _multiset(crosstoken.align(some, A, B, chunk_bytes=500)) == expected
 
 
