@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
@@ -12,13 +13,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 6 << 20
 MASK64 = (1 << 64) - 1
 _own: dict[str, str] = {}
 _made: dict[str, str] = {}
+_scope: contextvars.ContextVar[set[str] | None] = contextvars.ContextVar("work", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,22 +49,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     _made.pop(path, None)
 
 
-def publish(spark: SparkSession, private: str, final: str) -> bool:
-    """Give a folder its final name by one rename; false, and the folder is deleted, if the name is taken."""
-    (at, store), (to, _) = hadoop_path(spark, private), hadoop_path(spark, final)
-    jvm, context = spark.sparkContext._jvm, spark.sparkContext
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), context._jsc.hadoopConfiguration())
-    none = context._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-    try:
-        files.rename(at, to, none)  # fails if the name is taken
-    except Exception:
-        store.delete(at, True)
-        if store.exists(to):
-            return False
-        raise
-    return True
-
-
 def _drop_all() -> None:
     spark = SparkSession.getActiveSession()
     for path, app in list(_made.items()):
@@ -78,18 +64,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted by ``work`` around it or when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made[path] = spark.sparkContext.applicationId
+    if (inside := _scope.get()) is not None:
+        inside.add(path)
     return path
 
 
 @contextlib.contextmanager
 def work(spark: SparkSession):
-    """Work tables that are made inside are deleted at the end, but for those that the caller appends to the list given."""
-    before, kept = set(_made), []
+    """Work tables that are made inside, in this context, are deleted at the end, but for those that the caller appends to the list given, which
+    belong to the ``work`` around then. Other threads' tables are left alone."""
+    around, inside, kept = _scope.get(), set(), []
+    token = _scope.set(inside)
     try:
         yield kept
     finally:
-        for path in set(_made) - before - set(kept):
+        _scope.reset(token)
+        for path in inside - set(kept):
             drop_path(spark, path)
+        if around is not None:
+            around.update(kept)
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -126,8 +124,8 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``limit`` bytes of text (one row, if it is longer); null texts count as empty."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``limit`` bytes of text (one row, if it is longer) and ``rows`` rows; null texts count as empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -138,7 +136,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
         start = 0
         while start < batch.num_rows:
             base = size[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(size, base + limit, side="right")))
+            end = min(start + rows, max(start + 1, int(np.searchsorted(size, base + limit, side="right"))))
             yield batch.slice(start, end - start)
             start = end
 

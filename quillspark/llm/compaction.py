@@ -3,6 +3,7 @@ versioned manifest is committed atomically."""
 
 from __future__ import annotations
 
+import contextlib
 import math
 import time
 import uuid
@@ -10,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import names, publish
+
 TARGET_BYTES = 64 << 20
 SHARD_ROWS = 4000
 FANOUT = 4
@@ -29,7 +32,8 @@ class ShardStore:
 
     ``data/<batch>/`` holds shards, ``manifest/v<number>`` one small Parquet table for each version: the shards that
     make it up. A version counts once its folder has its final name, which is given by one rename that fails if the
-    name is taken; readers see a whole version or none, and a writer that lost the race gets ``Conflict``.
+    name is taken; readers see a whole version or none, and a writer that lost the race gets ``Conflict``. A number is never
+    given twice: ``vacuum`` empties the folders of old versions, but leaves their names.
     """
 
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, shard_rows: int = SHARD_ROWS, fanout: int = FANOUT):
@@ -49,31 +53,44 @@ class ShardStore:
         session.conf.set("spark.sql.files.minPartitionNum", "1")
         return session
 
+    def _numbers(self) -> list[int]:
+        """All numbers ever given."""
+        return sorted(int(n[1:]) for n in names(self.spark, f"{self.root}/manifest") if n.startswith("v"))
+
+    def latest(self) -> int:
+        """The last version; 0 if there is none."""
+        return max(self._numbers(), default=0)
+
     def versions(self) -> list[int]:
-        at = self._path(f"{self.root}/manifest")
-        names = [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
-        return sorted(int(n[1:]) for n in names if n.startswith("v"))
+        """The versions that can be read."""
+        return [v for v in self._numbers() if self._has_files(f"{self.root}/manifest/v{v}")]
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """(path, bytes, rows, tier) of the shards of a version, by default the latest."""
-        known = self.versions()
-        if not known:
+        version = self.latest() if version is None else version
+        if not version:
             return self.spark.createDataFrame([], _MANIFEST)
-        return self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest/v{version if version is not None else known[-1]}")
+        return self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest/v{version}")
 
-    def _commit(self, shards: DataFrame, base: int) -> int:
-        """Make ``shards`` version ``base`` + 1: written under a private name, then renamed."""
-        private, final = f"{self.root}/manifest/_{uuid.uuid4().hex}", f"{self.root}/manifest/v{base + 1}"
-        shards.select("path", "bytes", "rows", F.col("tier").cast("int").alias("tier")).coalesce(1).write.parquet(private)
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        none = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    @contextlib.contextmanager
+    def _against(self, base: int):
+        """What fails inside because another writer has replaced version ``base`` in the meantime, and cleaned up after it, is a ``Conflict``."""
         try:
-            context.rename(self._path(private), self._path(final), none)  # fails if the name is taken
+            yield
+        except Conflict:
+            raise
         except Exception as e:
-            self.fs.delete(self._path(private), True)
-            if self.fs.exists(self._path(final)):
-                raise Conflict(f"version {base + 1} is there") from e
+            if self.latest() != base:
+                raise Conflict(f"version {base} isn't the latest any more") from e
             raise
+
+    def _commit(self, shards: DataFrame, base: int) -> int:
+        """Make ``shards`` version ``base`` + 1: written under a private name, then renamed."""
+        private, final = f"{self.root}/manifest/_{uuid.uuid4().hex}", f"{self.root}/manifest/v{base + 1}"
+        with self._against(base):
+            shards.select("path", "bytes", "rows", F.col("tier").cast("int").alias("tier")).coalesce(1).write.parquet(private)
+        if not publish(self.spark, private, final):
+            raise Conflict(f"version {base + 1} is there")
         return base + 1
 
     def _has_files(self, folder: str) -> bool:
@@ -94,11 +111,11 @@ class ShardStore:
 
     def append(self, df: DataFrame) -> int:
         """Write ``df`` as new shards of at most ``shard_rows`` rows, one or more for each of its partitions; tier 0."""
-        base = (self.versions() or [0])[-1]
+        base = self.latest()
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.option("maxRecordsPerFile", self.shard_rows).option("compression", "zstd").parquet(folder)
         new = self._listed(self.spark, folder).withColumn("tier", F.lit(0))
-        return self._commit(self.manifest().unionByName(new) if base else new, base)
+        return self._commit(self.manifest(base).unionByName(new) if base else new, base)
 
     def tier_of(self, size) -> F.Column:
         """Tiers of powers of ``fanout`` below the target; the top tier holds what is at least half the target."""
@@ -113,10 +130,14 @@ class ShardStore:
         the target size, and each partition (coalesced to the files due) is written as one file: no shuffle, no row looked at
         by the driver, as many tasks as files to write. Old shards stay for readers of older versions until ``vacuum``.
         """
-        known = self.versions()
-        if not known:
+        base = self.latest()
+        if not base:
             return None
-        base, now = known[-1], self.manifest().withColumn("tier", self.tier_of(F.col("bytes")))
+        with self._against(base):
+            return self._merged(base)
+
+    def _merged(self, base: int) -> int | None:
+        now = self.manifest(base).withColumn("tier", self.tier_of(F.col("bytes")))
         top = max(1, math.ceil(math.log(max(2, self.target / (64 << 10)), self.fanout))) + 1
         sizes = now.where(F.col("tier") < top).groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") >= self.fanout).orderBy("tier").collect()
         # A merge has to leave half the shards at most, so that every call comes nearer to the end.
@@ -146,8 +167,8 @@ class ShardStore:
         return sorted(r["folder"] for r in found.toLocalIterator())
 
     def vacuum(self, grace: float = GRACE) -> int:
-        """Delete data folders that the latest version doesn't name and that were last changed more than ``grace`` seconds ago, and older
-        manifests; how many folders went. An append or merge of another writer that isn't committed yet keeps its folder for that time;
+        """Delete data folders that the latest version doesn't name and that were last changed more than ``grace`` seconds ago, and the contents of
+        older manifests; how many folders went. An append or merge of another writer that isn't committed yet keeps its folder for that time;
         0 is for a store without other writers or readers."""
         live, gone = set(self._folders(self.manifest())), 0
         before = time.time() - grace
@@ -156,7 +177,8 @@ class ShardStore:
                 self.fs.delete(status.getPath(), True)
                 gone += 1
         for version in self.versions()[:-1]:
-            self.fs.delete(self._path(f"{self.root}/manifest/v{version}"), True)
+            for status in self.fs.listStatus(self._path(f"{self.root}/manifest/v{version}")):
+                self.fs.delete(status.getPath(), True)
         return gone
 
     def located(self, version: int | None = None) -> DataFrame:
@@ -171,8 +193,22 @@ class ShardStore:
         return rows.join(shards, "path").select("row", F.struct("path", "bytes", "rows", "tier").alias("shard"))
 
     def read(self, version: int | None = None) -> DataFrame:
-        """Rows of a version."""
-        return self.located(version).select("row.*")
+        """Rows of a version. Folders whose shards all belong to it are read as a whole, single shards of the others by their paths, so no row is
+        joined with the manifest."""
+        shards = self.manifest(version).select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"))
+        whole, parts = [], []
+        for r in shards.groupBy("folder").agg(F.count("*").alias("n")).orderBy("folder").toLocalIterator():
+            there = sum(n.startswith("part-") for n in names(self.spark, f"{self.root}/data/{r['folder']}"))
+            (whole if there == r["n"] else parts).append(r["folder"])
+        if not whole and not parts:
+            raise ValueError("the version has no shard")
+        groups = [[f"{self.root}/data/{f}" for f in whole]] if whole else []
+        paths = [r["path"] for r in shards.where(F.col("folder").isin(parts)).orderBy("path").toLocalIterator()] if parts else []
+        groups += [paths[k : k + MOST_PATHS] for k in range(0, len(paths), MOST_PATHS)]
+        both = self.spark.read.parquet(*groups[0])
+        for more in groups[1:]:
+            both = both.unionByName(self.spark.read.parquet(*more))
+        return both
 
 
 def sharded(documents: DataFrame, root: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
@@ -194,5 +230,5 @@ def sharded(documents: DataFrame, root: str, target_bytes: int = TARGET_BYTES) -
     text, shard = F.col("row.text"), F.col("shard")
     return store.located().select(
         F.col("row.doc_id").cast("long").alias("doc_id"), F.element_at(F.split(shard["path"], "/"), -1).alias("shard"), shard["rows"].alias("shard_rows"), shard["tier"].alias("tier"),
-        F.lit(store.versions()[-1]).alias("version"), F.length(text).cast("long").alias("n_chars"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit(store.latest()).alias("version"), F.length(text).cast("long").alias("n_chars"), F.crc32(text.cast("binary")).alias("text_crc32"),
     )

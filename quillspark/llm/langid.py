@@ -25,6 +25,8 @@ FAMILY_SAMPLE = 6400
 STEEPNESS = 4.0
 #: Text whose features are made at a time: a row of WIDTH numbers each is held for the texts in it.
 FEATURE_BYTES = 1 << 20
+#: Rows whose features are made side by side.
+FEATURE_ROWS = 256
 # Language codes by family.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy",
@@ -155,7 +157,7 @@ def _sampled(langs: list[str]):
     across = {v: [(_machine(f), 1 if family_of(v) == f else -1) for f in families] if len(families) > 1 else [] for v in langs}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, limit=FEATURE_BYTES):
+        for b in chunks(batches, limit=FEATURE_BYTES, rows=FEATURE_ROWS):
             x = features(b.column("text")).astype(np.float16)
             rows = [(m, side, k) for k, (lang, own, all_) in enumerate(zip(*(b.column(c).to_pylist() for c in ("lang", "within", "across")), strict=True)) for m, side in within[lang] * own + across[lang] * all_]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([x[r[2]].tobytes() for r in rows], pa.binary())], ["machine", "side", "x"])
@@ -200,15 +202,17 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in chunks([whole], limit=FEATURE_BYTES):
+            for b in chunks([whole], limit=FEATURE_BYTES, rows=FEATURE_ROWS):
                 lettered = np.asarray(pc.match_substring_regex(b.column("text"), r"\pL"))
                 lang, score = model.predict(features(b.column("text")))
                 lang[~lettered] = UNKNOWN
                 score[~lettered | (lang == UNKNOWN)] = 0
                 yield b.append_column("lang_pred", pa.array(lang.tolist(), pa.string())).append_column("score", pa.array(score.astype(np.float64)))
 
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(run, schema)
+    # Plain names on the way through Python; columns get theirs back, whatever signs these hold.
+    plain = kept.toDF(*["text" if c == "text" else f"c{k}" for k, c in enumerate(kept.columns)])
+    schema = T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return plain.mapInArrow(run, schema).toDF(*kept.columns, "lang_pred", "score")
 
 
 def languages(documents: DataFrame) -> DataFrame:

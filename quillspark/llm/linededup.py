@@ -13,7 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, drop_path, hadoop_path, new_path, publish, spread_join
+from ..sources.files import names, publish
+from .common import chunks, cut, drop_path, new_path, spread_join
 
 #: A line found in so many documents goes everywhere; a key of fewer code points never does.
 LEAST_DOCUMENTS = 10
@@ -46,20 +47,15 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, root: str, least: int = LEAST_DOCUMENTS, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.least, self.fanout = spark, least, fanout
-        at, self.store = hadoop_path(spark, root)
-        known = [n for n in self._names(root) if re.fullmatch(r"buckets-\d+", n)]
+        known = [n for n in names(spark, root) if re.fullmatch(r"buckets-\d+", n)]
         # Fixed by the first writer; by default as many as a shuffle has partitions, so that a batch's aggregate lies as the runs do.
         name = known[0] if known else f"buckets-{buckets or int(spark.conf.get('spark.sql.shuffle.partitions'))}"
         self.buckets, self.root = int(name.split("-")[1]), f"{root.rstrip('/')}/{name}"
         self.tables: list[str] = []
 
-    def _names(self, folder: str) -> list[str]:
-        at, store = hadoop_path(self.spark, folder)
-        return sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []
-
     def runs(self) -> list[Run]:
         """(level, first batch, last batch) of the runs that count, by batch."""
-        known = [tuple(map(int, m.groups())) for n in self._names(self.root) if (m := _RUN.match(n))]
+        known = [tuple(map(int, m.groups())) for n in names(self.spark, self.root) if (m := _RUN.match(n))]
         return sorted((r for r in known if not any(o != r and o[0] > r[0] and o[1] <= r[1] and r[2] <= o[2] for o in known)), key=lambda r: r[1])
 
     def _read(self, runs: list[Run]) -> DataFrame:
@@ -95,7 +91,7 @@ class LineRuns:
         frequent lines aren't written again and again. The others make the batch's run.
         """
         known = self.runs()
-        for name in self._names(self.root):
+        for name in names(self.spark, self.root):
             m = _RUN.match(name)
             if m and tuple(map(int, m.groups())) not in known:
                 drop_path(self.spark, f"{self.root}/{name}")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, quoted
 
 MARGINS = ("source", "lang", "topic")
 TEMPERATURE = 0.7
@@ -144,7 +144,7 @@ def weigh(documents: DataFrame, budget: float = BUDGET, temperature: float = TEM
     count, else shuffled.
     """
     names = [c for c in (returned or documents.columns) if c not in ADDED]
-    text, own = F.col("text"), F.struct(*names)
+    text, own = F.col("text"), F.struct(*map(quoted, names))
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 52)) / F.lit(float(1 << 52))
     # The documents' own columns lie in a struct, where no name can clash.

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, hadoop_path, new_path
+from .common import chunks, cut, hadoop_path, new_path, quoted
 
 # The base kinds in their order, then the kinds that this operator adds.
 BASE = ("assign", "access", "hex")
@@ -135,7 +135,7 @@ def redact(documents: DataFrame, path: str = "doc_id", ledger: str | None = None
     if (found.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS:
         found = F.broadcast(found)
     # The documents' own columns lie in a struct, where no name can clash.
-    keyed = documents.select(F.struct(*documents.columns).alias("own"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("blob"))
+    keyed = documents.select(F.struct(*map(quoted, documents.columns)).alias("own"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("blob"))
     hit = keyed.join(found, "blob", "left").withColumn("new", F.when(F.col("spans").isNotNull(), masked(F.col("own.text"), F.col("spans"))))
     new = {"text": F.coalesce("new", "own.text"), "n_chars": F.when(F.col("new").isNotNull(), F.length("new")).otherwise(F.col("own")["n_chars"]).cast(documents.schema["n_chars"].dataType) if "n_chars" in documents.columns else None}
     return hit.select(*[new.get(c, F.col("own")[c]).alias(c) for c in documents.columns])

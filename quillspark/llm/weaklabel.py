@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, mix
-from .langid import FEATURE_BYTES
+from .langid import FEATURE_BYTES, FEATURE_ROWS
 from .mixing import words_in
 
 BITS = 12
@@ -120,7 +120,7 @@ def fit(x: np.ndarray, target: np.ndarray, steps: int = 300, rate: float = 20.0,
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in chunks(batches, limit=FEATURE_BYTES):
+    for b in chunks(batches, limit=FEATURE_BYTES, rows=FEATURE_ROWS):
         x = features(b.column("text")).astype(np.float16)
         yield pa.RecordBatch.from_arrays([b.column("posterior"), pa.array([r.tobytes() for r in x], pa.binary())], ["posterior", "x"])
 
@@ -158,7 +158,7 @@ def score_quality(documents: DataFrame, least: float = 0.5) -> DataFrame:
     del x, found
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, limit=FEATURE_BYTES):
+        for b in chunks(batches, limit=FEATURE_BYTES, rows=FEATURE_ROWS):
             worded = np.asarray(b.column("words")) > 0
             p = 1 / (1 + np.exp(-np.clip(features(b.column("text")) @ w[:-1] + w[-1], -500, 500)))
             votes = np.array([np.asarray(b.column(n)) for n in names])

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import re
+import threading
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -14,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import compaction, embdedup, hmm_lm, langid, minhash, mixing, packing, secrets, topk, weaklabel
-from quillspark.llm.common import hash_strings, new_path
+from quillspark.llm.common import chunks, cut, hash_strings, new_path, quoted, work
 from quillspark.llm.grouping import components
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -312,7 +314,7 @@ def test_mixing_equals_a_plain_fit(spark):
     assert (got.residual == got.residual[0]).all() and got.residual[0] <= 1e-4
 
 
-CLASHES = ["source_", "__source", "__lang", "__spans", "__blob", "blob", "own", "spans", "new", "row", "rank", "shard_rows", "shard_tier", "shard_bytes", "tier", "path", "_metadata"]
+CLASHES = ["source_", "__source", "__lang", "__spans", "__blob", "blob", "own", "spans", "new", "row", "rank", "shard_rows", "shard_tier", "shard_bytes", "tier", "path", "_metadata", "a.b"]
 
 
 def test_operators_that_return_documents_keep_clashing_names(spark, docs):
@@ -405,7 +407,7 @@ def test_vacuum_spares_an_append_under_way(spark, docs, monkeypatch):
     """Another writer's vacuum between the writing of shards and their commit; names that the store adds; many shards in turns."""
     monkeypatch.setattr(compaction, "MOST_PATHS", 3)
     wide = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(CLASHES)])
-    key = lambda df: Counter(map(tuple, df.select(wide.columns).collect()))
+    key = lambda df: Counter(map(tuple, df.select(*map(quoted, wide.columns)).collect()))
     root = new_path(spark, "shards")
     one, two = compaction.ShardStore(spark, root, 1 << 20, 2, 2), compaction.ShardStore(spark, root, 1 << 20, 2, 2)
     one.append(wide.where("doc_id < 110"))
@@ -419,6 +421,80 @@ def test_vacuum_spares_an_append_under_way(spark, docs, monkeypatch):
     assert compaction.sharded(wide, new_path(spark, "shards")).count() == wide.count()
 
 
+@pytest.mark.parametrize("base", [0, 1])
+def test_an_append_that_was_overtaken_and_vacuumed_is_a_conflict(spark, docs, base):
+    root = new_path(spark, "shards")
+    one, two = compaction.ShardStore(spark, root, 1 << 20, 2, 2), compaction.ShardStore(spark, root, 1 << 20, 2, 2)
+    rows = docs.where("doc_id IS NOT NULL")
+    if base:
+        one.append(rows.where("doc_id < 100"))
+    commit = one._commit
+
+    def late(shards, number):
+        two.append(rows.where("doc_id BETWEEN 100 AND 199"))
+        two.append(rows.where("doc_id >= 200"))
+        two.vacuum()
+        return commit(shards, number)
+
+    one._commit = late
+    with pytest.raises(compaction.Conflict):
+        one.append(rows.where("doc_id = 5"))
+    one._commit = commit
+    assert one.latest() == base + 2 and one.versions() == [base + 2]
+    assert one.read().count() == rows.where("doc_id >= 100" if not base else "true").count()
+    assert one.append(rows.where("doc_id = 5")) == base + 3
+    assert "Join" not in one.read()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_compaction_whose_shards_went_is_a_conflict(spark, docs):
+    root = new_path(spark, "shards")
+    one, two = compaction.ShardStore(spark, root, 1 << 20, 2, 2), compaction.ShardStore(spark, root, 1 << 20, 2, 2)
+    one.append(docs)
+    one.append(docs)
+    commit = one._commit
+    one._commit = lambda shards, base: (two.compact(), two.vacuum(0), commit(shards, base))[2]
+    with pytest.raises(compaction.Conflict):
+        one.compact()
+    assert two.read().count() == 2 * docs.count()
+
+
+def test_features_of_many_tiny_texts_are_made_in_bounded_pieces():
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab c"] * 10_000)], ["text"])
+    assert langid.FEATURE_ROWS == weaklabel.FEATURE_ROWS == 256
+    assert [b.num_rows for b in chunks([batch], rows=256)] == [256] * 39 + [16]
+    tracemalloc.start()
+    for b in chunks([batch], limit=langid.FEATURE_BYTES, rows=langid.FEATURE_ROWS):
+        langid.features(b.column("text"))
+        weaklabel.features(b.column("text"))
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
+def test_work_tables_of_another_thread_are_left_alone(spark, docs):
+    made, inside, go = [], threading.Event(), threading.Event()
+
+    def other():
+        with work(spark):
+            made.append(cut(docs.select("doc_id"), "other"))
+            inside.set()
+            go.wait(60)
+            made.append(made[0].count())
+
+    with work(spark) as kept:
+        thread = threading.Thread(target=other)
+        thread.start()
+        assert inside.wait(60)
+        with work(spark) as inner:
+            inner.append(path := new_path(spark, "mine"))
+            docs.select("doc_id").write.parquet(path)
+        assert spark.read.parquet(path).count() == docs.count() and not kept
+    go.set()
+    thread.join()
+    assert made[1] == docs.count()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_quality_scores(spark, docs, none):
     rows = [(k, "the quiet house by the river was sold to a young family " * 3 + f"in year {k}") for k in range(60)]
     rows += [(100 + k, "BUY NOW!!! CHEAP!!! $$$ ### " * (5 + k % 5)) for k in range(20)] + [(200, None), (201, " ")]

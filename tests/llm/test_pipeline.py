@@ -39,7 +39,7 @@ def test_rows_that_share_an_id_are_told_apart(spark, tmp_path):
     assert sorted((r["doc_id"] or 0, r["text"][0]) for r in out) == [(0, "a"), (1, "a"), (1, "b"), (3, "c")]
 
 
-STRANGE = ["score", "lang_pred", "topic", "tokens", "weight", "p", "sampled", "residual", "own", "row", "blob", "spans", "new", "draw", "component_id"]
+STRANGE = ["score", "lang_pred", "topic", "tokens", "weight", "p", "sampled", "residual", "own", "row", "blob", "spans", "new", "draw", "component_id", "a.b"]
 
 
 def test_stages_keep_columns_of_any_name_and_odd_rows(spark, tmp_path):
