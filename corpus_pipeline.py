@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import langid, minhash, mixing, packing, secrets
-from quillspark.llm.common import cut, drop_path, new_path, work
+from quillspark.llm.common import cut, drop_path, new_path, quoted, work
 from quillspark.llm.grouping import BROADCAST_IDS
 
 #: SQL can't express learned machines, signatures and tokenizers.
@@ -16,7 +16,7 @@ ORACLE_SQL = None
 
 def _own(docs: DataFrame) -> Column:
     """All columns of a row in one, where no name that a stage adds can clash with them."""
-    return F.struct(*docs.columns).alias("own")
+    return F.struct(*map(quoted, docs.columns)).alias("own")
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     rows, ids = docs.where("doc_id IS NOT NULL").agg(F.count("*"), F.count_distinct("doc_id")).first()
     if rows == ids:
         found = _dropped(docs.select("doc_id", "text"))
-        return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(found, "doc_id", "left_anti").select(*map(quoted, docs.columns))
     # Numbers in the order of ids, fixed by the table they are written to.
     known = docs.where("doc_id IS NOT NULL").select("doc_id", "text", _own(docs))
     spread = known.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
