@@ -185,3 +185,28 @@ def column_by_aliases(columns: list[str], aliases: list[str], required: bool = T
     if found is None and required:
         raise KeyError(f"none of {aliases} is among {columns}")
     return found
+
+
+def one_decimal(value: Column) -> Column:
+    """Text of a number with one decimal, rounded half to even on its exact binary value below 2^48 (whole numbers with their shortest digits
+    from there on); null counts as 0.
+
+    Twenty times the value is a double and the exact rest of that sum, so what lies on which side of a half is known without wider numbers.
+    """
+    x = F.abs(F.coalesce(value.cast("double"), F.lit(0.0)))
+
+    def rounded(twenty: Column, rest: Column) -> Column:
+        low = F.floor(twenty / 2)
+        over = twenty - low * 2 - 1
+        up = (over > 0) | ((over == 0) & ((rest > 0) | ((rest == 0) & (low % 2 == 1))))
+        return low + up.cast("long")
+
+    def told(x: Column) -> Column:
+        whole, four = x * 16, x * 4
+        twenty = whole + four
+        part = twenty - whole
+        tenths = rounded(twenty, (whole - (twenty - part)) + (four - part))
+        return let(tenths, lambda n: F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string")))
+
+    text = F.when(x < 2.0**48, let(x, told)).otherwise(F.when(F.isnan(x), F.lit("nan")).otherwise(F.format_string("%.1f", x)))
+    return F.when(value.cast("double") < 0, F.concat(F.lit("-"), text)).otherwise(text)

@@ -14,11 +14,18 @@ def mean_scores(scored: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return scored.agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in (*MEASURES, *extra)], F.count("*").alias("num_samples"))
 
 
-def label_counts(scored: DataFrame, pred: str = "pred_diagnosis_labels", ref: str = "ref_diagnosis_labels") -> DataFrame:
-    """(label, tp, fp, fn): one pass that explodes the union of both sets and counts map-side."""
-    both = scored.select(F.explode(F.array_union(pred, ref)).alias("label"), F.col(pred).alias("p"), F.col(ref).alias("r"))
+def label_pairs(scored: DataFrame, pred: str = "pred_diagnosis_labels", ref: str = "ref_diagnosis_labels") -> DataFrame:
+    """(p, r, n): how many rows have each pair of predicted and given label sets. Rows are read once and counted map-side; what metrics need of labels
+    is worked out on the pairs, of which there are few, and no row is exploded."""
+    return scored.groupBy(F.array_sort(F.array_distinct(pred)).alias("p"), F.array_sort(F.array_distinct(ref)).alias("r")).agg(F.count("*").alias("n"))
+
+
+def label_counts(pairs: DataFrame) -> DataFrame:
+    """(label, tp, fp, fn) of the labels in ``label_pairs``."""
+    both = pairs.select(F.explode(F.array_union("p", "r")).alias("label"), "p", "r", "n")
     in_p, in_r = F.array_contains("p", F.col("label")), F.array_contains("r", F.col("label"))
-    return both.groupBy("label").agg(F.count_if(in_p & in_r).alias("tp"), F.count_if(in_p & ~in_r).alias("fp"), F.count_if(~in_p & in_r).alias("fn"))
+    rows = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return both.groupBy("label").agg(rows(in_p & in_r).alias("tp"), rows(in_p & ~in_r).alias("fp"), rows(~in_p & in_r).alias("fn"))
 
 
 def _rates(df: DataFrame, n: Column) -> DataFrame:
@@ -30,8 +37,9 @@ def _rates(df: DataFrame, n: Column) -> DataFrame:
 
 def label_metrics(scored: DataFrame) -> DataFrame:
     """(label, tp, fp, fn, precision, recall, f1, accuracy, support) of each label that is predicted or given."""
-    rows = F.broadcast(scored.agg(F.count("*").alias("n")))  # one row
-    return _rates(label_counts(scored).join(rows), F.col("n")).drop("n")
+    pairs = label_pairs(scored)
+    rows = F.broadcast(pairs.agg(F.sum("n").alias("n")))  # one row, over the same exchange
+    return _rates(label_counts(pairs).join(rows), F.col("n")).drop("n")
 
 
 def micro_macro(scored: DataFrame) -> DataFrame:
@@ -49,10 +57,11 @@ def family_accuracy(scored: DataFrame, families: dict[str, tuple[str, ...]] | No
     found = []
     for name, members in families.items():
         own = F.array(*map(F.lit, members))
-        r, p = F.array_sort(F.array_intersect("ref_diagnosis_labels", own)), F.array_sort(F.array_intersect("pred_diagnosis_labels", own))
+        r, p = F.array_sort(F.array_intersect("r", own)), F.array_sort(F.array_intersect("p", own))
         found.append(F.struct(F.lit(name).alias("family"), (F.size(r) > 0).alias("has"), (r == p).alias("same")))
-    each = scored.select(F.explode(F.array(*found)).alias("x")).select("x.*")
-    out = each.groupBy("family").agg(F.count_if("has").alias("support"), F.count_if(F.col("has") & F.col("same")).alias("correct"))
+    each = label_pairs(scored).select("n", F.explode(F.array(*found)).alias("x")).select("n", "x.*")
+    rows = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    out = each.groupBy("family").agg(rows(F.col("has")).alias("support"), rows(F.col("has") & F.col("same")).alias("correct"))
     return out.withColumn("accuracy", safe_div(F.col("correct"), F.col("support")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
-from ..functions.text import in_diagnosis_order, literal_map, normalized_tag, safe_int
+from ..functions.text import in_diagnosis_order, literal_map, normalized_tag, one_decimal, safe_int
 
 
 def total_of(prefix: str) -> Column:
@@ -34,11 +34,9 @@ def report_text(parameter: DataFrame, ratio_format=None) -> DataFrame:
     """(img_id, description, institution_name, img_path) of ``parameter`` rows.
 
     Five sections of clauses in fixed order, each clause once a section; labels add their clauses in their own order;
-    the diagnosis line lists known labels by rank. ``ratio_format`` makes text of the ratio, by default the number as it
-    is with one decimal (exact for ratios given with one decimal).
+    the diagnosis line lists known labels by rank. ``ratio_format`` makes text of the ratio, by default ``one_decimal``.
     """
-    ratio = F.col("ratiocdv").cast("double")
-    ratio_text = ratio_format(ratio) if ratio_format else F.format_string("%.1f", ratio)
+    ratio_text = (ratio_format or one_decimal)(F.col("ratiocdv").cast("double"))
     tags = F.array_distinct(F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), normalized_tag), lambda t: t != ""))
     rows = parameter.withColumn("__tags", tags).withColumn("__used", F.filter("__tags", lambda t: ~t.isin(*dims.IGNORED_TAGS)))
     rows = rows.withColumn("__occluded", F.arrays_overlap("__tags", F.array(*map(F.lit, dims.OCCLUSION_TAGS))))

@@ -107,12 +107,15 @@ def oversampled(accepted: DataFrame, key: str, identity: str) -> DataFrame:
     return copies.select(key, F.format_string("%s__os%02d_%03d", F.col(identity), F.col("repeat"), F.col("nth")).alias("img_id"), F.format_string("oversample_copy_%02d", F.col("repeat")).alias("ops"), F.col(identity).alias("copy_of"))
 
 
-def counters(outcomes: DataFrame, copies: DataFrame, sources: DataFrame, key: str, level: str) -> DataFrame:
-    """(counter, n): how often each event occurs at each level, with candidates, copies and shortfall."""
-    events = outcomes.select(F.concat_ws("_", "event", level).alias("counter")).unionAll(outcomes.select(F.concat_ws("_", F.lit("candidate"), level).alias("counter")))
-    events = events.unionAll(copies.join(sources.select(key, level), key).select(F.concat_ws("_", F.lit("oversampled"), level).alias("counter")))
-    counts = events.groupBy("counter").agg(F.count("*").alias("n"))
-    got = outcomes.where("event = 'accepted'").groupBy(key).agg(F.count("*").alias("got"))
-    wanted = sources.select(key, level, policies(F.col(level))["target"].alias("target")).where("target > 0").join(got, key, "left")
-    short = wanted.groupBy(F.concat_ws("_", F.lit("shortfall"), level).alias("counter")).agg(F.sum(F.col("target") - F.coalesce("got", F.lit(0))).alias("n")).where("n > 0")
-    return counts.unionAll(short)
+def counters(outcomes: DataFrame, sources: DataFrame, level: str) -> DataFrame:
+    """(counter, n): how often each event occurs at each level, with candidates, copies of accepted rows and what falls short of the targets; none of 0.
+
+    ``outcomes`` are counted once, by level; all counters come from that row a level.
+    """
+    of = lambda event: F.count_if(F.col("event") == event)
+    counted = {"accepted": of("accepted"), "unused_accepted": of("unused_accepted"), "rejected": of("rejected"), "candidate": F.count("*"), "oversampled": F.coalesce(F.sum(F.when(F.col("event") == "accepted", F.col("copies") - 1)), F.lit(0))}
+    made = outcomes.groupBy(F.col(level).alias("__made")).agg(*[c.alias(n) for n, c in counted.items()])
+    wanted = sources.groupBy(level).agg(F.sum(policies(F.col(level))["target"]).alias("__wanted"))
+    both = wanted.join(made, F.col(level) == F.col("__made"), "left").withColumn("shortfall", F.col("__wanted") - F.coalesce("accepted", F.lit(0)))
+    each = F.array(*[F.struct(F.concat_ws("_", F.lit(n), level).alias("counter"), F.col(n).cast("long").alias("n")) for n in (*counted, "shortfall")])
+    return both.select(F.inline(each)).where("n > 0")

@@ -247,7 +247,7 @@ QUERIES = {
     "quota_accept": lambda s, d: outcomes(s, d).where("event = 'accepted'").select("doc_id", "aug_level", "candidate", "seed", F.col("nth").cast("long").alias("nth")),
     "quota_rejects": lambda s, d: outcomes(s, d).where("event <> 'accepted'").select("doc_id", "aug_level", "candidate", "event"),
     "oversample": copies,
-    "augment_counters": lambda s, d: tail.counters(outcomes(s, d), copies(s, d), sources(s, d), "doc_id", "aug_level"),
+    "augment_counters": lambda s, d: tail.counters(outcomes(s, d), sources(s, d), "aug_level"),
     "preference_pairs": lambda s, d: prefer.preference_records(marked(s, d), "ord", "img_id").drop("chosen", "rejected").withColumns({c: r9(c) for c in ("score_chosen", "score_rejected", "margin", "description_score")}),
     "preference_summary": lambda s, d: prefer.summary(marked(s, d)).withColumns({c: r9(c) for c in ("margin_threshold", "avg_margin_all", "avg_margin_selected")}),
     "checkpoint_rank": lambda s, d: rank.ranked(_checkpoints(s, d), ["f1", "acc"]).withColumn("rank", F.col("rank").cast("long")),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dims, text, udf
-from ..operators import numeric, rank, reward, split, tail
+from ..operators import gold, numeric, rank, reward, split, tail
+from ..session import work_path, written
 from .bindings import LABELS, pairs, quoted
 from .reports import SCORE_CTES, r9
 
@@ -63,14 +64,17 @@ def _zipped(s, d):
 
 
 def _gold(s, d):
-    gold = reward.gold_fields(pairs(s, d), "reference")
+    rows = written(pairs(s, d), "pairs")
+    stored = gold.StoredGold(s, work_path(s, "gold"), "ord")
+    stored.write(rows.select("ord", "reference"), "reference")
     names = ("format_correct", "diagnosis_exact_set_acc", "description_exact_match", "description_finding_set_f1", "description_location_f1", "description_count_bucket_acc", "description_cdr_tol_hit")
-    return reward.scored_against_gold(gold, "prediction").select("ord", *[r9(n).alias(n) for n in names])
+    return stored.scored(rows.select("ord", "prediction"), "prediction").select("ord", *[r9(n).alias(n) for n in names])
 
 
 def _buckets(s, d):
-    gold = reward.gold_fields(pairs(s, d).select("ord", "reference"), "reference")
-    return gold.select("ord", F.size(reward.decoded_buckets(F.col("gold_bucket_map_json"))).alias("n"))
+    found = reward.gold_fields(pairs(s, d).select("ord", "reference"), "reference")
+    entries = F.array_sort(F.map_entries(reward.decoded_buckets(F.col("gold_bucket_map_json"))))
+    return found.select("ord", F.array_join(F.transform(entries, lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";").alias("buckets"))
 
 
 def _base(s, d):
@@ -94,6 +98,9 @@ QUERIES = {
     "crop_box": _crops,
     "text_forms": _forms,
     "diagnosis_part": lambda s, d: pairs(s, d).select("ord", text.diagnosis_part(F.col("prediction")).alias("diagnosis")),
+    # Halves of tenths and numbers near them, of both signs.
+    "ratio_text": lambda s, d: part(s, d, "(CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE 1 END) * (CASE p_partkey % 4 WHEN 0 THEN p_partkey / 20.0D WHEN 1 THEN p_partkey / 100.0D WHEN 2 THEN p_partkey / 8.0D ELSE p_partkey * 1e9D / 7 END) AS v").select("p_partkey", text.one_decimal(F.col("v")).alias("t")),
+    "selected_images": lambda s, d: split.kept_and_removed(part(s, d, "concat(' ', CAST(p_partkey AS STRING)) AS img_id"), s.read.parquet(f"{d}/lineitem.parquet").selectExpr("CASE WHEN l_quantity < 5 THEN '' ELSE CAST(l_partkey AS STRING) END AS k").where("k <> '7'"), "img_id", "k")[0].select("p_partkey"),
     "durations": lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", text.duration(F.col("value") * 100).alias("t")),
     "rerooted_paths": lambda s, d: part(s, d, "concat(CASE p_partkey % 4 WHEN 0 THEN '/old/data_root/a/' WHEN 1 THEN '/else/' WHEN 2 THEN 'rel/' ELSE '/x/data_root/data_root/' END, CAST(p_partkey AS STRING)) AS p").select("p_partkey", reward.rerooted(F.col("p"), "data_root", "/new/").alias("path")),
     "valid_rows": lambda s, d: split.valid_and_invalid(*_invalid(s, d))[0].select("doc_id"),
@@ -129,6 +136,8 @@ SELECT p_partkey, CASE WHEN none THEN 0 ELSE greatest(0, cx - half) END AS "left
     "text_forms": """SELECT p_partkey, concat('描述:A', p_partkey, 'mm', chr(10), ';ok') AS normal, printf('%.6f', p_retailprice::DOUBLE / 7) AS six, printf('%.0f', p_retailprice::DOUBLE / 7) AS whole, concat(p_brand, '|3|', p_type) AS items,
   CASE p_partkey % 4 WHEN 0 THEN '1|2' WHEN 1 THEN 'plain text' ELSE '' END AS others FROM part""",
     "diagnosis_part": f"WITH {SCORE_CTES} SELECT ord, CASE WHEN t = '' THEN 'UNKNOWN' ELSE t END AS diagnosis FROM (SELECT ord, trim(regexp_extract(prediction, '初步诊断[：:]\\s*([^\\n]+)', 1)) AS t FROM b2)",
+    "ratio_text": "SELECT p_partkey, printf('%.1f', (CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE 1 END) * (CASE p_partkey % 4 WHEN 0 THEN p_partkey / 20.0::DOUBLE WHEN 1 THEN p_partkey / 100.0::DOUBLE WHEN 2 THEN p_partkey / 8.0::DOUBLE ELSE p_partkey * 1e9::DOUBLE / 7 END) + 0.0::DOUBLE) AS t FROM part",
+    "selected_images": "SELECT p_partkey FROM part WHERE p_partkey <> 7 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 5)",
     "durations": "SELECT event_id, CASE WHEN s < 0 THEN '00:00:00' ELSE printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) END AS t FROM (SELECT event_id, CAST(floor(value * 100) AS BIGINT) AS s FROM events)",
     "rerooted_paths": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat('/new/data_root/a/', p_partkey) WHEN 1 THEN concat('/else/', p_partkey) WHEN 2 THEN concat('/new/data_root/rel/', p_partkey) ELSE concat('/new/data_root/data_root/', p_partkey) END AS path FROM part",
     "valid_rows": "SELECT doc_id FROM documents WHERE doc_id % 11 <> 0 AND trim(coalesce(text, '')) <> ''",
@@ -137,7 +146,7 @@ SELECT p_partkey, CASE WHEN none THEN 0 ELSE greatest(0, cx - half) END AS "left
     "has_places": f"WITH {SCORE_CTES} SELECT ord, regexp_matches(regexp_extract(reference, '^描述：([^\\n]*)', 1), '鼻下方|鼻上方|颞下方|颞上方|下方|上方|鼻侧|颞侧') AS placed FROM b2",
     "zipped_predictions": "SELECT c_custkey, c_name, c_custkey % 2 AS pred_label, round(c_acctbal::DOUBLE, 6) AS prob FROM customer",
     "gold_scores": f"WITH {SCORE_CTES} SELECT ord, {_scores} FROM scored",
-    "gold_buckets": f"WITH {SCORE_CTES} SELECT ord, CAST(len(buckets) AS INTEGER) AS n FROM parsed WHERE side = 'r'",
+    "gold_buckets": f"WITH {SCORE_CTES} SELECT ord, array_to_string(buckets, ';') AS buckets FROM parsed WHERE side = 'r'",
     "base_rows": "SELECT CAST(p_partkey AS VARCHAR) AS img_id, p_name AS image_path, p_type AS answer, p_brand AS institution_name, p_type AS diagnosis, '0' AS is_augmented, 'weak' AS aug_level, printf('%.6f', (p_partkey % 100) / 300.0::DOUBLE) AS tail_score, '' AS aug_ops, CAST(p_partkey AS VARCHAR) AS source_img_id FROM part",
     "evaluation_rows": "SELECT item_id, text AS prompt, concat('gold ', item_id) AS answer FROM benchmark",
     "multi_hot": f"SELECT p_partkey, array_to_string(list_transform([{quoted(LABELS)}], lambda x: (x = {_LABEL_SQL})::INT), '') AS hot FROM part",

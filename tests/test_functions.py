@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import dims, text, udf
-from quillspark.operators import extract, metrics, parse, rank, report, reward, score, split, tail
+from quillspark.operators import extract, gold, metrics, parse, rank, report, reward, score, split, tail
+from quillspark.session import work_path
 
 REPORT = "描述：杯盘比为0.3。下方视网膜可见散在出血；黄斑处可见硬性渗出。静脉迂曲扩张，鼻上方、颞下方视网膜沿血管放射状出血。可见12处动静脉交叉压迫点。视盘可见出血。\r\n\n初步诊断： 疑似青光眼、黄斑裂孔 、"
 
@@ -252,3 +253,35 @@ def test_exact_median(spark, few):
 def test_a_record_with_both_losses_is_an_evaluation(spark):
     rows = spark.createDataFrame([(0, 1, None, 0.5, None), (1, 2, 0.25, 0.4, 0.9), (2, None, 1.0, 0.1, None), (3, 3, 2.0, None, None)], "i int, step int, epoch double, loss double, eval_loss double")
     assert sorted(tuple(r) for r in rank.loss_series(rows, "i", epoch="epoch").collect()) == [(0, 1, 0.0, "train", 0.5), (1, 2, 0.25, "eval", 0.9)]
+
+
+def test_one_decimal_is_exact(spark):
+    rng = random.Random(1)
+    values = [0.0, 0.05, 0.15, 0.25, 0.35, 0.45, 0.75, 0.949999999999, 0.95, 1.0, 2.5, 1e-320, 123456.25, 2.0**47 + 0.25] + [rng.random() * 10.0 ** rng.randint(-3, 12) for _ in range(300)] + [k / 20 for k in range(200)] + [k / 40 for k in range(200)]
+    rows = spark.createDataFrame([(v,) for x in values for v in (x, -x)] + [(None,)], "v double")
+    assert {r["v"]: r["t"] for r in rows.select("v", text.one_decimal(F.col("v")).alias("t")).collect()} == {v: f"{v or 0:.1f}" for x in values for v in (x, -x)} | {None: "0.0"}
+
+
+def test_stored_gold_is_met_without_an_exchange(spark):
+    truths = spark.createDataFrame([(k, f"描述：杯盘比为0.{k % 9}。\n初步诊断：疑似青光眼") for k in range(50)] + [(None, "x")], "key long, truth string")
+    stored = gold.StoredGold(spark, work_path(spark, "gold"))
+    stored.write(truths, "truth", 3)
+    again = gold.StoredGold(spark, stored.root)
+    texts = spark.createDataFrame([(k, t) for k in range(60) for t in ("描述：杯盘比为0.4。\n初步诊断：疑似青光眼", "描述：杯盘比为0.4。\n初步诊断：疑似青光眼", "x")], "key long, text string")
+    found = again.scored(texts, "text")
+    plain = reward.scored_against_gold(reward.gold_fields(truths, "truth").join(texts.distinct(), "key"), "text")
+    names = ["key", "text", *[c for c in found.columns if c not in ("key", "text", "times")]]
+    assert sorted(map(tuple, found.select(names).collect())) == sorted(map(tuple, plain.select(names).collect()))
+    assert {r["times"] for r in found.where("text <> 'x'").collect()} == {2}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    side = plan[plan.index("gold_") - 2000 :]
+    assert "Bucketed: true" in plan and "Exchange" not in side[side.index("FileScan") - 400 :]
+    stored.close()
+    again.close()
+
+
+def test_label_metrics_of_pairs(spark):
+    rows = [(["a", "b"], ["a"]), (["a", "b"], ["a"]), ([], ["c"]), (["a"], []), ([], [])]
+    df = spark.createDataFrame(rows, "pred_diagnosis_labels array<string>, ref_diagnosis_labels array<string>")
+    got = {r["label"]: (r["tp"], r["fp"], r["fn"], r["accuracy"]) for r in metrics.label_metrics(df).collect()}
+    assert got == {"a": (2, 1, 0, 0.8), "b": (0, 2, 0, 0.6), "c": (0, 0, 1, 0.8)}
