@@ -29,8 +29,10 @@ SETTLED = 1e-2
 #: Tokens of the documents whose counts are taken side by side (one document, if it is longer), and of a long document.
 BATCH = 1 << 18
 LONG = 1024
-#: Expected counts of words are exchanged in steps of 1 / STEPS of an occurrence.
-STEPS = 256
+#: Each token's state probabilities are counted in steps of 1 / STEPS, so that sums of words are whole numbers, whatever chunks they are taken in.
+STEPS = 1024
+#: Words with a smaller share of a chunk's tokens are left out where the most frequent words are looked for first.
+RARE = 4e-6
 #: Pairs of word and chunk whose counts one task sums; pieces of a task's sums over classes, and groups of tasks that they are summed in.
 WORD_PAIRS = 500_000
 SLICES, SALTS = 16, 8
@@ -200,39 +202,43 @@ def _numbers(data: pa.Buffer | bytes, kind: str, count: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-_CODED = "chunk long, tokens long, doc_ids array<long>, held array<boolean>, offsets array<long>, words int, codes binary, hashes binary, endings binary, counts binary, heavy array<struct<h:long,n:long,e:int>>, by_ending binary"
+_CODED = "chunk long, tokens long, slack long, doc_ids array<long>, held array<boolean>, draws array<long>, offsets array<long>, words int, codes binary, hashes binary, endings binary, counts binary, heavy array<struct<h:long,n:long,e:int>>, by_ending binary"
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _coded(rare: float):
     """A row for each chunk of texts: its distinct words by hash, their training counts, and each text as codes of them."""
-    from pyspark import TaskContext
 
-    chunk = TaskContext.get().partitionId() << 32
-    one = lambda x, kind: pa.array([x], kind)
-    for b in chunks(batches, limit=CODED_BYTES):
-        words = Words(b.column("text"))
-        held = np.asarray(b.column("held"))
-        hashes, endings = hash_strings(words.words), _ending_class(words.words)
-        by_hash = np.argsort(hashes, kind="stable")
-        hashes, endings = hashes[by_hash], endings[by_hash]
-        place = np.empty(len(by_hash), np.int32)
-        place[by_hash] = np.arange(len(by_hash), dtype=np.int32)
-        codes = place[words.codes] if len(words.codes) else np.zeros(0, np.int32)
-        n = np.diff(words.offsets)
-        trained = codes[np.repeat(~held, n)]
-        counts = np.bincount(trained, minlength=len(hashes))
-        most = np.argsort(-counts, kind="stable")[:TOP_WORDS]
-        heavy = [{"h": int(hashes[k].view(np.int64)), "n": int(counts[k]), "e": int(endings[k])} for k in most[counts[most] > 0]]
-        yield pa.RecordBatch.from_arrays(
-            [
-                one(chunk, pa.int64()), one(int(len(trained) + (~held).sum()), pa.int64()), one(b.column("doc_id").to_pylist(), pa.list_(pa.int64())), one(held, pa.list_(pa.bool_())),
-                one(words.offsets, pa.list_(pa.int64())), one(len(hashes), pa.int32()), one(_planes(codes), pa.binary()), one(_planes(np.diff(hashes, prepend=np.uint64(0))), pa.binary()),
-                one(_planes(endings.astype(np.int16)), pa.binary()), one(_planes(counts.astype(np.int32)), pa.binary()), one(heavy, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64()), ("e", pa.int32())]))),
-                one(np.bincount(endings, weights=counts, minlength=ENDINGS).tobytes(), pa.binary()),
-            ],
-            ["chunk", "tokens", "doc_ids", "held", "offsets", "words", "codes", "hashes", "endings", "counts", "heavy", "by_ending"],
-        )
-        chunk += 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        one = lambda x, kind: pa.array([x], kind)
+        for b in chunks(batches, limit=CODED_BYTES):
+            words = Words(b.column("text"))
+            held = np.asarray(b.column("held"))
+            hashes, endings = hash_strings(words.words), _ending_class(words.words)
+            by_hash = np.argsort(hashes, kind="stable")
+            hashes, endings = hashes[by_hash], endings[by_hash]
+            place = np.empty(len(by_hash), np.int32)
+            place[by_hash] = np.arange(len(by_hash), dtype=np.int32)
+            codes = place[words.codes] if len(words.codes) else np.zeros(0, np.int32)
+            n = np.diff(words.offsets)
+            trained = codes[np.repeat(~held, n)]
+            counts = np.bincount(trained, minlength=len(hashes))
+            slack = int(len(trained) * rare)
+            heavy = [{"h": int(hashes[k].view(np.int64)), "n": int(counts[k]), "e": int(endings[k])} for k in np.flatnonzero(counts > slack)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    one(chunk, pa.int64()), one(int(len(trained) + (~held).sum()), pa.int64()), one(slack, pa.int64()), one(b.column("doc_id").to_pylist(), pa.list_(pa.int64())), one(held, pa.list_(pa.bool_())), one(np.asarray(b.column("t")), pa.list_(pa.int64())),
+                    one(words.offsets, pa.list_(pa.int64())), one(len(hashes), pa.int32()), one(_planes(codes), pa.binary()), one(_planes(np.diff(hashes, prepend=np.uint64(0))), pa.binary()),
+                    one(_planes(endings.astype(np.int16)), pa.binary()), one(_planes(counts.astype(np.int32)), pa.binary()), one(heavy, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64()), ("e", pa.int32())]))),
+                    one(np.bincount(endings, weights=counts, minlength=ENDINGS).tobytes(), pa.binary()),
+                ],
+                ["chunk", "tokens", "slack", "doc_ids", "held", "draws", "offsets", "words", "codes", "hashes", "endings", "counts", "heavy", "by_ending"],
+            )
+            chunk += 1
+
+    return run
 
 
 class Chunk:
@@ -265,30 +271,88 @@ class Chunk:
 
 
 def _drawn(model: Model, share: float):
-    """Classes and lengths of the start documents: training documents drawn by a hash of their place."""
+    """Classes and lengths of the start documents: training documents drawn by a hash of their ids and texts, which goes with them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 c = Chunk(model, b, k)
-                draw = mix(np.full(len(c.held), b.column("chunk")[k].as_py(), np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(c.held), dtype=np.uint64))
+                draw = mix(np.asarray(b.column("draws")[k].values).view(np.uint64))
                 keep = ~c.held & (draw.astype(float) < share * 2.0**64)
                 classes, ends = c.sequences(c.of_word, 0, keep)
-                yield pa.RecordBatch.from_arrays([pa.array([b.column("chunk")[k].as_py()]), pa.array([classes.astype(np.int32).tobytes()], pa.binary()), pa.array([np.diff(ends).tobytes()], pa.binary())], ["chunk", "classes", "lengths"])
+                parts = classes.astype(np.int32), np.diff(ends), draw[keep]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["classes", "lengths", "draws"])
 
     return run
 
 
 def _start_fit(model: Model):
+    """A fit to the start documents in order of their hashes, wherever they were read."""
+
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(table.column("chunk")))
-        join = lambda name, kind: np.concatenate([np.frombuffer(table.column(name)[int(k)].as_buffer(), kind) for k in order])
-        got = fitted(model, join("classes", np.int32), np.concatenate([[0], np.cumsum(join("lengths", np.int64))]).astype(np.int64))
+        join = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
+        classes, lengths, draws = join("classes", np.int32), join("lengths", np.int64), join("draws", np.uint64)
+        start = np.cumsum(lengths) - lengths
+        order = np.lexsort((lengths, draws))
+        ends = np.concatenate([[0], np.cumsum(lengths[order])]).astype(np.int64)
+        place = np.repeat(start[order] - ends[:-1], lengths[order]) + np.arange(ends[-1])
+        got = fitted(model, classes[place], ends)
         return pa.table({"w": pa.array([np.concatenate([got.start, got.mean, got.move.ravel(), got.emit.ravel()]).tobytes()], pa.binary())})
 
     return run
 
 
+def _candidate_counts(hashes: np.ndarray):
+    """Training counts of some words (sorted hashes) in each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                n = b.column("words")[k].as_py()
+                own = np.cumsum(_numbers(b.column("hashes")[k].as_buffer(), "<u8", n), dtype=np.uint64)
+                counts = _numbers(b.column("counts")[k].as_buffer(), "<i4", n)
+                at = np.minimum(np.searchsorted(own, hashes), max(0, n - 1))
+                found = np.where(own[at] == hashes, counts[at], 0) if n else np.zeros(len(hashes))
+                yield pa.RecordBatch.from_arrays([pa.array([found.astype(float).tobytes()], pa.binary())], ["v"])
+
+    return run
+
+
+def _all_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, n, e) of all training words of each chunk."""
+    for b in batches:
+        for k in range(b.num_rows):
+            n = b.column("words")[k].as_py()
+            own = np.cumsum(_numbers(b.column("hashes")[k].as_buffer(), "<u8", n), dtype=np.uint64)
+            columns = own.view(np.int64), _numbers(b.column("counts")[k].as_buffer(), "<i4", n).astype(np.int64), _numbers(b.column("endings")[k].as_buffer(), "<i2", n).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x[columns[1] > 0]) for x in columns], ["h", "n", "e"])
+
+
+def _most_frequent(coded: DataFrame) -> list[tuple[int, int, int]]:
+    """(hash, training count, ending) of the TOP_WORDS most frequent words, ties to the smaller hash.
+
+    Chunks give the words that aren't rare in them. A word may lack ``slack`` occurrences in each chunk, which bounds what its sum lacks: only those that may
+    still be among the first are then counted exactly. Where nearly all are rare everywhere, every word is summed.
+    """
+    ordered = lambda words: words.orderBy(F.desc("n"), "h").limit(TOP_WORDS).collect()
+    sums = cut(coded.select(F.explode("heavy").alias("x")).groupBy("x.h").agg(F.sum("x.n").alias("n"), F.max("x.e").alias("e")), "heavy")
+    slack = coded.agg(F.coalesce(F.sum("slack"), F.lit(0))).first()[0]
+    first = ordered(sums)
+    if not slack:
+        return [(r["h"], r["n"], r["e"]) for r in first]
+    least = first[-1]["n"] if len(first) == TOP_WORDS else 0
+    if least <= 2 * slack:
+        words = coded.select("words", "hashes", "endings", "counts").mapInArrow(_all_counts, "h long, n long, e int").groupBy("h").agg(F.sum("n").alias("n"), F.max("e").alias("e"))
+        return [(r["h"], r["n"], r["e"]) for r in ordered(words)]
+    # Fewer than 1 / (least - slack) of all tokens' number.
+    close = sums.where(F.col("n") + slack >= least).select("h", "e").collect()
+    hashes = np.array([r["h"] for r in close], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    counts = _vector_sum(coded.select("words", "hashes", "counts").mapInArrow(_candidate_counts(hashes[order]), "v binary"), len(hashes)).astype(np.int64)
+    found = [(int(hashes[k].view(np.int64)), int(n), close[k]["e"]) for k, n in zip(order, counts, strict=True)]
+    return sorted(found, key=lambda x: (-x[1], x[0]))[:TOP_WORDS]
+
+
 def _count_pass(model: Model):
     """Slices of a task's sums over its training documents; the last number is the log likelihood."""
 
@@ -360,13 +424,14 @@ def _word_pass(model: Model, parts: int):
                 classes = np.concatenate([[0], chunk.of_word])
                 posterior = np.empty((len(trained), k), np.float32)
                 counts, likelihood = counted(model, classes[trained], ends, posterior)
+                np.rint(posterior * STEPS, out=posterior)
                 by_word = np.stack([np.bincount(trained, weights=posterior[:, j], minlength=len(classes)) for j in range(k)], axis=1)
                 seen = np.bincount(trained, minlength=len(classes))
                 total[:small] += counts[:small]
-                total[small : small + k * c] += np.concatenate([np.bincount(classes, weights=by_word[:, j], minlength=c) for j in range(k)])
+                total[small : small + k * c] += np.concatenate([np.bincount(classes, weights=by_word[:, j], minlength=c) for j in range(k)]) / STEPS
                 total[small + k * c] += likelihood
                 total[small + k * c + 1 :] += np.bincount(classes, weights=seen, minlength=c)
-                steps = np.rint(by_word[1:] * STEPS).astype(np.int32)
+                steps = by_word[1:].astype(np.int32)
                 rows = [(p, chunk.get("chunk").as_py(), len(at), _planes(np.diff(chunk.hashes[at], prepend=np.uint64(0))), _planes(chunk.endings[at]), _planes(seen[1:][at].astype(np.int32)), _planes(steps[at])) for p, at in chunk.parts(parts)]
                 yield _sum_rows(rows)
         yield _sliced(total)
@@ -448,10 +513,10 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
 
-def _vector_sum(vectors: DataFrame) -> np.ndarray:
-    """Sum of vectors (v binary) of ENDINGS numbers: one from each task reaches the next, and one the driver."""
+def _vector_sum(vectors: DataFrame, size: int = ENDINGS) -> np.ndarray:
+    """Sum of vectors (v binary) of ``size`` numbers: one from each task reaches the next, and one from each of these the driver."""
     found = vectors.mapInArrow(_added, "v binary").repartition(SALTS).mapInArrow(_added, "v binary").collect()
-    return sum((np.frombuffer(r["v"]) for r in found), np.zeros(ENDINGS))
+    return sum((np.frombuffer(r["v"]) for r in found), np.zeros(size))
 
 
 def train(coded: DataFrame, states: int = STATES) -> tuple[Trained, DataFrame]:
@@ -460,23 +525,22 @@ def train(coded: DataFrame, states: int = STATES) -> tuple[Trained, DataFrame]:
     have in all (found)."""
     spark = coded.sparkSession
     tokens, pairs = coded.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    heavy = coded.select(F.explode("heavy").alias("x")).groupBy("x.h").agg(F.sum("x.n").alias("n"), F.max("x.e").alias("e"))
-    heavy = heavy.orderBy(F.desc("n"), "h").limit(TOP_WORDS).collect()
-    top = np.array([r["h"] for r in heavy], np.int64).view(np.uint64)
+    heavy = _most_frequent(coded)
+    top = np.array([h for h, _, _ in heavy], np.int64).view(np.uint64)
     order = np.argsort(top)
     top = top[order]
     # Frequencies of classes for the start: what the chunks' frequent words don't hold falls to the endings.
     frequency = np.concatenate([np.zeros(1 + len(top)), _vector_sum(coded.selectExpr("by_ending AS v"))])
-    frequency[1 : 1 + len(top)] = np.array([r["n"] for r in heavy], float)[order]
-    for r in heavy:
-        frequency[1 + len(top) + r["e"]] -= r["n"]
+    frequency[1 : 1 + len(top)] = np.array([n for _, n, _ in heavy], float)[order]
+    for _, n, e in heavy:
+        frequency[1 + len(top) + e] -= n
     frequency[0] = max(1.0, tokens - frequency[1:].sum())
     model = initial(np.maximum(frequency, 0), top, states)
     k, c = model.emit.shape
     size = 2 * k + k * k + k * c
     own = coded.select("chunk", "held", "offsets", "words", "codes", "hashes", "endings")
     if tokens:
-        drawn = own.mapInArrow(_drawn(model, min(1.0, START_TOKENS / tokens)), "chunk long, classes binary, lengths binary")
+        drawn = coded.select("chunk", "held", "draws", "offsets", "words", "codes", "hashes", "endings").mapInArrow(_drawn(model, min(1.0, START_TOKENS / tokens)), "classes binary, lengths binary, draws binary")
         w = np.frombuffer(drawn.groupBy().applyInArrow(_start_fit(model), "w binary").collect()[0]["w"])
         start, mean, move, emit = np.split(w, [k, 2 * k, 2 * k + k * k])
         model = Model(start, mean, move.reshape(k, k), emit.reshape(k, c), top)
@@ -495,26 +559,26 @@ def train(coded: DataFrame, states: int = STATES) -> tuple[Trained, DataFrame]:
     types = int(class_types.sum()) + int((of_classes[: 1 + len(top)] > 0).sum())
     inside = got[size - k * c : size].reshape(k, c) + ALPHA * (class_types + 1)
     found = sums.where("part >= 0 AND chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "expected")).alias("found"))
-    backed = coded.drop("counts", "heavy", "by_ending").join(found, "chunk", "left")
+    backed = coded.drop("counts", "heavy", "by_ending", "draws", "slack").join(found, "chunk", "left")
     return Trained(model.updated(got[:size]), inside, of_classes, int(of_classes.sum()), types, parts), backed
 
 
-def coded_documents(documents: DataFrame) -> DataFrame:
+def coded_documents(documents: DataFrame, rare: float = RARE) -> DataFrame:
     """Texts of ``documents`` (doc_id, text) as codes of words, a row for each chunk of them, in a work table."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("t"))
     docs = docs.withColumn("held", F.coalesce(remainder("doc_id", 10) == 0, F.lit(False)))
-    return cut(docs.mapInArrow(_coded, _CODED), "coded", "uncompressed")
+    return cut(docs.mapInArrow(_coded(rare), _CODED), "coded", "uncompressed")
 
 
 def score_documents(documents: DataFrame, states: int = STATES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``documents`` (doc_id, text).
 
     Words and one end a text are the tokens; those of rows whose crc32(doc_id) mod 10 is not 0 train. Texts are coded
-    once, in chunks. Start values come from Baum-Welch on documents drawn by a hash from all chunks (about START_TOKENS). Then each
+    once, in chunks. Start values come from Baum-Welch on documents drawn by a hash of their ids and texts (about START_TOKENS). Then each
     round counts every training document over its whole length, first by class, until the likelihood settles, and last each word in
     each state. Counts of words (by a 64-bit hash) are summed by word, and each chunk gets back the sums of its own words only;
     those of the most frequent words are sums over classes, so no word's rows meet in one task for every chunk. All documents are
-    scored over their whole length. ``score`` is the model's log10 probability, where words not seen in training have, in each
+    scored over their whole length. How a table is divided into partitions and chunks changes no more than the rounding of sums. ``score`` is the model's log10 probability, where words not seen in training have, in each
     state and class, the mass of one more word without a count.
 
     Null or empty texts: the end alone. Null ids train. Repeated rows each count and are returned each. A very long text is a chunk of its

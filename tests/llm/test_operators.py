@@ -361,6 +361,25 @@ def test_secrets_of_whole_documents_equal_plain_expressions(spark):
     assert some > 5
 
 
+def test_language_model_is_the_same_for_any_partitioning(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    two, seven = ({r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in hmm_lm.score_documents(docs.repartition(n)).collect()} for n in (2, 7))
+    assert len(two) == docs.count() and two.keys() == seven.keys()
+    for k, (score, base, known) in two.items():
+        assert math.isclose(score, seven[k][0], rel_tol=1e-6) and math.isclose(base, seven[k][1], rel_tol=1e-9) and known == seven[k][2]
+
+
+@pytest.mark.parametrize("rare", [0.0, 1e-4, 2e-3, 0.05])
+def test_most_frequent_words_are_exact_whatever_chunks_leave_out(spark, rare, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "TOP_WORDS", 300)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(5)
+    count = Counter(w for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 10 for w in (r["text"] or "").encode().lower().split())
+    found = hmm_lm._most_frequent(hmm_lm.coded_documents(docs, rare))
+    hashed = dict(zip(hash_strings(pa.array([w.decode() for w in count])).view(np.int64).tolist(), count.values(), strict=True))
+    expected = sorted(hashed.items(), key=lambda x: (-x[1], x[0]))[:300]
+    assert [(h, n) for h, n, _ in found] == expected
+
+
 def test_language_model_score_is_the_forward_sum(spark):
     """Scores of a small table against a plain forward recursion over the trained model's own probabilities, which sum to 1."""
     rng = np.random.default_rng(2)
