@@ -16,9 +16,11 @@ PIVOTS = 32
 #: Vectors the pivots are chosen from, and Lloyd steps on them; every vector is then indexed.
 PIVOT_SAMPLE = 2000
 BLOCK = 2048
-#: Blocks of the index at most (besides one a pivot): more vectors make larger blocks, so bounds stay a small table.
+#: Annuli of the index at most (besides one a pivot): more vectors make wider ones, so bounds stay a small table. Annuli lie in blocks of about BLOCK rows.
 MOST_BLOCKS = 20_000
 QUERY_BLOCK = 1024
+#: Pairs of query block and annulus that one batch holds, with their queries.
+PAIRS = 32
 
 
 def choose_pivots(x: np.ndarray, pivots: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -100,7 +102,7 @@ def _sortable(score: int) -> str:
 
 
 def _visit(k: int, width: int, large: bool):
-    """Scores of the queries of one query block against one index block: at most ``k`` rows a query."""
+    """Scores of the queries that visit an annulus, of one query block, against one of its blocks: at most ``k`` rows a query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,15 +110,14 @@ def _visit(k: int, width: int, large: bool):
                 get = lambda name: np.frombuffer(b.column(name)[r].as_buffer(), np.int64 if "ids" in name else np.float64)  # noqa: B023, E731
                 ids, x = get("ids"), get("block").reshape(-1, width)
                 qids, q = get("query_ids"), get("queries").reshape(-1, width)
-                some = np.asarray(b.column("active")[r].values)
                 if large:
-                    row, found, exact = _best_large(q[some], x, ids, qids[some], k)
+                    row, found, exact = _best_large(q, x, ids, qids, k)
                     clip = lambda s, most: max(-most, min(most, s))
                     more = [pa.array([max(-(2**63), min(2**63 - 1, s)) for s in exact], pa.int64()), pa.array([float(clip(s, 10**307)) for s in exact], pa.float64()), pa.array([_sortable(s) for s in exact], pa.string())]
                 else:
-                    row, found, score = _best(q[some] @ x.T, ids, qids[some], k)
+                    row, found, score = _best(q @ x.T, ids, qids, k)
                     more = [pa.array(score.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(qids[some][row], pa.int64()), pa.array(found, pa.int64()), *more], ["query_id", "vec_id", "score", "near", "by"][: 2 + len(more)])
+                yield pa.RecordBatch.from_arrays([pa.array(qids[row], pa.int64()), pa.array(found, pa.int64()), *more], ["query_id", "vec_id", "score", "near", "by"][: 2 + len(more)])
 
     return run
 
@@ -143,7 +144,7 @@ _INDEX = "block_id long, pivot int, lo double, hi double, norm double, rows long
 
 
 def _admitted(bounds: dict[str, np.ndarray], pivots: np.ndarray, width: int, start: int, end: int):
-    """(block_id, query_block, active): for each query block, the index blocks that some of its queries visit next.
+    """(block_id, query_block, active, query_ids, queries): for each query block, the annuli that some of its queries visit next, and these queries alone.
 
     With |q - p| and the block's distances from its pivot p, the triangle inequality bounds |q - x| from below, and so
     q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 from above. A query's annuli are sorted by that bound; it visits those in
@@ -156,6 +157,7 @@ def _admitted(bounds: dict[str, np.ndarray], pivots: np.ndarray, width: int, sta
         for b in batches:
             for r in range(b.num_rows):
                 every = np.frombuffer(b.column("queries")[r].as_buffer(), np.float64).reshape(-1, width)
+                ids = np.frombuffer(b.column("query_ids")[r].as_buffer(), np.int64)
                 least = np.array([-np.inf if v is None else float(v) for v in b.column("least")[r].as_py()])
                 active: dict[int, list[int]] = {}
                 for s in range(0, len(every), 64):
@@ -172,7 +174,10 @@ def _admitted(bounds: dict[str, np.ndarray], pivots: np.ndarray, width: int, sta
                     for j, k in zip((row + s).tolist(), order[row, place].tolist(), strict=True):
                         active.setdefault(k, []).append(j)
                 at = sorted(active)
-                yield pa.RecordBatch.from_arrays([pa.array(block_ids[at]), pa.array(np.full(len(at), b.column("query_block")[r].as_py())), pa.array([active[k] for k in at], pa.list_(pa.int32()))], ["block_id", "query_block", "active"])
+                for k in range(0, len(at), PAIRS):
+                    some = at[k : k + PAIRS]
+                    packed = [pa.array([np.ascontiguousarray(x[active[j]]).tobytes() for j in some], pa.binary()) for x in (ids, every)]
+                    yield pa.RecordBatch.from_arrays([pa.array(block_ids[some]), pa.array(np.full(len(some), b.column("query_block")[r].as_py())), pa.array([active[j] for j in some], pa.list_(pa.int32())), *packed], ["block_id", "query_block", "active", "query_ids", "queries"])
 
     return run
 
@@ -185,7 +190,8 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, pivots: int = PIVOTS, v
     distance, form annuli (blocks). A query's annuli are sorted by the bound that the triangle inequality gives for their
     products. It visits the best one, then four times as many in each round; each round raises its k-th score, and it stops where the next
     bound doesn't reach that; so nothing is lost. Pivots come from a bounded sample; the annuli's bounds are the only table sent
-    to all (at most MOST_BLOCKS and one a pivot). ``visits`` gets a table (query_block, block_id, active) for each round.
+    to all (at most MOST_BLOCKS and one a pivot). ``visits`` gets a table (query_block, block_id, active) for each round. A
+    round moves the queries that visit an annulus to it, and each annulus once, in blocks of bounded size.
 
     Products that doubles would round are worked out and compared in whole numbers; a score beyond a long is given as the nearest long.
     Shorter vectors count as ended by zeros. Fewer candidates than ``k``: all of them. An empty table
@@ -218,8 +224,10 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, pivots: int = PIVOTS, v
     sizes = cut(placed.groupBy("pivot", "annulus").agg(F.ceil(F.count("*") / (2 * rows)).alias("salts")), "sizes")
     salted = placed.join(F.broadcast(sizes), ["pivot", "annulus"])  # at most MOST_BLOCKS rows and one a pivot
     placed = salted.withColumn("block_id", F.col("pivot").cast("long") * (1 << 40) + F.col("annulus").cast("long") * (1 << 20) + F.expr("pmod(xxhash64(vec_id), salts)"))
-    index = cut(placed.groupBy("block_id").applyInArrow(_packed([c.split()[0] for c in _INDEX.split(", ")], width), _INDEX), "index")
-    bounds = index.select("block_id", "pivot", "lo", "hi", "norm").toArrow()
+    # A value of the index holds about BLOCK vectors, whatever the table's size.
+    placed = placed.withColumn("piece", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, rows // BLOCK))))
+    index = cut(placed.groupBy("block_id", "piece").applyInArrow(_packed([c.split()[0] for c in _INDEX.split(", ")], width), _INDEX), "index")
+    bounds = index.groupBy("block_id").agg(F.first("pivot").alias("pivot"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("norm").alias("norm")).orderBy("block_id").toArrow()
     bounds = {n: np.asarray(bounds.column(n)) for n in bounds.column_names}
 
     asked = cut(vectors.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x")).mapInArrow(_keyed(centres), "vec_id long, x array<double>, pivot int, distance double, norm double"), "asked")
@@ -227,7 +235,7 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, pivots: int = PIVOTS, v
     asked = asked.withColumn("block_id", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     queries = cut(asked.groupBy("block_id").applyInArrow(_packed(["block_id", "ids", "block"], width), "block_id long, ids binary, block binary").selectExpr("block_id AS query_block", "ids AS query_ids", "block AS queries"), "queries")
     order = cut(queries.mapInArrow(_listed, "query_block long, query_id long, place int"), "order")
-    found_row, pair_row = "query_id long, vec_id long, score long" + ", near double, by string" * large, "block_id long, query_block long, active array<int>"
+    found_row, pair_row = "query_id long, vec_id long, score long" + ", near double, by string" * large, "block_id long, query_block long, active array<int>, query_ids binary, queries binary"
     by_query = Window.partitionBy("query_id").orderBy(F.desc("by" if large else "score"), "vec_id")
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
     found = spark.createDataFrame([], found_row + ", rank int")
@@ -235,12 +243,12 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, pivots: int = PIVOTS, v
     while start < len(bounds["block_id"]):
         kth = found.where(F.col("rank") == k).selectExpr("query_id", f"{'near' if large else 'score'} AS least")
         least = order.join(kth, "query_id", "left").groupBy("query_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "least"))), lambda v: v["least"].cast("double")).alias("least"))
-        pairs = cut(queries.select("query_block", "queries").join(least, "query_block").mapInArrow(_admitted(bounds, centres, width, start, end), pair_row), "pairs")
+        pairs = cut(queries.join(least, "query_block").mapInArrow(_admitted(bounds, centres, width, start, end), pair_row), "pairs")
         if pairs.isEmpty():
             break
         if visits is not None:
             visits.append(pairs)
-        seen = pairs.join(queries, "query_block").join(index.select("block_id", "ids", "block"), "block_id").mapInArrow(_visit(k, width, large), found_row)
+        seen = pairs.drop("active").join(index.select("block_id", "ids", "block"), "block_id").mapInArrow(_visit(k, width, large), found_row)
         found = cut(ranked(found.drop("rank").unionAll(seen)), "found")
         start, end = end, end + 4 * (end - start)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
