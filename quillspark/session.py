@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import re
 import tempfile
 import uuid
@@ -30,13 +28,12 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     return spark
 
 
-_made: dict[str, str] = {}
 _own: dict[str, str] = {}
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder of spark.checkpoint.dir, which the driver and all executors share; only a local session may lack it. What is written there is
-    deleted when the driver ends, or by ``drop_work``."""
+    deleted when the driver's JVM ends, or by ``drop_work``."""
     folder, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not folder:
         if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
@@ -44,26 +41,21 @@ def work_path(spark: SparkSession, name: str) -> str:
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         folder = _own[app]
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _made[path] = app
-    return path
+    at, store = _located(spark, f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return f"{at.toString()}/{name}"
 
 
-def drop_work(spark: SparkSession, path: str) -> None:
+def _located(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    _made.pop(path, None)
-
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-def _drop_all() -> None:
-    spark = SparkSession.getActiveSession()
-    for path, app in list(_made.items()):
-        if spark is not None and spark.sparkContext.applicationId == app:
-            with contextlib.suppress(Exception):  # the context may be gone at exit
-                drop_work(spark, path)
 
-
-atexit.register(_drop_all)
+def drop_work(spark: SparkSession, path: str) -> None:
+    """Delete what was written to a ``work_path``."""
+    at, store = _located(spark, path)
+    store.delete(at.getParent(), True)
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
