@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -44,12 +44,23 @@ def preference_records(selected: DataFrame, *keys: str) -> DataFrame:
     return selected.where("selected").select(*keys, "chosen", "rejected", *[number(c) for c in ("score_chosen", "score_rejected", "margin", "format_correct", "diagnosis_exact_set_acc", "description_score")])
 
 
-def summary(marked: DataFrame, threshold: float = dims.LEARNING_THRESHOLD) -> DataFrame:
-    """One row of counts, mean margins and error counts over all and over selected candidates."""
+def _figures(threshold: float) -> list[Column]:
     wrong = {"format_error": F.col("format_correct") < 1, "diagnosis_error": F.col("diagnosis_exact_set_acc") < 1, "low_description_score": F.col("description_score") < threshold}
     chosen = F.col("selected")
-    return marked.agg(
+    return [
         F.count("*").alias("num_candidates"), F.count_if("margin_kept").alias("num_margin_kept"), F.count_if("selected").alias("num_selected"), F.coalesce(F.max("margin_threshold"), F.lit(0.0)).alias("margin_threshold"),
         F.coalesce(F.avg("margin"), F.lit(0.0)).alias("avg_margin_all"), F.coalesce(F.avg(F.when(chosen, F.col("margin"))), F.lit(0.0)).alias("avg_margin_selected"),
         *[F.count_if(c).alias(f"{n}_count_all") for n, c in wrong.items()], *[F.count_if(c & chosen).alias(f"{n}_count_selected") for n, c in wrong.items()],
-    )
+    ]
+
+
+def summary(marked: DataFrame, threshold: float = dims.LEARNING_THRESHOLD) -> DataFrame:
+    """One row of counts, mean margins and error counts over all and over selected candidates."""
+    return marked.agg(*_figures(threshold))
+
+
+def write_preferences(marked: DataFrame, path: str, *keys: str, threshold: float = dims.LEARNING_THRESHOLD) -> dict[str, float]:
+    """Write the ``preference_records`` of all candidates to ``path``; the figures of ``summary``, taken by the pass that writes."""
+    figures = Observation()
+    preference_records(marked.observe(figures, *_figures(threshold)), *keys).write.parquet(path)
+    return figures.get

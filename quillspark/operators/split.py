@@ -87,6 +87,17 @@ def load_counters(rows: DataFrame, text: str, found: Column, order: str, most: i
     return marked.agg(F.count("*").alias("seen"), F.count_if("__e").alias("empty"), F.count_if(F.expr("NOT __e AND NOT __f")).alias("unresolved"), F.count_if(F.expr("NOT __e AND __f")).alias("kept"))
 
 
+def write_loaded(rows: DataFrame, text: str, found: Column, path: str) -> dict[str, int]:
+    """Write the rows that loading keeps, those with a text and a file, to ``path``; the counters of ``load_counters`` over all rows, taken by the pass
+    that writes. Null ``found`` is no file."""
+    counts = Observation()
+    marked = rows.withColumns({"__e": strip(or_empty(F.col(text))) == "", "__f": F.coalesce(found, F.lit(False))})
+    empty, there = F.col("__e"), F.col("__f")
+    marked = marked.observe(counts, F.count("*").alias("seen"), F.count_if(empty).alias("empty"), F.count_if(~empty & ~there).alias("unresolved"), F.count_if(~empty & there).alias("kept"))
+    marked.where(~empty & there).select(*rows.columns).write.parquet(path)
+    return counts.get
+
+
 def quota(n: Column, val: float, test: float) -> dict[str, Column]:
     """Rows of a stratum of ``n`` that go to train, val and test.
 

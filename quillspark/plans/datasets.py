@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..functions.text import labels_of
 from ..operators import numeric, prefer, rank, resume, split, tail
+from ..session import work_path
 from .bindings import pairs
 from .reports import SCORE_CTES, r9
 
@@ -227,7 +228,23 @@ def _messages(s, d):
     return rows.groupBy("conv_id").agg(turns.alias("t")).select("conv_id", F.size("t").cast("long").alias("turns"), F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("messages"))
 
 
+def _loaded(s, d):
+    path = work_path(s, "loaded")
+    rows = table(s, d, "documents").withColumn("body", F.when(F.col("doc_id") % 7 == 0, F.lit(" \n")).otherwise(F.col("text")))
+    counts = split.write_loaded(rows.select("doc_id", "body"), "body", F.col("doc_id") % 5 != 0, path)
+    return s.read.parquet(path).agg(F.count("*").alias("written")).select("written", *[F.lit(v).cast("long").alias(k) for k, v in counts.items()])
+
+
+def _preferred(s, d):
+    path = work_path(s, "preferences")
+    figures = prefer.write_preferences(marked(s, d), path, "ord", "img_id")
+    back = s.read.parquet(path).agg(F.count("*").alias("written"), r9(F.avg("margin")).alias("avg_margin_written"))
+    return back.select("*", *[F.lit(v).alias(k) for k, v in figures.items()]).withColumns({c: r9(c) for c in ("margin_threshold", "avg_margin_all", "avg_margin_selected")})
+
+
 QUERIES = {
+    "written_load_counters": _loaded,
+    "written_preferences": _preferred,
     "stratified_quota": lambda s, d: split.stratum_quotas(records(s, d), "diagnosis", 0.1, 0.05),
     "stratified_split": lambda s, d: divided(s, d).select("ord", "diagnosis", "split"),
     "split_sizes": lambda s, d: split.split_sizes(divided(s, d), "diagnosis"),
@@ -283,6 +300,7 @@ ORACLE_SQL = {
     "filter_summary": "SELECT count(*) AS rows, (SELECT count(DISTINCT doc_id) FROM labels) AS clean_keys, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS kept, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS removed FROM documents",
     "matching_ids": "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) OR (doc_id % 97 = 0 AND EXISTS (SELECT 1 FROM labels WHERE doc_id % 97 = 0))",
     "load_counters": "WITH r AS (SELECT doc_id % 7 = 0 OR coalesce(trim(text), '') = '' AS e, doc_id % 5 <> 0 AS f FROM documents) SELECT count(*) AS seen, count(*) FILTER (e) AS empty, count(*) FILTER (NOT e AND NOT f) AS unresolved, count(*) FILTER (NOT e AND f) AS kept FROM r",
+    "written_load_counters": "SELECT *, kept AS written FROM (WITH r AS (SELECT doc_id % 7 = 0 OR coalesce(trim(text), '') = '' AS e, doc_id % 5 <> 0 AS f FROM documents) SELECT count(*) AS seen, count(*) FILTER (e) AS empty, count(*) FILTER (NOT e AND NOT f) AS unresolved, count(*) FILTER (NOT e AND f) AS kept FROM r)",
     "tail_score": f"WITH {_tail_sql} SELECT ord, round(single, 9) AS single, round(combo, 9) AS combo, round(tail, 9) AS tail, round(score, 9) AS score FROM scored_tail",
     "tail_bins": f"WITH {_tail_sql} SELECT CAST(least(floor(score * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM scored_tail), 9) AS share FROM scored_tail GROUP BY bin",
     "tail_levels": f"WITH {_tail_sql} SELECT CASE WHEN score < 0.1::DOUBLE THEN 'weak' WHEN score < 0.35::DOUBLE THEN 'medium' WHEN score < 0.52::DOUBLE THEN 'strong' ELSE 'extreme' END AS level, count(*) AS n FROM scored_tail GROUP BY level",
@@ -297,6 +315,7 @@ ORACLE_SQL = {
 ) GROUP BY counter""",
     "preference_pairs": f"WITH {_prefer_sql} SELECT ord, img_id, round(score_chosen, 9) AS score_chosen, round(score_rejected, 9) AS score_rejected, round(margin, 9) AS margin, format_correct, diagnosis_exact_set_acc, round(description_score, 9) AS description_score FROM marked WHERE selected",
     "preference_summary": f"WITH {_prefer_sql} SELECT count(*) AS num_candidates, count(*) FILTER (margin_kept) AS num_margin_kept, count(*) FILTER (selected) AS num_selected, round(median(margin), 9) AS margin_threshold, round(avg(margin), 9) AS avg_margin_all, round(coalesce(avg(margin) FILTER (selected), 0), 9) AS avg_margin_selected, {_sum('format_error', 'format_correct < 1')}, {_sum('diagnosis_error', 'diagnosis_exact_set_acc < 1')}, {_sum('low_description_score', 'description_score < 0.8::DOUBLE')} FROM marked",
+    "written_preferences": f"SELECT *, num_selected AS written, avg_margin_selected AS avg_margin_written FROM (WITH {_prefer_sql} SELECT count(*) AS num_candidates, count(*) FILTER (margin_kept) AS num_margin_kept, count(*) FILTER (selected) AS num_selected, round(median(margin), 9) AS margin_threshold, round(avg(margin), 9) AS avg_margin_all, round(coalesce(avg(margin) FILTER (selected), 0), 9) AS avg_margin_selected, {_sum('format_error', 'format_correct < 1')}, {_sum('diagnosis_error', 'diagnosis_exact_set_acc < 1')}, {_sum('low_description_score', 'description_score < 0.8::DOUBLE')} FROM marked)",
     "checkpoint_rank": f"WITH {_checkpoint_sql} SELECT *, row_number() OVER (ORDER BY f1 DESC NULLS LAST, acc DESC NULLS LAST, step) AS rank FROM ck",
     "best_checkpoint": f"WITH {_checkpoint_sql} SELECT * FROM ck ORDER BY f1 DESC NULLS LAST, step LIMIT 1",
     "training_hint": f"WITH {_checkpoint_sql}, b AS (SELECT * FROM ck ORDER BY f1 DESC NULLS LAST, step LIMIT 1), l AS (SELECT * FROM ck ORDER BY step DESC LIMIT 1) SELECT b.step AS best_step, l.step AS latest_step, CASE WHEN b.step < l.step AND l.f1 <= b.f1 THEN 'best_earlier' WHEN b.step = l.step THEN 'best_latest' ELSE 'mixed' END AS hint FROM b, l",
