@@ -32,7 +32,6 @@ COUNTS = _counts() | {
     "lacquercracknumber": "greatest(k % 23 - 20, 0)",
     "rnfldarea": "greatest(k % 29 - 25, 0)",
 }
-TEN = {"ratiocdv": "(1 + k % 8)"}
 FIRST, SECOND = f"(k % {len(LABELS)}) + 1", f"((k * 7 + 3) % {len(LABELS)}) + 1"
 
 
