@@ -176,7 +176,7 @@ def test_streamed_reports_survive_replay_and_restart(spark, tmp_path):
     arrivals, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "stream")
     write = lambda name, rows: (arrivals / name).mkdir(parents=True) or (arrivals / name / "x.json").write_text("\n".join(json.dumps(dict(zip(("path", "md"), r, strict=True))) for r in rows))
     stream = lambda: spark.readStream.schema("path string, md string").json(f"{arrivals}/*")
-    write("one", [("a", REPORT), ("b", " "), ("c", REPORT)])
+    write("one", [("a", REPORT), ("b", " "), ("c", REPORT + "x"), ("c", REPORT), (None, REPORT)])
 
     def breaks(rows, key, md):
         reports.extract_reports(rows, key, md).write.mode("overwrite").parquet(f"{out}/rows/batch=0")
