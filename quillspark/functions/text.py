@@ -151,19 +151,43 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def cell_text(c: Column) -> Column:
-    """Text of a report cell, entities decoded: characters, area units, white space and brackets made alike."""
+def _plain_cells(c: Column) -> Column:
     text = F.translate(or_empty(c), *dims.CELL_CHARACTERS)
     for pattern, plain in dims.CELL_PATTERNS:
         text = F.regexp_replace(text, pattern, plain)
-    text = F.replace(F.replace(F.trim(text), F.lit("( "), F.lit("(")), F.lit(" )"), F.lit(")"))
+    return text
+
+
+def _closed(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit("( "), F.lit("(")), F.lit(" )"), F.lit(")"))
+
+
+def _repaired(t: Column) -> Column:
+    # The cut unit stands before a bracket or, if none does, anywhere.
+    whole = F.when(F.contains(t, F.lit("m²)")), F.replace(t, F.lit("m²)"), F.lit("mm²)"))).otherwise(F.replace(t, F.lit("m²"), F.lit("mm²")))
+    return F.when(F.contains(t, F.lit(dims.CELL_CUT_MEASURE)) & ~F.contains(t, F.lit("mm²")), whole).otherwise(t)
+
+
+def cell_text(c: Column) -> Column:
+    """Text of a report cell, entities decoded: characters, area units, white space and brackets made alike."""
+    return F.replace(let(_closed(F.trim(_plain_cells(c))), _repaired), *map(F.lit, dims.CELL_MISREAD))
+
+
+#: Signs between the cells of a row and between rows, where a table is one text; no cell holds them.
+CELL_END, ROW_END = "\u0001", "\u0002"
+
+
+def grid_of(joined: Column) -> Column:
+    """Rows of clean cells (see ``cell_text``) of a table in one text. All cells are cleaned at once, as no pattern reaches over an end; rows without text go."""
+    text = _closed(F.trim(F.regexp_replace(_plain_cells(joined), f" *([{CELL_END}{ROW_END}]) *", "$1")))
+    text = F.replace(text, *map(F.lit, dims.CELL_MISREAD))
 
-    def repaired(t: Column) -> Column:
-        # The cut unit stands before a bracket or, if none does, anywhere.
-        whole = F.when(F.contains(t, F.lit("m²)")), F.replace(t, F.lit("m²)"), F.lit("mm²)"))).otherwise(F.replace(t, F.lit("m²"), F.lit("mm²")))
-        return F.when(F.contains(t, F.lit(dims.CELL_CUT_MEASURE)) & ~F.contains(t, F.lit("mm²")), whole).otherwise(t)
+    def rows(t: Column) -> Column:
+        filled = F.filter(F.split(t, ROW_END), lambda r: F.replace(r, F.lit(CELL_END)) != "")
+        cells = F.transform(filled, lambda r: F.split(r, CELL_END))
+        return F.when(F.contains(t, F.lit(dims.CELL_CUT_MEASURE)), F.transform(cells, lambda r: F.transform(r, _repaired))).otherwise(cells)
 
-    return F.replace(let(text, repaired), *map(F.lit, dims.CELL_MISREAD))
+    return let(text, rows)
 
 
 def eye_side(c: Column) -> Column:
