@@ -16,8 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 6 << 20
-MASK64 = (1 << 64) - 1
+CHUNK_BYTES = 3 << 20
 _own: dict[str, str] = {}
 _made: dict[str, str] = {}
 _scope: contextvars.ContextVar[set[str] | None] = contextvars.ContextVar("work", default=None)
@@ -139,6 +138,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             end = min(start + rows, max(start + 1, int(np.searchsorted(size, base + limit, side="right"))))
             yield batch.slice(start, end - start)
             start = end
+            pa.default_memory_pool().release_unused()  # what one chunk took isn't kept beside the next one's
 
 
 class Words:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, mix, remainder
+from .common import chunks, remainder
 
 UNKNOWN = "und"
 BITS = 12
