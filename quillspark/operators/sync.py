@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.text import column_by_aliases, excluded, eye_side, identifier, image_id, normalized_tag, or_empty, record_of, sided_tags, strip, tag_list
+from .extract import held
 
 
 def image_sides(diseases: DataFrame) -> DataFrame:
@@ -71,7 +72,9 @@ def composite_lookup(diseases: DataFrame) -> tuple[DataFrame, DataFrame]:
     their aliases; ids and sides are put in their plain form, and rows that lack one go."""
     column = {n: F.col(f"`{column_by_aliases(diseases.columns, a)}`") for n, a in dims.COLUMN_ALIASES.items()}
     plain = {"patient_record_id": identifier, "eye_side": eye_side, "img_id": identifier}
-    rows = diseases.select(*[f(column[n].cast("string")).alias(n) for n, f in plain.items()], "ord").where("patient_record_id <> '' AND eye_side <> '' AND img_id <> ''")
+    # The plain forms are worked out once, not in the filter and again above it.
+    raw = diseases.select(*[column[n].cast("string").alias(f"__{n}") for n in plain], "ord")
+    rows = held(raw, **{n: f(F.col(f"__{n}")) for n, f in plain.items()}).where("patient_record_id <> '' AND eye_side <> '' AND img_id <> ''")
     # One row an image of a key first: then its images are counted without a distinct aggregate, by the same exchange's keys.
     rows = rows.groupBy("patient_record_id", "eye_side", "img_id").agg(F.min("ord").alias("ord"))
     keyed = rows.groupBy("patient_record_id", "eye_side").agg(F.min_by("img_id", "ord").alias("img_id"), F.count("*").alias("images"))
