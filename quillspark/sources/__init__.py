@@ -88,6 +88,11 @@ def list_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("
     return files.where(F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*extensions)).select("path", F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), "bytes")
 
 
+def below(path: str, root: str) -> Column:
+    """What follows the folder ``root`` in a path below it, however the file system spells what stands before the last two names of ``root``."""
+    return F.substring_index(path, "/" + "/".join(root.rstrip("/").split("/")[-2:]) + "/", -1)
+
+
 def image_index(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(stem, path) by the first path of each stem, and the stems that occur more than once."""
     counted = files.groupBy("stem").agg(F.min("path").alias("path"), F.count("*").alias("n"))

@@ -86,6 +86,18 @@ def test_image_listing(spark, tmp_path):
     assert {r["stem"]: r["path"].rsplit("/", 2)[1] for r in first.collect()} == {"1": "a", "2": "b"} and [r["stem"] for r in twice.collect()] == ["1"]
 
 
+def test_listed_names_hang_on_no_folder_above(spark, tmp_path, monkeypatch):
+    from quillspark.plans import files
+
+    monkeypatch.setattr(files, "work_path", lambda s, name: f"file://{tmp_path}/a/b/{name}-1/{name}")
+    spark.createDataFrame([(1, "one"), (3, "three")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, "uno")], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    listed = files.QUERIES["file_listing"](spark, str(tmp_path))
+    assert sorted(map(tuple, listed.collect())) == [("b/i1.PNG", "i1", 3), ("e/i1.jpeg", "i1", 3)]
+    monkeypatch.setattr(files, "work_path", lambda s, name: f"file:{tmp_path}/a/c/{name}-2/{name}")
+    assert list(map(tuple, files.QUERIES["image_index"](spark, str(tmp_path)).collect())) == [("i1", "b/i1.PNG")]
+
+
 def test_run_states():
     assert resume.state_matches({"a": 1, "more": 2}, {"a": 1}) and not resume.state_matches({"a": 1}, {"a": 1, "b": 2})
     assert resume.output_mode(False, None, {}, False, False) == "fresh" and resume.output_mode(True, {"a": 1}, {"a": 1}, True, False) == "resume"
