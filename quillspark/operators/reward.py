@@ -47,12 +47,9 @@ def decoded_buckets(c: Column) -> Column:
 
 
 def rewards(df: DataFrame, key: str, completion: str, truth: str, modes: str = "all") -> DataFrame:
-    """(key, <name>_reward for each mode). Equal pairs of completion and truth are scored once and joined back by a 256-bit digest."""
-    digest = F.sha2(F.concat_ws("\u0000", F.coalesce(F.concat(F.lit("="), F.col(completion)), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col(truth)), F.lit(""))), 256)
-    keyed = df.select(key, digest.alias("__d"), F.col(completion).alias("prediction"), F.col(truth).alias("reference"))
-    once = keyed.groupBy("__d").agg(F.first(F.struct("prediction", "reference")).alias("x")).select("__d", "x.*")
-    scores = weighted_scores(score_reports(once)).select("__d", *[F.col(REWARDS[m]).alias(f"{m}_reward") for m in reward_modes(modes)])
-    return keyed.select(key, "__d").join(scores, "__d", "left").drop("__d")
+    """(key, <name>_reward for each mode). Each row is scored where it lies, so nothing is exchanged."""
+    rows = df.select(key, F.col(completion).alias("prediction"), F.col(truth).alias("reference"))
+    return weighted_scores(score_reports(rows)).select(key, *[F.col(REWARDS[m]).alias(f"{m}_reward") for m in reward_modes(modes)])
 
 
 def contributions(rows: DataFrame, weights: dict[str, float]) -> DataFrame:

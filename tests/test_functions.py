@@ -285,3 +285,11 @@ def test_label_metrics_of_pairs(spark):
     df = spark.createDataFrame(rows, "pred_diagnosis_labels array<string>, ref_diagnosis_labels array<string>")
     got = {r["label"]: (r["tp"], r["fp"], r["fn"], r["accuracy"]) for r in metrics.label_metrics(df).collect()}
     assert got == {"a": (2, 1, 0, 0.8), "b": (0, 2, 0, 0.6), "c": (0, 0, 1, 0.8)}
+
+
+def test_rewards_are_scored_in_place(spark):
+    text = "描述：杯盘比为0.3。\n初步诊断：青光眼"
+    rows = reward.rewards(spark.createDataFrame([(1, text, text), (2, text, text), (3, "", text), (4, None, text)], "k long, p string, r string"), "k", "p", "r")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert {r["k"]: (r["format_reward"], r["description_reward"], r["diagnosis_reward"]) for r in rows.collect()} == {1: (1.0, 1.0, 1.0), 2: (1.0, 1.0, 1.0), 3: (0.0, 0.75, 0.0), 4: (0.0, 0.75, 0.0)}
