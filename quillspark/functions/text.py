@@ -56,10 +56,18 @@ def has_report_format(norm: Column) -> Column:
     return (F.size(parts) == 2) & F.startswith(F.get(parts, F.lit(0)), F.lit("描述:")) & F.startswith(F.get(parts, F.lit(1)), F.lit("初步诊断:"))
 
 
+#: A full stop or semicolon with the blanks around it; a stop between digits is a decimal point.
+SENTENCE_END = r"[ ,]*(?:(?<![0-9])\.|\.(?![0-9])|;)[ ,]*"
+
+
 def sentences_of(norm: Column) -> Column:
     """Sentences between full stops and semicolons; a stop between digits is a decimal point."""
-    parts = F.split(norm, r"(?<![0-9])\.|\.(?![0-9])|;")
-    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, "^[ ,]+|[ ,]+$", "")), lambda x: x != "")
+    return F.filter(F.split(F.regexp_replace(norm, "^[ ,]+|[ ,]+$", ""), SENTENCE_END), lambda x: x != "")
+
+
+def sentence_lines(line: Column) -> Column:
+    """The sentences of one line as lines of a text, which may have blank lines."""
+    return F.regexp_replace(line, rf"^[ ,]+|{SENTENCE_END}|[ ,]+$", "\n")
 
 
 def diagnosis_part(c: Column) -> Column:

@@ -293,3 +293,13 @@ def test_rewards_are_scored_in_place(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
     assert {r["k"]: (r["format_reward"], r["description_reward"], r["diagnosis_reward"]) for r in rows.collect()} == {1: (1.0, 1.0, 1.0), 2: (1.0, 1.0, 1.0), 3: (0.0, 0.75, 0.0), 4: (0.0, 0.75, 0.0)}
+
+
+def test_sentences_are_taken_out_by_kind(spark):
+    odd = "描述：杯盘比为。0.3；上方、鼻侧视网膜可见散在出血 ,。视网膜可见视网膜内微血管异常；上方、鼻侧视网膜可见大量出血。 , 。黄斑处可见出血。杯盘比为 0.4。可见3处动静脉交叉压迫点；静脉迂曲扩张，下方视网膜沿血管放射状出血。杯盘比偏大。x杯盘比偏大。杯盘比为0.5\n初步诊断：乙、甲"
+    rows = parse.parsed(spark.createDataFrame([(odd,)], "x string"), "x", "p_")
+    assert "RLIKE(lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()  # no sentence is matched on its own
+    r = rows.first()
+    assert r["p_findings"] == sorted(["视网膜:出血", "视网膜:视网膜内微血管异常", "黄斑处:出血", "血管:动静脉交叉压迫点", "视网膜:沿血管放射状出血", "视盘:杯盘比偏大"])
+    assert r["p_places"] == sorted(["上方", "鼻侧", "下方"]) and r["p_labels"] == ["乙", "甲"] and r["p_ratio"] == 0.5
+    assert [tuple(x) for x in r["p_buckets"]] == [("视网膜|出血|上方、鼻侧", "大量"), ("视网膜|视网膜内微血管异常|无位置", "default")]
