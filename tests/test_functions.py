@@ -303,3 +303,43 @@ def test_sentences_are_taken_out_by_kind(spark):
     assert r["p_findings"] == sorted(["视网膜:出血", "视网膜:视网膜内微血管异常", "黄斑处:出血", "血管:动静脉交叉压迫点", "视网膜:沿血管放射状出血", "视盘:杯盘比偏大"])
     assert r["p_places"] == sorted(["上方", "鼻侧", "下方"]) and r["p_labels"] == ["乙", "甲"] and r["p_ratio"] == 0.5
     assert [tuple(x) for x in r["p_buckets"]] == [("视网膜|出血|上方、鼻侧", "大量"), ("视网膜|视网膜内微血管异常|无位置", "default")]
+
+
+def test_plain_markup_needs_no_parser(monkeypatch):
+    pieces = ["<tr>", "</tr>", "<td>", "</td>", "<th>", "</th>", "<td rowspan=2>", '<td colspan="3">', "<td colspan=0>", "<sup>2</sup>", "<br>", "a ", " ", "&amp;lt;", "&#65", ">", "<TD>", "<!--x-->", "<p>", "<"]
+    rng, parsed = random.Random(3), udf._parsed
+
+    def told(rows, source):
+        monkeypatch.setattr(udf, "_raw_rows", rows)
+        try:
+            return udf.table_grid(source)
+        except IndexError:  # text between a row's begin and its first cell
+            return None
+
+    plain = udf._raw_rows
+    for _ in range(3000):
+        source = "<table>" + "".join(rng.choice(pieces[: 16 if rng.random() < 0.8 else None]) for _ in range(rng.randrange(30))) + "</table>"
+        assert told(plain, source) == told(parsed, source), source
+    monkeypatch.setattr(udf, "_raw_rows", plain)
+    monkeypatch.setattr(udf, "_parsed", lambda source: pytest.fail("parsed"))
+    assert udf.table_grid("<table><tr><td rowspan=2>m<sup>2</sup></td><td>a</td></tr><tr><td>&amp;b</td></tr></table>") == [["m 2", "a"], ["m 2", "&b"]]
+
+
+def test_fields_are_taken_from_the_whole_text(spark):
+    md = " ![](a.png) \r\n性别: 女 \n![](b) x\n# 糖尿病性视网膜病变分析 y\n\n 未见 \n\t复查\n 医师: 甲\n## 评估结果\n评估结果\nOD(右眼): a\n 评估结果\n b\n# c\nOS(左眼): d"
+    rows = spark.createDataFrame([(1, md), (2, None)], "k long, md string")
+    assert one(spark, md, extract.without_images).split("\n")[:2] == ["性别: 女", "![](b) x"]
+    found = extract.report_fields(rows, "k")
+    assert {r["k"]: (r["sex"], r["analysis"], r["od"], r["os"]) for r in found.collect()} == {1: ("女", "未见 复查", "OD(右眼): a b", None), 2: (None, None, None, None)}
+    # Lines aren't taken one by one.
+    whole = rows.select(extract.without_images(F.col("md")), extract.analysis_text(F.col("md")))
+    assert "lambda" not in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pieces_are_bounded_in_rows(spark, tmp_path, monkeypatch):
+    from quillspark.plans import bindings, markup
+
+    spark.range(100).selectExpr("id AS o_orderkey", "id AS o_custkey", "'x' AS o_orderdate", "'F' AS o_orderstatus").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(bindings, "PIECE_ROWS", 10)
+    for rows in (markup.reports(spark, str(tmp_path)), bindings.parameter(spark, str(tmp_path))):
+        assert rows.rdd.getNumPartitions() == 10 and max(rows.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()) < 20
