@@ -343,3 +343,13 @@ def test_pieces_are_bounded_in_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(bindings, "PIECE_ROWS", 10)
     for rows in (markup.reports(spark, str(tmp_path)), bindings.parameter(spark, str(tmp_path))):
         assert rows.rdd.getNumPartitions() == 10 and max(rows.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()) < 20
+
+
+def test_strip_looks_at_the_ends_only(spark):
+    signs = [chr(k) for k in range(1, 0x3100) if not 0xD800 <= k < 0xE000] + ["﻿", "\U0001f600", ""]
+    rows = spark.createDataFrame([(a + b + x + "\ta" + x + b + a,) for x in signs for a, b in (("", ""), (" \n", ""), ("　", "\r"))] + [("",), (" \r\n",), (None,)], "x string")
+    by_pattern = F.regexp_replace("x", r"(?U)^\s+|\s+$", "")
+    assert rows.where(~text.strip(F.col("x")).eqNullSafe(by_pattern)).count() == 0
+    lines = F.regexp_replace(text.or_empty(F.col("x")), "\r\n?", "\n")
+    assert rows.where(text.unified_lines(F.col("x")) != lines).count() == 0
+    assert "regexp" not in rows.select(text.normalized(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
