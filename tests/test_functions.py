@@ -353,3 +353,23 @@ def test_strip_looks_at_the_ends_only(spark):
     lines = F.regexp_replace(text.or_empty(F.col("x")), "\r\n?", "\n")
     assert rows.where(text.unified_lines(F.col("x")) != lines).count() == 0
     assert "regexp" not in rows.select(text.normalized(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_types_move_places_only(spark):
+    md = "盘沿分析 \r\n![](a.png)\n\n甲\n<table><tr><td>x</td></tr></table>乙\n<TABLE><tr><td> 内容</td><td>y</td></tr>" + "".join(f"<tr><td>{z}区</td><td>1</td></tr>" for z in "ISNT") + "</TABLE>\n<table><tr><td>q"
+    rows = spark.createDataFrame([(1, md), (2, None), (3, "a")], "k long, md string")
+    assert [(r["nth"], r["before"]) for r in extract.tables_of(rows, "k").orderBy("nth").collect()] == [(0, ["盘沿分析", "甲"]), (1, ["盘沿分析", "甲", "乙"])]
+    found = extract.report_tables(rows, "k")
+    assert [(r["k"], r["type"], r["nth"], r["grid"][0], r["before"][-1]) for r in found.collect()] == [(1, "盘沿分析", 1, ["内容", "y"], "乙")]
+    # Neither grids nor lines meet by key if places alone are asked for, and none is sorted.
+    plan = found.select("k", "type", "nth")._jdf.queryExecution().executedPlan().toString()
+    assert "max_by" not in plan and "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_bare_rows_and_known_headers_are_read_at_once(monkeypatch):
+    head, row = '<table><tr><td rowspan=2>a</td><td colspan="2">b</td></tr><tr><th>c</th><td>d</td></tr>', "<tr><td> x>&amp;lt;</td><td></td><td>1</td></tr><tr><td> </td></tr>"
+    want = [["a", "b", "b"], ["a", "c", "d"], ["x><", "", "1"]]
+    assert udf.table_grid(head + row + "</table>") == want
+    monkeypatch.setattr(udf, "_bracketed", lambda source: pytest.fail("read by brackets"))
+    monkeypatch.setattr(udf, "_parsed", lambda source: pytest.fail("parsed"))
+    assert udf.table_grid(head + row * 2 + "</table>") == [*want, want[2]]
