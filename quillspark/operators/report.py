@@ -5,29 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dims
-from ..functions.text import in_diagnosis_order, literal_map, normalized_tag, one_decimal, safe_int
+from ..functions import dims, wording
+from ..functions.text import one_decimal, safe_int
 
 
 def total_of(prefix: str) -> Column:
     return sum((safe_int(F.col(prefix + q)) for q in dims.QUADRANTS[1:]), safe_int(F.col(prefix + dims.QUADRANTS[0])))
 
 
-def places_of(prefix: str) -> Column:
-    """Listed places with a count above 0: a four-bit mask looked up among its sixteen values."""
-    mask = sum((F.when(safe_int(F.col(prefix + q)) > 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, q in enumerate(dims.QUADRANTS)), F.lit(0))
-    return literal_map(dims.PLACES_BY_MASK)[mask]
+def mask_of(prefix: str) -> Column:
+    """The quadrants with a count above 0, a bit each."""
+    return sum((F.when(safe_int(F.col(prefix + q)) > 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, q in enumerate(dims.QUADRANTS)), F.lit(0))
 
 
-def counted_clause(prefix: str, name: str, leveled: bool) -> Column:
-    """Where, how many and what; null if the total isn't above 0."""
+def counted_code(prefix: str) -> Column:
+    """Code of where and how many, see ``wording.LEVELS``; NONE if the total isn't above 0."""
     total = total_of(prefix)
-    level = F.when((total > 0) & (total < 5), F.lit(dims.FEW)).when(total > 50, F.lit(dims.MANY)).otherwise(F.lit("")) if leveled else F.lit("")
-    return F.when(total > 0, F.concat(places_of(prefix), F.lit("视网膜可见"), level, F.lit(f"{name}。")))
+    level = F.when(total < 5, F.lit(wording.LEVELS.index(dims.FEW))).when(total > 50, F.lit(wording.LEVELS.index(dims.MANY))).otherwise(F.lit(0))
+    return F.when(total > 0, mask_of(prefix) * len(wording.LEVELS) + level).otherwise(F.lit(wording.NONE))
 
 
-def clause_if(column: str, text: str) -> Column:
-    return F.when(safe_int(F.col(column)) > 0, F.lit(text))
+def code_of(name: str) -> Column:
+    """Code of a clause of ``wording.CODES``."""
+    if name == dims.LASER:
+        return (total_of(name) > 0).cast("int")
+    return counted_code(name) if any(name == p for p, *_ in dims.COUNTED) else (safe_int(F.col(name)) > 0).cast("int")
 
 
 def report_text(parameter: DataFrame, ratio_format=None) -> DataFrame:
@@ -37,43 +39,6 @@ def report_text(parameter: DataFrame, ratio_format=None) -> DataFrame:
     the diagnosis line lists known labels by rank. ``ratio_format`` makes text of the ratio, by default ``one_decimal``.
     """
     ratio_text = (ratio_format or one_decimal)(F.col("ratiocdv").cast("double"))
-    tags = F.array_distinct(F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), normalized_tag), lambda t: t != ""))
-    rows = parameter.withColumn("__tags", tags).withColumn("__used", F.filter("__tags", lambda t: ~t.isin(*dims.IGNORED_TAGS)))
-    rows = rows.withColumn("__occluded", F.arrays_overlap("__tags", F.array(*map(F.lit, dims.OCCLUSION_TAGS))))
-
-    occlusion = F.concat(F.lit("静脉迂曲扩张，"), places_of("bloodnumberdistribution_"), F.lit("视网膜沿血管放射状出血。"))
-    texts = {t: x for t, x in {**dims.DISEASE_TEXT, **dims.LESION_TEXT}.items() if x and t not in dims.DIAGNOSIS_ONLY_TAGS}
-    text_of = literal_map(texts)
-
-    def of_tags(section: str) -> Column:
-        known = [t for t in texts if dims.SECTION_OF.get(t, "other") == section]
-        if section != "vessel":
-            return F.transform(F.filter("__used", lambda t: t.isin(*known)), lambda t: text_of[t])
-        both = F.filter("__used", lambda t: t.isin(*known, *dims.OCCLUSION_TAGS))
-        return F.transform(both, lambda t: F.when(t.isin(*dims.OCCLUSION_TAGS), F.col("__occlusion")).otherwise(text_of[t]))
-
-    counted = {name: (counted_clause(p, name, leveled), clause_if(p + "r2", f"黄斑处可见{name}。") if macula else None, where) for p, name, macula, leveled, where in dims.COUNTED}
-    unless_occluded = lambda name, c: F.when(~F.col("__occluded"), c) if name == "出血" else c
-    fixed = {
-        "disc": [F.concat(F.lit("杯盘比为"), ratio_text, F.lit("。")), clause_if("discbloodnumber", "视盘可见出血。"), clause_if("ratioatrophymaxwidth", "视盘旁可见脉络膜萎缩弧。")],
-        "vessel": [
-            F.when(safe_int(F.col("arteriovenouscrossingnumber")) > 0, F.concat(F.lit("可见"), safe_int(F.col("arteriovenouscrossingnumber")).cast("string"), F.lit("处动静脉交叉压迫点。"))),
-            *[c for c, _, where in counted.values() if where == "vessel"],
-        ],
-        "macula": [unless_occluded(n, m) for n, (_, m, _) in counted.items() if m is not None],
-        "retina": [
-            *[unless_occluded(n, c) for n, (c, _, where) in counted.items() if where == "retina"],
-            clause_if("atrophicfocinumber", "可见斑片状萎缩灶。"), clause_if("lacquercracknumber", "视网膜可见漆裂纹。"),
-            F.when(total_of(dims.LASER) > 0, F.lit("眼底可见激光斑。")), clause_if("rnfldarea", "可见神经纤维层缺损。"),
-        ],
-        "other": [],
-    }
-    rows = rows.withColumn("__occlusion", occlusion)
-    for s in dims.SECTIONS:
-        clauses = F.concat(F.array_compact(F.array(*fixed[s])), of_tags(s)) if fixed[s] else of_tags(s)
-        rows = rows.withColumn(f"__{s}", F.array_join(F.array_distinct(clauses), ""))
-    diagnoses = F.array_join(in_diagnosis_order(F.filter("__used", lambda t: t.isin(*dims.DISEASE_TEXT))), "、")
-    rows = rows.withColumn("__diagnoses", diagnoses)
-    named = F.when(F.col("__diagnoses") == "", F.lit(dims.NO_FINDING)).otherwise(F.col("__diagnoses"))
-    text = F.concat(F.lit("描述："), *[F.col(f"__{s}") for s in dims.SECTIONS], F.lit("\n初步诊断："), named)
-    return rows.select("img_id", text.alias("description"), "institution_name", "img_path")
+    codes = [*map(code_of, wording.CODES), mask_of("bloodnumberdistribution_"), safe_int(F.col("arteriovenouscrossingnumber"))]
+    text = wording.report_words()(F.array(*[c.cast("long") for c in codes]), ratio_text, F.coalesce("tags", F.array().cast("array<string>")))
+    return parameter.select("img_id", text.alias("description"), "institution_name", "img_path")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from ..functions.structure import measured
 from ..functions.text import let
-from .parse import parsed
 
 MEASURES = (
     "format_correct", "diagnosis_exact_set_acc", "description_exact_match", "description_finding_set_f1", "description_location_f1",
@@ -43,21 +43,8 @@ def ratio_hit(pred: Column, ref: Column, tolerance: float = dims.RATIO_TOLERANCE
 
 def score_reports(df: DataFrame, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
     """``df`` with the eight measures and both sorted label lists (arrays)."""
-    both = parsed(parsed(df, prediction, "__p_"), reference, "__r_")
-    p, r = (lambda name: F.col(f"__p_{name}")), (lambda name: F.col(f"__r_{name}"))
-    return both.select(
-        *df.columns,
-        p("format").cast("double").alias("format_correct"),
-        (p("labels") == r("labels")).cast("double").alias("diagnosis_exact_set_acc"),
-        (p("description") == r("description")).cast("double").alias("description_exact_match"),
-        set_f1(p("findings"), r("findings")).alias("description_finding_set_f1"),
-        set_f1(p("places"), r("places")).alias("description_location_f1"),
-        bucket_accuracy(p("buckets"), r("buckets")).alias("description_count_bucket_acc"),
-        ratio_error(p("ratio"), r("ratio")).alias("description_cdr_abs_error"),
-        ratio_hit(p("ratio"), r("ratio")).alias("description_cdr_tol_hit"),
-        p("labels").alias("pred_diagnosis_labels"),
-        r("labels").alias("ref_diagnosis_labels"),
-    )
+    both = measured(MEASURES, LABELS)(F.col(prediction), F.col(reference))
+    return df.select("*", both.alias("__both")).select(*df.columns, "__both.*")
 
 
 def flat_rows(scored: DataFrame, *keys: str) -> DataFrame:
