@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from . import dims
-from .structure import texts
+from .structure import lists, texts
 from .text import WHITE
 
 #: A counted clause's code: thrice the mask of its places, and its level; NONE without a clause. An optional clause's code is 1 or 0.
@@ -70,15 +70,6 @@ CODES = [name for section in _SECTIONS.values() for name, _ in section]
 _BLOOD = {p for p, name, *_ in dims.COUNTED if name == "出血"} | {p + "r2" for p, name, *_ in dims.COUNTED if name == "出血"}
 
 
-def _lists(column: pa.Array) -> list[tuple[str | None, ...]]:
-    """The lists of a column as tuples; null is an empty one."""
-    values, at = texts(column.values), column.offsets.to_pylist()
-    if column.null_count:
-        there = column.is_valid().to_pylist()
-        return [tuple(values[a:b]) if x else () for a, b, x in zip(at, at[1:], there, strict=False)]
-    return [tuple(values[a:b]) for a, b in zip(at, at[1:], strict=False)]
-
-
 def worded(codes: np.ndarray, ratios: list[str | None], tags: list[tuple[str | None, ...]]) -> list[str]:
     """Report texts of rows of codes (see ``CODES``), texts of ratios and labels. A section has each of its clauses once; blood isn't told of again where a vein is occluded."""
     columns, blood, place = {}, {}, 0
@@ -114,6 +105,6 @@ def report_words():
     @F.arrow_udf("string")
     def run(codes: pa.Array, ratio: pa.Array, tags: pa.Array) -> pa.Array:
         numbers = codes.flatten().to_numpy(zero_copy_only=False).reshape(len(codes), len(CODES) + 2)
-        return pa.array(worded(numbers, texts(ratio), _lists(tags)), pa.string())
+        return pa.array(worded(numbers, texts(ratio), lists(tags)), pa.string())
 
     return run

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from ..functions.structure import PLAIN_BUCKETS, measured_against
 from ..functions.text import let, strip
 from .parse import parsed
-from .score import bucket_accuracy, ratio_error, ratio_hit, score_reports, set_f1, weighted_scores
+from .score import MEASURES, score_reports, weighted_scores
 
 REWARDS = {"format": "format_score", "description": "description_score", "diagnosis": "diagnosis_score"}
 
@@ -119,17 +120,11 @@ def rerooted(path: Column, marker: str, root: str) -> Column:
 
 def scored_against_gold(rows: DataFrame, completion: str) -> DataFrame:
     """``rows`` (with the columns of ``gold_fields``) with the eight measures of a completion; the truth isn't parsed again."""
-    parsed_rows = parsed(rows, completion, "__p_")
-    p, gold = (lambda name: F.col(f"__p_{name}")), (lambda name: F.array_sort(F.array_distinct(F.coalesce(name, F.array().cast("array<string>")))))
-    entries = F.transform(F.map_entries(decoded_buckets(F.col("gold_bucket_map_json"))), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("bucket")))
-    return parsed_rows.select(
-        *rows.columns,
-        p("format").cast("double").alias("format_correct"),
-        (p("labels") == gold("gold_diagnosis_labels")).cast("double").alias("diagnosis_exact_set_acc"),
-        (p("description") == F.coalesce("gold_description", F.lit(""))).cast("double").alias("description_exact_match"),
-        set_f1(p("findings"), gold("gold_findings")).alias("description_finding_set_f1"),
-        set_f1(p("places"), gold("gold_locations")).alias("description_location_f1"),
-        bucket_accuracy(p("buckets"), F.array_sort(entries)).alias("description_count_bucket_acc"),
-        ratio_error(p("ratio"), F.col("gold_cdr_value")).alias("description_cdr_abs_error"),
-        ratio_hit(p("ratio"), F.col("gold_cdr_value")).alias("description_cdr_tol_hit"),
+    gold = lambda name: F.array_sort(F.array_distinct(F.coalesce(name, F.array().cast("array<string>"))))
+    source = F.col("gold_bucket_map_json")
+    entries = F.transform(F.map_entries(decoded_buckets(source)), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("bucket")))
+    plain = F.coalesce(source.rlike(PLAIN_BUCKETS), F.lit(False))
+    found = measured_against(MEASURES)(
+        F.col(completion), gold("gold_diagnosis_labels"), F.coalesce("gold_description", F.lit("")), gold("gold_findings"), gold("gold_locations"), source, F.when(~plain, entries), F.col("gold_cdr_value").cast("double")
     )
+    return rows.select("*", found.alias("__found")).select(*rows.columns, "__found.*")

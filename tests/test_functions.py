@@ -423,3 +423,16 @@ def test_report_text_is_worded_in_one_function(spark):
         "b": f"描述：杯盘比为0.0。{vessel}静脉迂曲扩张，鼻上方视网膜沿血管放射状出血。黄斑处可见玻璃膜疣。黄斑区可见金箔样反光，放射状皱褶，小血管迂曲。眼底可见激光斑。\n初步诊断：中央静脉阻塞、分支静脉阻塞、黄斑前膜I期、黄斑前膜II期",
         "c": f"描述：杯盘比为-0.0。{vessel}黄斑处可见出血。黄斑处可见玻璃膜疣。{retina}眼底可见激光斑。\n初步诊断：未见明显异常表征",
     }
+
+
+def test_completions_meet_gold_in_one_function(spark):
+    said = "描述：上方视网膜可见大量出血。\n初步诊断：甲"
+    buckets = ['{"视网膜|出血|上方": "大量"}', '{"视网膜|出血|上方":"大量", "a": 1}', '{"视网膜|出血|上方": "\\u5927量"}', "{}", " ", "[1]", None]
+    of = ("array('甲') AS gold_diagnosis_labels", "'' AS gold_description", "array('视网膜:出血', null, 'z', 'z') AS gold_findings", "array('上方') AS gold_locations", "b AS gold_bucket_map_json", "CAST('NaN' AS double) AS gold_cdr_value")
+    rows = spark.createDataFrame([(i, b, said) for i, b in enumerate(buckets)], "i int, b string, c string").selectExpr("i", "c", *of)
+    found = reward.scored_against_gold(rows, "c")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and "array_intersect" not in plan
+    got = {r["i"]: r for r in found.collect()}
+    assert [got[k]["description_count_bucket_acc"] for k in range(len(buckets))] == [1.0, 0.5, 1.0, 0.0, 0.0, 0.0, 0.0]
+    assert (got[0]["description_finding_set_f1"], got[0]["description_location_f1"], got[0]["diagnosis_exact_set_acc"], got[0]["description_cdr_abs_error"], got[0]["description_cdr_tol_hit"]) == (0.5, 1.0, 1.0, 1.0, 0.0)
