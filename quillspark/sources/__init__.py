@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .files import listed_files
+
 ANNOTATION = "_id BIGINT, _name STRING, tag ARRAY<STRUCT<_label: STRING, attribute: ARRAY<STRUCT<_name: STRING, _VALUE: STRING>>>>"
 
 
@@ -83,7 +85,7 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 def list_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")) -> DataFrame:
     """(path, stem, bytes) of the image files under ``root``; their contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("bytes"))
+    files = listed_files(spark, root)
     name = F.element_at(F.split("path", "/"), -1)
     return files.where(F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*extensions)).select("path", F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), "bytes")
 

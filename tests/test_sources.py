@@ -86,6 +86,28 @@ def test_image_listing(spark, tmp_path):
     assert {r["stem"]: r["path"].rsplit("/", 2)[1] for r in first.collect()} == {"1": "a", "2": "b"} and [r["stem"] for r in twice.collect()] == ["1"]
 
 
+def test_files_are_listed_as_spark_lists_them_but_by_tasks(spark, tmp_path):
+    from quillspark.sources import files
+
+    for name in ("1.jpg", "a b/%20 é.PNG", "a b/_hidden/2.jpg", "a b/.x/2.jpg", "_k=1/3.jpg", "a b/c/d/4.jpg", "a b/c/_5.jpg", "a b/c/.6.jpg", "a b/c/_k=7.jpg", "8.jpg._COPYING_", "_metadata", "a b/c/empty.jpg", "n.txt"):
+        (tmp_path / "r" / name).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / "r" / name).write_bytes(b"" if "empty" in name else name.encode())
+    (tmp_path / "r/nothing").mkdir()
+    (tmp_path / "r/link.jpg").symlink_to(tmp_path / "r/1.jpg")
+    (tmp_path / "r/folder").symlink_to(tmp_path / "r/a b/c")
+    (tmp_path / "r/broken.jpg").symlink_to(tmp_path / "r/none")
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    root = f"file://{tmp_path}/r"
+    for at in (root, f"{tmp_path}/r/", f"{root}/1.jpg", f"{root}/a*"):
+        wanted = sorted(map(tuple, plain.load(at).select("path", "length").collect()))
+        found = files.listed_files(spark, at)
+        assert wanted and sorted(map(tuple, found.collect())) == wanted
+    assert sorted(map(tuple, sources.list_images(spark, root).select("path").collect())) == sorted((p,) for p, _ in map(tuple, plain.load(root).select("path", "length").collect()) if p.lower().endswith(("jpg", "png")))
+    assert "binaryFile" not in sources.list_images(spark, root)._jdf.queryExecution().toString()  # whose driver would hold every name
+    with pytest.raises(FileNotFoundError):
+        files.listed_files(spark, f"{tmp_path}/none")
+
+
 def test_listed_names_hang_on_no_folder_above(spark, tmp_path, monkeypatch):
     from quillspark.plans import files
 
