@@ -230,6 +230,21 @@ def test_streamed_reports_survive_replay_and_restart(spark, tmp_path):
     assert {(r["key"], r["status"], r["batch"]) for r in reports.log_of(spark, out).collect()} == {("a", "ok", 0), ("b", "empty", 0), ("c", "ok", 0), ("d", "ok", 1)}
 
 
+def test_a_batch_keeps_no_copy_of_its_texts(spark, tmp_path):
+    rows = [("a", " "), ("a", "  x"), ("b", "\nx"), ("b", "  "), ("c", None), ("d", None), ("d", REPORT), ("e", "   "), ("e", " \t")]
+    cached = []
+
+    def extract(fresh, key, md):
+        cached.append(fresh.storageLevel.useDisk or fresh.storageLevel.useMemory)
+        return fresh.select(key, md)
+
+    out = str(tmp_path / "out")
+    reports.handle_batch(spark.createDataFrame(rows, "path string, md string"), 0, out, "path", "md", extract)
+    assert cached == [False]
+    assert {r["path"]: r["md"] for r in reports.extracted(spark, out).collect()} == {"b": "\nx", "d": REPORT, "e": " \t"}
+    assert {(r["key"], r["status"]) for r in reports.log_of(spark, out).collect()} == {("a", "empty"), ("b", "ok"), ("c", "empty"), ("d", "ok"), ("e", "ok")}
+
+
 def test_counts_of_the_pass_that_writes(spark, tmp_path):
     rows = spark.createDataFrame([(" 1",), ("2",), ("",), (None,), ("2",)], "key string")
     clean = spark.createDataFrame([("2",), ("2",), (" ",), ("9",)], "k string")
